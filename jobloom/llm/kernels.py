@@ -121,11 +121,18 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Positions start[i], start[i]+1, ... start[i]+length[i]-1 for all i, one after another."""
+    length = length.astype(np.int64, copy=False)
     total = int(length.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(length)
-    return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
+    kind = np.int32 if total < 2**31 and (not len(start) or int(start.max()) < 2**31 - 1) else np.int64
+    out = np.ones(total, kind)
+    some = np.flatnonzero(length)
+    if not len(some):
+        return out
+    s, n = start[some].astype(np.int64), length[some]
+    jump = s.copy()
+    jump[1:] -= s[:-1] + n[:-1] - 1
+    out[np.cumsum(n) - n] = jump
+    return np.cumsum(out, out=out, dtype=kind)
 
 
 def runs(keys: np.ndarray) -> np.ndarray:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from jobloom.llm import fingerprint, mixing, quality
+from jobloom.llm import bpe, fingerprint, mixing, quality, tokenfiles
 
 QUERIES = {
     "op2_quality_rules": quality.op2,
     "op4_fingerprints": fingerprint.op4,
+    "op7_bpe": bpe.op7,
     "op8_mixing": mixing.op8,
+    "op10_token_files": tokenfiles.op10,
 }
 SQL = {
     "op2_quality_rules": quality.SQL,

@@ -12,6 +12,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -57,8 +58,10 @@ def drop(spark: SparkSession, at: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files that no frame refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside the driver
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def written(df: DataFrame, at: str) -> DataFrame:
