@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from jobloom.llm import bpe, fingerprint, mixing, quality, tokenfiles
+from jobloom.llm import bpe, fingerprint, jaccard_join, mixing, quality, tokenfiles
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1,
     "op2_quality_rules": quality.op2,
     "op4_fingerprints": fingerprint.op4,
     "op7_bpe": bpe.op7,
