@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from jobloom.llm import bpe, fingerprint, jaccard_join, mixing, quality, repeats, tokenfiles
+from jobloom.llm import bpe, fingerprint, jaccard_join, lm, mixing, quality, repeats, tokenfiles
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
     "op2_quality_rules": quality.op2,
     "op4_fingerprints": fingerprint.op4,
+    "op5_kneser_ney": lm.op5,
     "op6_repeats": repeats.op6,
     "op7_bpe": bpe.op7,
     "op8_mixing": mixing.op8,
