@@ -104,36 +104,52 @@ def with_next(df: DataFrame, key: str = "doc_id", rows: int = 2000) -> DataFrame
     order = Window.partitionBy("__bin").orderBy(F.col(f"`{key}`").asc_nulls_first())
     row = F.struct(*cols)
     inside = placed.select("*", F.lead(row).over(order).alias("__next"))
-    bins = placed.groupBy("__bin").agg(F.min(key).alias("__least"))
+    bins = placed.select("__bin").distinct()
     everywhere = Window.orderBy("__bin")
     before = F.coalesce(F.lag("__bin").over(everywhere), F.last("__bin").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chain = bins.select("__bin", "__least", before.alias("__before"))
-    heads = df.join(chain, F.col(f"`{key}`").eqNullSafe(F.col("__least")), "inner").groupBy("__before").agg(F.first(row).alias("__head"))
+    chain = bins.select("__bin", before.alias("__before"))
+    heads = inside.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select("__bin", row.alias("__head"))
+    heads = heads.join(chain.select("__bin", "__before"), "__bin").select("__before", "__head")
     return inside.join(heads, F.col("__bin") == F.col("__before"), "left").select(*cols, F.coalesce("__next", "__head").alias("next"))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, t (the text, null as empty), edited, next_t."""
-    clean = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    step = with_next(clean).select("doc_id", "t", F.col("next.t").alias("next_t"))
-    half = F.floor(F.length("t") / 2).cast("int")
-    return step.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - half), F.substring(F.col("next_t"), F.lit(1), half)))
+#: Ids of rows whose bytes are to be compared that may be broadcast: 32 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def edited(t: Column, after: Column) -> Column:
+    """The text, its last half replaced by the first code points of ``after``."""
+    half = F.floor(F.length(t) / 2).cast("int")
+    return F.concat(F.substring(t, F.lit(1), F.length(t) - half), F.substring(after, F.lit(1), half))
 
 
 def edited_fingerprints(docs: DataFrame, at: str) -> DataFrame:
-    """Fingerprints of all texts, of their edited texts, and the likeness (1 or 0: the digest is exact). ``at``: a shared folder for the digests."""
-    pairs = edited_pairs(docs)
-    canon = pairs.select("doc_id", "t", "edited", canonical(F.col("t")).alias("c"), canonical(F.col("edited")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
+    """Fingerprints of all texts, of their edited texts, and the likeness (1 or 0: the digest is exact). ``at``: a shared folder for the digests.
+
+    Whole texts are shuffled once, to meet the next one; of the byte comparison
+    only those whose digest occurs twice are moved.
+    """
+    spark = docs.sparkSession
+    clean = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    pairs = with_next(clean).select("doc_id", "t", F.col("next.doc_id").alias("next_id"), F.col("next.t").alias("next_t"))
+    canon = pairs.withColumn("edited", edited(F.col("t"), F.col("next_t"))).select("doc_id", "next_id", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("t")).alias("c"), canonical(F.col("edited")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
     (h1, h2), (e1, e2), (n1, n2) = wide(F.col("c")), wide(F.col("ec")), wide(F.col("nc"))
     columns = {"h1": h1, "h2": h2, "hm": F.md5("c"), "e1": e1, "e2": e2, "em": F.md5("ec"), "n1": n1, "n2": n2, "nm": F.md5("nc")}
-    digests = shared.written(canon.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(v.alias(k) for k, v in columns.items())), at)
-    shared.free_shuffles(docs.sparkSession)
+    digests = shared.written(canon.select("doc_id", "next_id", "n_chars", "edited_sha256", *(v.alias(k) for k, v in columns.items())), f"{at}/digests")
+    shared.free_shuffles(spark)
     both = digests.select("h1", "h2").unionAll(digests.select(F.col("e1").alias("h1"), F.col("e2").alias("h2")))
-    texts = canon.select(F.explode(F.array("c", "ec")).alias("canon"))
-    apart = collisions(texts, both)
-    out = named(digests, apart, "h1", "h2", "hm", "fingerprint")
-    out = named(out, apart, "e1", "e2", "em", "edited_fingerprint")
-    out = named(out, apart, "n1", "n2", "nm", "next_fingerprint")
+    twice = shared.written(both.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), f"{at}/twice")
+    own_ids = digests.join(twice, ["h1", "h2"], "left_semi").select("doc_id").distinct()
+    edit_ids = digests.join(twice.toDF("e1", "e2"), ["e1", "e2"], "left_semi").select("doc_id", "next_id").distinct()
+    few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    own = clean.join(few(own_ids), "doc_id", "left_semi").select(canonical(F.col("t")).alias("canon"))
+    wanted = few(shared.written(edit_ids, f"{at}/edits"))
+    heads, tails = clean.join(wanted, "doc_id").select("doc_id", "next_id", "t"), clean.select(F.col("doc_id").alias("next_id"), F.col("t").alias("next_t"))
+    tails = tails.join(few(wanted.select("next_id").distinct()), "next_id", "left_semi")
+    apart = collisions(own.unionAll(heads.join(tails, "next_id").select(canonical(edited(F.col("t"), F.col("next_t"))).alias("canon"))), both)
+    out = digests
+    for keys, name in ((("h1", "h2", "hm"), "fingerprint"), (("e1", "e2", "em"), "edited_fingerprint"), (("n1", "n2", "nm"), "next_fingerprint")):
+        out = named(out, apart, *keys, name)
     like = lambda x: F.when(F.col("fingerprint") == F.col(x), 1.0).otherwise(0.0)
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 
