@@ -135,7 +135,7 @@ def _children(path: np.ndarray, sketch: np.ndarray, fanout: int) -> np.ndarray:
     out = np.empty((len(path), fanout), U)
     rows = np.arange(len(path))
     for k in range(fanout):
-        sampled = mix(path + U(0x632BE59BD9B4E019) * U(k + 1))
+        sampled = mix(path + U(0x632BE59BD9B4E019 * (k + 1) % 2**64))
         out[:, k] = mix(sampled ^ sketch[rows, (sampled % U(WIDTH)).astype(np.int64)].astype(U) * U(0xD6E8FEB86659FD93))
     return out
 

@@ -88,7 +88,8 @@ def measures(df: DataFrame, text: str = "text", out: str = "quality") -> DataFra
         F.size(F.filter(F.col(w), lambda x, i: F.coalesce(F.get(F.col(w), i - 1) == x, F.lit(False)))).cast("long").alias("n_stutter"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
-    return step.select(*keep, found.alias(out))
+    # A generator: filters on its column stay above it, instead of being taken apart into the lambdas below.
+    return step.select(*keep, F.explode(F.array(found)).alias(out))
 
 
 def ratios(q: Column) -> dict[str, Column]:

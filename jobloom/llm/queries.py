@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from jobloom.llm import bpe, fingerprint, jaccard_join, lm, mixing, quality, repeats, tokenfiles
+from jobloom.llm import bpe, fingerprint, jaccard_join, licenses, lm, mixing, quality, repeats, shards, tokenfiles
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
     "op2_quality_rules": quality.op2,
+    "op3_sharding": shards.op3,
     "op4_fingerprints": fingerprint.op4,
     "op5_kneser_ney": lm.op5,
     "op6_repeats": repeats.op6,
     "op7_bpe": bpe.op7,
     "op8_mixing": mixing.op8,
+    "op9_licenses": licenses.op9,
     "op10_token_files": tokenfiles.op10,
 }
 SQL = {
