@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import dates, rates, text
-from jobloom.operators import arrivals, audit, board, duplicates, screen, store
+from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
 from jobloom.plans import fixtures
 from jobloom.plans.oracles import SQL
+from jobloom.sources import pages
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -125,6 +126,36 @@ def _tax(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *(F.round(x, 4).alias(k) for k, x in cols.items()))
 
 
+#: A CV and a fact base for the coverage queries.
+CV = "Test engineer. Java, JUnit and Maven suites for payment services.\nSelenium and REST-assured checks in Jenkins pipelines."
+MASTER = CV + "\nRuby on Rails with RSpec and Capybara. Groovy and Spock for contract tests. Python scripts for stakeholder management."
+_ADVERT = "\n\nRequirements\n\n- Java, Selenium and Docker\n- Stakeholder management\n\nWhat you will do\n\n- Maintain Jenkins pipelines with Groovy\n\nNice to have\n\n- Kubernetes\n"
+
+
+def _adverts(spark: SparkSession, sf: str) -> DataFrame:
+    p = fixtures.postings(spark, sf)
+    return p.select("url", "title", "company", F.concat(F.col("description"), F.when(F.col("ordinal") % 3 == 0, F.lit("")).otherwise(F.lit(_ADVERT)), F.repeat(F.lit(" calm words"), F.when(F.col("ordinal") % 4 == 0, 5).otherwise(120))).alias("post_text"))
+
+
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.posting_terms(_adverts(spark, sf)).select("url", "term", "count", "weight", "section", "skill", "priority")
+
+
+def _scan(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ("url", "verdict", "unreliable", "priority_coverage", "all_term_coverage", "hard_gap_count", "terms_found")
+    return coverage.scan(_adverts(spark, sf), CV, MASTER).select(*cols)
+
+
+def _gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.gap_report(coverage.posting_terms(_adverts(spark, sf)), CV, MASTER)
+
+
+def _suggested(spark: SparkSession, sf: str) -> DataFrame:
+    rows = coverage.with_coverage(coverage.posting_terms(_adverts(spark, sf)), CV, MASTER)
+    facts = spark.createDataFrame([("r1", f"a{i}", x, ["tag"], []) for i, x in enumerate(MASTER.splitlines())], "role_id string, achievement_id string, text string, tags array<string>, metrics array<string>")
+    return coverage.suggestions(rows, facts, CV).select("url", "achievement_id", "kind", "weight_closed", "rank")
+
+
 def _of(f):
     """A query over the postings."""
     return lambda spark, sf: f(fixtures.postings(spark, sf))
@@ -175,5 +206,10 @@ QUERIES = {
     "posted_age": _posted,
     "lessons": _events,
     "first_turns": _first_turns,
+    "posting_terms": _terms,
+    "cv_scan": _scan,
+    "gap_report": _gaps,
+    "suggestions": _suggested,
+    "page_html_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", pages.html_text_udf("html").alias("text")),
     "top_scores": lambda s, d: board.top_per(fixtures.postings(s, d).join(fixtures.scores(s, d), "url"), ["source"], [F.desc("match_score"), F.col("url")], 12).select("source", "url", "match_score"),
 }
