@@ -136,6 +136,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del found, blobs
         order = np.argsort(anchor, kind="stable")
         a = anchor[order]
+        if not (a[1:] == a[:-1]).any():
+            continue
         twice = np.append(a[1:] == a[:-1], False)
         twice[1:] |= twice[:-1].copy()
         order = order[twice]
@@ -145,7 +147,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = order[same]
         if len(gone):
             yield _rows(0, seq[gone], start[gone], count[gone].astype(np.int64) + SPAN - 1, None)
-        order, a = order[~same], a[~same]
+        order, a = order[~same], a[~same]  # never empty: a piece is left of each anchor
         several = np.append(a[1:] == a[:-1], False)
         several[1:] |= several[:-1].copy()
         r = order[several]
