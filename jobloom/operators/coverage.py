@@ -21,6 +21,8 @@ PASS_COVERAGE, GAP_WEIGHT, SNIPPET_CHARS = 85.0, 2.0, 1000
 MAX_GAPS, MAX_SUGGESTIONS, MAX_EVIDENCED, ON_CV = 25, 12, 20, 0.7
 #: Characters that a CV or fact base may have to be sent to every worker.
 MAX_CV_CHARS = 4_000_000
+#: Achievements of one fact base at most; they are broadcast.
+MAX_FACTS = 20_000
 TERM = "term string, count int, in_requirements int, in_duties int, in_nice int, skill boolean, capitalised boolean, in_title boolean, surfaces array<string>"
 
 
@@ -127,8 +129,10 @@ def suggestions(rows: DataFrame, achievements: DataFrame, cv: str, most: int = M
     hay = F.concat_ws(" ", "text", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("metrics", F.array().cast("array<string>")), " "))
     facts = achievements.select("role_id", "achievement_id", F.trim("text").alias("text"), hay.alias("hay")).withColumn("overlap", best("text"))
     # Terms once, not once a posting; then achievements meet the distinct terms, and postings meet what closes them by term.
+    if facts.limit(MAX_FACTS + 1).count() > MAX_FACTS:
+        raise ValueError("too many achievements to be sent to every worker")
     distinct = closable.groupBy("term").agg(F.array_distinct(F.flatten(F.collect_set("surfaces"))).alias("surfaces"))
-    met = distinct.join(F.broadcast(facts.limit(20_000)), closes(F.col("hay"), F.col("term"), F.col("surfaces")))
+    met = distinct.join(F.broadcast(facts), closes(F.col("hay"), F.col("term"), F.col("surfaces")))
     per = closable.select("url", "term", "weight").join(met.select("term", "role_id", "achievement_id", "text", "overlap"), "term")
     out = per.groupBy("url", "role_id", "achievement_id", "text", "overlap").agg(F.array_sort(F.collect_list("term")).alias("closes"), F.round(F.sum("weight"), 2).alias("weight_closed"))
     out = out.withColumn("kind", F.when(F.col("overlap") >= ON_CV, "reword_achievement").otherwise("add_achievement"))

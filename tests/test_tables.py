@@ -126,7 +126,7 @@ def test_terms_and_sections():
     got = T.Extractor().posting(ADVERT + "calm " * 10, "Java Engineer")
     assert got["java"]["in_requirements"] == 1 and got["java"]["in_title"]
     assert got["azure devops"]["in_requirements"] == 1 and got["jenkins"]["in_duties"] == 1 and got["kubernetes"]["in_nice"] == 1
-    assert T.stem("pipelines") == T.stem("pipeline") and T.stem_key("warehousing") == T.stem_key("warehouse")
+    assert T.stem_key("pipelines") == T.stem_key("pipeline") and T.stem_key("warehousing") == T.stem_key("warehouse")
     cv = T.Present("Worked with stakeholder management, RestAssured and pipelines.")
     assert cv.has("stakeholder management") and cv.has("pipeline") and cv.has("rest-assured") is False or cv.has("restassured")
     assert not cv.has("docker")
@@ -189,3 +189,21 @@ def test_cv_documents(spark):
     drafted = spark.createDataFrame([("d", "a", 0), ("d", "c", 1)], "doc string, item string, ordinal int")
     required = spark.createDataFrame([("a", 0, True), ("b", 1, True), ("c", 2, False)], "item string, ordinal int, required boolean")
     assert [r.item for r in coverage.restore_required(drafted, required).orderBy("position").collect()] == ["a", "b", "c"]
+
+
+def test_manual_rows_and_loaders(spark):
+    from jobloom.operators import manual
+    from jobloom.sources import loaders
+
+    stored = schemas.conform(spark.createDataFrame([("u1", "Acme", "QA", "Leeds")], "url string, company string, title string, location string"), schemas.JOB_DETAILS)
+    rows = schemas.conform(spark.createDataFrame([("u1", "Acme", "QA", "Leeds"), ("u2 ", "ACME", "qa", "leeds")], "url string, company string, title string, location string"), schemas.POSTING)
+    details, report = manual.add(stored, rows, "2026-01-01 00:00:00")
+    assert sorted((r.url, r.added, r.twin) for r in report.collect()) == [("u1", False, None), ("u2", True, "u1")]
+    assert {r.url: r.passed_filters for r in details.collect()} == {"u1": None, "u2": True}
+    assert loaders.registry(spark, [{"name": "A", "type": "adzuna", "params": {"what": 1}}]).first().params == {"what": "1"}
+    assert loaders.cv_text(spark, "x", "2026-01-01 00:00:00", "2026-01-03 00:00:00").first().stale
+    assert loaders.workday_endpoint("acme.wd3.myworkdayjobs.com/acme/Careers")[1:] == ("acme", "Careers")
+    with pytest.raises(ValueError):
+        loaders.workday_endpoint("nope")
+    pages_ = spark.createDataFrame([("Acme Ltd", "Welcome to Acme"), ("Big Blue", "blue and big"), ("Big Blue", "x")], "c string, p string")
+    assert [r.x for r in pages_.select(loaders.names_agree(F.col("c"), F.col("p")).alias("x")).collect()] == ["strong", "weak", "none"]
