@@ -11,9 +11,10 @@ then on, counted with their copies.
    share the token of a sampled coordinate fall into one bucket. A bucket of
    more than ``SMALL`` nodes samples coordinates anew and is split again, up to
    ``DEPTH`` times; small ones are compared by brute force on eight-bit sketches.
-   What is still large then is alike in most tokens and is compared with leaders
-   instead of in pairs. Runs are repeated until a pair at the threshold is found
-   with ``RECALL`` (``runs_for``).
+   In a large bucket, nodes are first compared with up to ``LEADERS`` leaders of
+   it, and only those that are like none go deeper, so a group of near copies
+   costs one comparison a node and not a path for each level. Runs are repeated
+   until a pair at the threshold is found with ``RECALL`` (``runs_for``).
 3. Buckets yield spanning edges, never their pairs; their connected components
    are candidates.
 4. In each candidate component all similarities are computed exactly from the
@@ -47,8 +48,11 @@ WORDS = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 WIDTH, FANOUT, SMALL, DEPTH = 128, 3, 48, 4
-#: Agreement of sketches from which nodes are candidates; for leaders in large buckets, so that no pair at the threshold is lost between two leaders; to become a follower.
-CANDIDATE, NEAR_LEADER, FOLLOWER = 0.5, 0.2, 0.5
+#: Agreement of sketches from which nodes of a small bucket are candidates; from which a node of a large bucket follows a leader; from which it is joined to a leader.
+#: Of a pair at the threshold, if one is as near as FOLLOWER to a leader, the other is not farther from it than by 0.2 more; the rest is for the sketches' error.
+CANDIDATE, FOLLOWER, NEAR_LEADER = 0.5, 0.7, 0.35
+#: Leaders of a large bucket; at the last level there is no limit.
+LEADERS = 64
 #: Nodes of a component that are compared in one task.
 BLOCK = 2000
 #: Rows (of 24 bytes) that may be broadcast.
@@ -216,32 +220,65 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to leaders in buckets that no sampling splits; rows are sorted by path."""
-    at, leaders, names = None, np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64)
-    for batch in batches:
-        path, node, check = batch.column("path").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("check"), np.uint8)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        bounds = kernels.runs(path)
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if path[s] != at:
-                at, leaders, names = path[s], np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64)
-            for x in range(s, e, 256):
-                rows = np.arange(x, min(e, x + 256))
-                while len(rows):
-                    like = np.concatenate([(check[rows][:, None] == leaders[k : k + 64]).sum(2) for k in range(0, len(leaders), 64)], 1) if len(leaders) else np.zeros((len(rows), 0))
-                    alone = ~(like >= FOLLOWER * WIDTH).any(1)
-                    first = int(alone.argmax()) if alone.any() else len(rows)
-                    r, c = np.nonzero(like[:first] >= NEAR_LEADER * WIDTH)
-                    a.append(node[rows[r]])
-                    b.append(names[c])
-                    if first < len(rows):
-                        own = np.flatnonzero(like[first] >= NEAR_LEADER * WIDTH)
-                        a.append(np.full(len(own), node[rows[first]]))
-                        b.append(names[own])
-                        leaders, names = np.concatenate([leaders, check[rows[first]][None]]), np.append(names, node[rows[first]])
-                    rows = rows[first + 1 :]
-        yield _edges(np.concatenate(a), np.concatenate(b))
+def _large(most: int | None):
+    """Rows of large buckets, sorted by path: kind 0, edges (a, b) to leaders; kind 1, (path, node) of nodes that follow none and find no place among ``most`` leaders.
+
+    A node near several leaders gives one edge, and the leaders are joined once
+    for all nodes: no more edges than nodes and leaders.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders, names, top = None, np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), []
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        for batch in batches:
+            path, node, check = batch.column("path").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("check"), np.uint8)
+            a, b, alone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            bounds = kernels.runs(path)
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                if path[s] != at:
+                    at, leaders, names, top = path[s], np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), []
+                for x in range(s, e, 256):
+                    rows = np.arange(x, min(e, x + 256))
+                    # Agreement with the leaders so far; new leaders add a column for the rows behind them.
+                    like = np.concatenate([(check[rows][:, None] == leaders[k : k + 64]).sum(2) for k in range(0, len(leaders), 64)], 1) if len(leaders) else np.zeros((len(rows), 0), np.int64)
+                    free = ~(like >= FOLLOWER * WIDTH).any(1)
+                    for r in range(len(rows)):
+                        if free[r]:
+                            if most is not None and len(leaders) >= most:
+                                break
+                            own = (check[rows] == check[rows[r]]).sum(1)
+                            own[:r] = 0
+                            free &= own < FOLLOWER * WIDTH
+                            like = np.concatenate([like, own[:, None]], 1)
+                            leaders, names = np.concatenate([leaders, check[rows[r]][None]]), np.append(names, node[rows[r]])
+                            top.append(len(top))
+                            free[r] = False
+                    near = like >= NEAR_LEADER * WIDTH
+                    if not near.shape[1]:
+                        alone.append(rows[free])
+                        continue
+                    i, first = np.flatnonzero(near.any(1)), near.argmax(1)
+                    a.append(node[rows[i]])
+                    b.append(names[first[i]])
+                    r, c = np.nonzero(near)
+                    for both in np.unique(first[r] * len(names) + c).tolist():
+                        p, q = root(both // len(names)), root(both % len(names))
+                        if p != q:
+                            top[max(p, q)] = min(p, q)
+                            a.append(names[max(p, q)][None])
+                            b.append(names[min(p, q)][None])
+                    alone.append(rows[free])
+            a, b, alone = np.concatenate(a), np.concatenate(b), np.concatenate(alone)
+            kind = np.repeat(np.arange(2, dtype=np.int32), [len(a), len(alone)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, path[alone]])), pa.array(np.concatenate([b, node[alone]]))], ["kind", "a", "b"])
+
+    return work
 
 
 def _intersections(h: np.ndarray, doc: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -353,12 +390,13 @@ def candidates(nodes: DataFrame, at: str, recall: float = RECALL) -> DataFrame:
         large = counts.filter(F.col("count") > SMALL).select("path")
         if large.isEmpty():
             break
-        more = rows.join(few(large), "path")
-        if depth < DEPTH:
-            rows = more.select("path", "node").join(nodes, "node").select("path", "node", "sketch").mapInArrow(_deeper, "path long, node long, check binary")
-        else:
-            found = shared.written(more.repartition("path").sortWithinPartitions("path").mapInArrow(_large, "a long, b long").distinct(), f"{at}/edges_large")
-            edges = edges.unionAll(found)
+        led = rows.join(few(large), "path").repartition("path").sortWithinPartitions("path")
+        led = shared.written(led.mapInArrow(_large(LEADERS if depth < DEPTH else None), "kind int, a long, b long"), f"{at}/led{depth}")
+        edges = edges.unionAll(led.filter("kind = 0").select("a", "b").distinct())
+        alone = led.filter("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("node"))
+        if depth == DEPTH or alone.isEmpty():
+            break
+        rows = alone.join(nodes, "node").select("path", "node", "sketch").mapInArrow(_deeper, "path long, node long, check binary")
         shared.free_shuffles(nodes.sparkSession)
     return edges
 

@@ -8,6 +8,8 @@ columns came in; null texts are empty texts to every operator.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def run(spark: SparkSession, sf_dir: str, stages) -> DataFrame:
     """Apply the stages to the table documents, each to the written result of the one before."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    at = f"{shared.root(spark)}/jobloom/pipeline-{spark.sparkContext.applicationId}-{id(stages)}"
+    at = f"{shared.root(spark)}/jobloom/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(stages):
         docs = shared.written(stage(spark, docs, sf_dir), f"{at}/{k}")
         if before:
