@@ -21,8 +21,7 @@ then on, counted with their copies.
    whole texts, by blocks of a sparse product; larger components are dealt to
    pairs of blocks, so none is gathered in one task. Each link is counted once.
 
-Bucket sizes are partial counts joined back (hot tokens are split by adaptive
-execution); what is broadcast is counted first.
+What is broadcast is counted first.
 
 Defined results: null and empty texts have no shingles, no links and a class of
 their own; repeated rows are copies of each other; extra columns are ignored;
@@ -172,115 +171,128 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _paths(part, sketch, _children(part.column("path").to_numpy().view(U), sketch, FANOUT))
 
 
-def _edges(a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the alike nodes of each bucket; rows are sorted by path, buckets have at most SMALL nodes."""
-    held = None
-    def work(path, node, check):
-        n = len(path)
-        i, j = [], []
-        for d in range(1, SMALL):
-            a = np.flatnonzero(path[d:] == path[:-d]) if d < n else np.zeros(0, np.int64)
-            if not len(a):
-                break
-            for s in range(0, len(a), 20000):
-                x = a[s : s + 20000]
-                near = (check[x] == check[x + d]).sum(1) >= CANDIDATE * WIDTH
-                i.append(x[near])
-                j.append(x[near] + d)
-        if not i:
-            return None
-        i, j = np.concatenate(i), np.concatenate(j)
-        label = np.arange(n)
-        while True:
-            before = label.copy()
-            least = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, least)
-            np.minimum.at(label, j, least)
-            label = label[label]
-            if (label == before).all():
-                break
-        rows = np.flatnonzero(label != np.arange(n))
-        return _edges(node[rows], node[label[rows]])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = (batch.column("path").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("check"), np.uint8))
-        if held is not None:
-            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        held = tuple(x[cut:] for x in now)
-        if cut and (out := work(*(x[:cut] for x in now))) is not None:
-            yield out
-    if held is not None and (out := work(*held)) is not None:
-        yield out
+def _alike(path: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges between the alike nodes of small buckets, which lie one after another."""
+    n, i, j = len(path), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(SMALL, n)):
+        same = np.flatnonzero(path[d:] == path[:-d])
+        if not len(same):
+            break
+        for s in range(0, len(same), 20000):
+            x = same[s : s + 20000]
+            near = (check[x] == check[x + d]).sum(1) >= CANDIDATE * WIDTH
+            i.append(x[near])
+            j.append(x[near] + d)
+    label = _labels(n, np.concatenate(i), np.concatenate(j))
+    rows = np.flatnonzero(label != np.arange(n))
+    return node[rows], node[label[rows]]
+
+
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of ``n`` things: the smallest one that links (i, j) join it to."""
+    label = np.arange(n)
+    while len(i):
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
-def _large(most: int | None):
-    """Rows of large buckets, sorted by path: kind 0, edges (a, b) to leaders; kind 1, (path, node) of nodes that follow none and find no place among ``most`` leaders.
+class _Leaders:
+    """The leaders of one large bucket, to which its nodes are shown in blocks.
 
     A node near several leaders gives one edge, and the leaders are joined once
     for all nodes: no more edges than nodes and leaders.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders, names, top = None, np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), []
+    def __init__(self, most: int | None):
+        self.most, self.checks, self.names, self.top = most, np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), []
+
+    def _root(self, k: int) -> int:
+        while self.top[k] != k:
+            self.top[k] = self.top[self.top[k]]
+            k = self.top[k]
+        return k
 
-        def root(k: int) -> int:
-            while top[k] != k:
-                top[k] = top[top[k]]
-                k = top[k]
-            return k
+    def show(self, node: np.ndarray, check: np.ndarray) -> tuple[list, list, np.ndarray]:
+        """Edges (a, b), and the rows that follow no leader and found no place as one."""
+        n = len(node)
+        # Agreement with the leaders so far; new leaders add a column for the rows behind them.
+        like = np.concatenate([np.zeros((n, 0), np.int64), *((check[:, None] == self.checks[k : k + 64]).sum(2) for k in range(0, len(self.checks), 64))], 1)
+        free = ~(like >= FOLLOWER * WIDTH).any(1)
+        for r in range(n):
+            if free[r]:
+                if self.most is not None and len(self.names) >= self.most:
+                    break
+                own = (check == check[r]).sum(1)
+                own[:r] = 0
+                free &= own < FOLLOWER * WIDTH
+                like = np.concatenate([like, own[:, None]], 1)
+                self.checks, self.names = np.concatenate([self.checks, check[r][None]]), np.append(self.names, node[r])
+                self.top.append(len(self.top))
+        near = like >= NEAR_LEADER * WIDTH
+        if not near.shape[1]:
+            return [], [], np.flatnonzero(free)
+        i, first = np.flatnonzero(near.any(1)), near.argmax(1)
+        a, b = node[i].tolist(), self.names[first[i]].tolist()
+        r, c = np.nonzero(near)
+        for both in np.unique(first[r] * len(self.names) + c).tolist():
+            p, q = self._root(both // len(self.names)), self._root(both % len(self.names))
+            if p != q:
+                self.top[max(p, q)] = min(p, q)
+                a.append(int(self.names[max(p, q)]))
+                b.append(int(self.names[min(p, q)]))
+        return a, b, np.flatnonzero(free)
+
+
+def _buckets(most: int | None):
+    """Rows (path, node, check) sorted by path: kind 0, edges (a, b) between nodes that look alike; kind 1, (path, node) of large buckets that go deeper."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, leaders = None, None, None
         for batch in batches:
-            path, node, check = batch.column("path").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("check"), np.uint8)
-            a, b, alone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            if not batch.num_rows:
+                continue
+            now = (batch.column("path").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("check"), np.uint8))
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            path, node, check = now
             bounds = kernels.runs(path)
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            large = (np.diff(bounds) > SMALL) | (path[bounds[:-1]] == at if at is not None else False)
+            a, b, alone = [], [], []
+            for g in np.flatnonzero(large):
+                s, e = bounds[g], bounds[g + 1]
                 if path[s] != at:
-                    at, leaders, names, top = path[s], np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), []
+                    at, leaders = path[s], _Leaders(most)
                 for x in range(s, e, 256):
-                    rows = np.arange(x, min(e, x + 256))
-                    # Agreement with the leaders so far; new leaders add a column for the rows behind them.
-                    like = np.concatenate([(check[rows][:, None] == leaders[k : k + 64]).sum(2) for k in range(0, len(leaders), 64)], 1) if len(leaders) else np.zeros((len(rows), 0), np.int64)
-                    free = ~(like >= FOLLOWER * WIDTH).any(1)
-                    for r in range(len(rows)):
-                        if free[r]:
-                            if most is not None and len(leaders) >= most:
-                                break
-                            own = (check[rows] == check[rows[r]]).sum(1)
-                            own[:r] = 0
-                            free &= own < FOLLOWER * WIDTH
-                            like = np.concatenate([like, own[:, None]], 1)
-                            leaders, names = np.concatenate([leaders, check[rows[r]][None]]), np.append(names, node[rows[r]])
-                            top.append(len(top))
-                            free[r] = False
-                    near = like >= NEAR_LEADER * WIDTH
-                    if not near.shape[1]:
-                        alone.append(rows[free])
-                        continue
-                    i, first = np.flatnonzero(near.any(1)), near.argmax(1)
-                    a.append(node[rows[i]])
-                    b.append(names[first[i]])
-                    r, c = np.nonzero(near)
-                    for both in np.unique(first[r] * len(names) + c).tolist():
-                        p, q = root(both // len(names)), root(both % len(names))
-                        if p != q:
-                            top[max(p, q)] = min(p, q)
-                            a.append(names[max(p, q)][None])
-                            b.append(names[min(p, q)][None])
-                    alone.append(rows[free])
-            a, b, alone = np.concatenate(a), np.concatenate(b), np.concatenate(alone)
-            kind = np.repeat(np.arange(2, dtype=np.int32), [len(a), len(alone)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, path[alone]])), pa.array(np.concatenate([b, node[alone]]))], ["kind", "a", "b"])
+                    y = min(e, x + 256)
+                    p, q, rest = leaders.show(node[x:y], check[x:y])
+                    a += p
+                    b += q
+                    alone.append(x + rest)
+            # The last bucket may go on in the next batch; until it is large it waits.
+            cut = len(path) if large[-1] else bounds[-2]
+            held = None if large[-1] else tuple(x[cut:] for x in now)
+            small = np.flatnonzero(~np.repeat(large, np.diff(bounds))[:cut])
+            x, y = _alike(path[small], node[small], check[small])
+            alone = np.concatenate([np.zeros(0, np.int64), *alone])
+            yield _found(np.concatenate([np.array(a, np.int64), x]), np.concatenate([np.array(b, np.int64), y]), path[alone], node[alone])
+        if held is not None:
+            z = np.zeros(0, np.int64)
+            yield _found(*_alike(*held), z, z)
 
     return work
 
 
+def _found(a: np.ndarray, b: np.ndarray, path: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    kind = np.repeat(np.arange(2, dtype=np.int32), [len(a), len(path)])
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, path])), pa.array(np.concatenate([b, node]))], ["kind", "a", "b"])
+
+
 def _intersections(h: np.ndarray, doc: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """|A & B| of all left x right documents, from (shingle, document) pairs: rare shingles pair by pair, frequent ones as a product of blocks."""
     order = np.argsort(h, kind="stable")
@@ -344,17 +356,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = np.nonzero(near)
                 i.append(own[a])
                 j.append(right[b])
-        label = np.arange(n)
-        if i and len(i := np.concatenate(i)):
-            j = np.concatenate(j)
-            while True:
-                before = label.copy()
-                least = np.minimum(label[i], label[j])
-                np.minimum.at(label, i, least)
-                np.minimum.at(label, j, least)
-                label = label[label]
-                if (label == before).all():
-                    break
+        label = _labels(n, *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (i, j)))
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[label])], ["node", "links", "label"])
 
     now, held = None, []
@@ -381,23 +383,16 @@ def candidates(nodes: DataFrame, at: str, recall: float = RECALL) -> DataFrame:
     edges = None
     rows = nodes.mapInArrow(_roots(runs_for(recall)), "path long, node long, check binary")
     for depth in range(1, DEPTH + 1):
-        rows = shared.written(rows, f"{at}/paths{depth}") if depth > 1 else rows
-        counts = shared.written(rows.groupBy("path").count().filter("count > 1"), f"{at}/counts{depth}")
-        # Nodes of buckets that are done; those of larger buckets go one level deeper.
-        small = rows.join(counts.filter(F.col("count") <= SMALL).select("path"), "path")
-        found = shared.written(small.repartition("path").sortWithinPartitions("path").mapInArrow(_small, "a long, b long").distinct(), f"{at}/edges{depth}")
-        edges = found if edges is None else edges.unionAll(found)
-        large = counts.filter(F.col("count") > SMALL).select("path")
-        if large.isEmpty():
-            break
-        led = rows.join(few(large), "path").repartition("path").sortWithinPartitions("path")
-        led = shared.written(led.mapInArrow(_large(LEADERS if depth < DEPTH else None), "kind int, a long, b long"), f"{at}/led{depth}")
-        edges = edges.unionAll(led.filter("kind = 0").select("a", "b").distinct())
-        alone = led.filter("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("node"))
-        if depth == DEPTH or alone.isEmpty():
+        # One shuffle a level, of rows of fixed size; a bucket's rows meet in order of arrival.
+        met = rows.repartition("path").sortWithinPartitions("path").mapInArrow(_buckets(LEADERS if depth < DEPTH else None), "kind int, a long, b long")
+        found = shared.written(met, f"{at}/level{depth}")
+        own = found.filter("kind = 0").select("a", "b").distinct()
+        edges = own if edges is None else edges.unionAll(own)
+        alone = found.filter("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("node"))
+        shared.free_shuffles(nodes.sparkSession)
+        if alone.isEmpty():
             break
         rows = alone.join(nodes, "node").select("path", "node", "sketch").mapInArrow(_deeper, "path long, node long, check binary")
-        shared.free_shuffles(nodes.sparkSession)
     return edges
 
 
