@@ -409,11 +409,12 @@ def jaccard_join(docs: DataFrame, at: str, recall: float = RECALL) -> DataFrame:
     near = components(candidates(nodes, at, recall), f"{at}/near")
     near = shared.written(near.groupBy("label").count().join(near, "label"), f"{at}/candidates")
     # Candidates meet their components; in large ones, blocks of nodes meet in pairs.
-    wanted = near.join(own, "node").select("node", "label", "count", "doc_id", "h", "copies")
+    key = F.coalesce("doc_id", F.lit(-(2**63)))  # rows without doc_id meet as well
+    wanted = near.join(own, "node").select("node", "label", "count", key.alias("k"), "h", "copies")
     shared.free_shuffles(spark)
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meet = texts.join(few(wanted), ["doc_id", "h"]).withColumn("blocks", blocks).withColumn("block", block)
+    meet = texts.withColumn("k", key).join(few(wanted), ["k", "h"]).withColumn("blocks", blocks).withColumn("block", block)
     meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     half = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)

@@ -113,6 +113,13 @@ def test_blocks_of_a_component_count_each_link_once(spark, monkeypatch):
     assert got == [(i, 0, 29) for i in range(30)]
 
 
+def test_join_of_rows_without_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (4, " ".join([*base, "y"])), (4, None), (4, "other words here")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), at(spark))
+    assert sorted(r.n_links for r in got.collect()) == [0, 0, 2, 2, 2]
+
+
 def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.9999) >= jaccard_join.runs_for(0.9) >= 1
 
