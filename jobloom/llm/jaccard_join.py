@@ -74,7 +74,7 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.
     h = kernels.Hashes(data).of(begin, end)
     count = np.diff(first)
     total = np.zeros(len(h), U)
-    for k in range(words):
+    for k in range(min(words, len(h))):
         total[: len(h) - k] += (h[k:] ^ _SHINGLE[k % 5]) * (_SHINGLE[(k + 1) % 5] | U(1))
     full = np.maximum(count - (words - 1), 0)
     doc = np.repeat(np.arange(len(count)), full)
