@@ -33,13 +33,14 @@ DESCRIPTIONS = _q(
 )
 DATES = ["CAST(CAST(o_orderdate AS DATE) AS STRING)", "CAST(1758000000000 + (o_orderkey % 300) * 86400000 AS STRING)", "CAST(o_orderkey % 60 AS STRING) || ' days ago'", "'yesterday'", "CAST(o_orderkey % 9 + 1 AS STRING) || ' weeks ago'", "CAST(NULL AS STRING)", "'Competitive'", "'2026-09-16T04:04:36Z'", "CAST(1780000000 + o_orderkey % 1000000 AS STRING)"]
 
+#: Every order is a posting, and so is every document without an order of its number; each document is read whole, by one posting.
 POSTINGS = f"""
 SELECT 'https://jobs.example.com/' || CAST(o_orderkey AS STRING) AS url,
        c_name || {_case(4, 1, _q("", " Ltd", ", Inc.", " Group"))} AS company,
        {_case(12, 7, TITLES)} AS title,
        {_case(11, 3, PLACES)} AS location,
        {_case(9, 1, DATES)} AS posted_at,
-       {_case(17, 5, DESCRIPTIONS)} || ' ' || coalesce(substring(d.text, 1, 30 * CAST(o_orderkey % 20 AS INT)), '') AS description,
+       {_case(17, 5, DESCRIPTIONS)} || ' ' || coalesce(text, '') AS description,
        {_case(5, 1, _q("contract", "permanent", "unknown", "contract", None))} AS employment_type,
        CAST(CASE WHEN o_orderkey % 6 = 0 THEN 200 + o_orderkey % 500 END AS DOUBLE) AS day_rate_min,
        CAST(CASE WHEN o_orderkey % 6 = 0 THEN 250 + o_orderkey % 500 END AS DOUBLE) AS day_rate_max,
@@ -47,8 +48,10 @@ SELECT 'https://jobs.example.com/' || CAST(o_orderkey AS STRING) AS url,
        CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 00:00:00' AS fetched_at,
        {_case(4, 1, _q("greenhouse", "adzuna", "manual", "lever"))} AS source,
        o_orderkey AS ordinal
-FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey
-LEFT JOIN {{documents}} d ON d.doc_id = o.o_orderkey % 200"""
+FROM (SELECT coalesce(o_orderkey, doc_id) AS o_orderkey, coalesce(o_custkey, doc_id % (SELECT count(*) FROM {{customer}})) AS o_custkey,
+             coalesce(CAST(o_orderdate AS DATE), DATE '2026-01-01' + CAST(doc_id % 200 AS INT)) AS o_orderdate, text
+      FROM {{orders}} FULL JOIN {{documents}} ON doc_id = o_orderkey) o
+LEFT JOIN {{customer}} c ON c.c_custkey = o.o_custkey"""
 
 SCORES = """
 SELECT 'https://jobs.example.com/' || CAST(l_orderkey AS STRING) AS url,
