@@ -14,7 +14,8 @@ they lie, so skew of any column does not matter.
 
 Defined results: null and empty texts have no rows; repeated rows give repeated
 results; extra columns are ignored; of overlapping stretches with one template
-the one with the highest coverage counts, the first of equal ones.
+the one with the highest coverage counts, of equal ones the shortest, then the
+first; where tighter stretches are more in number, or as many with more coverage in all, they count.
 """
 
 from __future__ import annotations
@@ -135,35 +136,61 @@ class Templates:
         out = []
         for name, template in self.words.items():
             hits = sorted(i for w in self.keys[name] for i in where.get(w, ()))
-            reach, n, i, best = len(template) + len(template) // 4, len(template), 0, []
-            while i < len(hits):
-                k = i
-                while k + 1 < len(hits) and hits[k + 1] - hits[i] <= reach:
-                    k += 1
-                a, b = max(0, hits[i] - reach), min(len(ws), hits[k] + reach + 1)
-                pairs = self._fit(ws, a, b, template, hits[i : k + 1])
-                if pairs and len(pairs) >= self.coverage * n:
-                    best.append((len(pairs) / n, pairs[0][0], pairs[-1][0] + 1))
-                i = k + 1
-            taken: list[tuple[int, int]] = []
-            for cover, a, b in sorted(best, key=lambda x: (-x[0], x[1])):
-                if all(b <= c or d <= a for c, d in taken):
-                    taken.append((a, b))
-                    out.append((name, cover, spans[a][0], spans[b - 1][1]))
+            for cover, a, b in self._stretches(ws, 0, len(ws), template, hits):
+                out.append((name, cover, spans[a][0], spans[b - 1][1]))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
-    @staticmethod
-    def _fit(ws: list[str], a: int, b: int, template: list[str], hits: list[int]) -> list[tuple[int, int]]:
-        """The best alignment of the stretch, and of narrower ones that end or start near the hits: words that recur around it are then unique."""
-        n, best = len(template), []
-        places = {template.index(ws[h]) for h in hits[:1]}
-        tries = [(a, b)] + [(max(a, hits[0] - p - n // 8), min(b, hits[0] - p + n + n // 8 + 1)) for p in places]
-        tries += [(max(a, hits[-1] - n), min(b, hits[-1] + n)), (max(a, hits[0] - n // 4), min(b, hits[-1] + n // 4 + 1))]
-        for x, y in tries:
-            pairs = [(x + i, k) for i, k in align(ws[x:y], template)]
-            if len(pairs) > len(best):
-                best = pairs
-        return best
+    def _stretches(self, ws: list[str], lo: int, hi: int, template: list[str], hits: list[int]) -> list[tuple[float, int, int]]:
+        """Stretches of words lo to hi that do not overlap. Between those found the search goes on until none reaches the coverage."""
+        orders = (lambda x: (-x[0], x[2] - x[1], x[1]), lambda x: (x[2] - x[1] > len(template), -x[0], x[2] - x[1], x[1]))
+        found: list[tuple[float, int, int]] = []
+        fits: dict[tuple[int, int], set[tuple[float, int, int]]] = {}
+        for order in orders:
+            own, todo = [], [(lo, hi)]
+            while todo:
+                x, y = todo.pop()
+                if (x, y) not in fits:
+                    fits[x, y] = self._fits(ws, x, y, template, hits[bisect_left(hits, x) : bisect_left(hits, y)])
+                taken: list[tuple[float, int, int]] = []
+                for fit in sorted(fits[x, y], key=order):
+                    if all(fit[2] <= c or d <= fit[1] for _, c, d in taken):
+                        taken.append(fit)
+                if taken:
+                    edges = [x, *sorted(z for _, c, d in taken for z in (c, d)), y]
+                    todo += zip(edges[::2], edges[1::2], strict=True)
+                own += taken
+            # Loose alignments can join two copies; the order by tightness counts where it parts them.
+            if (len(own), sum(f[0] for f in own)) > (len(found), sum(f[0] for f in found)):
+                found = own
+        return found
+
+    def _fits(self, ws: list[str], lo: int, hi: int, template: list[str], hits: list[int]) -> set[tuple[float, int, int]]:
+        """(coverage, start, end) of alignments of windows of lo to hi that reach the coverage."""
+        n, least, count = len(template), self._least(template), Counter(template)
+        reach, step, windows, i = n + n // 4, max(1, n // 8), set(), 0
+        places: dict[str, list[int]] = {}
+        for p, w in enumerate(template):
+            places.setdefault(w, []).append(p)
+        # Around hits that lie together: words that recur around a narrow window are unique in it.
+        while i < len(hits):
+            k = i
+            while k + 1 < len(hits) and hits[k + 1] - hits[i] <= reach:
+                k += 1
+            p = places[ws[hits[i]]][0]
+            windows |= {(hits[i] - reach, hits[k] + reach + 1), (hits[i] - p - n // 8, hits[i] - p + n + n // 8 + 1), (hits[k] - n, hits[k] + n), (hits[i] - n // 4, hits[k] + n // 4 + 1)}
+            i = k + 1
+        # Where a copy starts to which a hit belongs.
+        starts = Counter(h - p for h in hits for p in places[ws[h]])
+        windows |= {(s, s + n) for s in starts}
+        windows |= {(s // step * step - step, s // step * step + n + 2 * step) for s in starts}
+        out = set()
+        for x, y in {(max(lo, x), min(hi, y)) for x, y in windows}:
+            if y - x < least or sum((Counter(ws[x:y]) & count).values()) < least:
+                continue
+            pairs = align(ws[x:y], template)
+            if len(pairs) >= least:
+                out.add((len(pairs) / n, x + pairs[0][0], x + pairs[-1][0] + 1))
+        return out
 
 
 _FOUND = "doc_id long, license string, coverage double, start long, end long"

@@ -1,5 +1,8 @@
 """Registered queries read their tables whole: no document, text or row is left out."""
 
+import pytest
+
+from jobloom.llm import licenses
 from jobloom.plans import fixtures
 from tests.conftest import DATA
 
@@ -21,3 +24,34 @@ def test_postings_of_the_tables_read_every_document_whole(spark):
     p = fixtures.postings(spark, DATA).select("ordinal", "description")
     whole = docs.join(p, docs.doc_id == p.ordinal).filter("endswith(description, ' ' || text)")
     assert whole.count() == docs.count()
+
+
+def exact_copies(ws, template):
+    """Brute force: windows of the template's length that equal it, from the left."""
+    out, i = [], 0
+    while i + len(template) <= len(ws):
+        if ws[i : i + len(template)] == template:
+            out.append((i, i + len(template)))
+            i += len(template)
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 20])
+def test_adjacent_licenses_are_all_found(copies):
+    known = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for between in (" ", " Copyright of some other author. "):
+            whole = "Notices. " + between.join([text] * copies) + " End of the software."
+            ws, spans = licenses.words(whole)
+            want = [(spans[a][0], spans[b - 1][1]) for a, b in exact_copies(ws, licenses.words(text)[0])]
+            got = [(s, e) for n, c, s, e in known.find(whole) if n == name and c == 1.0]
+            assert len(want) == copies and got == want, (name, between)
+
+
+def test_adjacent_changed_licenses_are_all_found():
+    known, template = licenses.Templates(licenses.TEMPLATES), licenses.TEMPLATES["MIT"]
+    changed = [template.rsplit(" ", 1)[0], template.replace("charge", "fee"), template.replace("sublicense, ", "")]
+    got = [x for x in known.find(" ".join(changed * 4)) if x[0] == "MIT"]
+    assert len(got) == 12 and all(0.95 < c < 1.01 for _, c, *_ in got)
