@@ -3,7 +3,8 @@
 import pytest
 
 from jobloom.llm import licenses
-from jobloom.plans import fixtures
+from jobloom.operators import arrivals
+from jobloom.plans import fixtures, registry
 from tests.conftest import DATA
 
 
@@ -55,3 +56,11 @@ def test_adjacent_changed_licenses_are_all_found():
     changed = [template.rsplit(" ", 1)[0], template.replace("charge", "fee"), template.replace("sublicense, ", "")]
     got = [x for x in known.find(" ".join(changed * 4)) if x[0] == "MIT"]
     assert len(got) == 12 and all(0.95 < c < 1.01 for _, c, *_ in got)
+
+
+def test_arrivals_split_all_postings(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(arrivals, "new_postings", lambda batch, seen: met.extend((batch, seen)) or batch.withColumn("company_title_key", arrivals.F.lit("")))
+    registry.QUERIES["new_postings"](spark, DATA)
+    got = sorted(r.ordinal for df in met for r in df.select("ordinal").collect())
+    assert got == sorted(r.ordinal for r in fixtures.postings(spark, DATA).select("ordinal").collect())
