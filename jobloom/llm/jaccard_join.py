@@ -327,18 +327,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group: each node's number of linked documents in it, and the smallest node of its links' closure there."""
 
     def group(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
-        rows = rows.take(pa.array(first))
-        half, copies = rows.column("half").to_numpy(), rows.column("copies").to_numpy()
+        # Batch by batch: one string column of all of them could pass Arrow's 2 GiB.
+        node, first = np.unique(np.concatenate([x.column("node").to_numpy() for x in parts]), return_index=True)
+        half, copies = (np.concatenate([x.column(c).to_numpy() for x in parts])[first] for c in ("half", "copies"))
         n = len(node)
+        place = np.full(sum(x.num_rows for x in parts), -1)
+        place[first] = np.arange(n)
         hs, docs, size, at = [], [], np.zeros(n, np.int64), 0
-        for part in kernels.pieces([rows], "text"):
-            h, bound = shingles(*kernels.column(part.column("text")))
-            size[at : at + part.num_rows] = np.diff(bound)
-            hs.append(h)
-            docs.append(at + np.repeat(np.arange(part.num_rows), np.diff(bound)))
-            at += part.num_rows
+        for rows in parts:
+            own = place[at : at + rows.num_rows]
+            at += rows.num_rows
+            kept = np.flatnonzero(own >= 0)
+            own, done = own[kept], 0
+            for part in kernels.pieces([rows.select(["text"]).take(pa.array(kept))], "text"):
+                h, bound = shingles(*kernels.column(part.column("text")))
+                here = own[done : done + part.num_rows]
+                size[here] = np.diff(bound)
+                hs.append(h)
+                docs.append(np.repeat(here, np.diff(bound)))
+                done += part.num_rows
         h, doc = np.concatenate(hs), np.concatenate(docs)
         inside = (half == 2).all()
         left = np.arange(n) if inside else np.flatnonzero(half == 0)

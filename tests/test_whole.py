@@ -1,8 +1,11 @@
 """Registered queries read their tables whole: no document, text or row is left out."""
 
+from types import SimpleNamespace
+
+import pyarrow as pa
 import pytest
 
-from jobloom.llm import licenses
+from jobloom.llm import jaccard_join, licenses
 from jobloom.operators import arrivals
 from jobloom.plans import fixtures, registry
 from tests.conftest import DATA
@@ -64,3 +67,13 @@ def test_arrivals_split_all_postings(spark, monkeypatch):
     registry.QUERIES["new_postings"](spark, DATA)
     got = sorted(r.ordinal for df in met for r in df.select("ordinal").collect())
     assert got == sorted(r.ordinal for r in fixtures.postings(spark, DATA).select("ordinal").collect())
+
+
+def test_groups_of_several_chunks_keep_all_links(monkeypatch):
+    """A column that Arrow leaves in chunks, as beyond 2 GiB, loses no nodes."""
+    apart = SimpleNamespace(from_batches=lambda parts: SimpleNamespace(combine_chunks=lambda: SimpleNamespace(to_batches=lambda: parts)))
+    monkeypatch.setattr(jaccard_join, "pa", SimpleNamespace(**{**vars(pa), "Table": apart}))
+    text = " ".join(f"w{i}" for i in range(60))
+    batches = [pa.RecordBatch.from_pydict({"grp": pa.array([5] * len(ns), pa.int64()), "node": pa.array(ns, pa.int64()), "copies": pa.array([1] * len(ns), pa.int64()), "half": pa.array([2] * len(ns), pa.int32()), "text": [text] * len(ns)}) for ns in ([9, 3], [7, 3], [1])]
+    got = [r for b in jaccard_join._verify(iter(batches)) for r in b.to_pylist()]
+    assert got == [{"node": n, "links": 3, "label": 1} for n in (1, 3, 7, 9)]
