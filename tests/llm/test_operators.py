@@ -165,7 +165,75 @@ def test_shards_keep_all_rows_and_versions(spark, docs):
     store.vacuum()
     assert store.versions() == [last] and store.read().count() == docs.count()
     with pytest.raises(shards.Conflict):
-        store._commit(store.manifest(), last)
+        store._commit(store.manifest(), last, store.schema())
+
+
+def test_shards_of_an_empty_table(spark, docs, empty):
+    store = shards.ShardStore(spark, at(spark))
+    assert store.read().count() == 0 and store.compact() is None
+    store.append(empty)
+    assert store.read().columns == empty.columns and store.read().count() == 0 and store.compact() is None
+    store.append(docs)
+    assert store.read().count() == docs.count()
+
+
+def test_shards_pass_over_a_half_written_version(spark, docs):
+    where = at(spark)
+    store = shards.ShardStore(spark, where)
+    store.append(docs)
+    for name in ("0000000002", "_passing"):
+        fs, path = shared.hadoop(spark, f"{where}/versions/{name}")
+        fs.create(path, False).close()
+    assert store.versions() == [1] and store.read().count() == docs.count()
+    assert store.append(docs) == 3 and store.read().count() == 2 * docs.count()
+
+
+def test_shards_with_a_new_column(spark):
+    store = shards.ShardStore(spark, at(spark), fan_in=2)
+    stamp = F.lit("2026-01-01 10:00:00").cast("timestamp")
+    store.append(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string").coalesce(1).withColumn("at", stamp))
+    store.append(spark.createDataFrame([(None, None, [1, 2])], "doc_id long, text string, more array<int>").coalesce(1).withColumn("at", stamp))
+    want = sorted([(1, "a", None), (1, "a", None), (None, None, [1, 2])], key=str)
+    look = lambda: sorted(((r.doc_id, r.text, r.more) for r in store.read().collect()), key=str)
+    assert look() == want
+    assert store.compact() == 3 and store.manifest().count() == 1
+    assert look() == want and store.read().select("at").distinct().count() == 1
+    with pytest.raises(ValueError, match="text"):
+        store.append(spark.createDataFrame([(1, 2)], "doc_id long, text int"))
+
+
+def test_writers_conflict_and_leave_nothing(spark, docs):
+    where = at(spark)
+    one, two = (shards.ShardStore(spark, where, fan_in=2) for _ in range(2))
+    for k in range(3):
+        one.append(docs.filter(F.col("row") % 3 == k).coalesce(1))
+    known = two._next()
+    two._next = lambda: known  # has looked before the other's commit
+    assert one.compact() == known
+    with pytest.raises(shards.Conflict):
+        two.append(docs)
+    one.vacuum(failed_after_hours=0.0)
+    left = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{where}/data").count()
+    assert left == one.manifest().count() and one.read().count() == docs.count()
+
+
+def test_tiers_and_sizes(spark, docs):
+    target, fan_in = 60_000, 3
+    store = shards.ShardStore(spark, at(spark), target=target, fan_in=fan_in)
+    for k in range(7):
+        store.append(docs.filter(F.col("doc_id") % 7 == k).repartition(2))
+    largest = max(r.bytes for r in store.manifest().collect())
+    store.compact_all()
+    rows = store.manifest().collect()
+    assert all(r.bytes <= target + largest for r in rows) and sum(r.rows for r in rows) == docs.count()
+    open_ = Counter(r.tier for r in rows if not r.full)
+    assert all(n < fan_in for n in open_.values()) and all(r.full == (r.bytes >= target // 2) for r in rows)
+
+
+def test_op3_keeps_the_table(spark):
+    got = shards.op3(spark, DATA)
+    want = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    assert sorted(map(tuple, got.select("doc_id", "text_hash").collect())) == sorted(map(tuple, want.collect()))
 
 
 # 4 ------------------------------------------------------------------------------------------
