@@ -14,7 +14,9 @@ NFKC and case folding are reached as static Java methods through SQL's
 
 Defined results: a null text counts as empty; empty texts are equal to each
 other; repeated rows get equal fingerprints; extra columns stay as they are;
-columns that the operator adds are named by its parameters.
+columns that the operator adds are named by its parameters. The next document
+is the next in order of doc_id (null first), ties by the hash of the row; rows
+equal in all columns can be told apart by nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,27 +91,54 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return found.join(sizes, "fingerprint").select("doc_id", "fingerprint", "group_id", "n_copies")
 
 
-def with_next(df: DataFrame, key: str = "doc_id", rows: int = 2000) -> DataFrame:
-    """``df`` with ``next``: the struct of the following row in order of the integer ``key`` (after the last row: the first), without ordering all rows in one task.
+#: Rows that a bin of the order should have; bins at most; sampled ids for each bin, from which the bounds are taken.
+BIN_ROWS, BINS, PER_BIN = 4_000, 20_000, 20
+_NULL_ID = -(2**63)
 
-    Keys are dealt to bins of equal width, of about ``rows`` rows where keys are
-    spread evenly; a fuller bin is sorted with spilling. Each bin hands its
-    first row to the bin before by a join; only bin numbers are put in one order.
+
+def _below(bounds: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of ``n`` sorted bounds are less than ``x`` (``equal``: or equal to it), by halving steps."""
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(max(1, n.bit_length())))))
+    at = lambda p, step: F.get(bounds, p + step - 1)
+    return F.aggregate(steps, F.lit(0), lambda p, step: p + F.when((at(p, step) <= x) if equal else (at(p, step) < x), step).otherwise(F.lit(0)))
+
+
+def _binned(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` with __k (the id), __h (hash of the row) and __bin, which rises with (__k, __h).
+
+    Bounds are quantiles of a bounded sample of ids, so bins are even however the
+    ids lie; an id that spans several bounds is dealt to their bins by hash. The
+    bounds decide only how the work is dealt.
+    """
+    placed = df.withColumns({"__k": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL_ID)), "__h": F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))})
+    count = df.count()
+    n = min(BINS, -(-count // rows))
+    sample = sorted(r[0] for r in placed.select("__k").sample(min(1.0, PER_BIN * n / count), seed=7).collect()) if n > 1 else []
+    bounds = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
+    if not bounds:
+        return placed.withColumn("__bin", F.lit(0))
+    known = F.from_json(F.lit(str(bounds)), "array<bigint>")
+    low, high = (_below(known, len(bounds), F.col("__k"), e) for e in (False, True))
+    placed = placed.withColumns({"__low": low, "__high": high})
+    share = F.col("__h").cast("double") / F.lit(2.0**64) + 0.5
+    own = F.least(F.floor(share * (F.col("__high") - F.col("__low") + 1)).cast("int"), F.col("__high") - F.col("__low"))
+    return placed.withColumn("__bin", F.col("__low") + own).drop("__low", "__high")
+
+
+def with_next(df: DataFrame, key: str = "doc_id", rows: int = BIN_ROWS) -> DataFrame:
+    """``df`` with ``next``: the struct of the following row in order of the integer ``key``, ties by the row's hash (after the last row: the first), without ordering all rows in one task.
+
+    Each bin is ordered by itself and hands its first row to the bin before by a
+    join; only the bins' numbers, at most ``BINS``, are put in one order.
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
-    least, most, count = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    width = max(1, -(-(most - least + 1) * rows // count)) if count else 1
-    bin_of = F.coalesce(F.floor((F.col(f"`{key}`") - F.lit(least)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    placed = df.withColumn("__bin", bin_of)
-    order = Window.partitionBy("__bin").orderBy(F.col(f"`{key}`").asc_nulls_first())
-    row = F.struct(*cols)
-    inside = placed.select("*", F.lead(row).over(order).alias("__next"))
-    bins = placed.select("__bin").distinct()
+    order, row = Window.partitionBy("__bin").orderBy("__k", "__h"), F.struct(*cols)
+    inside = _binned(df, key, rows).select("*", F.lead(row).over(order).alias("__next"), F.row_number().over(order).alias("__nth"))
+    heads = inside.filter("__nth = 1").select("__bin", row.alias("__head"))
     everywhere = Window.orderBy("__bin")
     before = F.coalesce(F.lag("__bin").over(everywhere), F.last("__bin").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chain = bins.select("__bin", before.alias("__before"))
-    heads = inside.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select("__bin", row.alias("__head"))
-    heads = heads.join(chain.select("__bin", "__before"), "__bin").select("__before", "__head")
+    chain = heads.select("__bin").select("__bin", before.alias("__before"))
+    heads = heads.join(chain, "__bin").select("__before", "__head")
     return inside.join(heads, F.col("__bin") == F.col("__before"), "left").select(*cols, F.coalesce("__next", "__head").alias("next"))
 
 
@@ -130,23 +159,30 @@ def edited_fingerprints(docs: DataFrame, at: str) -> DataFrame:
     only those whose digest occurs twice are moved.
     """
     spark = docs.sparkSession
-    clean = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    pairs = with_next(clean).select("doc_id", "t", F.col("next.doc_id").alias("next_id"), F.col("next.t").alias("next_t"))
-    canon = pairs.withColumn("edited", edited(F.col("t"), F.col("next_t"))).select("doc_id", "next_id", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("t")).alias("c"), canonical(F.col("edited")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    clean = docs.select("doc_id", t.alias("t"))
+    keys = {"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "th": F.xxhash64("t")}  # a row is known by id and text
+    pairs = with_next(clean).withColumns(keys).withColumns({"next_k": F.coalesce(F.col("next.doc_id").cast("long"), F.lit(_NULL_ID)), "next_t": F.col("next.t")})
+    names = ("doc_id", "k", "th", "next_k", F.xxhash64("next_t").alias("next_th"))
+    canon = pairs.withColumn("edited", edited(F.col("t"), F.col("next_t"))).select(*names, F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("t")).alias("c"), canonical(F.col("edited")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
     (h1, h2), (e1, e2), (n1, n2) = wide(F.col("c")), wide(F.col("ec")), wide(F.col("nc"))
     columns = {"h1": h1, "h2": h2, "hm": F.md5("c"), "e1": e1, "e2": e2, "em": F.md5("ec"), "n1": n1, "n2": n2, "nm": F.md5("nc")}
-    digests = shared.written(canon.select("doc_id", "next_id", "n_chars", "edited_sha256", *(v.alias(k) for k, v in columns.items())), f"{at}/digests")
+    digests = shared.written(canon.select("doc_id", "k", "th", "next_k", "next_th", "n_chars", "edited_sha256", *(v.alias(k) for k, v in columns.items())), f"{at}/digests")
     shared.free_shuffles(spark)
     both = digests.select("h1", "h2").unionAll(digests.select(F.col("e1").alias("h1"), F.col("e2").alias("h2")))
     twice = shared.written(both.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), f"{at}/twice")
-    own_ids = digests.join(twice, ["h1", "h2"], "left_semi").select("doc_id").distinct()
-    edit_ids = digests.join(twice.toDF("e1", "e2"), ["e1", "e2"], "left_semi").select("doc_id", "next_id").distinct()
+    own_ids = digests.join(twice, ["h1", "h2"], "left_semi").select("k", "th").distinct()
+    edit_ids = digests.join(twice.toDF("e1", "e2"), ["e1", "e2"], "left_semi").select("k", "th", "next_k", "next_th").distinct()
     few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    own = clean.join(few(own_ids), "doc_id", "left_semi").select(canonical(F.col("t")).alias("canon"))
-    wanted = few(shared.written(edit_ids, f"{at}/edits"))
-    heads, tails = clean.join(wanted, "doc_id").select("doc_id", "next_id", "t"), clean.select(F.col("doc_id").alias("next_id"), F.col("t").alias("next_t"))
-    tails = tails.join(few(wanted.select("next_id").distinct()), "next_id", "left_semi")
-    apart = collisions(own.unionAll(heads.join(tails, "next_id").select(canonical(edited(F.col("t"), F.col("next_t"))).alias("canon"))), both)
+    clean = clean.withColumns(keys)
+    own = clean.join(few(own_ids), ["k", "th"], "left_semi").select(canonical(F.col("t")).alias("canon"))
+    wanted = shared.written(edit_ids, f"{at}/edits")
+    some, rows = digests.agg(F.countDistinct("k", "th"), F.count("*")).first()
+    once = lambda df, *on: df if some == rows else df.dropDuplicates([*on])
+    heads = once(clean.join(few(wanted.select("k", "th").distinct()), ["k", "th"], "left_semi"), "k", "th").join(few(wanted), ["k", "th"]).select("next_k", "next_th", "t")
+    tails = clean.select(F.col("k").alias("next_k"), F.col("th").alias("next_th"), F.col("t").alias("next_t"))
+    tails = once(tails.join(few(wanted.select("next_k", "next_th").distinct()), ["next_k", "next_th"], "left_semi"), "next_k", "next_th")
+    apart = collisions(own.unionAll(heads.join(tails, ["next_k", "next_th"]).select(canonical(edited(F.col("t"), F.col("next_t"))).alias("canon"))), both)
     out = digests
     for keys, name in ((("h1", "h2", "hm"), "fingerprint"), (("e1", "e2", "em"), "edited_fingerprint"), (("n1", "n2", "nm"), "next_fingerprint")):
         out = named(out, apart, *keys, name)
