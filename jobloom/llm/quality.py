@@ -7,8 +7,9 @@ matters: each row is judged from its own text.
 
 Defined results: a null text is judged as an empty one; an empty text has 0 words
 and fails the length rule; ratios with a zero divisor count as 0; repeated rows
-are judged each; columns of the input whose names clash with the measures are
-kept apart (``measures`` returns a struct column under a name of your choice).
+are judged each; an empty table gives no rows; columns of the input whose names
+clash with the measures are kept apart (``measures`` returns a struct column
+under a name of your choice, in whose place a column of that name goes).
 """
 
 from __future__ import annotations
@@ -59,8 +60,11 @@ def _word_array(text: Column) -> Column:
 
 def measures(df: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
     """``df`` with a struct column ``out`` of counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop, n_stutter, n_repeat_words."""
-    t, w, lines, hashes, pos = (f"__{out}_{x}" for x in ("text", "words", "lines", "hashes", "pos"))
-    keep = [F.col(f"`{c}`") for c in df.columns]
+    taken, mark = {c.lower() for c in df.columns}, f"__{out}"
+    while any(c.startswith(mark.lower()) for c in taken):
+        mark = f"_{mark}"
+    t, w, lines, hashes, pos = (f"{mark}_{x}" for x in ("text", "words", "lines", "hashes", "pos"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
     step = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(t))
     step = step.select("*", _word_array(F.col(t)).alias(w), F.filter(F.split(F.col(t), "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias(lines))
     # Hashes of the word windows; a text without equal hashes (most) goes no further.
