@@ -24,8 +24,10 @@ Pieces of 1 to 3 are bounded, whatever the length of a text. Collections are
 built for many anchors at a time, up to ``COLLECTION`` bytes.
 
 Defined results: null texts are empty; texts below SPAN bytes lose nothing; ties
-in doc_id go by the text's hash; of repeated rows (equal doc_id and text) one is
-the first; null doc_ids come first; extra columns are ignored.
+in doc_id go by the text's hash; of repeated rows (equal doc_id and text) the
+first in order of their other columns' hash is the first; null doc_ids come
+first; an empty table gives no rows; extra columns are ignored or, with
+``with_text``, kept as they are, each row its own.
 """
 
 from __future__ import annotations
@@ -280,19 +282,19 @@ def remove_repeats(docs: DataFrame, at: str, with_text: bool = False) -> DataFra
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"), *(F.col(f"`{c}`").alias(f"__x{i}") for i, c in enumerate(extra)))
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra)), {"ignoreNullFields": "false"})) if extra else F.lit(0).cast("long")
+    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"), others.alias("__o"), *(F.col(f"`{c}`").alias(f"__x{i}") for i, c in enumerate(extra)))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    digest = shared.written(base.select(key.alias("k"), "__h", F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("b")), f"{at}/digests")
+    digest = shared.written(base.select(key.alias("k"), "__h", "__o", F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("b")), f"{at}/digests")
     total, ids, size = digest.agg(F.count("*"), F.countDistinct("k"), F.sum("b")).first()
     if total == ids:  # doc_id is the order
         base = base.withColumn("seq", key)
         order = digest.withColumn("seq", F.col("k"))
-    else:  # number (doc_id, text) pairs and the repeats of each in one order
-        order = digest.groupBy("k", "__h", "g").count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).orderBy("k", "__h", "g", "copy")
-        rows = order.select("k", "__h", "g", "copy").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        order = shared.written(spark.createDataFrame(rows, "k long, `__h` long, g long, copy long, seq long"), f"{at}/order")
-        once = base.withColumn("k", key).dropDuplicates(["k", "__h"])
-        base = once.join(order.select("k", "__h", "seq"), ["k", "__h"]).drop("k")
+    else:  # number the rows, and the repeats of each, in one order; ids of a sorted frame rise with it
+        order = digest.groupBy("k", "__h", "g", "__o").count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).orderBy("k", "__h", "g", "__o", "copy")
+        order = shared.written(order.select("k", "__h", "g", "__o", F.monotonically_increasing_id().alias("seq")), f"{at}/order")
+        once = base.withColumn("k", key).dropDuplicates(["k", "__h", "__o"])
+        base = once.join(order.select("k", "__h", "__o", "seq"), ["k", "__h", "__o"]).drop("k")
     first = order.groupBy("__h", "g").agg(F.min("seq").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = shared.written(order.join(first, ["__h", "g"]).filter("seq > first").select("seq", F.lit(True).alias("is_copy")), f"{at}/copies")
     # Pieces by anchor, without their bytes.
