@@ -98,9 +98,10 @@ def taken_copies(each: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, at: str, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, n_taken (copies), taken (words) of every row. ``at``: a shared folder for sizes and finish times."""
+    """doc_id, source, text_hash, size, source_size, target, n_taken (copies), taken (words) of every row; rows equal in the first three are taken alike. ``at``: a shared folder for sizes and finish times."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), n_words(text).alias("size"))
     sizes = shared.written(rows.withColumn("row", F.monotonically_increasing_id()), f"{at}/sizes")
     per = shared.written(targets(sizes, weights, percent, epochs), f"{at}/targets")
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -109,12 +110,13 @@ def mix(docs: DataFrame, at: str, weights: tuple[int, ...] = WEIGHTS, percent: i
     own = per.select(F.col("source").alias("__source"), "source_size", "target")
     out = sizes.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source"))).join(got, "row", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("n_taken", zero).alias("n_taken"), F.coalesce("taken", zero).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("n_taken", zero).alias("n_taken"), F.coalesce("taken", zero).alias("taken"))
 
 
 #: DuckDB: the same mix, with one window over all copies.
 SQL = rf"""
-WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size FROM documents),
 p0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 p1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM p0),
 p2 AS (SELECT *, ([{", ".join(f"{w}.0" for w in WEIGHTS)}])[rank % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {float(EPOCHS)}::DOUBLE AS cap FROM p1),

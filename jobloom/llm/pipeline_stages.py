@@ -3,7 +3,10 @@
 A stage is called when the result of the stage before has been written and read
 again, so it first deletes what that stage's operator kept in the shared folder.
 All stages but the last return the columns of ``documents``, whatever other
-columns came in; null texts are empty texts to every operator.
+columns came in. Null texts are empty texts to every operator; a null doc_id is
+an id like others; repeated rows and repeated ids are rows of their own to every
+stage but the second, in which they are copies or links by their texts; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,9 +60,10 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times)."""
     docs = _start(spark, docs)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    got = mixing.mix(docs, shared.folder(spark, "mix")).groupBy(key.alias("__k")).agg(F.max("n_taken").alias("__n")).filter("__n > 0")
-    rows = docs.withColumn("__k", key).join(jaccard_join.few(got), "__k")
+    same = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))}
+    mixed = mixing.mix(docs, shared.folder(spark, "mix")).withColumns(same)
+    got = mixed.groupBy("__k", "__s", F.col("text_hash").alias("__h")).agg(F.max("n_taken").alias("__n")).filter("__n > 0")
+    rows = docs.withColumns(same).withColumn("__h", F.xxhash64(F.col("text").cast("string"))).join(jaccard_join.few(got), ["__k", "__s", "__h"])
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*COLUMNS)
 
 
