@@ -189,7 +189,7 @@ class Arrays:
         b, w = before[first], token[first]
         word, at_word = np.unique(w, return_inverse=True)
         types, raw = self.look_up("words", "word", word, word, ("types", "raw"))
-        low = self.left / (self.vocabulary + 1) + (np.maximum(types - self.uni[np.minimum(types, 3)], 0) / self.types if self.types else 0)
+        low = self.left / (self.vocabulary + 1) + np.maximum(types - self.uni[np.minimum(types, 3)], 0) / max(self.types, 1)
         base = np.log10((raw + 1) / (self.total + self.vocabulary + 1))
         context, at_context = np.unique(b, return_inverse=True)
         total, ones, twos, more = self.look_up("pairs", "context", context, context, ("total", "ones", "twos", "more"))
