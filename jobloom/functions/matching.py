@@ -16,8 +16,9 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def names_that_match(text: Column, patterns: Mapping[str, str]) -> Column:
-    """Array of the names whose pattern occurs, in their order."""
-    return F.array_compact(F.array(*(F.when(has(text, p), F.lit(n)) for n, p in patterns.items())))
+    """Array of the names whose pattern occurs, in their order; texts without any (most) are searched once, for all patterns together."""
+    names = F.array_compact(F.array(*(F.when(has(text, p), F.lit(n)) for n, p in patterns.items())))
+    return F.when(has(text, "(?:" + "|".join(patterns.values()) + ")"), names).otherwise(F.array().cast("array<string>"))
 
 
 def find_all(text: Column, pattern: str) -> Column:

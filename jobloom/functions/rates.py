@@ -248,25 +248,24 @@ def ir35_phrases(flat: Column) -> Column:
     def of_phrase(p: str, s: str, c: int) -> Column:
         return F.transform(find_all(flat, p), lambda m: F.struct(F.lit(c).alias("c"), F.when(has(before(flat, m["start"], 30), NEGATION), other[s]).otherwise(s).alias("s"), F.trim(m["match"]).alias("e")))
 
-    return F.concat(*(of_phrase(*x) for x in IR35_PHRASES))
+    none = F.array().cast("array<struct<c:int,s:string,e:string>>")
+    return F.when(has(flat, _SOME_IR35), F.concat(*(of_phrase(*x) for x in IR35_PHRASES))).otherwise(none)
 
 
-def ir35_verdict(flat: Column, found: Column) -> Column:
+def ir35_verdict(found: Column) -> Column:
     """struct(status, evidence, confidence) from the phrases found: of the most confident ones, if they agree."""
     tier = F.array_max(F.transform(found, lambda x: x["c"]))
     of = lambda s: F.filter(found, lambda x: (x["c"] == tier) & (x["s"] == s))
     inside, outside = F.get(of("inside"), F.lit(0))["e"], F.get(of("outside"), F.lit(0))["e"]
     status = F.when(inside.isNotNull() & outside.isNull(), "inside").when(outside.isNotNull() & inside.isNull(), "outside").otherwise("unknown")
     both = F.concat(F.lit("inside: "), inside, F.lit(" / outside: "), outside)
-    none = F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("evidence"), F.lit(0).alias("confidence"))
-    some = F.struct(status.alias("status"), F.coalesce(both, inside, outside).alias("evidence"), F.coalesce(tier, F.lit(0)).alias("confidence"))
-    return F.when(has(flat, _SOME_IR35), some).otherwise(none)
+    return F.struct(status.alias("status"), F.coalesce(both, inside, outside).alias("evidence"), F.coalesce(tier, F.lit(0)).alias("confidence"))
 
 
 def detect_ir35(text: Column) -> Column:
     """struct(status, evidence, confidence) of one expression; ``with_contract`` stages its parts."""
     flat = one_line(text)
-    return ir35_verdict(flat, ir35_phrases(flat))
+    return ir35_verdict(ir35_phrases(flat))
 
 
 def classify_rate(rate_min: Column, rate_max: Column, ir35: Column, model: RateModel | None = None, days: float | None = None) -> Column:
@@ -281,7 +280,7 @@ def classify_rate(rate_min: Column, rate_max: Column, ir35: Column, model: RateM
     reason = (
         F.when(verdict == "unknown", "No day rate stated in the posting.")
         .when(verdict == "pass", F.concat(pounds(best), F.lit(" clears the "), pounds(required), F.lit(" needed for "), assumed, F.lit(" IR35.")))
-        .when(verdict == "review", F.concat(pounds(best), F.lit(" is enough only outside IR35 ("), pounds(F.lit(outside)), F.lit("); inside it would take "), pounds(F.lit(inside)), F.lit("; the status is not stated.")))
+        .when(verdict == "review", F.concat(pounds(best), F.lit(" needs the role to be OUTSIDE IR35 ("), pounds(F.lit(outside)), F.lit("); inside it would need "), pounds(F.lit(inside)), F.lit(". IR35 status is not stated — confirm before applying.")))
         .otherwise(F.concat(pounds(best), F.lit(" is below the "), pounds(required), F.lit(" needed for "), assumed, F.lit(" IR35.")))
     )
     stated = best.isNotNull()

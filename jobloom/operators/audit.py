@@ -54,7 +54,8 @@ def rejected(enriched: DataFrame, limit: int | None = None) -> DataFrame:
 
 def first_and_more(rows: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
     """The first ``n`` rows, each with the number of rows not shown."""
-    return rows.withColumn("more", F.greatest(F.count("*").over(Window.partitionBy()) - n, F.lit(0))).orderBy(*order).limit(n)
+    left = rows.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return rows.orderBy(*order).limit(n).join(F.broadcast(left), F.lit(True))
 
 
 def refilter(details: DataFrame) -> DataFrame:

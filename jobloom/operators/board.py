@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.functions import dates
+from jobloom.functions import dates, text
 
 #: The board's sort keys and their columns.
 SORT_KEYS = {"score": "match_score", "company": "company", "title": "title", "location": "location", "source": "source", "posted": "posted_ts", "type": "employment_type", "rate": "day_rate_max", "language": "language_rank", "status": "my_status"}
@@ -41,7 +41,7 @@ def filter_board(rows: DataFrame, ai: str = "all", status: str = "all", kind: st
 
 def windowed(rows: DataFrame, now: Column, window: str) -> DataFrame:
     """Rows posted inside the window, without a date, or seen listed inside it (D3, D4), with posted_ts and age."""
-    step = rows.withColumn("posted_ts", dates.parse_posted_at(F.col("posted_at"), now)).withColumn("age", dates.age_days(F.col("posted_ts"), now))
+    step = text.staged(rows, posted_ts=dates.parse_posted_at(F.col("posted_at"), now)).withColumn("age", dates.age_days(F.col("posted_ts"), now))
     return step.filter(dates.within_window(F.col("age"), window) | dates.listed_recently(F.col("last_listed_at"), now, window))
 
 
@@ -76,6 +76,16 @@ def manual(details: DataFrame, evaluations: DataFrame, statuses: DataFrame, sour
     return (rows.filter("match_score is null") if pending else rows).orderBy(F.desc("fetched_at"), "url")
 
 
+def rescore_count(details: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """One row, n: stored postings that have a score already."""
+    return details.select("url").join(evaluations.select("url"), "url").agg(F.count("*").alias("n"))
+
+
+def not_older(rows: DataFrame, now: Column, days: int | None) -> DataFrame:
+    """Rows posted at most ``days`` ago or without a date (ST5: what an aggregator is asked for); None keeps all."""
+    return rows if days is None else rows.filter(F.coalesce(dates.age_days(dates.parse_posted_at(F.col("posted_at"), now), now) <= days, F.lit(True)))
+
+
 def twins(rows: DataFrame, details: DataFrame) -> DataFrame:
     """url, twin: the smallest url of another stored posting with equal company, title and location, whatever their case."""
     key = [F.lower(F.coalesce(c, F.lit(""))).alias(f"k_{c}") for c in ("company", "title", "location")]

@@ -98,7 +98,7 @@ def with_contract(df: DataFrame, model: rates.RateModel) -> DataFrame:
             df = df.withColumn(c, F.lit(None).cast(kind))
     df = text.staged(df, __line=rates.one_line(F.col("__own")))
     df = text.staged(df, __phrases=rates.ir35_phrases(F.col("__line")), __figures=rates.rate_figures(F.col("__line")))
-    df = text.staged(df, __ir=rates.ir35_verdict(F.col("__line"), F.col("__phrases")), __day=rates.best_rate(F.col("__figures")))
+    df = text.staged(df, __ir=rates.ir35_verdict(F.col("__phrases")), __day=rates.best_rate(F.col("__figures")))
     top = F.coalesce("day_rate_max", "day_rate_min")
     given = F.when(rates.plausible(top), F.struct(F.when(rates.plausible(F.col("day_rate_min")), F.col("day_rate_min")).alias("min"), top.alias("max"), F.col("day_rate_source").alias("source")))
     stated = F.when(F.col("__day").isNotNull(), F.struct(F.col("__day.min").alias("min"), F.col("__day.max").alias("max"), F.lit("stated").alias("source")))

@@ -107,10 +107,15 @@ def save_status(statuses: DataFrame, details: DataFrame, decided: DataFrame, now
 
 
 def lessons(events: DataFrame, promote_at: int = 2) -> DataFrame:
-    """mode, hits, first_seen, last_seen, active_since, last_evidence from (mode, at, evidence) events (M13); active from the second hit on."""
+    """mode, hits, first_seen, last_seen, active_since, last_evidence from (mode, at, evidence) events (M13); active from the second hit on.
+
+    The filter on the row number limits each task's rows of a mode before they
+    are shuffled, so a mode that holds most events is no task's work.
+    """
     nth = F.row_number().over(Window.partitionBy("mode").orderBy("at", "evidence"))
-    marked = events.withColumn("__n", nth)
-    return marked.groupBy("mode").agg(F.count("*").cast("int").alias("hits"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.min(F.when(F.col("__n") == promote_at, F.col("at"))).alias("active_since"), F.max_by("evidence", "__n").alias("last_evidence"))
+    early = events.withColumn("__n", nth).filter(F.col("__n") <= promote_at).filter(F.col("__n") == promote_at).select("mode", F.col("at").alias("active_since"))
+    sums = events.groupBy("mode").agg(F.count("*").cast("int").alias("hits"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.max_by("evidence", F.struct("at", "evidence")).alias("last_evidence"))
+    return sums.join(early, "mode", "left").select("mode", "hits", "first_seen", "last_seen", "active_since", "last_evidence")
 
 
 def active_lessons(table: DataFrame) -> DataFrame:
@@ -147,12 +152,23 @@ def clean_descriptions(details: DataFrame) -> DataFrame:
 CANDIDATE_COLUMNS = ["company", "title", "location", "url", "posted_at", "source", "employment_type", "ir35_status", "day_rate_min", "day_rate_max", "rate_verdict", "perm_equivalent"]
 
 
-def candidates_csv(rows: DataFrame, path: str) -> None:
-    """Append candidates to a CSV folder in fixed columns, money with two decimals."""
+def candidate_rows(rows: DataFrame) -> DataFrame:
+    """Candidates in fixed columns, money with two decimals."""
     money = ("day_rate_min", "day_rate_max", "perm_equivalent")
-    rows.select(*(F.round(c, 2).alias(c) if c in money else F.col(c) for c in CANDIDATE_COLUMNS)).write.mode("append").option("header", True).csv(path)
+    return rows.select(*(F.round(c, 2).alias(c) if c in money else F.col(c) for c in CANDIDATE_COLUMNS))
+
+
+def candidates_csv(rows: DataFrame, path: str) -> None:
+    """Append candidates to a CSV folder."""
+    candidate_rows(rows).write.mode("append").option("header", True).csv(path)
 
 
 def scored_columns(columns: list[str], declared: list[str]) -> list[str]:
     """Declared columns in their order, then the others sorted."""
     return [c for c in declared if c in columns] + sorted(c for c in columns if c not in declared)
+
+
+def scored_csv(rows: DataFrame, path: str, declared: list[str]) -> None:
+    """Scored postings as a CSV folder in the order of ``scored_columns`` (M15); arrays as texts."""
+    flat = [F.to_json(c).alias(c) if dict(rows.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in scored_columns(rows.columns, declared)]
+    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)

@@ -101,7 +101,7 @@ SQL = {
               WHEN r = 'yesterday' THEN now - INTERVAL 1 DAY WHEN r LIKE '% days ago' THEN now - to_days(split_part(r, ' ', 1)::INT) WHEN r LIKE '% weeks ago' THEN now - to_days(7 * split_part(r, ' ', 1)::INT)
               ELSE try_cast(replace(r, 'Z', '') AS TIMESTAMP) END AS ts FROM p)
         SELECT url, ts AS posted_ts, date_diff('day', ts::DATE, now::DATE)::INT AS age FROM t""",
-    "lessons": "SELECT event_type AS mode, count(*)::INT AS hits, min(ts)::VARCHAR AS first_seen, max(ts)::VARCHAR AS last_seen FROM events GROUP BY 1",
+    "lessons": "SELECT mode, count(*)::INT AS hits, min(ts)::VARCHAR AS first_seen, max(ts)::VARCHAR AS last_seen, (max(ts) FILTER (n = 2))::VARCHAR AS active_since, arg_max(event_id, n) AS last_evidence FROM (SELECT event_type AS mode, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) GROUP BY mode",
     "save_inherited": VIEWS + ", f AS (SELECT url, 'applied' AS my_status FROM postings WHERE ordinal % 2 = 0) SELECT url, CASE WHEN s.url IS NULL OR s.inherited_from IS NOT NULL AND f.url IS NOT NULL THEN f.my_status ELSE s.my_status END AS my_status FROM statuses s FULL JOIN f USING (url)",
     "unknown_companies": VIEWS + " SELECT DISTINCT company FROM postings WHERE lower(company) NOT IN (SELECT lower(c_name) FROM customer)",
     "first_turns": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations) WHERE n = 1",

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import dates, rates, text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
-from jobloom.plans import fixtures
-from jobloom.plans.oracles import SQL
+from jobloom.plans import fixtures, mutations, oracle_contracts, oracle_store, oracles
 from jobloom.sources import pages
 
 __all__ = ["QUERIES", "SQL"]
 
+SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL
+
 
 def _now():
     return F.lit(fixtures.NOW).cast("timestamp")
@@ -23,26 +24,38 @@ def _plain_details(spark: SparkSession, sf: str) -> DataFrame:
     p = fixtures.postings(spark, sf)
     ok = screen.title_is_relevant(F.col("title")) & screen.location_is_allowed(F.col("location")) & ~screen.stack_mismatch(F.col("description"))
     rows = text.staged(screen.with_language(screen.with_advert(p)), passed_filters=ok).drop("__own", "__flat")
+    return _unlinked(rows)
+
+
+def _unlinked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"duplicate_of": F.lit(None).cast("string"), "last_listed_at": F.lit(None).cast("string")})
 
 
+def _passing(spark: SparkSession, sf: str) -> DataFrame:
+    """The passing rows of ``_plain_details``: short columns are screened first, then descriptions of what is left, then languages."""
+    p = fixtures.postings(spark, sf).filter(screen.title_is_relevant(F.col("title")) & screen.location_is_allowed(F.col("location")))
+    rows = p.filter(~screen.stack_mismatch(F.col("description")))
+    return _unlinked(screen.with_language(screen.with_advert(rows)).drop("__own", "__flat").withColumn("passed_filters", F.lit(True)))
+
+
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     return screen.enrich(fixtures.postings(spark, sf))
 
 
 def _board(spark: SparkSession, sf: str) -> DataFrame:
-    rows = board.board(_plain_details(spark, sf), fixtures.scores(spark, sf), fixtures.statuses(spark, sf))
+    rows = board.board(_passing(spark, sf), fixtures.scores(spark, sf), fixtures.statuses(spark, sf))
     return rows.select("url", "company", "title", "location", "language_tier", "match_score", "recommendation", "my_status")
 
 
 def _board_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = board.board(_plain_details(spark, sf), fixtures.scores(spark, sf), fixtures.statuses(spark, sf))
+    rows = board.board(_passing(spark, sf), fixtures.scores(spark, sf), fixtures.statuses(spark, sf))
     return board.filter_board(rows, ai="apply", status="none", kind="permanent", language="priority+").select("url", "my_status")
 
 
 def _windowed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = board.windowed(_plain_details(spark, sf), _now(), "90")
-    return board.sort_board(rows.withColumn("match_score", F.lit(None).cast("int")), "posted").select("url", "posted_ts", "age", dates.age_label(F.col("age")).alias("label"), dates.age_class(F.col("age")).alias("age_class"))
+    listed = F.when(F.col("ordinal") % 13 == 0, "2026-09-01 00:00:00").when(F.col("ordinal") % 13 == 1, "2026-05-01 00:00:00")
+    rows = board.windowed(_plain_details(spark, sf).withColumn("last_listed_at", listed), _now(), "90")
+    return board.sort_board(rows, "posted").select("url", F.col("posted_ts").cast("timestamp_ntz").alias("posted_ts"), "age", dates.age_label(F.col("age")).alias("label"), dates.age_class(F.col("age")).alias("age_class"))
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +116,7 @@ def _save_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return store.lessons(e.select(F.col("event_type").alias("mode"), F.col("ts").cast("string").alias("at"), F.col("event_id").alias("evidence"))).select("mode", "hits", "first_seen", "last_seen")
+    return store.lessons(e.select(F.col("event_type").alias("mode"), F.col("ts").cast("string").alias("at"), F.col("event_id").alias("evidence")))
 
 
 def _first_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +125,7 @@ def _first_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rates(spark: SparkSession, sf: str) -> DataFrame:
-    return _enriched(spark, sf).select("url", "ir35_status", "ir35_evidence", "day_rate_min", "day_rate_max", "day_rate_source", "rate_verdict", F.round("rate_required", 4).alias("rate_required"), F.round("perm_equivalent", 4).alias("perm_equivalent"), "rate_reason")
+    return _enriched(spark, sf).select("url", "ir35_status", "ir35_evidence", "day_rate_min", "day_rate_max", "day_rate_source", "rate_verdict", F.round("rate_required", 4).alias("rate_required"), F.round(F.col("perm_equivalent") + oracle_contracts.HAIR, 4).alias("perm_equivalent"), "rate_reason")
 
 
 def _rejections(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +136,7 @@ def _tax(spark: SparkSession, sf: str) -> DataFrame:
     m, v = rates.RateModel(), F.col("o_totalprice")
     out = m.outside(v)
     cols = {"income_tax": m.income_tax(v), "employee_nic": m.employee_nic(v), "employer_nic": m.employer_nic(v), "net_salary": m.net_salary(v), "inside_salary": m.inside_salary(v), "outside_net": out["net_pay"], "dividend_tax": out["dividend_tax"], "corporation_tax": out["corporation_tax"]}
-    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *(F.round(x, 4).alias(k) for k, x in cols.items()))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *(F.round(x + oracle_contracts.HAIR, 4).alias(k) for k, x in cols.items()))
 
 
 #: A CV and a fact base for the coverage queries.
@@ -176,7 +189,7 @@ QUERIES = {
     "title_keys": _keys,
     "contract_rates": _rates,
     "tax_model": _tax,
-    "rate_thresholds": lambda s, d: rates.threshold_table(s, [200, 220, 240, 260]),
+    "rate_thresholds": lambda s, d: rates.threshold_table(s, [200, 220, 240, 260]).select("days", "salary", F.round("inside_rate", 4).alias("inside_rate"), F.round("outside_rate", 4).alias("outside_rate")),
     "rejections": _rejections,
     "rejected_rows": lambda s, d: audit.rejected(_enriched(s, d)).select("url", "reasons"),
     "run_totals": lambda s, d: audit.run_totals(_enriched(s, d)),
@@ -194,10 +207,11 @@ QUERIES = {
     "is_new": _is_new,
     "new_postings": _arrivals,
     "twins": _of(lambda p: board.twins(p, p)),
-    "unevaluated": lambda s, d: board.unevaluated(_plain_details(s, d), fixtures.scores(s, d)).select("url", "fetched_at"),
+    "unevaluated": lambda s, d: board.unevaluated(_passing(s, d), fixtures.scores(s, d)).select("url", "fetched_at"),
+    "queue_limit": lambda s, d: board.unevaluated(_passing(s, d), fixtures.scores(s, d), limit=20).select("url", "fetched_at"),
     "scored": lambda s, d: board.scored(fixtures.postings(s, d), fixtures.scores(s, d)).select("url", "match_score", "recommendation"),
     "manual_pending": lambda s, d: board.manual(fixtures.postings(s, d), fixtures.scores(s, d), fixtures.statuses(s, d), pending=True).select("url", "my_status"),
-    "status_counts": lambda s, d: board.status_counts(board.board(_plain_details(s, d), fixtures.scores(s, d), fixtures.statuses(s, d))),
+    "status_counts": lambda s, d: board.status_counts(board.board(_passing(s, d), fixtures.scores(s, d), fixtures.statuses(s, d))),
     "per_source": _of(lambda p: audit.per_source(p, p.filter("ordinal % 2 = 0"))),
     "distinct_companies": _of(audit.distinct_companies),
     "unknown_companies": lambda s, d: audit.unknown_companies(fixtures.postings(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name"))),
@@ -212,4 +226,4 @@ QUERIES = {
     "suggestions": _suggested,
     "page_html_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", pages.html_text_udf("html").alias("text")),
     "top_scores": lambda s, d: board.top_per(fixtures.postings(s, d).join(fixtures.scores(s, d), "url"), ["source"], [F.desc("match_score"), F.col("url")], 12).select("source", "url", "match_score"),
-}
+} | mutations.QUERIES
