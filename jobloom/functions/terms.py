@@ -82,6 +82,8 @@ def is_heading(line: str, alone: bool) -> bool:
     bare = line.strip()
     if bare.startswith("#"):
         return True
+    if len(bare) > 400 and bare.count(" ") > 60:  # far more than 14 words, whatever is taken out of them
+        return False
     heading = heading_text(bare)
     n = len(heading.split())
     if not n:
@@ -120,14 +122,34 @@ def sections(text: str) -> dict[str, str]:
 class Extractor:
     """Term counts of texts under one vocabulary."""
 
+    #: Words whose kind is kept; the frequent ones are among the first.
+    MOST = 500_000
+
     def __init__(self, lexicon: Lexicon = Lexicon()):
         self.lexicon = lexicon
         # Longest first, then alphabetical: matches are masked out, so order decides.
         spaced = sorted((p for p in lexicon.skills if " " in p), key=lambda p: (-len(p), p))
-        self.phrases = [(p, re.compile(r"(?<![a-z0-9])" + (re.escape(p[:-1]) + "(?:y|ies)" if p.endswith("y") else re.escape(p) + "s?") + r"(?![a-z0-9])")) for p in spaced]
+        body = {p: re.escape(p[:-1]) + "(?:y|ies)" if p.endswith("y") else re.escape(p) + "s?" for p in spaced}
+        self.phrases = [(p, re.compile(rf"(?<![a-z0-9]){b}(?![a-z0-9])")) for p, b in body.items()]
+        self.some_phrase = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(body.values())})(?![a-z0-9])") if body else None
+        self.kinds: dict[str, tuple[str, str, bool] | None] = {}
+
+    def _kind(self, raw: str) -> tuple[str, str, bool] | None:
+        """Word, term and whether it is a skill; None for words that are no terms."""
+        word, out = raw.strip(".'-"), None
+        if word and word not in self.lexicon.stop:
+            if word in self.lexicon.skills:
+                out = (word, self.lexicon.skills[word], True)
+            elif word not in self.lexicon.boilerplate and (re.fullmatch("[a-z]{2,6}", word) or (len(word) >= 4 and re.search("[a-z]", word))):
+                out = (word, word, False)
+        if len(self.kinds) < self.MOST:
+            self.kinds[raw] = out
+        return out
 
-    def counts(self, text: str, stop: frozenset[str] = frozenset()) -> dict[str, dict]:
-        """term -> {count, skill, capitalised, surfaces}."""
+    def counts(self, text: str, stop: frozenset[str] = frozenset(), flat: str | None = None) -> dict[str, dict]:
+        """term -> {count, skill, capitalised, surfaces}; ``flat``: the normalised text, if it is known."""
+        if not text:
+            return {}
         skills = self.lexicon.skills
         named = {w.lower().strip(".'-") for w in re.findall(r"\b[A-Z][A-Za-z0-9+#.\-]*", text)}
         out: dict[str, dict] = {}
@@ -139,19 +161,17 @@ class Extractor:
             t["capitalised"] |= capital
             t["surfaces"][surface] += n
 
-        rest = normalise(text)
-        for phrase, pattern in self.phrases:
-            if phrase.split()[0][:3] in rest:
+        rest = normalise(text) if flat is None else flat
+        if self.some_phrase is not None and self.some_phrase.search(rest):
+            for phrase, pattern in self.phrases:
                 rest, n = pattern.subn(" ", rest)
                 if n:
                     add(phrase, skills[phrase], True, False, n)
-        for word in (raw.strip(".'-") for raw in rest.split()):
-            if not word or word in self.lexicon.stop or word in stop:
-                continue
-            if word in skills:
-                add(word, skills[word], True, word in named)
-            elif word not in self.lexicon.boilerplate and (re.fullmatch("[a-z]{2,6}", word) or (len(word) >= 4 and re.search("[a-z]", word))):
-                add(word, word, False, word in named)
+        kinds = self.kinds
+        for raw, n in Counter(rest.split()).items():  # each different word once
+            kind = kinds[raw] if raw in kinds else self._kind(raw)
+            if kind is not None and kind[0] not in stop:
+                add(kind[0], kind[1], kind[2], kind[0] in named, n)
         return out
 
     def posting(self, text: str, title: str = "", stop: frozenset[str] = frozenset()) -> dict[str, dict]:
@@ -160,17 +180,20 @@ class Extractor:
         A stop word counts again if requirements or duties name it and it is a skill.
         """
         parts = sections(text)
-        wanted = set(tokens(parts["requirements"] + " " + parts["duties"]))
-        stop = frozenset(s for s in stop if s not in wanted or s not in self.lexicon.skills)
+        flat = {k: normalise(parts[k]) for k in SECTIONS}
+        if stop:
+            wanted = {t for k in ("requirements", "duties") for raw in flat[k].split() if (t := raw.strip(".'-"))}
+            stop = frozenset(s for s in stop if s not in wanted or s not in self.lexicon.skills)
         own = self.counts(text, stop)
-        by = {s: self.counts(parts[s], stop) for s in SECTIONS}
+        by = {s: self.counts(parts[s], stop, flat[s]) for s in SECTIONS}
         for s in ("nice", "duties"):  # terms that only a section on its own shows; those of requirements alone are left out
             for term, found in by[s].items():
                 own.setdefault(term, found)
         in_title = self.counts(title, stop)
         for term, found in in_title.items():
             own.setdefault(term, found)
-        return {t: {**v, **{f"in_{s}": by[s].get(t, {"count": 0})["count"] for s in SECTIONS}, "in_title": t in in_title} for t, v in own.items()}
+        none = {"count": 0}
+        return {t: {**v, **{f"in_{s}": by[s].get(t, none)["count"] for s in SECTIONS}, "in_title": t in in_title} for t, v in own.items()}
 
 
 # Presence ------------------------------------------------------------------------------------
@@ -179,10 +202,24 @@ class Extractor:
 class Present:
     """Whether terms occur in one text."""
 
+    #: Answers that are kept.
+    MOST = 500_000
+
     def __init__(self, text: str):
         found = tokens(text)
         self.forms = set().union(*map(variants, set(found))) if found else set()
         self.line = f" {' '.join(map(stem_key, found))} "
+        self.known: dict[tuple[str, ...], bool] = {}
+
+    def told(self, term: str, surfaces: list[str]) -> bool:
+        """``has``, once for each different term and its surfaces."""
+        key = (term, *surfaces)
+        out = self.known.get(key)
+        if out is None:
+            out = self.has(term, surfaces)
+            if len(self.known) < self.MOST:
+                self.known[key] = out
+        return out
 
     def _in_line(self, pattern: str) -> bool:
         return re.search(rf"(?<![a-z0-9]){pattern}(?![a-z0-9])", self.line) is not None
@@ -221,3 +258,30 @@ def overlap(text: str, lines: list[str]) -> float:
     return max((sum(w in s for w in own) for s in sets), default=0) / len(own) if own else 0.0
 
 
+class Facts:
+    """Which of many short texts have a term: an index from word forms to texts, checked text by text."""
+
+    def __init__(self, texts: list[str]):
+        self.looks = [Present(x) for x in texts]
+        self.by_form: dict[str, set[int]] = defaultdict(set)
+        self.by_stem: dict[str, set[int]] = defaultdict(set)
+        for k, look in enumerate(self.looks):
+            for form in look.forms:
+                self.by_form[form].add(k)
+            for word in look.line.split():
+                for part in (word, *word.split("-")):
+                    self.by_stem[part[:4]].add(k)
+
+    def _may(self, form: str) -> set[int]:
+        """Texts that could have one form of a term: none that has it is left out."""
+        out = set().union(*(self.by_form.get(v, ()) for v in variants(form)), set()) if " " not in form else set()
+        words = [w for part in form.split() for w in part.split("-") if w]
+        if len(words) > 1:  # a phrase or a compound: texts with a word that starts like its longest one, or runs its parts together
+            keys = {stem_key(max(words, key=len))[:4], stem_key("".join(words))[:4], stem_key(words[0])[:4]}
+            out |= set().union(*(self.by_stem.get(k, ()) for k in keys))
+            out |= set().union(*(self.by_form.get(x, ()) for x in ("-".join(words), " ".join(words), "".join(words))))
+        return out
+
+    def having(self, term: str, surfaces: list[str]) -> list[int]:
+        found = set().union(*(self._may(f) for f in map(normalise, {term, *surfaces})))
+        return sorted(k for k in found if self.looks[k].has(term, surfaces))

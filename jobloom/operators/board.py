@@ -83,7 +83,10 @@ def rescore_count(details: DataFrame, evaluations: DataFrame) -> DataFrame:
 
 def not_older(rows: DataFrame, now: Column, days: int | None) -> DataFrame:
     """Rows posted at most ``days`` ago or without a date (ST5: what an aggregator is asked for); None keeps all."""
-    return rows if days is None else rows.filter(F.coalesce(dates.age_days(dates.parse_posted_at(F.col("posted_at"), now), now) <= days, F.lit(True)))
+    if days is None:
+        return rows
+    step = text.staged(rows, __posted=dates.parse_posted_at(F.col("posted_at"), now))
+    return step.filter(F.coalesce(dates.age_days(F.col("__posted"), now) <= days, F.lit(True))).drop("__posted")
 
 
 def twins(rows: DataFrame, details: DataFrame) -> DataFrame:

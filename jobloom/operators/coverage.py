@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import terms as t
 from jobloom.functions.lexicon import Lexicon
+from jobloom.functions.text import staged
 
 #: Percent of priority terms for a pass; least weight of a hard gap; characters below which a text is a snippet.
 PASS_COVERAGE, GAP_WEIGHT, SNIPPET_CHARS = 85.0, 2.0, 1000
@@ -26,19 +28,36 @@ MAX_FACTS = 20_000
 TERM = "term string, count int, in_requirements int, in_duties int, in_nice int, skill boolean, capitalised boolean, in_title boolean, surfaces array<string>"
 
 
-def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text") -> DataFrame:
-    """One row a (url, term) with counts, weight, section and priority."""
+def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text", marks: dict[str, str] | None = None) -> DataFrame:
+    """One row a (url, term) with counts, weight, section and priority.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = t.Extractor(lexicon)
+    ``marks``: Boolean columns to add and the text whose terms they tell (C7); they
+    are told in the same pass, each different term once a worker.
+    """
+    marks = marks or {}
+    for x in marks.values():
+        _sendable(x)
+    names = [x.split()[0] for x in TERM.split(", ")]
+    kinds = [pa.string(), *[pa.int32()] * 4, *[pa.bool_()] * 3, pa.list_(pa.string())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract, looks = t.Extractor(lexicon), [t.Present(x) for x in marks.values()]
         for batch in batches:
-            rows = []
-            for url, title, company, body in batch.itertuples(index=False, name=None):
-                found = extract.posting(body or "", title or "", t.noise_terms(company or ""))
-                rows += [(url, k, v["count"], v["in_requirements"], v["in_duties"], v["in_nice"], v["skill"], v["capitalised"], v["in_title"], sorted(v["surfaces"])) for k, v in found.items()]
-            yield pd.DataFrame(rows, columns=["url", *(x.split()[0] for x in TERM.split(", "))])
-
-    found = postings.select("url", "title", "company", F.col(text).alias("body")).mapInPandas(work, f"url string, {TERM}")
+            for at in range(0, batch.num_rows, 1000):
+                urls, cols, told = [], [[] for _ in names], [[] for _ in looks]
+                for url, title, company, body in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    found = extract.posting(body or "", title or "", t.noise_terms(company or ""))
+                    urls += [url] * len(found)
+                    for k, v in found.items():
+                        surfaces = sorted(v["surfaces"])
+                        for col, x in zip(cols, (k, v["count"], v["in_requirements"], v["in_duties"], v["in_nice"], v["skill"], v["capitalised"], v["in_title"], surfaces), strict=True):
+                            col.append(x)
+                        for col, look in zip(told, looks, strict=True):
+                            col.append(look.told(k, surfaces))
+                arrays = [pa.array(urls, pa.string()), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), *(pa.array(c, pa.bool_()) for c in told)]
+                yield pa.RecordBatch.from_arrays(arrays, ["url", *names, *marks])
+
+    found = postings.select("url", "title", "company", F.col(text).alias("body")).mapInArrow(work, ", ".join([f"url string, {TERM}", *(f"{m} boolean" for m in marks)]))
     weight = 3.0 * F.col("in_requirements") + 1.5 * F.col("in_duties") + F.col("count") + 0.5 * F.col("in_nice")
     section = F.when(F.col("in_requirements") > 0, "requirements").when(F.col("in_duties") > 0, "duties").when(F.col("in_nice") > 0, "nice-to-have").otherwise("mentioned")
     found = found.withColumn("weight", weight).withColumn("section", section)
@@ -46,22 +65,29 @@ def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str =
     return found.withColumn("priority", priority)
 
 
-def present(text: str):
-    """A Boolean expression of (term, surfaces): whether one text has the term."""
+def _sendable(text: str) -> str:
     if len(text) > MAX_CV_CHARS:
         raise ValueError("the text is too long to be sent to every worker")
+    return text
+
+
+def present(text: str):
+    """A Boolean expression of (term, surfaces): whether one text has the term."""
+    _sendable(text)
 
     @F.pandas_udf("boolean")
-    def has(term: pd.Series, surfaces: pd.Series) -> pd.Series:
+    def has(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         look = t.Present(text)
-        return pd.Series([look.has(a, list(b)) for a, b in zip(term, surfaces, strict=True)], dtype=bool)
+        for term, surfaces in batches:
+            yield pd.Series([look.told(a, list(b)) for a, b in zip(term, surfaces, strict=True)], dtype=bool)
 
     return lambda: has(F.col("term"), F.col("surfaces"))
 
 
 def with_coverage(found: DataFrame, cv: str, master: str) -> DataFrame:
-    """Terms with on_cv, in_master and kind: on_cv, closable (only the fact base has it) or unclosable."""
-    rows = found.withColumns({"on_cv": present(cv)(), "in_master": present(master)()})
+    """Terms with on_cv, in_master and kind: on_cv, closable (only the fact base has it) or unclosable (U2). Marks that are there are not told again."""
+    told = {"on_cv": cv, "in_master": master}
+    rows = found.withColumns({k: present(v)() for k, v in told.items() if k not in found.columns})
     return rows.withColumn("kind", F.when(F.col("on_cv"), "on_cv").when(F.col("in_master"), "closable").otherwise("unclosable"))
 
 
@@ -77,7 +103,7 @@ def _top(test: Column, n: int) -> Column:
 
 def scan(postings: DataFrame, cv: str, master: str, lexicon: Lexicon = Lexicon(), truncated: Column | None = None) -> DataFrame:
     """One row a posting: coverage, gaps and verdict (C14, A5). An unreliable text comes before hard gaps, these before coverage; without priority terms coverage is 100."""
-    rows = with_coverage(posting_terms(postings, lexicon), cv, master)
+    rows = with_coverage(posting_terms(postings, lexicon, marks={"on_cv": cv, "in_master": master}), cv, master)
     p = F.col("priority")
     per = rows.groupBy("url").agg(
         F.count("*").alias("terms_found"), F.count_if("on_cv").alias("present"), F.count_if(p).alias("priority_total"), F.count_if(p & F.col("on_cv")).alias("priority_on_cv"),
@@ -96,7 +122,7 @@ def scan(postings: DataFrame, cv: str, master: str, lexicon: Lexicon = Lexicon()
 
 def gap_report(found: DataFrame, tailored: str, master: str) -> DataFrame:
     """url, heading, term, weight, section (C9): priority gaps (hard and other), evidenced, dropped in tailoring (U3), background."""
-    rows = found.withColumns({"on_cv": present(tailored)(), "in_master": present(master)()})
+    rows = with_coverage(found, tailored, master)
     p, on = F.col("priority"), F.col("on_cv")
     heading = F.when(p & ~on & F.col("in_master"), "dropped").when(hard_gap(), "hard gap").when(p & ~on, "priority gap").when(p, "evidenced").otherwise("background")
     return rows.select("url", heading.alias("heading"), "term", "weight", "section").orderBy("url", "heading", F.desc("weight"), "term")
@@ -121,19 +147,24 @@ def suggestions(rows: DataFrame, achievements: DataFrame, cv: str, most: int = M
     def best(text: pd.Series) -> pd.Series:
         return pd.Series([t.overlap(x or "", lines) for x in text], dtype=float)
 
-    @F.pandas_udf("boolean")
-    def closes(hay: pd.Series, term: pd.Series, surfaces: pd.Series) -> pd.Series:
-        looks: dict[str, t.Present] = {}
-        return pd.Series([looks.setdefault(h, t.Present(h)).has(a, list(b)) for h, a, b in zip(hay, term, surfaces, strict=True)], dtype=bool)
-
     hay = F.concat_ws(" ", "text", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("metrics", F.array().cast("array<string>")), " "))
-    facts = achievements.select("role_id", "achievement_id", F.trim("text").alias("text"), hay.alias("hay")).withColumn("overlap", best("text"))
-    # Terms once, not once a posting; then achievements meet the distinct terms, and postings meet what closes them by term.
-    if facts.limit(MAX_FACTS + 1).count() > MAX_FACTS:
+    facts = achievements.select("role_id", "achievement_id", F.trim("text").alias("text"), hay.alias("hay"))
+    known = facts.select("role_id", "achievement_id", "hay").limit(MAX_FACTS + 1).collect()
+    if len(known) > MAX_FACTS or sum(len(x.hay) for x in known) > MAX_CV_CHARS:
         raise ValueError("too many achievements to be sent to every worker")
+    ids, texts = [(x.role_id, x.achievement_id) for x in known], [x.hay for x in known]
+
+    @F.pandas_udf("array<struct<role_id:string,achievement_id:string>>")
+    def closed_by(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        index = t.Facts(texts)
+        for term, surfaces in batches:
+            yield pd.Series([[{"role_id": ids[k][0], "achievement_id": ids[k][1]} for k in index.having(a, list(b))] for a, b in zip(term, surfaces, strict=True)])
+
+    # Terms once, not once a posting; then postings meet what closes them by term.
     distinct = closable.groupBy("term").agg(F.array_distinct(F.flatten(F.collect_set("surfaces"))).alias("surfaces"))
-    met = distinct.join(F.broadcast(facts), closes(F.col("hay"), F.col("term"), F.col("surfaces")))
-    per = closable.select("url", "term", "weight").join(met.select("term", "role_id", "achievement_id", "text", "overlap"), "term")
+    met = distinct.select("term", F.explode(closed_by("term", "surfaces")).alias("f")).select("term", "f.*")
+    met = met.join(F.broadcast(facts.select("role_id", "achievement_id", "text", best("text").alias("overlap"))), ["role_id", "achievement_id"])
+    per = closable.select("url", "term", "weight").join(met, "term")
     out = per.groupBy("url", "role_id", "achievement_id", "text", "overlap").agg(F.array_sort(F.collect_list("term")).alias("closes"), F.round(F.sum("weight"), 2).alias("weight_closed"))
     out = out.withColumn("kind", F.when(F.col("overlap") >= ON_CV, "reword_achievement").otherwise("add_achievement"))
     order = Window.partitionBy("url").orderBy(F.desc("weight_closed"), F.col("kind") != "add_achievement", F.desc(F.size("closes")), "achievement_id")
@@ -174,16 +205,46 @@ def resolve(tailored: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFram
     return good, met.filter("role_id is null").select("ref", "achievement_ref")
 
 
+def draft_labels(tailored: DataFrame, master: DataFrame) -> DataFrame:
+    """ref, achievement_ref, origin (C20): verbatim, reworded, or not-in-master for bullets whose role or achievement the master lacks. Columns as of ``resolve``."""
+    good, dangling = resolve(tailored, master)
+    return good.select(F.col("role_id").alias("ref"), F.col("achievement_id").alias("achievement_ref"), "origin").unionByName(dangling.withColumn("origin", F.lit("not-in-master")))
+
+
+def structural_problems(drafts: DataFrame, experience: DataFrame, skills: DataFrame) -> DataFrame:
+    """doc, problem: what is missing in drafts (C21), as a draft that was cut off has it.
+
+    ``drafts``: doc, summary; ``experience``: doc, position, ref, listed (whether
+    it lists achievements), achievement_position, achievement_ref; ``skills``:
+    doc, position, grp. Positions count from 0. A role that lists nothing has all.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    at = lambda name, c: F.concat(F.lit(f"{name}["), F.col(c).cast("string"), F.lit("]"))
+    found = drafts.filter(blank("summary")).select("doc", F.lit("no summary").alias("problem"))
+    found = found.unionByName(drafts.join(experience.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit("no experience").alias("problem")))
+    roles = experience.filter(blank("ref")).select("doc", F.concat(at("experience", "position"), F.lit(" has no ref")).alias("problem")).distinct()
+    bullets = experience.filter(F.col("listed") & ~blank("ref") & blank("achievement_ref")).select("doc", F.concat(at("experience", "position"), F.lit("."), at("achievements", "achievement_position"), F.lit(" has no ref")).alias("problem"))
+    groups = skills.filter(blank("grp")).select("doc", F.concat(at("skills", "position"), F.lit(" has no group")).alias("problem"))
+    return found.unionByName(roles).unionByName(bullets).unionByName(groups)
+
+
 def restore_required(drafted: DataFrame, required: DataFrame) -> DataFrame:
-    """Drafted items with missing required ones put back (C13, U6): each behind the last drafted item that the master has before it. Columns: doc, item, ordinal (drafted); item, ordinal, required (master)."""
-    docs = drafted.select("doc").distinct()
-    wanted = docs.join(F.broadcast(required.filter("required").select("item", F.col("ordinal").alias("m"))))
-    missing = wanted.join(drafted.select("doc", "item"), ["doc", "item"], "left_anti")
-    placed = drafted.join(F.broadcast(required.select("item", F.col("ordinal").alias("m"))), "item", "left").select("doc", "item", "ordinal", "m")
-    at = missing.join(placed.select("doc", F.col("ordinal").alias("o"), F.col("m").alias("pm")), "doc", "left").groupBy("doc", "item", "m").agg(F.max(F.when(F.col("pm") < F.col("m"), F.col("o"))).alias("after"))
-    every = placed.select("doc", "item", F.col("ordinal").cast("double").alias("k"), F.lit(0).alias("m"), F.lit(False).alias("restored")).unionByName(at.select("doc", "item", F.coalesce("after", F.lit(-1)).cast("double").alias("k"), "m", F.lit(True).alias("restored")))
-    order = Window.partitionBy("doc").orderBy("k", "restored", "m", "item")
-    return every.withColumn("position", F.row_number().over(order)).select("doc", "item", "position", "restored")
+    """Drafted items with missing required ones put back (C13, U6): each behind the last drafted item that the master has before it. Columns: doc, item, ordinal (drafted); item, ordinal, required (master: at most MAX_FACTS rows).
+
+    A document's items are compared with the master's in one array each.
+    """
+    if required.limit(MAX_FACTS + 1).count() > MAX_FACTS:
+        raise ValueError("too many items in the master")
+    items = required.agg(F.collect_list(F.struct("item", "ordinal", "required")).alias("a")).select("a").scalar()
+    per = drafted.groupBy("doc").agg(F.collect_list(F.struct("item", "ordinal")).alias("own")).withColumn("master", items)
+    place = lambda item: F.get(F.filter("master", lambda m: m["item"] == item), F.lit(0))["ordinal"]
+    own = F.transform("own", lambda x: F.struct(x["ordinal"].cast("double").alias("k"), F.lit(False).alias("restored"), F.lit(0).alias("m"), x["item"].alias("item"), place(x["item"]).alias("at")))
+    per = staged(per, own=own)
+    missing = F.filter("master", lambda m: m["required"] & ~F.exists("own", lambda x: x["item"] == m["item"]))
+    behind = lambda m: F.coalesce(F.array_max(F.transform(F.filter("own", lambda x: x["at"] < m["ordinal"]), lambda x: x["k"])), F.lit(-1.0))
+    back = F.transform(missing, lambda m: F.struct(behind(m).alias("k"), F.lit(True).alias("restored"), m["ordinal"].cast("int").alias("m"), m["item"].alias("item"), m["ordinal"].alias("at")))
+    every = per.select("doc", F.posexplode(F.array_sort(F.concat("own", back))).alias("position", "x"))
+    return every.select("doc", F.col("x.item").alias("item"), (F.col("position") + 1).alias("position"), F.col("x.restored").alias("restored"))
 
 
 def unsupported(items: DataFrame, master: str) -> DataFrame:

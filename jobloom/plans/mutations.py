@@ -91,7 +91,7 @@ def _clean(s: SparkSession, d: str) -> DataFrame:
 
 def _better(s: SparkSession, d: str) -> DataFrame:
     p = fixtures.postings(s, d)
-    return coverage.best_sibling(duplicates.clusters(p).join(p.select("url", F.length("description").alias("chars")), "url"))
+    return coverage.best_sibling(duplicates.clusters(p).join(p.select("url", F.length("description").cast("long").alias("chars")), "url"))
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import dates, rates, text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
-from jobloom.plans import fixtures, mutations, oracle_contracts, oracle_store, oracles
+from jobloom.plans import fixtures, mutations, oracle_contracts, oracle_store, oracles, responses
 from jobloom.sources import pages
 
 __all__ = ["QUERIES", "SQL"]
 
-SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL
+SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL | responses.SQL
 
 
 def _now():
@@ -154,17 +154,21 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.posting_terms(_adverts(spark, sf)).select("url", "term", "count", "weight", "section", "skill", "priority")
 
 
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.posting_terms(_adverts(spark, sf), marks={"on_cv": CV, "in_master": MASTER})
+
+
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
     cols = ("url", "verdict", "unreliable", "priority_coverage", "all_term_coverage", "hard_gap_count", "terms_found")
     return coverage.scan(_adverts(spark, sf), CV, MASTER).select(*cols)
 
 
 def _gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.gap_report(coverage.posting_terms(_adverts(spark, sf)), CV, MASTER)
+    return coverage.gap_report(_told(spark, sf), CV, MASTER)
 
 
 def _suggested(spark: SparkSession, sf: str) -> DataFrame:
-    rows = coverage.with_coverage(coverage.posting_terms(_adverts(spark, sf)), CV, MASTER)
+    rows = coverage.with_coverage(_told(spark, sf), CV, MASTER)
     facts = spark.createDataFrame([("r1", f"a{i}", x, ["tag"], []) for i, x in enumerate(MASTER.splitlines())], "role_id string, achievement_id string, text string, tags array<string>, metrics array<string>")
     return coverage.suggestions(rows, facts, CV).select("url", "achievement_id", "kind", "weight_closed", "rank")
 
@@ -226,4 +230,4 @@ QUERIES = {
     "suggestions": _suggested,
     "page_html_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", pages.html_text_udf("html").alias("text")),
     "top_scores": lambda s, d: board.top_per(fixtures.postings(s, d).join(fixtures.scores(s, d), "url"), ["source"], [F.desc("match_score"), F.col("url")], 12).select("source", "url", "match_score"),
-} | mutations.QUERIES
+} | mutations.QUERIES | responses.QUERIES

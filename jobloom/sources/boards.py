@@ -7,10 +7,14 @@ parsers below need no network, so stored responses are read in the same way.
 from __future__ import annotations
 
 import json
+import os
+import re
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -79,10 +83,11 @@ def smartrecruiters(raw: DataFrame) -> DataFrame:
 
 
 def workday(raw: DataFrame) -> DataFrame:
-    """Paths that a board lists twice count once; ``slug`` is host/tenant/site."""
+    """Rows without a path are left out, paths that a board lists twice count once; ``slug`` is tenant/site, or tenant/site/region."""
     rows = _jobs(raw, "workday", "jobPostings:array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>", "jobPostings")
     part = F.split("slug", "/")
-    url = F.concat(F.lit("https://"), part[0], F.lit("/"), part[2], F.col("j.externalPath"))
+    url = F.concat(F.lit("https://"), part[0], F.lit("."), F.coalesce(F.get(part, F.lit(2)), F.lit(REGION)), F.lit(".myworkdayjobs.com/en-US/"), part[1], F.col("j.externalPath"))
+    rows = rows.filter(F.coalesce("j.externalPath", F.lit("")) != "")
     return _postings(rows, title=F.col("j.title"), location=F.col("j.locationsText"), url=url, posted_at=F.col("j.postedOn"), description=F.lit("")).dropDuplicates(["url"])
 
 
@@ -91,9 +96,10 @@ def adzuna(raw: DataFrame) -> DataFrame:
     from jobloom.functions.rates import annual_to_day
 
     rows = _jobs(raw, "adzuna", "results:array<struct<title:string,redirect_url:string,created:string,description:string,contract_type:string,salary_min:double,salary_max:double,salary_is_predicted:string,company:struct<display_name:string>,location:struct<display_name:string>>>", "results")
-    kind = F.when(F.col("j.contract_type") == "contract", "contract").when(F.col("j.contract_type") == "permanent", "permanent").otherwise("unknown")
+    stated = F.lower(F.trim(F.coalesce("j.contract_type", F.lit(""))))
+    kind = F.when(stated.isin("contract", "permanent"), stated).otherwise("unknown")
     day = F.when(kind == "contract", annual_to_day(F.col("j.salary_min"), F.col("j.salary_max"), F.coalesce(F.col("j.salary_is_predicted") == "1", F.lit(False))))
-    return _postings(rows, company=F.coalesce("j.company.display_name", "company"), title=F.col("j.title"), location=F.col("j.location.display_name"), url=F.col("j.redirect_url"), posted_at=F.col("j.created"), description=F.col("j.description"), employment_type=kind, day_rate_min=day["min"], day_rate_max=day["max"], day_rate_source=day["source"])
+    return _postings(rows, company=F.coalesce("j.company.display_name", F.lit("Unknown")), title=F.col("j.title"), location=F.col("j.location.display_name"), url=F.col("j.redirect_url"), posted_at=F.col("j.created"), description=F.col("j.description"), employment_type=kind, day_rate_min=day["min"], day_rate_max=day["max"], day_rate_source=day["source"])
 
 
 def remotive(raw: DataFrame) -> DataFrame:
@@ -124,6 +130,80 @@ def longer_text(postings: DataFrame, full: DataFrame) -> DataFrame:
     return met.withColumn("description", F.when(F.length("full_text") > F.length(F.coalesce("description", F.lit(""))), F.col("full_text")).otherwise(F.col("description"))).drop("full_text")
 
 
+# Details -------------------------------------------------------------------------------------
+
+
+def detail_requests(postings: DataFrame) -> DataFrame:
+    """url, ats, address: the detail page of each posting whose list entry has no text and whose title (and, where the list has places, location) is wanted."""
+    from jobloom.operators.screen import location_is_allowed, title_is_relevant
+
+    smart = F.regexp_extract("url", r"smartrecruiters\.com/(?:v1/companies/)?([^/]+)/(?:postings/)?([^/?]+)", 1)
+    number = F.regexp_extract("url", r"smartrecruiters\.com/(?:v1/companies/)?([^/]+)/(?:postings/)?([^/?]+)", 2)
+    day = r"https://([\w-]+)(\.\w+\.myworkdayjobs\.com)/en-US/([^/]+)(/.*)$"
+    bit = lambda k: F.regexp_extract("url", day, k)
+    address = F.when((F.col("source") == "smartrecruiters") & (smart != "") & location_is_allowed(F.col("location")), F.concat(F.lit("https://api.smartrecruiters.com/v1/companies/"), smart, F.lit("/postings/"), number))
+    address = address.when((F.col("source") == "workday") & F.col("url").rlike(day), F.concat(F.lit("https://"), bit(1), bit(2), F.lit("/wday/cxs/"), bit(1), F.lit("/"), bit(3), bit(4)))
+    wanted = postings.filter((F.coalesce("description", F.lit("")) == "") & title_is_relevant(F.col("title")))
+    return wanted.select("url", F.col("source").alias("ats"), address.alias("address")).filter("address is not null").dropDuplicates(["url"])
+
+
+def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
+    """Postings with the text and places of their detail pages (url, body). A page that failed or has nothing changes nothing."""
+    part = "struct<text:string>"
+    smart = F.from_json("body", f"jobAd struct<sections:struct<jobDescription:{part},qualifications:{part},additionalInformation:{part}>>")["jobAd"]["sections"]
+    day = F.from_json("body", "jobPostingInfo struct<jobDescription:string,qualifications:string,additionalInformation:string,location:string,additionalLocations:array<string>>")["jobPostingInfo"]
+    whole = lambda *xs: F.array_join(F.filter(F.array(*xs), lambda x: x.isNotNull() & (x != "")), "\n\n")
+    names = ("jobDescription", "qualifications", "additionalInformation")
+    text = F.coalesce(F.nullif(whole(*(smart[k]["text"] for k in names)), F.lit("")), F.nullif(whole(*(day[k] for k in names)), F.lit("")))
+    places = F.filter(F.transform(F.concat(F.array(day["location"]), F.coalesce(day["additionalLocations"], F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    first = F.filter(places, lambda x, i: (i == 0) | ~F.exists(F.slice(F.transform(places, F.lower), 1, F.greatest(i, F.lit(1))), lambda y: y == F.lower(x)))
+    found = details.select("url", text.alias("__text"), F.nullif(F.array_join(first, ", "), F.lit("")).alias("__where"))
+    met = postings.join(found, "url", "left")
+    return met.withColumns({"description": F.coalesce("__text", "description"), "location": F.coalesce("__where", "location")}).select(postings.columns)
+
+
+def api_requests(landed: DataFrame) -> DataFrame:
+    """``landed`` (url, final_url, page) with ats, slug and the address of the job's own entry, where a redirect ended at a board that gives one."""
+    green, lever = r"(?:job-boards|boards)\.greenhouse\.io/([^/]+)/jobs/(\d+)", r"jobs\.lever\.co/([^/]+)/([0-9a-f-]{36})"
+    of = lambda p, k: F.regexp_extract("final_url", p, k)
+    is_green, is_lever = F.coalesce(F.col("final_url").rlike(green), F.lit(False)), F.coalesce(F.col("final_url").rlike(lever), F.lit(False))
+    address = F.when(is_green, F.concat(F.lit("https://boards-api.greenhouse.io/v1/boards/"), of(green, 1), F.lit("/jobs/"), of(green, 2), F.lit("?content=true"))).when(is_lever, F.concat(F.lit("https://api.lever.co/v0/postings/"), of(lever, 1), F.lit("/"), of(lever, 2), F.lit("?mode=json")))
+    return landed.withColumns({"ats": F.when(is_green, "greenhouse").when(is_lever, "lever"), "slug": F.when(is_green, of(green, 1)).when(is_lever, of(lever, 1)), "address": address})
+
+
+def full_descriptions(landed: DataFrame) -> DataFrame:
+    """url, full_text, ats, slug from (url, final_url, page, body): the text of a board's own entry; else of the page it landed on, of a listing page only the advert in it (S12). ats and slug only where the entry gave the text."""
+    from jobloom.functions import text
+
+    rows = api_requests(landed)
+    entry = F.from_json("body", "content string, descriptionPlain string, description string")
+    own = F.when(F.col("ats") == "greenhouse", F.nullif(entry["content"], F.lit(""))).when(F.col("ats") == "lever", F.coalesce(F.nullif(entry["descriptionPlain"], F.lit("")), F.nullif(entry["description"], F.lit(""))))
+    rows = text.staged(rows, __own=own, __text=text.page_text(F.col("page")))
+    rows = text.with_body(rows, "__text")
+    page = F.nullif(F.when(F.col("__marker").isNull(), F.col("__text")).otherwise(F.col("__body")), F.lit(""))
+    by_api = F.col("__own").isNotNull()
+    return rows.select("url", F.coalesce("__own", page).alias("full_text"), F.when(by_api, F.col("ats")).alias("ats"), F.when(by_api, F.col("slug")).alias("slug"))
+
+
+def with_bodies(requests: DataFrame, get: Callable[[str], str] | None = None) -> DataFrame:
+    """url, body, error: each address asked for once, in the executors; a failure is a row."""
+    ask = get or http_get
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, errors = [], []
+            for address in batch.column("address").to_pylist():
+                try:
+                    bodies.append(ask(address))
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    bodies.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(bodies, pa.string()), pa.array(errors, pa.string())], ["url", "body", "error"])
+
+    return requests.select("url", "address").mapInArrow(work, "url string, body string, error string")
+
+
 def failures(raw: DataFrame) -> DataFrame:
     """company, ats, error of responses that failed, without credentials."""
     return raw.filter("error is not null").select("company", "ats", redact(F.col("error")).alias("error"))
@@ -141,17 +221,66 @@ ADDRESSES = {
     "remotive": ("https://remotive.com/api/remote-jobs?search={slug}", 0),
 }
 PAGED = {"smartrecruiters": "content"}
-TIMEOUT = 20
-
-
-def http_get(url: str) -> str:
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "jobloom"}), timeout=TIMEOUT) as r:
+TIMEOUT, USER_AGENT = 20, "jobloom"
+# A tenant's regions, the usual one first; country codes that the aggregator writes otherwise; rows of a page.
+REGIONS = ("wd3", "wd1", "wd2", "wd5", "wd10", "wd12", "wd103")
+REGION = REGIONS[0]
+COUNTRIES = {"uk": "gb", "usa": "us", "united kingdom": "gb", "great britain": "gb"}
+DAY_ROWS, AD_ROWS, AD_PAGES = 20, 50, 5
+
+
+def http_get(url: str, body: dict | None = None) -> str:
+    """The response to a GET, or to a POST of ``body`` as JSON."""
+    head = {"User-Agent": USER_AGENT, "Accept": "application/json"} | ({"Content-Type": "application/json"} if body is not None else {})
+    data = None if body is None else json.dumps(body).encode()
+    with urllib.request.urlopen(urllib.request.Request(url, data, head), timeout=TIMEOUT) as r:
         return r.read().decode("utf-8", "replace")
 
 
-def fetch_board(company: str, ats: str, slug: str, get: Callable[[str], str] = http_get) -> Iterator[tuple]:
-    """Raw rows of one board, page after page until a short one; a failure is a row, not an exception."""
+def day_pages(slug: str, search: str, get) -> Iterator[str]:
+    """Pages of a Workday board until an empty or short one, or its total."""
+    from jobloom.sources.loaders import workday_endpoint
+
+    base, tenant, site = workday_endpoint(slug)
+    at = 0
+    while True:
+        body = get(f"{base}/wday/cxs/{tenant}/{site}/jobs", {"appliedFacets": {}, "limit": DAY_ROWS, "offset": at, "searchText": search})
+        found = json.loads(body)
+        n, total = len(found.get("jobPostings") or []), found.get("total")
+        if n:
+            yield body
+        at += DAY_ROWS
+        if n < DAY_ROWS or (isinstance(total, int) and at >= total):
+            return
+
+
+def ad_pages(params: dict, get) -> Iterator[str]:
+    """Pages of an aggregator's search, at most ``max_pages``, until a short one. The credentials are in the environment."""
+    own = {k: v for k, v in params.items() if k not in ("max_pages", "country")}
+    country = str(params.get("country", "ca")).strip().lower()
+    country = COUNTRIES.get(country, country)
+    if not re.fullmatch("[a-z]{2}", country):
+        raise ValueError(f"not a country code of two letters: {country}")
+    keys = {k: os.environ.get(f"ADZUNA_{k.upper()}") for k in ("app_id", "app_key")}
+    if not all(keys.values()):
+        raise ValueError("ADZUNA_APP_ID and ADZUNA_APP_KEY are not set")
+    for page in range(1, int(params.get("max_pages", AD_PAGES)) + 1):
+        query = urllib.parse.urlencode(keys | {"content-type": "application/json"} | own)
+        body = get(f"https://api.adzuna.com/v1/api/jobs/{country}/search/{page}?{query}")
+        n = len(json.loads(body).get("results") or [])
+        if n:
+            yield body
+        if n < int(own.get("results_per_page", AD_ROWS)):
+            return
+
+
+def fetch_board(company: str, ats: str, slug: str, get: Callable = http_get, search: str = "", params: dict | None = None) -> Iterator[tuple]:
+    """Raw rows of one board, page after page until a short one; a failure is a row, not an exception, and shows no credentials."""
     try:
+        if ats in ("workday", "adzuna"):
+            for body in day_pages(slug, search, get) if ats == "workday" else ad_pages(params or {}, get):
+                yield company, ats, slug, body, None
+            return
         address, step = ADDRESSES[ats]
         at = 0
         while True:
@@ -163,7 +292,7 @@ def fetch_board(company: str, ats: str, slug: str, get: Callable[[str], str] = h
     except KeyError:
         yield company, ats, slug, None, f"unknown board kind {ats}"
     except (OSError, ValueError, urllib.error.URLError) as e:
-        yield company, ats, slug, None, f"{type(e).__name__}: {e}"
+        yield company, ats, slug, None, re.sub(r"((?:app_id|app_key|api_key|key|token)=)[^&\s\"']+", r"\1***", f"{type(e).__name__}: {e}")
 
 
 class BoardPartition(InputPartition):
@@ -192,7 +321,7 @@ class BoardReader(DataSourceReader):
                 except OSError as e:
                     yield b["name"], b["ats"], b["slug"], None, f"{type(e).__name__}"
             else:
-                yield from fetch_board(b["name"], b["ats"], b["slug"], get)
+                yield from fetch_board(b["name"], b["ats"], b.get("slug"), get, b.get("search") or "", b.get("params"))
 
 
 class BoardSource(DataSource):

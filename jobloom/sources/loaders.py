@@ -41,11 +41,13 @@ def cv_text(spark: SparkSession, text: str, fetched_at: str, now: str, kind: str
 
 
 def workday_endpoint(slug: str) -> tuple[str, str, str]:
-    """(host, tenant, site) of 'host/tenant/site' or of a board's address; anything else is an error."""
-    m = re.fullmatch(r"(?:https?://)?([\w.-]+\.myworkdayjobs\.com)/(?:wday/cxs/)?([\w-]+)/([\w-]+)/?(?:jobs)?", slug.strip())
-    if not m:
-        raise ValueError(f"not a Workday board: {slug}")
-    return m[1], m[2], m[3]
+    """(base address, tenant, site) of 'tenant/site' or 'tenant/site/region'; anything else is an error."""
+    from jobloom.sources.boards import REGION, REGIONS
+
+    m = re.fullmatch(r"/?([\w-]+)/([\w-]+)(?:/(\w+))?/?", slug or "")
+    if not m or (m[3] or REGION) not in REGIONS:
+        raise ValueError(f"not tenant/site or tenant/site/region: {slug}")
+    return f"https://{m[1]}.{m[3] or REGION}.myworkdayjobs.com", m[1], m[2]
 
 
 def names_agree(company: Column, page: Column) -> Column:
@@ -55,3 +57,39 @@ def names_agree(company: Column, page: Column) -> Column:
     key, own = company_key(company), F.concat(F.lit(" "), plain_words(page), F.lit(" "))
     every = F.forall(F.split(key, " "), lambda w: own.contains(F.concat(F.lit(" "), w, F.lit(" "))))
     return F.when(key == "", "none").when(own.contains(F.concat(F.lit(" "), key, F.lit(" "))), "strong").when(every, "weak").otherwise("none")
+
+
+# Words that follow a company's name, and names that are everyday words.
+SUFFIXES = frozenset("ltd limited plc llc inc group holdings uk the and co company".split())
+EVERYDAY = frozenset("next wise just monday now one group data people first home open".split())
+
+
+def name_evidence(company: Column, words: Column) -> Column:
+    """strong, weak or none: a posting's ``words`` (see ``plain_words``) name the company by two neighbouring words of it or all of them run together; by one of its longer words; not at all."""
+    from jobloom.functions.text import plain_words
+
+    bare = F.regexp_replace(F.lower(F.coalesce(company, F.lit(""))), r"(?<=[a-z0-9])\.(?=[a-z0-9])", "")
+    own = F.filter(F.split(plain_words(bare), " "), lambda w: (F.length(w) >= 3) & ~w.isin([*SUFFIXES]))
+    line = F.concat(F.lit(" "), words, F.lit(" "))
+    near = lambda x: line.contains(F.concat(F.lit(" "), x, F.lit(" ")))
+    pairs = F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(own, i + 1)))
+    strong = (F.size(own) >= 2) & (F.exists(pairs, near) | F.replace(words, F.lit(" "), F.lit("")).contains(F.array_join(own, "")))
+    return F.when(strong, "strong").when(F.exists(F.filter(own, lambda w: F.length(w) >= 4), near), "weak").otherwise("none")
+
+
+def verify_boards(jobs: DataFrame) -> DataFrame:
+    """board, company, total, uk, london, gate, strong_hits, weak_hits, identity_ok of probed boards' jobs (board, company, title, location, description), most promising first.
+
+    A board is the company's if one job names it strongly, or two weakly by a word that is not an everyday one.
+    """
+    from jobloom.functions.text import plain_words
+    from jobloom.operators.screen import location_is_allowed, title_is_relevant
+
+    c = F.col
+    seen = name_evidence(c("company"), plain_words(F.concat_ws(" ", "title", "description")))
+    uk = location_is_allowed(c("location"))
+    rows = jobs.select("board", "company", seen.alias("e"), uk.alias("uk"), F.lower(F.coalesce("location", F.lit(""))).rlike(r"\blondon\b").alias("london"), (title_is_relevant(c("title")) & uk).alias("gate"))
+    own = F.filter(F.split(plain_words(c("company")), " "), lambda w: (F.length(w) >= 4) & ~w.isin([*SUFFIXES]) & ~w.isin([*EVERYDAY]))
+    per = rows.groupBy("board", "company").agg(F.count("*").alias("total"), *(F.count_if(k).alias(k) for k in ("uk", "london", "gate")), F.count_if(c("e") == "strong").alias("strong_hits"), F.count_if(c("e") == "weak").alias("weak_hits"))
+    ok = (c("strong_hits") >= 1) | ((c("weak_hits") >= 2) & (F.size(own) > 0))
+    return per.withColumn("identity_ok", ok).orderBy(F.desc("gate"), F.desc("uk"), F.desc("identity_ok"), "board")

@@ -202,8 +202,9 @@ def test_manual_rows_and_loaders(spark):
     assert {r.url: r.passed_filters for r in details.collect()} == {"u1": None, "u2": True}
     assert loaders.registry(spark, [{"name": "A", "type": "adzuna", "params": {"what": 1}}]).first().params == {"what": "1"}
     assert loaders.cv_text(spark, "x", "2026-01-01 00:00:00", "2026-01-03 00:00:00").first().stale
-    assert loaders.workday_endpoint("acme.wd3.myworkdayjobs.com/acme/Careers")[1:] == ("acme", "Careers")
-    with pytest.raises(ValueError):
-        loaders.workday_endpoint("nope")
+    assert loaders.workday_endpoint("acme/Careers") == ("https://acme.wd3.myworkdayjobs.com", "acme", "Careers")
+    for bad in ("nope", "acme.wd3.myworkdayjobs.com/acme/Careers", "acme/Careers/wd999", ""):
+        with pytest.raises(ValueError):
+            loaders.workday_endpoint(bad)
     pages_ = spark.createDataFrame([("Acme Ltd", "Welcome to Acme"), ("Big Blue", "blue and big"), ("Big Blue", "x")], "c string, p string")
     assert [r.x for r in pages_.select(loaders.names_agree(F.col("c"), F.col("p")).alias("x")).collect()] == ["strong", "weak", "none"]
