@@ -178,15 +178,21 @@ def projection(rows: DataFrame, proposed: DataFrame) -> DataFrame:
     return met.groupBy("url").agg((100.0 * F.count_if(F.col("on_cv") | F.coalesce("__c", F.lit(False))) / F.count("*")).alias("projected_coverage"))
 
 
+# Words of employers' names that a CV does not repeat.
+LEGAL_WORDS = ("ltd", "limited", "inc", "llc", "plc", "group", "holdings", "services", "service", "solutions", "company", "computer", "technologies", "technology", "consulting", "the", "and")
+
+
 def missing_roles(roles: DataFrame, cv: str) -> DataFrame:
-    """Roles whose employer the CV's stemmed text does not contain (C17). ``roles``: role_id, company."""
-    line = t.stemmed(cv)
+    """Roles with achievements whose employer the CV does not name (C17): the stem of the name's first telling word is nowhere in the CV's stemmed text. ``roles``: role_id, company, achievements (their number)."""
+    line = t.stemmed(_sendable(cv))
+    telling = F.filter(F.split(F.lower(F.coalesce("company", F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*LEGAL_WORDS))
 
     @F.pandas_udf("boolean")
-    def absent(company: pd.Series) -> pd.Series:
-        return pd.Series([not all(t.stem_key(x) in line for x in t.tokens(c or "")) for c in company], dtype=bool)
+    def absent(word: pd.Series) -> pd.Series:
+        return pd.Series([t.stem_key(w) not in line for w in word], dtype=bool)
 
-    return roles.filter(absent("company"))
+    first = roles.filter("achievements > 0").withColumn("__word", F.get(telling, F.lit(0))).filter("__word is not null")
+    return first.filter(absent("__word")).drop("__word")
 
 
 # CV documents --------------------------------------------------------------------------------
@@ -196,13 +202,16 @@ def resolve(tailored: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFram
     """The bullets of a tailored CV (C11, J10), and references that the master lacks.
 
     ``tailored``: ref (role), achievement_ref (null: all of the role), text (overrides), position; ``master``: role_id, achievement_id, text, ordinal.
+    References to one achievement meet the master by it, so a long role is not compared with itself.
     """
     m = master.select("role_id", "achievement_id", F.col("text").alias("__text"), "ordinal")
-    on = (F.col("ref") == F.col("role_id")) & (F.col("achievement_ref").isNull() | (F.col("achievement_ref") == F.col("achievement_id")))
-    met = tailored.join(m, on, "left")
-    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("__text"))
-    good = met.filter("role_id is not null").select("role_id", "achievement_id", text.alias("text"), "position", "ordinal", F.when(F.nullif(F.trim("text"), F.lit("")).isNull() | (F.col("text") == F.col("__text")), "verbatim").otherwise("reworded").alias("origin"))
-    return good, met.filter("role_id is null").select("ref", "achievement_ref")
+    one, every = tailored.filter("achievement_ref is not null"), tailored.filter("achievement_ref is null")
+    own = F.nullif(F.trim("text"), F.lit(""))
+    made = ["role_id", "achievement_id", F.coalesce(own, F.col("__text")).alias("text"), "position", "ordinal", F.when(own.isNull() | (F.col("text") == F.col("__text")), "verbatim").otherwise("reworded").alias("origin")]
+    by_both = (F.col("ref") == F.col("role_id")) & (F.col("achievement_ref") == F.col("achievement_id"))
+    good = one.join(m, by_both).select(*made).unionByName(every.join(m, F.col("ref") == F.col("role_id")).select(*made))
+    lost = one.join(m, by_both, "left_anti").unionByName(every.join(m, F.col("ref") == F.col("role_id"), "left_anti"))
+    return good, lost.select("ref", "achievement_ref")
 
 
 def draft_labels(tailored: DataFrame, master: DataFrame) -> DataFrame:
@@ -247,22 +256,32 @@ def restore_required(drafted: DataFrame, required: DataFrame) -> DataFrame:
     return every.select("doc", F.col("x.item").alias("item"), (F.col("position") + 1).alias("position"), F.col("x.restored").alias("restored"))
 
 
-def unsupported(items: DataFrame, master: str) -> DataFrame:
-    """Skill items that no word of the fact base supports (C12). ``items``: item."""
-    look = present(master)
-    rows = items.withColumns({"term": F.lower("item"), "surfaces": F.array().cast("array<string>")})
-    return rows.filter(~look()).select(items.columns)
+def unsupported(items: DataFrame, facts: list[str]) -> DataFrame:
+    """Skill items that the master's facts (its skills, tags, metrics, project names) do not support (C12): neither a form of the item nor forms of all its words occur in them. ``items``: item; blank ones are left out."""
+    known: set[str] = set()
+    _sendable(" ".join(facts))
+    for fact in facts:
+        for part in (t.normalise(fact), *t.tokens(fact)):
+            known |= t.variants(part) if part else set()
+
+    @F.pandas_udf("boolean")
+    def lacks(item: pd.Series) -> pd.Series:
+        flat = item.map(t.normalise)
+        return ~flat.map(lambda x: bool(t.variants(x) & known) or (bool(x) and all(t.variants(w) & known for w in x.split()))).astype(bool)
+
+    return items.filter(F.trim(F.coalesce("item", F.lit(""))) != "").filter(lacks("item"))
 
 
-FAILURES = {"invented": r"\binvent|fabricat|not in (?:the )?master", "dropped": r"\bdropped|missing|omitted", "padding": r"\bpadding|generic|filler", "tense": r"\btense\b", "length": r"\btoo long|length|pages?\b"}
+# What a verification can find, and the mode that it counts as; answers that find nothing.
+FAILURES = {"unsupported_refs": "unsupported_ref", "invented_metrics": "invented_metric", "fabricated_claims": "fabricated_claim"}
+NOTHING = r"(?i)^(?:(?:none|n/?a|no|nothing)\s*[.!]?\s*$|(?:none|n/?a|nothing)\s*[.!:]\s)"
 
 
-def failure_modes(findings: DataFrame) -> DataFrame:
-    """(doc, mode) of findings that name a problem (C18); texts such as 'none' name none."""
-    text = F.trim(F.lower(F.coalesce("finding", F.lit(""))))
-    some = findings.filter(~text.rlike(r"^(?:|none|n/a|no(?:ne)? (?:issues?|problems?|found).*|nothing.*)\.?$"))
-    modes = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(m)) for m, p in FAILURES.items())))
-    return some.select("doc", F.explode(modes).alias("mode")).distinct()
+def failure_modes(verifications: DataFrame) -> DataFrame:
+    """doc, mode of findings that name a problem (C18). ``verifications``: doc, unsupported_refs, invented_metrics, fabricated_claims."""
+    found = lambda c: (F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.trim(F.coalesce(c, F.lit(""))).rlike(NOTHING)
+    modes = F.array_compact(F.array(*(F.when(found(c), F.lit(m)) for c, m in FAILURES.items())))
+    return verifications.select("doc", F.explode(modes).alias("mode"))
 
 
 RANKS = {"reject": 0, "unknown": 1, "revise": 2, "accept": 3}

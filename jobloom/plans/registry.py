@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import dates, rates, text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
-from jobloom.plans import fixtures, mutations, oracle_contracts, oracle_store, oracles, responses
+from jobloom.plans import documents, fixtures, mutations, oracle_contracts, oracle_store, oracles, responses
 from jobloom.sources import pages
 
 __all__ = ["QUERIES", "SQL"]
 
-SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL | responses.SQL
+SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL | responses.SQL | documents.SQL
 
 
 def _now():
@@ -173,6 +173,15 @@ def _suggested(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.suggestions(rows, facts, CV).select("url", "achievement_id", "kind", "weight_closed", "rank")
 
 
+#: Final hosts that pages get by their number.
+HOSTS = ("boards.greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com", "apply.workable.com", "acme.wd3.myworkdayjobs.com", "jobs.smartrecruiters.com", "uk.linkedin.com", "www.adzuna.co.uk", "example.com")
+
+
+def _redirects(spark: SparkSession, sf: str) -> DataFrame:
+    host = F.get(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % 11 % 9).cast("int"))
+    return audit.redirect_report(spark.read.parquet(f"{sf}/pages.parquet").select(F.when(F.col("page_id") % 5 == 4, "").when(F.col("page_id") % 7 == 6, F.col("url")).otherwise(F.concat(F.lit("https://"), host, F.lit("/x"))).alias("url")))
+
+
 def _of(f):
     """A query over the postings."""
     return lambda spark, sf: f(fixtures.postings(spark, sf))
@@ -220,7 +229,7 @@ QUERIES = {
     "distinct_companies": _of(audit.distinct_companies),
     "unknown_companies": lambda s, d: audit.unknown_companies(fixtures.postings(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name"))),
     "board_audit": _of(audit.board_audit),
-    "redirects": lambda s, d: audit.redirect_report(s.read.parquet(f"{d}/pages.parquet")),
+    "redirects": _redirects,
     "posted_age": _posted,
     "lessons": _events,
     "first_turns": _first_turns,
@@ -230,4 +239,4 @@ QUERIES = {
     "suggestions": _suggested,
     "page_html_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", pages.html_text_udf("html").alias("text")),
     "top_scores": lambda s, d: board.top_per(fixtures.postings(s, d).join(fixtures.scores(s, d), "url"), ["source"], [F.desc("match_score"), F.col("url")], 12).select("source", "url", "match_score"),
-} | mutations.QUERIES | responses.QUERIES
+} | mutations.QUERIES | responses.QUERIES | documents.QUERIES
