@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom import folders
 from jobloom.functions.text import company_title_key
 
 
@@ -28,18 +29,16 @@ def unseen(batch: DataFrame, seen: DataFrame) -> DataFrame:
 def new_postings(batch: DataFrame, seen: DataFrame, at: str | None = None) -> DataFrame:
     """The new rows of a batch (url, company, title, location, ordinal, ...), in arrival order by ``ordinal``.
 
-    ``at`` is a shared folder; with it the rounds' state is written there instead
-    of recomputed.
+    The rounds' state is written below the shared folder ``at`` (a new one by
+    default), so no round works out again what those before it did.
     """
     spark, n = batch.sparkSession, 0
+    at = at or folders.folder(spark, "arrivals")
 
     def kept(df: DataFrame) -> DataFrame:
         nonlocal n
         n += 1
-        if at is None:
-            return df
-        df.write.mode("overwrite").parquet(f"{at}/{n}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{n}")
+        return folders.written(df, f"{at}/{n}")
 
     rows = kept(unseen(with_key(batch), seen))
     open_, chosen = rows.select("url", "company_title_key", "ordinal"), None

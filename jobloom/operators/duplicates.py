@@ -33,11 +33,14 @@ def originals(batch: DataFrame, store: DataFrame) -> DataFrame:
     The candidate may be a duplicate in turn. A row without fetched_at is newer
     than the whole store.
     """
-    rows = keyed(batch).filter("ckey is not null").select("url", "fetched_at", "ckey", F.col("place").alias("own"), "at")
-    met = rows.join(_places(keyed(store)), "ckey")
+    rows = keyed(batch).filter("ckey is not null").select("url", "fetched_at", "ckey", "place", "at")
+    # Answered for each place of a key, not for each row: the two earliest rows in compatible places, of which one is not the row itself.
+    own = rows.select("ckey", F.col("place").alias("own")).distinct()
+    met = own.join(_places(keyed(store)), "ckey").filter(text.places_compatible(F.col("place"), F.col("own")))
+    two = met.groupBy("ckey", F.col("own").alias("place")).agg(F.slice(F.array_sort(F.collect_set("first")), 1, 2).alias("two"))
     unstored = F.coalesce(F.col("fetched_at"), F.lit("")) == ""
-    ok = text.places_compatible(F.col("place"), F.col("own")) & (F.col("first.url") != F.col("url")) & (unstored | (F.col("first") <= F.col("at")))
-    return met.filter(ok).groupBy("url").agg(F.min("first").alias("m")).select("url", F.col("m.url").alias("original"))
+    ok = F.filter("two", lambda x: (x["url"] != F.col("url")) & (unstored | (x <= F.col("at"))))
+    return rows.join(two, ["ckey", "place"]).select("url", F.get(ok, F.lit(0))["url"].alias("original"), F.get(ok, F.lit(0)).alias("m")).filter("original is not null").groupBy("url").agg(F.min("m").alias("m")).select("url", F.col("m.url").alias("original"))
 
 
 def clusters(rows: DataFrame) -> DataFrame:
@@ -45,17 +48,19 @@ def clusters(rows: DataFrame) -> DataFrame:
 
     Rows, oldest first, join the first cluster whose root's place is compatible,
     else they start one. The fold runs over a key's distinct places in order of
-    first appearance: a later row of a place goes where the first one went.
+    first appearance and keeps the roots only; a place then goes to the first
+    root that fits it, and all rows of a place go with it.
     """
     k = keyed(rows).filter("ckey is not null")
-    kind = "array<struct<place:struct<cities:array<string>,vague:boolean,norm:string>,url:string,of:string>>"
+    kind = "array<struct<place:struct<cities:array<string>,vague:boolean,norm:string>,url:string>>"
     per_key = _places(k).groupBy("ckey").agg(F.array_sort(F.collect_list(F.struct("first", "place"))).alias("places"))
-    folded = F.aggregate(
-        "places",
-        F.array().cast(kind),
-        lambda a, x: F.concat(a, F.array(F.struct(x["place"].alias("place"), x["first"]["url"].alias("url"), F.coalesce(F.get(F.filter(a, lambda c: (c["url"] == c["of"]) & text.places_compatible(c["place"], x["place"])), F.lit(0))["url"], x["first"]["url"]).alias("of")))).cast(kind),
-    )
-    roots = per_key.select("ckey", F.explode(folded).alias("c")).select("ckey", F.col("c.place").alias("place"), F.col("c.of").alias("root"))
+    fits = lambda roots, place: F.exists(roots, lambda c: text.places_compatible(c["place"], place))
+    root = lambda x: F.array(F.struct(x["place"].alias("place"), x["first"]["url"].alias("url")))
+    folded = F.aggregate("places", F.array().cast(kind), lambda a, x: F.when(fits(a, x["place"]), a).otherwise(F.concat(a, root(x)).cast(kind)))
+    per_key = text.staged(per_key, roots=folded)
+    first = lambda place: F.get(F.filter("roots", lambda c: text.places_compatible(c["place"], place)), F.lit(0))["url"]
+    each = F.transform("places", lambda x: F.struct(x["place"].alias("place"), first(x["place"]).alias("root")))
+    roots = per_key.select("ckey", F.explode(each).alias("c")).select("ckey", "c.place", "c.root")
     placed = k.join(roots, ["ckey", "place"]).select("root", "url")
     return placed.join(placed.groupBy("root").count().filter("count > 1").select("root"), "root").select("root", "url")
 

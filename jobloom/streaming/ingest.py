@@ -1,38 +1,49 @@
 """Incremental runs: each micro-batch of postings against the stored tables, which a new snapshot replaces.
 
-The state is a folder of versions; a batch writes its tables below its own
-number and then the file CURRENT by a rename, so a batch that is run again after
-a failure sees the state before it and gives the same tables.
+The state is a folder of versions with numbers of its own. A version is one small
+file that names the folder of its tables and the batch that made it, and appears
+by a rename when it is whole; until then the version before it counts. A batch
+that a stream runs again after a failure is looked up among the versions: it is
+left alone if it was committed, else it meets the same tables and, as its rows
+are put in an order of their own, gives the same ones. A stream with a new
+checkpoint goes on from the last version, whatever number its batches start at.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom import schemas
+from jobloom import folders, schemas
 from jobloom.operators import arrivals, duplicates, screen, store
 
 TABLES = {"seen_jobs": schemas.SEEN_JOBS, "job_details": schemas.JOB_DETAILS, "user_status": schemas.USER_STATUS}
 
 
-def run_batch(tables: dict[str, DataFrame], batch: DataFrame, now: str) -> dict[str, DataFrame]:
-    """One run over a batch (schemas.POSTING and ordinal): heartbeat, new postings, screens, links, inherited statuses, refreshed contracts."""
+def run_batch(tables: dict[str, DataFrame], batch: DataFrame, now: str, at: str | None = None) -> dict[str, DataFrame]:
+    """One run over a batch (schemas.POSTING and ordinal): heartbeat, new postings, screens, links, inherited statuses, refreshed contracts. ``at``: a shared folder for what is new."""
     seen, details, statuses = (tables[t] for t in TABLES)
-    new = arrivals.new_postings(batch, seen)
+    at = at or folders.folder(batch.sparkSession, "run")
+    new = folders.written(arrivals.new_postings(batch, seen, f"{at}/rounds"), f"{at}/new")
     known = batch.join(new.select("url"), "url", "left_anti")
-    fresh = screen.enrich(new)
+    fresh = folders.written(screen.enrich(new), f"{at}/screened")
     fresh = fresh.withColumns({"passed_filters": screen.passes_filters(), "fetched_at": F.lit(now), "last_listed_at": F.lit(None).cast("string")})
     # Arrival order is the clock within a batch.
-    at = F.concat(F.lit(now), F.lit(" "), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
-    both = details.select("url", "company", "title", "location", "fetched_at").unionByName(fresh.select("url", "company", "title", "location", at.alias("fetched_at")))
-    links = duplicates.originals(fresh.withColumn("fetched_at", at), both).withColumnRenamed("original", "duplicate_of")
-    fresh = fresh.join(links, "url", "left").select(*schemas.JOB_DETAILS.names)
+    moment = F.concat(F.lit(now), F.lit(" "), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
+    both = details.select("url", "company", "title", "location", "fetched_at").unionByName(fresh.select("url", "company", "title", "location", moment.alias("fetched_at")))
+    links = duplicates.originals(fresh.withColumn("fetched_at", moment), both).withColumnRenamed("original", "duplicate_of")
+    fresh = schemas.conform(fresh.join(links, "url", "left").select(*schemas.JOB_DETAILS.names), schemas.JOB_DETAILS)
+    fresh = folders.written(fresh, f"{at}/fresh")
     listed = store.mark_listed(details, batch, now)
     again = screen.enrich(known.dropDuplicates(["url"]))
     refreshed = store.refresh_contract(listed, again).drop("changed")
-    details = store.replace(refreshed, schemas.conform(fresh, schemas.JOB_DETAILS))
-    found = duplicates.inheritances(details, statuses, new)
+    # Links and times of known rows stay as they are, so statuses need none of what is screened again.
+    slim = ("url", "duplicate_of", "fetched_at")
+    found = duplicates.inheritances(store.replace(details.select(*slim), fresh.select(*slim)), statuses, new)
+    details = store.replace(refreshed, fresh)
     statuses = store.save_inherited(statuses, found, now)
     seen = store.insert_new(seen, new.select("url", "company_title_key", "company", "title", F.lit(now).alias("first_seen_at")))
     return {"seen_jobs": seen, "job_details": details, "user_status": statuses}
@@ -44,37 +55,69 @@ class State:
     def __init__(self, spark: SparkSession, at: str):
         self.spark, self.at = spark, at
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _heads(self) -> list[tuple[int, dict]]:
+        """The whole versions, the last one first."""
+        fs, p = folders.hadoop(self.spark, f"{self.at}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        out = []
+        for n in sorted((int(x) for x in names if x.isdigit()), reverse=True):
+            f = fs.open(folders.hadoop(self.spark, f"{self.at}/versions/{n}")[1])
+            try:
+                if head := json.loads(bytes(f.readAllBytes()).decode() or "null"):
+                    out.append((n, head))
+            except ValueError:
+                pass  # not whole: it does not count
+            finally:
+                f.close()
+        return out
 
     def current(self) -> int | None:
-        fs, p = self._fs(f"{self.at}/versions")
-        return max((int(x.getPath().getName()) for x in fs.listStatus(p)), default=None) if fs.exists(p) else None
-
-    def tables(self, before: int | None = None) -> dict[str, DataFrame]:
-        """The tables of the last version, or of the last one below ``before``."""
-        fs, p = self._fs(f"{self.at}/versions")
-        known = sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
-        known = [v for v in known if before is None or v < before]
-        if not known:
+        return next((n for n, _ in self._heads()), None)
+
+    def done(self, batch: str) -> bool:
+        """Whether one of the versions was made by this batch."""
+        return any(h["batch"] == batch for _, h in self._heads())
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables of the last version."""
+        head = next((h for _, h in self._heads()), None)
+        if head is None:
             return {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()}
-        return {t: self.spark.read.schema(s).parquet(f"{self.at}/data/{known[-1]}/{t}") for t, s in TABLES.items()}
+        return {t: self.spark.read.schema(s).parquet(f"{self.at}/data/{head['data']}/{t}") for t, s in TABLES.items()}
 
-    def commit(self, version: int, tables: dict[str, DataFrame]) -> None:
+    def commit(self, tables: dict[str, DataFrame], batch: str = "") -> int:
+        """Write the tables and make them the next version."""
+        version = max((n for n, _ in self._heads()), default=-1) + 1
+        data = f"{version}-{uuid.uuid4().hex}"
         for t, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.at}/data/{version}/{t}")
-        fs, p = self._fs(f"{self.at}/versions/{version}")
-        fs.create(p, True).close()
+            df.write.mode("overwrite").parquet(f"{self.at}/data/{data}/{t}")
+        fs, passing = folders.hadoop(self.spark, f"{self.at}/versions/_{uuid.uuid4().hex}")
+        out = fs.create(passing, False)
+        out.write(bytearray(json.dumps({"data": data, "batch": batch}).encode()))
+        out.close()
+        final = folders.hadoop(self.spark, f"{self.at}/versions/{version}")[1]
+        if fs.exists(final) or not fs.rename(passing, final):
+            fs.delete(passing, False)
+            raise RuntimeError(f"version {version} was committed by another writer")
+        return version
+
+
+def numbered(rows: DataFrame, at: str) -> DataFrame:
+    """Rows with their ``ordinal``, written below ``at``; rows that come without one are numbered in an order of their contents, which a repeated batch has again."""
+    if "ordinal" not in rows.columns:
+        rows = rows.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in rows.columns)).withColumn("ordinal", F.monotonically_increasing_id())
+    return folders.written(rows, at)
 
 
 def start(postings: DataFrame, state: State, checkpoint: str, clock, **trigger):
     """A streaming query that runs each micro-batch of ``postings`` into the state; ``clock()`` gives its time as text."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.monotonically_increasing_id())
-        rows = rows.persist()
-        state.commit(number, run_batch(state.tables(before=number), rows, clock()))
-        rows.unpersist()
+        name = f"{checkpoint}#{number}"
+        if state.done(name):
+            return
+        at = folders.folder(state.spark, "ingest")
+        state.commit(run_batch(state.tables(), numbered(batch, f"{at}/batch"), clock(), at), name)
+        folders.drop(state.spark, at)
 
     return postings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()

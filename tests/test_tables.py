@@ -82,7 +82,7 @@ def test_incremental_runs_equal_one_batch(spark, tmp_path):
     schema = schemas.struct(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.POSTING) + ", ordinal long")
     frame = spark.createDataFrame(rows, schema)
     once = ingest.State(spark, f"file://{tmp_path}/once")
-    once.commit(0, ingest.run_batch(once.tables(), frame, "2026-01-01 00:00:00"))
+    once.commit(ingest.run_batch(once.tables(), frame, "2026-01-01 00:00:00"))
     frame.write.partitionBy("source").mode("overwrite").parquet(f"{tmp_path}/unused")
     steps = ingest.State(spark, f"file://{tmp_path}/steps")
     for k, part in enumerate(itertools.batched(rows, 2)):
@@ -94,6 +94,33 @@ def test_incremental_runs_equal_one_batch(spark, tmp_path):
     assert [u for u, *_ in look(once)] == ["u0", "u1", "u2"]
 
 
+def test_a_new_checkpoint_goes_on_from_the_last_version(spark, tmp_path):
+    columns = "url string, company string, title string, location string"
+    state = ingest.State(spark, f"file://{tmp_path}/state")
+    feed = lambda k, rows: schemas.conform(spark.createDataFrame(rows, columns), schemas.POSTING).coalesce(1).write.parquet(f"{tmp_path}/{k}/x")
+
+    def run(k, checkpoint):
+        q = ingest.start(spark.readStream.schema(schemas.POSTING).parquet(f"{tmp_path}/{k}/*"), state, f"{tmp_path}/{checkpoint}", lambda: "2026-01-01 00:00:00", availableNow=True)
+        q.awaitTermination()
+
+    feed("a", [("u1", "Acme", "QA Engineer", "London"), ("u2", "Bee", "SDET", "London")])
+    run("a", "ck1")
+    assert state.current() == 0
+    feed("b", [("u3", "Cee", "Tester", "London"), ("u1", "Acme", "QA Engineer", "London")])
+    run("b", "ck2")  # its first batch has number 0 again
+    assert state.current() == 1 and sorted(r.url for r in state.tables()["seen_jobs"].collect()) == ["u1", "u2", "u3"]
+    assert {r.url: r.last_listed_at for r in state.tables()["job_details"].collect()} == {"u1": "2026-01-01 00:00:00", "u2": None, "u3": None}
+    assert state.done(f"{tmp_path}/ck2#0") and not state.done(f"{tmp_path}/ck2#1")
+    (tmp_path / "state/versions/2").write_text("")  # a writer that died
+    assert state.current() == 1 and len(state.tables()["seen_jobs"].collect()) == 3
+
+
+def test_numbers_do_not_depend_on_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i % 7}", f"c{i}") for i in range(40)], "url string, company string")
+    a, b = (sorted(map(tuple, ingest.numbered(rows.repartition(n), f"file://{tmp_path}/{n}").selectExpr("url", "company", "row_number() over (order by ordinal) as n").collect())) for n in (1, 5))
+    assert a == b
+
+
 def test_board_sorts_nulls_last(spark):
     rows = spark.createDataFrame([("a", None), ("b", 3), ("c", 9)], "url string, match_score int")
     assert [r.url for r in board.sort_board(rows).collect()] == ["c", "b", "a"]
