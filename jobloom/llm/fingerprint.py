@@ -46,15 +46,20 @@ def as_hex(h1: Column, h2: Column, ordinal: Column | None = None) -> Column:
     return text if ordinal is None else F.concat(text, F.when(ordinal > 0, F.concat(F.lit("-"), ordinal.cast("string"))).otherwise(F.lit("")))
 
 
-def collisions(texts: DataFrame, digests: DataFrame, hashed=wide) -> DataFrame | None:
+def collisions(texts: DataFrame, digests: DataFrame | None = None, hashed=wide) -> DataFrame | None:
     """From canonical texts ``canon``: h1, h2, check, ordinal of texts whose digest another text has too; None if there are none (as good as always).
 
-    ``digests`` has h1 and h2 of all rows; only rows of buckets with two or more
-    of them get to the byte comparison. ``hashed`` can be a poor hash in tests.
+    ``digests`` has h1 and h2 of all rows, so that only rows of buckets with two
+    or more of them get to the byte comparison; without it all texts do, reduced
+    to two a bucket and task before they are shuffled. ``hashed`` can be a poor
+    hash in tests.
     """
     keyed = texts.select("canon", *(h.alias(n) for h, n in zip(hashed(F.col("canon")), ("h1", "h2"), strict=True)))
-    shared = digests.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    lo_hi = keyed.join(shared, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    some = keyed
+    if digests is not None:
+        shared = digests.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
+        some = keyed.join(shared, ["h1", "h2"], "left_semi")
+    lo_hi = some.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
     mixed = lo_hi.filter("lo <> hi").select("h1", "h2")
     if mixed.isEmpty():
         return None
@@ -182,7 +187,7 @@ def edited_fingerprints(docs: DataFrame, at: str) -> DataFrame:
     heads = once(clean.join(few(wanted.select("k", "th").distinct()), ["k", "th"], "left_semi"), "k", "th").join(few(wanted), ["k", "th"]).select("next_k", "next_th", "t")
     tails = clean.select(F.col("k").alias("next_k"), F.col("th").alias("next_th"), F.col("t").alias("next_t"))
     tails = once(tails.join(few(wanted.select("next_k", "next_th").distinct()), ["next_k", "next_th"], "left_semi"), "next_k", "next_th")
-    apart = collisions(own.unionAll(heads.join(tails, ["next_k", "next_th"]).select(canonical(edited(F.col("t"), F.col("next_t"))).alias("canon"))), both)
+    apart = collisions(own.unionAll(heads.join(tails, ["next_k", "next_th"]).select(canonical(edited(F.col("t"), F.col("next_t"))).alias("canon"))))
     out = digests
     for keys, name in ((("h1", "h2", "hm"), "fingerprint"), (("e1", "e2", "em"), "edited_fingerprint"), (("n1", "n2", "nm"), "next_fingerprint")):
         out = named(out, apart, *keys, name)

@@ -1,8 +1,7 @@
 """Folders that the driver and all executors share, and the files in them.
 
-Everything an operator keeps between jobs lies below ``spark.checkpoint.dir``;
-only where that setting is unset (tests, a laptop) a folder of the local
-machine is taken and set, so that later reads find it.
+Everything an operator keeps between jobs lies below ``spark.checkpoint.dir``
+(see ``jobloom.folders``, which refuses a cluster that has not set it).
 """
 
 from __future__ import annotations
@@ -18,16 +17,9 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_LIVE: dict[str, SparkSession] = {}
-
+from jobloom.folders import root
 
-def root(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"jobloom-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
+_LIVE: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:

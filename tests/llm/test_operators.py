@@ -263,34 +263,40 @@ def test_colliding_digests_are_told_apart(spark):
 # 5 ------------------------------------------------------------------------------------------
 
 
-def test_scores_equal_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_brute_force(spark, docs, empty, order):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     rows = [(i, [*WORD.findall(t.translate(low)), None]) for i, t in pairs_of(docs)]
-    one, two = Counter(), Counter()
+    grams = lambda t, n: list(zip(*([*[0] * (n - 1), *t][k:] for k in range(n)), strict=False))
+    one, levels = Counter(), {n: Counter() for n in range(1, order + 1)}
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            for a, b in zip([0, *t], t, strict=False):
-                one[b] += 1
-                two[a, b] += 1
-    n, v, types, follow = sum(one.values()), len(one), Counter(b for _, b in two), defaultdict(list)
-    for (a, _), c in two.items():
-        follow[a].append(c)
-    d1, d2 = (lm.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (types, two))
-    rest = sum(d1[min(c, 3)] for c in types.values()) / len(two)
-
-    def p(a, b):
-        low_p = max(types[b] - d1[min(types[b], 3)], 0) / len(two) + rest / (v + 1)
-        if a not in follow:
-            return low_p
-        c, total = two[a, b], sum(follow[a])
-        return max(c - d2[min(c, 3)], 0) / total + sum(d2[min(x, 3)] for x in follow[a]) / total * low_p
-
-    got = {r.doc_id: r for r in lm.score_texts(docs, at(spark)).collect()}
+            one.update(t)
+            levels[order].update(grams(t, order))
+    for n in range(order - 1, 0, -1):  # numbers of different predecessors
+        levels[n].update(g[1:] for g in levels[n + 1])
+    total, v = sum(one.values()), len(one)
+    d = {n: lm.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for n, c in levels.items()}
+    follow = {n: defaultdict(list) for n in levels}
+    for n, c in levels.items():
+        for g, x in c.items():
+            follow[n][g[:-1]].append(x)
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (v + 1)
+        x, own = levels[n][g], follow[n].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        return max(x - d[n][min(x, 3)], 0) / sum(own) + sum(d[n][min(y, 3)] for y in own) / sum(own) * p(g[1:])
+
+    got = {r.doc_id: r for r in lm.score_texts(docs, at(spark), order).collect()}
     for i, t in rows:
-        assert got[i].base_score == pytest.approx(sum(math.log10((one[b] + 1) / (n + v + 1)) for b in t))
-        assert got[i].score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([0, *t], t, strict=False)))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(one[b] > 0 for b in t), n)
-    assert lm.score_texts(empty, at(spark)).count() == 0
+        assert got[i].base_score == pytest.approx(sum(math.log10((one[b] + 1) / (total + v + 1)) for b in t))
+        assert got[i].score == pytest.approx(sum(math.log10(p(g)) for g in grams(t, order)))
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(one[b] > 0 for b in t), total)
+    assert lm.score_texts(empty, at(spark), order).count() == 0
 
 
 # 6 ------------------------------------------------------------------------------------------
