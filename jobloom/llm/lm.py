@@ -84,6 +84,9 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _summed(key: np.ndarray, columns: list[np.ndarray], *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Different keys in order, their columns, and the sums of their values."""
     order = np.argsort(key, kind="stable")
@@ -101,13 +104,14 @@ def _dealt(to: np.ndarray, parts: int, shift: int, **arrays: np.ndarray) -> list
         order = np.argsort(head, kind="stable")
         own, head = own[order], head[order]
         runs = kernels.runs(head)
-        rows.append((shift + p, shared.pack(**{name: head[runs[:-1]], "size": small(np.diff(runs))}, **{k: (arrays[k][own] if arrays[k].dtype == U else small(arrays[k][own])) for k in rest})))
+        blob = shared.pack(**{name: head[runs[:-1]], "size": small(np.diff(runs))}, **{k: (arrays[k][own] if arrays[k].dtype == U else small(arrays[k][own])) for k in rest})
+        rows.append((shift + p, np.uint32(len(blob)).tobytes() + _ZSTD.compress(blob, asbytes=True)))
     return rows
 
 
 def _read(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """The arrays of a part's blobs one after another, runs written out."""
-    found = [shared.unpack(b) for b in blobs]
+    found = [shared.unpack(_ZSTD.decompress(b[4:], int(np.frombuffer(b[:4], np.uint32)[0]), asbytes=True)) for b in blobs]
     names = [k for k in found[0] if k != "size"]
     out = {names[0]: np.concatenate([np.repeat(x[names[0]], x["size"].astype(np.int64)) for x in found])}
     for k in names[1:]:
@@ -286,7 +290,7 @@ def learn(texts: DataFrame, at: str, order: int = ORDER) -> tuple[int, dict[int,
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, size // 6 // PART_TOKENS)
     tasks = min(parts, 20_000)
-    dealt = lambda df, work: df.mapInArrow(work, "part int, blob binary").repartition(tasks, "part").sortWithinPartitions("part")
+    dealt = lambda df, work: df.mapInArrow(work, "part int, blob binary").repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
     grams = dealt(texts.select("text"), _count(parts, order))
     for level in range(order, 1, -1):
         grams = dealt(grams, _level(at, parts, level, level == order))
