@@ -160,11 +160,11 @@ def suggestions(rows: DataFrame, achievements: DataFrame, cv: str, most: int = M
         for term, surfaces in batches:
             yield pd.Series([[{"role_id": ids[k][0], "achievement_id": ids[k][1]} for k in index.having(a, list(b))] for a, b in zip(term, surfaces, strict=True)])
 
-    # Terms once, not once a posting; then postings meet what closes them by term.
-    distinct = closable.groupBy("term").agg(F.array_distinct(F.flatten(F.collect_set("surfaces"))).alias("surfaces"))
-    met = distinct.select("term", F.explode(closed_by("term", "surfaces")).alias("f")).select("term", "f.*")
+    # Each term with its surfaces once, not once a posting; then postings meet what closes them by both: another posting's surfaces say nothing of this one.
+    distinct = closable.select("term", "surfaces").distinct()
+    met = distinct.select("term", "surfaces", F.explode(closed_by("term", "surfaces")).alias("f")).select("term", "surfaces", "f.*")
     met = met.join(F.broadcast(facts.select("role_id", "achievement_id", "text", best("text").alias("overlap"))), ["role_id", "achievement_id"])
-    per = closable.select("url", "term", "weight").join(met, "term")
+    per = closable.join(met, ["term", "surfaces"])
     out = per.groupBy("url", "role_id", "achievement_id", "text", "overlap").agg(F.array_sort(F.collect_list("term")).alias("closes"), F.round(F.sum("weight"), 2).alias("weight_closed"))
     out = out.withColumn("kind", F.when(F.col("overlap") >= ON_CV, "reword_achievement").otherwise("add_achievement"))
     order = Window.partitionBy("url").orderBy(F.desc("weight_closed"), F.col("kind") != "add_achievement", F.desc(F.size("closes")), "achievement_id")
