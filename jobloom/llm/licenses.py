@@ -206,10 +206,19 @@ def templates_of(rows: DataFrame) -> dict[str, str]:
 _FOUND = "doc_id long, license string, coverage double, start long, end long"
 
 
+def _boundless(keys: str) -> str:
+    """A pattern of all texts that hold a key as a word, and some more.
+
+    What ends a word to Python (``[^\\W_]``) and to Java differs (marks, joiners,
+    letters newer than one of them); no ASCII letter or digit ends one to either.
+    """
+    return f"(?iu)(?<![A-Za-z0-9])(?:{keys})(?![A-Za-z0-9])"
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start, end (code points) of every stretch that reaches the coverage."""
     keys = "|".join(map(re.escape, Templates(templates, coverage).every))
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(rf"(?iU)(?<![^\W_])(?:{keys})(?![^\W_])"))
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_boundless(keys)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, coverage)
