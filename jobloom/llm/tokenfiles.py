@@ -13,8 +13,9 @@ result is read back. Every file is written under a passing name and renamed when
 whole, under a name that depends on its range alone, so a repeated task does no
 harm; all of them lie in the shared folder.
 
-A source or group of copies that holds a third of all rows does not matter:
-ranges are even in rows. The count table is bounded by the vocabulary.
+A source, an id or a group of copies that holds a third of all rows does not
+matter: ranges are even in rows, and those of one id lie in neighbouring ones.
+The count table is bounded by the vocabulary.
 
 Defined results: a null text is empty and has the end id only; null doc_ids come
 first; equal doc_ids keep all their rows, side by side; extra columns are left
@@ -136,7 +137,9 @@ def raw_files(docs: DataFrame, at: str, path: str, ranges: int) -> DataFrame:
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, part)), pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], ["part", "id", "n"])
 
-    placed = docs.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows of one id, and equal rows, are dealt to neighbouring ranges by hashes of their text and place.
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "place"]
+    placed = docs.withColumns({"hash": F.xxhash64("text"), "place": F.xxhash64(F.monotonically_increasing_id())}).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return placed.mapInArrow(work, "part long, id long, n long")
 
 
