@@ -79,14 +79,17 @@ def named(digests: DataFrame, apart: DataFrame | None, h1: str, h2: str, check:
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", hashed=wide) -> DataFrame:
-    """``df`` with the column ``out``: 32 hex digits, with an ordinal behind them where different texts share a digest."""
+    """``df`` with the column ``out`` (in place of one of that name): 32 hex digits, with an ordinal behind them where different texts share a digest."""
     canon = canonical(F.col(f"`{text}`"))
     texts = df.select(canon.alias("canon"))
     digests = texts.select(*(h.alias(n) for h, n in zip(hashed(F.col("canon")), ("h1", "h2"), strict=True)))
-    base = df.withColumn("__canon", canon)
-    h1, h2 = hashed(F.col("__canon"))
-    base = base.withColumns({"__d1": h1, "__d2": h2, "__dm": F.md5(F.col("__canon"))}).drop("__canon")
-    return named(base, collisions(texts, digests, hashed), "__d1", "__d2", "__dm", out)
+    # The frame's own columns travel as one, so none of their names can meet those used here.
+    base = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), canon.alias("canon"))
+    h1, h2 = hashed(F.col("canon"))
+    base = base.select("row", h1.alias("d1"), h2.alias("d2"), F.md5("canon").alias("dm"))
+    found = named(base, collisions(texts, digests, hashed), "d1", "d2", "dm", "fingerprint")
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), F.col("fingerprint").alias(out))
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
