@@ -12,8 +12,10 @@ cut by finish-time bins before the one bin in which the budget ends is ordered.
 
 Defined results: a null or empty text has size 0, costs nothing, and is taken 0
 times; a null source is a source of its own, last in order; ties in finish time
-go by source, round, digest and doc_id; repeated rows are documents of their own
-(rows equal in all of these share their place); an empty table stays empty.
+go by source, round and digest; an empty table stays empty. Null and repeated ids
+are documents of their own: where an id (or null) occurs more than once, the
+digest is of the text's hash and of the row's number among equal rows as well, so
+each row has its own place, and which of equal rows is taken does not matter.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PERCENT, EPOCHS = 150, 2
 BUCKET_DIGITS = 3
 #: Bins of the finish time between 0 and 1.
 BINS = 65536
+#: Buckets in which equal rows are numbered, and salts of the rows that meet the table of repeated ids.
+NUMBERED, SALTS = 1024, 16
 #: Sources that may be broadcast: about 8 MB.
 BROADCAST_SOURCES = 100_000
 
@@ -62,24 +66,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return per.select("source", "source_size", "rank", F.when(F.col("full") | F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"), "budget")
 
 
-def shuffled_key(doc_id: Column, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (each with a ``row`` of its own) with their ``number`` among those of equal keys; no group is counted in one task."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("row"), F.lit(NUMBERED)))
+    sums = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    met = F.col("__part") == F.col("__own")
+    for k in keys:
+        met &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("row"))
+    rows = rows.withColumn("number", inside - 1).join(sums, met)
+    return rows.withColumn("number", F.col("number") + F.col("__before")).drop("__part", "__own", "__before", *(f"__{k}" for k in keys))
+
+
+def told_apart(sizes: DataFrame, at: str) -> DataFrame:
+    """``sizes`` with ``label``: empty where the id occurs once, else the text's hash and the row's number among equal rows."""
+    again = sizes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+    if again.isEmpty():
+        return sizes.withColumn("label", F.lit(""))
+    rows = sizes.withColumn("__own", F.pmod("row", F.lit(SALTS)).cast("int"))
+    rows = rows.join(again, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__salt")), "left")
+    marked = shared.written(rows.select(*sizes.columns, F.col("__salt").isNotNull().alias("again")), f"{at}/marked")
+    once = marked.filter("not again").drop("again").withColumn("label", F.lit(""))
+    more = numbered(marked.filter("again").drop("again"), ["doc_id", "source", "text_hash"])
+    return shared.written(once.unionByName(more.withColumn("label", F.concat_ws(":", F.lit(""), "text_hash", "number")).drop("number")), f"{at}/labelled")
+
+
+def shuffled_key(doc_id: Column, label: Column, epoch: Column) -> Column:
+    return F.md5(F.concat(epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")), label))
 
 
 def copies(sizes: DataFrame, per: DataFrame, few: bool, epochs: int = EPOCHS) -> DataFrame:
-    """row, size, budget, rank, epoch, key, doc_id, finish of every copy of a document with words that could be taken."""
+    """row, size, budget, rank, epoch, key, finish of every copy of a document with words that could be taken."""
     own = per.withColumnRenamed("source", "__source")
     near = sizes.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source"))).filter("size > 0")
     each = near.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
-    each = each.withColumn("key", shuffled_key(F.col("doc_id"), F.col("epoch")))
+    each = each.withColumn("key", shuffled_key(F.col("doc_id"), F.col("label"), F.col("epoch")))
     each = each.withColumn("bucket", F.concat(F.col("epoch").cast("string"), F.substring("key", 1, BUCKET_DIGITS)))
     sums = each.groupBy("rank", "bucket").agg(F.sum("size").alias("own"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("rank").alias("__rank"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("rank", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("own", F.sum("size").over(inside))
     each = each.join(offsets, (F.col("rank") == F.col("__rank")) & (F.col("bucket") == F.col("__bucket")))
-    return each.select("row", "size", "budget", "rank", "epoch", "key", "doc_id", ((F.col("offset") + F.col("own")).cast("double") / F.col("target")).alias("finish"))
+    return each.select("row", "size", "budget", "rank", "epoch", "key", ((F.col("offset") + F.col("own")).cast("double") / F.col("target")).alias("finish"))
 
 
 def taken_copies(each: DataFrame) -> DataFrame:
@@ -92,17 +123,17 @@ def taken_copies(each: DataFrame) -> DataFrame:
     near = binned.join(F.broadcast(cut), F.lit(True))
     whole = near.filter(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
     part = near.filter(F.col("bin") == F.col("cut_bin"))
-    order = Window.partitionBy("bin").orderBy("finish", "rank", "epoch", "key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("bin").orderBy("finish", "rank", "epoch", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.withColumn("__sum", F.sum("size").over(order) + F.col("before")).filter("__sum <= budget").drop("__sum")
     return whole.unionByName(part).select("row", "size")
 
 
 def mix(docs: DataFrame, at: str, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, source, text_hash, size, source_size, target, n_taken (copies), taken (words) of every row; rows equal in the first three are taken alike. ``at``: a shared folder for sizes and finish times."""
+    """doc_id, source, text_hash, size, source_size, target, n_taken (copies), taken (words) of every row. ``at``: a shared folder for sizes and finish times."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), n_words(text).alias("size"))
-    sizes = shared.written(rows.withColumn("row", F.monotonically_increasing_id()), f"{at}/sizes")
+    sizes = told_apart(shared.written(rows.withColumn("row", F.monotonically_increasing_id()), f"{at}/sizes"), at)
     per = shared.written(targets(sizes, weights, percent, epochs), f"{at}/targets")
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     each = shared.written(copies(sizes, per, few, epochs), f"{at}/copies")

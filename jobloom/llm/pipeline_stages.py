@@ -5,8 +5,8 @@ again, so it first deletes what that stage's operator kept in the shared folder.
 All stages but the last return the columns of ``documents``, whatever other
 columns came in. Null texts are empty texts to every operator; a null doc_id is
 an id like others; repeated rows and repeated ids are rows of their own to every
-stage but the second, in which they are copies or links by their texts; an empty
-table gives no rows.
+stage but the second, in which they are copies or links by their texts (texts
+without words stay, each of them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if found.select(F.countDistinct(key("doc_id")) == F.count("*")).first()[0]:
         ids = gone.select(key("doc_id").alias("__k"))
         return docs.withColumn("__k", key("doc_id")).join(jaccard_join.few(ids), "__k", "left_anti").select(*COLUMNS)
-    # doc_id repeats: rows are told apart by their texts too, and equal rows are one.
-    kept = found.join(least, "row", "left_semi").select(key("doc_id").alias("__k"), F.col("h").alias("__h"))
-    rows = docs.withColumns({"__k": key("doc_id"), "__h": F.xxhash64(text)}).join(kept, ["__k", "__h"], "left_semi")
-    return rows.dropDuplicates(["__k", "__h"]).select(*COLUMNS)
+    # doc_id repeats: rows are told apart by their texts too. Equal rows are copies and one of them stays, but rows without words are classes of their own.
+    kept = found.join(least, "row", "left_semi").select(key("doc_id").alias("__k"), F.col("h").alias("__h"), (F.col("n_shingles") > 0).alias("__copies")).distinct()
+    rows = docs.withColumns({"__k": key("doc_id"), "__h": F.xxhash64(text)}).join(jaccard_join.few(kept), ["__k", "__h"])
+    return rows.filter("__copies").dropDuplicates(["__k", "__h"]).unionByName(rows.filter("not __copies")).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +62,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     docs = _start(spark, docs)
     same = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))}
     mixed = mixing.mix(docs, shared.folder(spark, "mix")).withColumns(same)
-    got = mixed.groupBy("__k", "__s", F.col("text_hash").alias("__h")).agg(F.max("n_taken").alias("__n")).filter("__n > 0")
-    rows = docs.withColumns(same).withColumn("__h", F.xxhash64(F.col("text").cast("string"))).join(jaccard_join.few(got), ["__k", "__s", "__h"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*COLUMNS)
+    per = mixed.groupBy("__k", "__s", F.col("text_hash").alias("__h")).agg(F.sum("n_taken").alias("__n"), F.count("*").alias("__rows")).filter("__n > 0")
+    rows = docs.withColumns(same).withColumn("__h", F.xxhash64(F.col("text").cast("string"))).join(jaccard_join.few(per), ["__k", "__s", "__h"])
+    copies = rows.filter("__rows = 1").drop("__rows")
+    again = per.filter("__rows > 1")
+    if not again.isEmpty():
+        # Rows equal in id, source and text share what they were given: which of them comes once more does not matter.
+        equal = shared.written(rows.filter("__rows > 1").withColumn("row", F.monotonically_increasing_id()), shared.folder(spark, "equal"))
+        nth = mixing.numbered(equal, ["__k", "__s", "__h"])
+        share = F.floor(F.col("__n") / F.col("__rows")) + (F.col("number") < F.col("__n") % F.col("__rows")).cast("long")
+        copies = copies.unionByName(nth.withColumn("__n", share).filter("__n > 0").select(copies.columns))
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

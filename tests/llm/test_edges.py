@@ -100,6 +100,82 @@ def test_repeats_of_messy_rows(spark, messy):
 # Mixing, pipeline -----------------------------------------------------------------------------
 
 
+def mixed_rows():
+    """Three sources: ids of their own; one id (with different and equal texts); no ids at all, half of the rows equal."""
+    r = random.Random(3)
+    rows = []
+    for k in range(300):
+        source, i = [("a", k), ("b", 7), ("c", None)][k % 3]
+        text = " ".join("w" for _ in range(r.randint(20, 60))) + f" {k}"
+        rows.append((i, "same words again " * 8 if source != "a" and k % 2 else text, "en", source, 1))
+    return rows
+
+
+def test_mix_of_null_and_repeated_ids_reaches_its_targets(spark):
+    docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = mixing.mix(docs, at(spark)).collect()
+    largest = max(r["size"] for r in got)
+    assert len(got) == 300 and all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= largest
+    again = mixing.mix(docs.repartition(3), at(spark)).collect()
+    order = lambda rows: Counter((r.doc_id, r.source, r.text_hash, r.n_taken) for r in rows)
+    assert order(got) == order(again)
+    stage = pipeline_stages.mixing_stage(spark, docs, "").groupBy("doc_id", "source", F.xxhash64("text").alias("h")).count().collect()
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.source, r.text_hash] += r.n_taken
+    assert {(r.doc_id, r.source, r.h): r["count"] for r in stage} == +want
+
+
+def test_rows_are_numbered_in_groups_of_any_size(spark):
+    table = spark.range(5000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), F.lit("x").alias("t"))
+    got = Counter((r.k, r.number) for r in mixing.numbered(table, ["k", "t"]).collect())
+    sizes = Counter(k for k, _ in got)
+    assert sum(sizes.values()) == 5000 and all(got[k, n] == 1 for k in sizes for n in range(sizes[k]))
+
+
+def test_near_duplicates_keep_short_rows_without_ids(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, "", "en", "a", 0), (None, "", "en", "a", 0), (None, None, "en", "a", 0), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7), (None, long, "en", "a", 9), (None, long, "en", "a", 9), (4, long + " end", "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text or "") for r in pipeline_stages.near_duplicates_stage(spark, docs, "").collect())
+    assert got == Counter({(None, ""): 3, (3, "one two"): 1, (None, long): 1})
+
+
+def test_fingerprints_keep_columns_of_every_name(spark):
+    names = ["__canon", "__d1", "__d2", "__dm", "canon", "row", "h1", "d1", "dm", "__h1", "__check", "ordinal"]
+    table = spark.createDataFrame([(1, "a b", *names), (2, "A  B", *names), (3, None, *names)], ["doc_id", "text", *names])
+    weak = lambda c: (F.length(c).cast("long"), F.lit(1).cast("long"))
+    for hashed in (fingerprint.wide, weak):
+        got = fingerprint.fingerprints(table, hashed=hashed)
+        assert got.columns == [*table.columns, "fingerprint"] and all([r[c] for c in names] == names for r in got.collect())
+        assert len({r.fingerprint for r in got.collect()}) == 2
+
+
+def test_token_files_are_even_where_ids_are_not(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "RANGE_BYTES", 1 << 14)
+    table = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("equal words of a text")).otherwise(F.concat(F.lit("other words "), "id")).alias("text")).repartition(4)
+    where = at(spark)
+    files = tokenfiles.write_tokens(table, where, bpe.public_path()).orderBy("part").collect()
+    sizes = [r.bytes for r in files]
+    assert len(sizes) >= 4 and max(sizes) < 2.5 * sum(sizes) / len(sizes)
+    rows = tokenfiles.read_files(spark.createDataFrame(files), where, 2).orderBy("start").collect()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids) and len(ids) == 4000
+
+
+@pytest.mark.parametrize("sign", ["\u0301", "\u200d", "_", "\u20ac", "\u00a0", "\u2167"])
+def test_licenses_are_found_whatever_stands_beside_their_words(spark, sign):
+    text = licenses.TEMPLATES["MIT"] if "MIT" in licenses.TEMPLATES else next(iter(licenses.TEMPLATES.values()))
+    texts = [text.replace(" ", f"{sign} "), text.replace(" ", f" {sign}"), f"{sign}{text}{sign}", text.upper()]
+    known = licenses.Templates(licenses.TEMPLATES)
+    want = Counter((k, *x) for k, t in enumerate(texts) for x in known.find(t))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in rows) == want and (sign == "\u2167" or len({k for k, *_ in want}) == 4)
+
+
 def test_mixing_stage_gives_each_row_its_own_copies(spark):
     r = random.Random(2)
     rows = [(i % 9, " ".join("w" for _ in range(r.randint(0, 30))) + f" {i}", "en", f"s{i % 4}" if i % 5 else None, i) for i in range(80)]
