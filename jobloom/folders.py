@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: dict[str, SparkSession] = {}
@@ -47,6 +48,30 @@ def drop(spark: SparkSession, at: str) -> None:
     _KEPT.pop(at, None)
 
 
+def appear(spark: SparkSession, passing: str, final: str) -> bool:
+    """Give a whole file its final name, in one step that replaces no file; False if the name is taken."""
+    if final.startswith("file:"):
+        source, target = ("/" + x.removeprefix("file:").lstrip("/") for x in (passing, final))
+        try:
+            os.link(source, target)  # FileContext looks before it renames on local and mounted folders; a link does not
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(source)
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(final).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(path(passing), path(final), none)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        drop(spark, passing)
+        return False
+
+
 def written(df: DataFrame, at: str) -> DataFrame:
     """The rows of ``df``, written as Parquet: cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(at)

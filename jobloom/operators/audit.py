@@ -21,12 +21,16 @@ def tallies(enriched: DataFrame) -> DataFrame:
     return enriched.select(each.alias("e")).groupBy("e.measure", "e.value").agg(F.count("*").alias("n"))
 
 
+def totals(enriched: DataFrame) -> list[Column]:
+    """Aggregates of a run: fetched, candidates, contracts among them, clearance and rate rejections that alone kept a row out (A2); for ``agg`` or ``observe``."""
+    passes = screen.passes_filters()
+    rate = screen.passes_content_filters() & screen.rate_reject().isNotNull()
+    return [F.count(F.lit(1)).alias("fetched"), F.count_if(passes).alias("candidates"), F.count_if(passes & (F.col("employment_type") == "contract")).alias("contracts"), F.count_if(screen.would_show_but_for_clearance()).alias("clearance_only"), F.count_if(rate).alias("rate_only")]
+
+
 def run_totals(enriched: DataFrame) -> DataFrame:
-    """One row: fetched, candidates, contracts among them, clearance and rate rejections that alone kept a row out (A2)."""
-    passes = F.col("passes")
-    content = screen.passes_content_filters()
-    rows = enriched.withColumns({"passes": screen.passes_filters(), "__rate": content & screen.rate_reject().isNotNull(), "__clear": screen.would_show_but_for_clearance()})
-    return rows.agg(F.count("*").alias("fetched"), F.count_if(passes).alias("candidates"), F.count_if(passes & (F.col("employment_type") == "contract")).alias("contracts"), F.count_if("__clear").alias("clearance_only"), F.count_if("__rate").alias("rate_only"))
+    """One row of the aggregates of a run (A2)."""
+    return enriched.agg(*totals(enriched))
 
 
 def per_source(batch: DataFrame, new: DataFrame) -> DataFrame:

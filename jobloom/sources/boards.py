@@ -9,15 +9,17 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from jobloom import schemas
 from jobloom.functions.text import redact
@@ -296,36 +298,127 @@ def fetch_board(company: str, ats: str, slug: str, get: Callable = http_get, sea
 
 
 class BoardPartition(InputPartition):
-    def __init__(self, rows: list):
+    def __init__(self, board: dict | None, poll: int | None = None):
         super().__init__(0)
-        self.rows = rows
+        self.board, self.poll = board, poll
+
+
+def board_key(board: dict) -> str:
+    return f"{board['ats']}-{board.get('slug') or board['name']}"
+
+
+def asked(board: dict, days: str | None) -> Iterator[tuple]:
+    """Raw rows of one board now; ``days`` is the age up to which an aggregator is asked for adverts."""
+    params = dict(board.get("params") or {})
+    if days is not None and board["ats"] == "adzuna":
+        params.setdefault("max_days_old", days)
+    return fetch_board(board["name"], board["ats"], board.get("slug"), http_get, board.get("search") or "", params)
+
+
+def stored_response(board: dict, path: str) -> tuple:
+    try:
+        with open(path, encoding="utf-8") as f:
+            return board["name"], board["ats"], board.get("slug"), f.read(), None
+    except OSError as e:
+        return board["name"], board["ats"], board.get("slug"), None, f"{type(e).__name__}"
 
 
 class BoardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.boards = json.loads(options.get("boards", "[]"))
-        self.files = options.get("files")
+        self.files, self.days = options.get("files"), options.get("max_days_old")
 
     def partitions(self):
-        return [BoardPartition([b]) for b in self.boards] or [BoardPartition([])]
+        return [BoardPartition(b) for b in self.boards] or [BoardPartition(None)]
 
     def read(self, partition):
-        get = http_get
-        if self.files:  # stored responses: a folder of <ats>-<slug>.json
-            get = None
-        for b in partition.rows:
-            if get is None:
-                try:
-                    with open(f"{self.files}/{b['ats']}-{b['slug']}.json", encoding="utf-8") as f:
-                        yield b["name"], b["ats"], b["slug"], f.read(), None
-                except OSError as e:
-                    yield b["name"], b["ats"], b["slug"], None, f"{type(e).__name__}"
-            else:
-                yield from fetch_board(b["name"], b["ats"], b.get("slug"), get, b.get("search") or "", b.get("params"))
+        b = partition.board
+        if b and self.files:  # stored responses: a folder of <ats>-<slug>.json
+            yield stored_response(b, f"{self.files}/{board_key(b)}.json")
+        elif b:
+            yield from asked(b, self.days)
+
+
+class BoardStream(DataSourceStreamReader):
+    """Boards polled again and again: the offset of a stream holds, for each board, how many of its polls are behind it.
+
+    A poll is asked for when its batch runs, one partition a board, and a failure
+    is a row of it. A batch that runs again after a failure must give the same
+    rows, so responses are kept below ``landing`` (a shared folder) from when they
+    came until their batch is committed. Polls are due every ``every`` seconds;
+    those that nobody asked for in time cannot be had, and the last one stands for
+    them. With ``files``, a folder of stored polls <ats>-<slug>.<number>.json, each
+    of these is read once, in order.
+    """
+
+    def __init__(self, options: dict):
+        self.boards = {board_key(b): b for b in json.loads(options.get("boards", "[]"))}
+        self.files, self.days, self.landing = options.get("files"), options.get("max_days_old"), options.get("landing")
+        self.every = float(options.get("every", 3600))
+        if not self.files and not self.landing:
+            raise ValueError("a stream of boards needs the option landing: a shared folder in which responses stay until they are committed")
+
+    def _due(self, key: str) -> int:
+        if not self.files:
+            return int(time.time() // self.every) + 1
+        n = 0
+        while os.path.exists(f"{self.files}/{key}.{n}.json"):
+            n += 1
+        return n
+
+    def initialOffset(self) -> dict:
+        return {key: 0 if self.files else self._due(key) - 1 for key in self.boards}
+
+    def latestOffset(self) -> dict:
+        return {key: self._due(key) for key in self.boards}
+
+    def partitions(self, start: dict, end: dict) -> list:
+        out = []
+        for key, upto in end.items():
+            # A board that the stream did not have before begins with its first stored poll, or now.
+            since = start.get(key, 0 if self.files else upto - 1)
+            polls = range(since, upto) if self.files else range(max(since, upto - 1), upto)
+            out += [BoardPartition(self.boards[key], n) for n in polls if key in self.boards]
+        return out
+
+    def _landed(self, key: str, poll: int):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.landing)
+        return store, f"{folder}/{key}.{poll}.json"
+
+    def read(self, partition):
+        b, poll = partition.board, partition.poll
+        key = board_key(b)
+        if self.files:
+            yield stored_response(b, f"{self.files}/{key}.{poll}.json")
+            return
+        store, path = self._landed(key, poll)
+        if not store.get_file_info(path).is_file:
+            rows = list(asked(b, self.days))
+            store.create_dir(os.path.dirname(path), recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
+                f.write(json.dumps(rows).encode())
+            store.move(part, path)
+        with store.open_input_stream(path) as f:
+            yield from map(tuple, json.loads(f.read()))
+
+    def commit(self, end: dict) -> None:
+        """Landed responses behind the offset go."""
+        if self.files:
+            return
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.landing)
+        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            key, _, rest = info.base_name.rpartition(".json")[0].rpartition(".")
+            if rest.isdigit() and int(rest) < end.get(key, 0):
+                store.delete_file(info.path)
 
 
 class BoardSource(DataSource):
-    """spark.read.format("jobboards").option("boards", json).load(): one partition a board, failures kept apart."""
+    """spark.read.format("jobboards").option("boards", json).load(): one partition a board, failures kept apart; spark.readStream polls them."""
 
     @classmethod
     def name(cls):
@@ -336,3 +429,6 @@ class BoardSource(DataSource):
 
     def reader(self, schema):
         return BoardReader(self.options)
+
+    def streamReader(self, schema):
+        return BoardStream(self.options)

@@ -1,12 +1,16 @@
-"""Incremental runs: each micro-batch of postings against the stored tables, which a new snapshot replaces.
-
-The state is a folder of versions with numbers of its own. A version is one small
-file that names the folder of its tables and the batch that made it, and appears
-by a rename when it is whole; until then the version before it counts. A batch
-that a stream runs again after a failure is looked up among the versions: it is
-left alone if it was committed, else it meets the same tables and, as its rows
-are put in an order of their own, gives the same ones. A stream with a new
-checkpoint goes on from the last version, whatever number its batches start at.
+"""Incremental runs: each micro-batch of postings against the stored tables, of which it rewrites only the buckets it touches.
+
+The tables lie in buckets of the url's hash. A batch's changes are keyed by urls of
+the batch, so it reads narrow columns of whole tables (to tell what is new and what
+repeats an earlier posting), but whole rows of its own buckets only, and writes
+these anew. A version is one small file that names, for each table and bucket, the
+write that holds it, and for each stream its last batch. It appears in one step
+that replaces no file; until then the version before it counts. Versions behind
+the last few are deleted with the buckets that only they name.
+
+A batch that a stream runs again after a failure is left alone if it was committed,
+else it meets the same tables and, as its rows are put in an order of their own,
+gives the same ones. A stream with a new checkpoint goes on from the last version.
 """
 
 from __future__ import annotations
@@ -14,22 +18,35 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom import folders, schemas
-from jobloom.operators import arrivals, duplicates, screen, store
+from jobloom.operators import arrivals, audit, duplicates, screen, store
 
 TABLES = {"seen_jobs": schemas.SEEN_JOBS, "job_details": schemas.JOB_DETAILS, "user_status": schemas.USER_STATUS}
+#: Buckets of each table; versions that stay.
+BUCKETS, KEPT = 1024, 3
 
 
-def run_batch(tables: dict[str, DataFrame], batch: DataFrame, now: str, at: str | None = None) -> dict[str, DataFrame]:
-    """One run over a batch (schemas.POSTING and ordinal): heartbeat, new postings, screens, links, inherited statuses, refreshed contracts. ``at``: a shared folder for what is new."""
+def bucket(url: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def run_batch(tables: dict[str, DataFrame], batch: DataFrame, now: str, at: str | None = None, own: dict[str, DataFrame] | None = None, totals: Observation | None = None) -> dict[str, DataFrame]:
+    """One run over a batch (schemas.POSTING and ordinal): heartbeat, new postings, screens, links, inherited statuses, refreshed contracts.
+
+    ``own``: of each table the rows that may be changed, which hold all urls of the
+    batch (by default the whole tables); these are returned as they are then.
+    ``totals`` observes the figures of ``audit.run_totals`` over the new postings
+    while they are written. ``at``: a shared folder for what is new.
+    """
     seen, details, statuses = (tables[t] for t in TABLES)
+    own_seen, own_details, own_statuses = ((own or tables)[t] for t in TABLES)
     at = at or folders.folder(batch.sparkSession, "run")
     new = folders.written(arrivals.new_postings(batch, seen, f"{at}/rounds"), f"{at}/new")
-    known = batch.join(new.select("url"), "url", "left_anti")
-    fresh = folders.written(screen.enrich(new), f"{at}/screened")
+    screened = screen.enrich(new)
+    fresh = folders.written(screened.observe(totals, *audit.totals(screened)) if totals else screened, f"{at}/screened")
     fresh = fresh.withColumns({"passed_filters": screen.passes_filters(), "fetched_at": F.lit(now), "last_listed_at": F.lit(None).cast("string")})
     # Arrival order is the clock within a batch.
     moment = F.concat(F.lit(now), F.lit(" "), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
@@ -37,70 +54,107 @@ def run_batch(tables: dict[str, DataFrame], batch: DataFrame, now: str, at: str
     links = duplicates.originals(fresh.withColumn("fetched_at", moment), both).withColumnRenamed("original", "duplicate_of")
     fresh = schemas.conform(fresh.join(links, "url", "left").select(*schemas.JOB_DETAILS.names), schemas.JOB_DETAILS)
     fresh = folders.written(fresh, f"{at}/fresh")
-    listed = store.mark_listed(details, batch, now)
+    known = batch.join(new.select("url"), "url", "left_anti")
+    listed = store.mark_listed(own_details, batch, now)
     again = screen.enrich(known.dropDuplicates(["url"]))
     refreshed = store.refresh_contract(listed, again).drop("changed")
     # Links and times of known rows stay as they are, so statuses need none of what is screened again.
     slim = ("url", "duplicate_of", "fetched_at")
     found = duplicates.inheritances(store.replace(details.select(*slim), fresh.select(*slim)), statuses, new)
-    details = store.replace(refreshed, fresh)
-    statuses = store.save_inherited(statuses, found, now)
-    seen = store.insert_new(seen, new.select("url", "company_title_key", "company", "title", F.lit(now).alias("first_seen_at")))
+    # Rows without url have no row to replace, and none is like another.
+    details = store.replace(refreshed, fresh.filter("url is not null")).unionByName(fresh.filter("url is null"))
+    statuses = store.save_inherited(own_statuses, found, now)
+    seen = own_seen.unionByName(new.select("url", "company_title_key", "company", "title", F.lit(now).alias("first_seen_at")))
     return {"seen_jobs": seen, "job_details": details, "user_status": statuses}
 
 
 class State:
     """Versions of the stored tables below a folder."""
 
-    def __init__(self, spark: SparkSession, at: str):
-        self.spark, self.at = spark, at
+    def __init__(self, spark: SparkSession, at: str, buckets: int = BUCKETS, keep: int = KEPT):
+        self.spark, self.at, self.buckets, self.keep = spark, at, buckets, keep
 
-    def _heads(self) -> list[tuple[int, dict]]:
-        """The whole versions, the last one first."""
+    def _versions(self) -> list[int]:
+        """Numbers of the versions, the last one first."""
         fs, p = folders.hadoop(self.spark, f"{self.at}/versions")
         names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-        out = []
-        for n in sorted((int(x) for x in names if x.isdigit()), reverse=True):
-            f = fs.open(folders.hadoop(self.spark, f"{self.at}/versions/{n}")[1])
-            try:
-                if head := json.loads(bytes(f.readAllBytes()).decode() or "null"):
-                    out.append((n, head))
-            except ValueError:
-                pass  # not whole: it does not count
-            finally:
-                f.close()
-        return out
+        return sorted((int(x) for x in names if x.isdigit()), reverse=True)
+
+    def _head(self, version: int) -> dict | None:
+        """What a version names; None of a file that is not whole."""
+        fs, path = folders.hadoop(self.spark, f"{self.at}/versions/{version}")
+        f = fs.open(path)
+        try:
+            return json.loads(bytes(f.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            f.close()
+
+    def _last(self) -> tuple[int | None, dict]:
+        """The last whole version."""
+        for n in self._versions():
+            if head := self._head(n):
+                return n, head
+        return None, {"buckets": self.buckets, "batches": {}, "tables": {t: {} for t in TABLES}}
 
     def current(self) -> int | None:
-        return next((n for n, _ in self._heads()), None)
+        return self._last()[0]
 
     def done(self, batch: str) -> bool:
-        """Whether one of the versions was made by this batch."""
-        return any(h["batch"] == batch for _, h in self._heads())
-
-    def tables(self) -> dict[str, DataFrame]:
-        """The tables of the last version."""
-        head = next((h for _, h in self._heads()), None)
-        if head is None:
-            return {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()}
-        return {t: self.spark.read.schema(s).parquet(f"{self.at}/data/{head['data']}/{t}") for t, s in TABLES.items()}
-
-    def commit(self, tables: dict[str, DataFrame], batch: str = "") -> int:
-        """Write the tables and make them the next version."""
-        version = max((n for n, _ in self._heads()), default=-1) + 1
+        """Whether this batch (``stream#number``) was committed, or a later one of its stream."""
+        stream, _, number = batch.rpartition("#")
+        return self._last()[1]["batches"].get(stream, -1) >= int(number)
+
+    def touched(self, urls: DataFrame) -> list[int]:
+        """Buckets of the urls: as many numbers as there are buckets, at most."""
+        n = self._last()[1]["buckets"]
+        return [r[0] for r in urls.select(bucket(F.col("url"), n)).distinct().collect()]
+
+    def tables(self, only: list[int] | None = None) -> dict[str, DataFrame]:
+        """The tables of the last version, or these buckets of them."""
+        head, out = self._last()[1], {}
+        for t, s in TABLES.items():
+            parts = [f"{self.at}/data/{data}/{t}/bucket={b}" for b, data in head["tables"][t].items() if only is None or int(b) in only]
+            out[t] = self.spark.read.schema(s).parquet(*parts) if parts else self.spark.createDataFrame([], s)
+        return out
+
+    def commit(self, tables: dict[str, DataFrame], batch: str = "", only: list[int] | None = None) -> int:
+        """Write the rows of these buckets (by default: of all) and make them the next version, made by ``batch`` (``stream#number``)."""
+        head, version = self._last()[1], next(iter(self._versions()), -1) + 1
         data = f"{version}-{uuid.uuid4().hex}"
         for t, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.at}/data/{data}/{t}")
+            at = f"{self.at}/data/{data}/{t}"
+            df.withColumn("bucket", bucket(F.col("url"), head["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(at)
+            fs, p = folders.hadoop(self.spark, at)
+            there = {x.getPath().getName().removeprefix("bucket="): data for x in fs.listStatus(p) if x.isDirectory()}
+            if only is not None and not set(map(int, there)) <= set(only):
+                raise ValueError(f"{t} has rows outside the buckets that are rewritten")
+            stay = {} if only is None else {b: d for b, d in head["tables"][t].items() if int(b) not in only}
+            head["tables"][t] = stay | there
+        if batch:
+            stream, _, number = batch.rpartition("#")
+            head["batches"][stream] = int(number)
         fs, passing = folders.hadoop(self.spark, f"{self.at}/versions/_{uuid.uuid4().hex}")
         out = fs.create(passing, False)
-        out.write(bytearray(json.dumps({"data": data, "batch": batch}).encode()))
+        out.write(bytearray(json.dumps(head).encode()))
         out.close()
-        final = folders.hadoop(self.spark, f"{self.at}/versions/{version}")[1]
-        if fs.exists(final) or not fs.rename(passing, final):
-            fs.delete(passing, False)
+        if not folders.appear(self.spark, passing.toString(), f"{self.at}/versions/{version}"):
+            folders.drop(self.spark, f"{self.at}/data/{data}")
             raise RuntimeError(f"version {version} was committed by another writer")
+        self._forget()
         return version
 
+    def _forget(self) -> None:
+        """Delete versions behind the last ``keep``, and the buckets that none of the others names."""
+        numbers = self._versions()
+        named = lambda head: {(data, t, b) for t, own in (head or {"tables": {}})["tables"].items() for b, data in own.items()}
+        stay = set().union(*(named(self._head(n)) for n in numbers[: self.keep]))
+        for n in numbers[self.keep :]:
+            for data, t, b in named(self._head(n)) - stay:
+                folders.drop(self.spark, f"{self.at}/data/{data}/{t}/bucket={b}")
+            folders.drop(self.spark, f"{self.at}/versions/{n}")
+
 
 def numbered(rows: DataFrame, at: str) -> DataFrame:
     """Rows with their ``ordinal``, written below ``at``; rows that come without one are numbered in an order of their contents, which a repeated batch has again."""
@@ -109,15 +163,19 @@ def numbered(rows: DataFrame, at: str) -> DataFrame:
     return folders.written(rows, at)
 
 
-def start(postings: DataFrame, state: State, checkpoint: str, clock, **trigger):
-    """A streaming query that runs each micro-batch of ``postings`` into the state; ``clock()`` gives its time as text."""
+def start(postings: DataFrame, state: State, checkpoint: str, clock, report=None, **trigger):
+    """A streaming query that runs each micro-batch of ``postings`` into the state; ``clock()`` gives its time as text, ``report(number, totals)`` gets each run's totals."""
 
     def each(batch: DataFrame, number: int) -> None:
         name = f"{checkpoint}#{number}"
         if state.done(name):
             return
         at = folders.folder(state.spark, "ingest")
-        state.commit(run_batch(state.tables(), numbered(batch, f"{at}/batch"), clock(), at), name)
+        rows, totals = numbered(batch, f"{at}/batch"), Observation("run")
+        only = state.touched(rows)
+        state.commit(run_batch(state.tables(), rows, clock(), at, state.tables(only), totals), name, only)
         folders.drop(state.spark, at)
+        if report:
+            report(number, totals.get)
 
     return postings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,13 +1,16 @@
 """Duplicates, mutations, arrivals, the incremental run and coverage on small tables."""
 
 import itertools
+import json
+import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from jobloom import schemas
+from jobloom import folders, schemas
 from jobloom.functions import terms as T
-from jobloom.operators import arrivals, board, coverage, duplicates, store
+from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
 from jobloom.sources import boards, pages
 from jobloom.streaming import ingest
 
@@ -76,6 +79,156 @@ def test_arrivals_are_sequential(spark):
         assert got == brute_new([(u, f"{k}::::") for u, k in batch], [("u9", "k3::::")])
 
 
+def sized(rows, spark):
+    return spark.createDataFrame([(u, k, "", "", i) for i, (u, k) in enumerate(rows)], "url string, company string, title string, location string, ordinal long")
+
+
+def chain(n):
+    """Each row shares its url with the one before or its key with it, so that every second row is new."""
+    return [(f"u{(i + 1) // 2}", f"k{i // 2}") for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["no url", "chain", "mixed"])
+def test_arrivals_take_as_many_jobs_for_long_chains(spark, tmp_path, kind):
+    r = random.Random(6)
+    batch = {"no url": [(None, f"k{r.randrange(60)}") for _ in range(10_000)], "chain": chain(10_000), "mixed": [(r.choice([None, f"u{r.randrange(300)}"]), f"k{r.randrange(400)}") for _ in range(3000)] + [(f"v{u}", k) for u, k in chain(64)] + [("hot", f"h{i}") for i in range(900)]}[kind]
+    seen = [("u9", "k3::::"), (None, "k5::::")]
+    got = arrivals.new_postings(sized(batch, spark), spark.createDataFrame(seen, "url string, company_title_key string"), f"file://{tmp_path}/rounds")
+    urls, keys, want = {u for u, _ in seen if u}, {k for _, k in seen}, []
+    for i, (u, k) in enumerate(batch):
+        if u not in urls and f"{k}::::" not in keys:
+            want.append(i)
+            keys.add(f"{k}::::")
+            if u is not None:
+                urls.add(u)
+    assert [x.ordinal for x in got.orderBy("ordinal").collect()] == want
+    tables = [x for x in tmp_path.rglob("_SUCCESS")]
+    assert len(tables) <= (3 if kind == "no url" else 26)
+
+
+def test_components(spark, tmp_path):
+    from jobloom.operators.components import components
+
+    edges = [(i, i + 1) for i in range(1, 200)] + [(500, 300 + i) for i in range(50)] + [(901, 900), (900, 901), (902, 902)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/c").collect()}
+    assert got == {i: 1 for i in range(1, 201)} | {300 + i: 300 for i in range(50)} | {500: 300, 900: 900, 901: 900}
+    assert components(spark.createDataFrame([], "a long, b long"), f"file://{tmp_path}/none").count() == 0
+
+
+def test_batches_rewrite_only_their_buckets(spark, tmp_path):
+    def rows(numbers):
+        listed = [(f"u{i}" if i % 17 else None, f"Company {i % 40}", f"QA Engineer {i}", "London", "We test Java services. Active SC clearance is required." if i % 3 else "We test Java services.", i) for i in numbers]
+        frame = spark.createDataFrame(listed, "url string, company string, title string, location string, description string, ordinal long")
+        return frame.select(*(F.col(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.POSTING), "ordinal")
+
+    state = ingest.State(spark, f"file://{tmp_path}/state", buckets=64, keep=2)
+    first, second = rows(range(1, 300)), rows([*range(1, 6), *range(300, 306)])
+    state.commit(ingest.run_batch(state.tables(), first, "2026-01-01 00:00:00"), "s#0")
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state/data").rglob("part-*.parquet")}
+    before = files()
+    whole = {k: sorted(map(str, v.collect())) for k, v in ingest.run_batch(state.tables(), second, "2026-01-02 00:00:00").items()}
+    only = state.touched(second)
+    assert 0 < len(only) <= 11
+    seen_totals = Observation("run")
+    state.commit(ingest.run_batch(state.tables(), second, "2026-01-02 00:00:00", own=state.tables(only), totals=seen_totals), "s#1", only)
+    after = files()
+    assert {p: t for p, t in after.items() if p in before} == before
+    written = {p.split("bucket=")[1].split("/")[0] for p in set(after) - set(before)}
+    assert written <= set(map(str, only))
+    assert {k: sorted(map(str, v.collect())) for k, v in state.tables().items()} == whole
+    # Totals come from the run itself.
+    new = arrivals.new_postings(second, ingest.State(spark, f"file://{tmp_path}/none").tables()["seen_jobs"].unionByName(spark.createDataFrame([(f"u{i}", "", "", "", "") for i in range(1, 6)], schemas.SEEN_JOBS)))
+    assert seen_totals.get == audit.run_totals(screen.enrich(new)).first().asDict() and seen_totals.get["clearance_only"] > 0
+    # Old versions go, with the buckets that only they name.
+    for k in (2, 3):
+        state.commit(ingest.run_batch(state.tables(), second, f"2026-01-0{k} 00:00:00", own=state.tables(only)), f"s#{k}", only)
+    assert state.done("s#3") and state.done("s#1") and not state.done("s#4")
+    assert sorted(p.name for p in (tmp_path / "state/versions").iterdir() if not p.name.startswith(".")) == ["2", "3"]
+    assert not set(after) - set(before) & set(files()) or len(files()) < len(after)
+    with pytest.raises(ValueError):
+        state.commit(ingest.run_batch(state.tables(), first, "2026-01-09 00:00:00"), "s#4", only)
+
+
+def test_polled_boards_survive_restarts(spark, tmp_path):
+    """Each stored poll is read once, over three starts of the stream, one of them after a batch that failed."""
+    job = lambda k: {"title": f"QA Engineer {k}", "absolute_url": f"g{k}", "location": {"name": "London"}, "first_published": None, "updated_at": "2026-01-01", "content": "We test Java services."}
+    poll = lambda n, ks, board="acme": (tmp_path / f"greenhouse-{board}.{n}.json").write_text(json.dumps({"jobs": [job(k) for k in ks]}))
+    spark.dataSource.register(boards.BoardSource)
+    listed = [{"name": "Acme", "ats": "greenhouse", "slug": "acme"}, {"name": "Bee", "ats": "greenhouse", "slug": "bee"}]
+    state, polls, fail = ingest.State(spark, f"file://{tmp_path}/state", buckets=8), [], [False]
+
+    def each(raw, number):
+        polls.append((number, sorted(len(json.loads(r.body)["jobs"]) for r in raw.collect())))
+
+    def run():
+        source = lambda: spark.readStream.format("jobboards").option("boards", json.dumps(listed)).option("files", str(tmp_path)).load()
+        raw = source().writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/raw").trigger(availableNow=True).start()
+        raw.awaitTermination()
+
+        def clock():
+            if fail[0]:
+                raise RuntimeError("lost")
+            return "2026-01-01 00:00:00"
+
+        q = ingest.start(boards.parse(source()).select(*schemas.POSTING.names), state, f"{tmp_path}/ck", clock, availableNow=True)
+        q.awaitTermination()
+
+    poll(0, [1, 2])
+    poll(0, [7], "bee")
+    run()
+    poll(1, [2, 3])
+    poll(2, [3, 4, 5])
+    fail[0] = True
+    with pytest.raises(Exception, match="lost"):
+        run()
+    fail[0] = False
+    poll(3, [])
+    run()
+    assert [p for _, p in polls] == [[1, 2], [2, 3], [0]]
+    seen = [r.url for r in state.tables()["seen_jobs"].collect()]
+    assert sorted(seen) == ["g1", "g2", "g3", "g4", "g5", "g7"]
+
+
+def test_landed_polls_are_read_again(monkeypatch, tmp_path):
+    asked = []
+
+    def get(url, body=None):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError("no route, app_key=secret&x=1")
+        return json.dumps({"jobs": [], "n": len(asked)})
+
+    monkeypatch.setattr(boards, "http_get", get)
+    listed = [{"name": "A", "ats": "greenhouse", "slug": "a"}, {"name": "B", "ats": "lever", "slug": "bad"}, {"name": "C", "ats": "adzuna", "params": {"what": "qa"}}]
+    for k in ("APP_ID", "APP_KEY"):
+        monkeypatch.setenv(f"ADZUNA_{k}", "x")
+    options = {"boards": json.dumps(listed), "landing": f"file://{tmp_path}/landing", "every": "3600", "max_days_old": "14"}
+    with pytest.raises(ValueError):
+        boards.BoardStream({"boards": "[]"})
+    stream = boards.BoardStream(options)
+    start, end = stream.initialOffset(), stream.latestOffset()
+    assert set(start) == {"greenhouse-a", "lever-bad", "adzuna-C"} and all(end[k] - start[k] == 1 for k in end)
+    parts = stream.partitions({"greenhouse-a": start["greenhouse-a"] - 40}, end)
+    assert [(p.board["slug"] if "slug" in p.board else None, p.poll) for p in parts] == [("a", end["greenhouse-a"] - 1), ("bad", end["lever-bad"] - 1), (None, end["adzuna-C"] - 1)]
+    once = [list(stream.read(p)) for p in parts]
+    assert len(asked) == 3 and "max_days_old=14" in asked[2] and once[1][0][3] is None and "secret" not in once[1][0][4]
+    again = boards.BoardStream(options)
+    assert [list(again.read(p)) for p in parts] == once and len(asked) == 3
+    again.commit(start)
+    assert len(list((tmp_path / "landing").iterdir())) == 3
+    again.commit(end)
+    assert not list((tmp_path / "landing").iterdir())
+    assert stream.partitions(end, end) == []
+
+
+def test_a_version_is_made_once(spark, tmp_path):
+    final, uri = tmp_path / "7", f"file://{tmp_path}"
+    for k in (1, 2):
+        (tmp_path / f"_{k}").write_text(str(k))
+        assert folders.appear(spark, f"{uri}/_{k}", f"{uri}/7") is (k == 1)
+    assert final.read_text() == "1" and [p.name for p in tmp_path.iterdir()] == ["7"]
+
+
 def test_incremental_runs_equal_one_batch(spark, tmp_path):
     p = [("greenhouse", "Acme", "QA Engineer", "London"), ("lever", "Acme", "QA Engineer", "UK"), ("lever", "Bee", "SDET", "London"), ("lever", "Acme", "QA Engineer", "London"), ("lever", "Bee", "SDET", "London")]
     rows = [(f"u{i}", c, t, place, None, "We test Java services.", "unknown", None, None, None, s, i) for i, (s, c, t, place) in enumerate(p)]
@@ -180,8 +333,6 @@ def test_boards_are_parsed(spark, tmp_path):
     for k, v in bodies.items():
         (tmp_path / f"{k}-s.json").write_text(v)
     spark.dataSource.register(boards.BoardSource)
-    import json
-
     listed = [{"name": "Acme", "ats": k, "slug": "s"} for k in [*bodies, "ashby"]]
     raw = spark.read.format("jobboards").option("boards", json.dumps(listed)).option("files", str(tmp_path)).load()
     got = {r.url: r for r in boards.parse(raw).collect()}
