@@ -1,4 +1,4 @@
-"""Posting dates in their five shapes, ages and windows. ``now`` is always passed in."""
+"""Posting dates in their shapes, ages and windows. ``now`` is always passed in."""
 
 from __future__ import annotations
 
@@ -9,8 +9,38 @@ WINDOWS = {"7": 7, "30": 30, "90": 90, "180": 180}
 _AGO = r"(?i)^\s*(?:about\s+|around\s+|circa\s+|over\s+)?(\d+)\s*(minute|hour|day|week|month|year)s?\s*(?:ago|old)?\s*$"
 
 
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_CLOCK = r"(?:[\s,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?)?\s*(?:(?:Z|UTC|GMT)?([+-]\d{2}:?\d{2})|(Z|UTC|GMT))?$"
+_WORD = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+#: Written dates: a pattern, and which groups hold year, month and day.
+_WRITTEN = (
+    (rf"(?i)^(?:[a-z]+[.,:]?\s+)*(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{_WORD}[\s,-]+(\d{{4}})", (3, 2, 1)),
+    (rf"(?i)^(?:[a-z]+[.,:]?\s+)*?{_WORD}\s+(\d{{1,2}})(?:st|nd|rd|th)?[\s,]+(\d{{4}})", (3, 1, 2)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", (1, 2, 3)),
+)
+
+
+def _written(t: Column) -> Column:
+    """Timestamp of dates such as '16 Sep 2026', 'Sep 16, 2026', 'Wed, 16 Sep 2026 04:04:36 GMT', '9/16/2026'; days beyond a month's last run on."""
+    found = []
+    for head, places in _WRITTEN:
+        p = head + _CLOCK
+        g = lambda k, p=p: F.regexp_extract(t, p, k)
+        n = lambda k, g=g: g(k).try_cast("int")
+        year, month, day = places
+        number = ((F.instr(F.lit(_MONTHS), F.substring(F.lower(g(month)), 1, 3)) + 2) / 3).cast("int") if "jan|feb" in head else n(month)
+        valid = t.rlike(p) & number.between(1, 12) & n(day).between(1, 31)
+        date = F.date_add(F.make_date(F.when(valid, n(year)), F.when(valid, number), F.lit(1)), n(day) - 1)
+        hour = F.when(F.lower(g(7)) == "pm", n(4) % 12 + 12).when(F.lower(g(7)) == "am", n(4) % 12).otherwise(n(4))
+        clock = F.format_string("%02d:%02d:%02d", F.coalesce(hour, F.lit(0)), F.coalesce(n(5), F.lit(0)), F.coalesce(n(6), F.lit(0)))
+        zone = F.when(g(8) != "", F.regexp_replace(g(8), r"^(...):?(..)$", "$1:$2")).when(g(9) != "", "Z").otherwise("")
+        found.append(F.concat(date.cast("string"), F.lit("T"), clock, zone).try_cast("timestamp"))
+    return F.coalesce(*found)
+
+
 def parse_posted_at(c: Column, now: Column) -> Column:
-    """Timestamp of epoch seconds or milliseconds, ISO forms, 'yesterday', 'N weeks ago'; null for anything else.
+    """Timestamp of epoch seconds or milliseconds, ISO forms, written dates, 'yesterday', 'N weeks ago'; null for anything else.
 
     Months and years are calendar ones whose overflow runs on (31 March less a month is 3 March).
     """
@@ -31,7 +61,7 @@ def parse_posted_at(c: Column, now: Column) -> Column:
         midday(F.date_add(first, F.dayofmonth(now) - 1)),
     )
     iso = F.when(t.rlike(r"^\d{4}-\d{2}(?:-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?)?$"), t.try_cast("timestamp"))
-    return F.coalesce(epoch, midday(back(word)), relative, iso)
+    return F.coalesce(epoch, midday(back(word)), relative, iso, _written(t))
 
 
 def age_days(posted: Column, now: Column) -> Column:

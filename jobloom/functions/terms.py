@@ -244,11 +244,11 @@ class Present:
         return False
 
 
-def noise_terms(company: str) -> frozenset[str]:
-    """Words of an employer's name and its initials of two to four letters."""
-    parts = tokens(company)
-    initials = "".join(p[0] for p in parts)
-    return frozenset(parts) | ({initials} if 2 <= len(initials) <= 4 else frozenset())
+def noise_terms(company: str, recruiter: str = "") -> frozenset[str]:
+    """Words of more than two letters of an employer's and a recruiter's name, and the employer's initials if they are two to four."""
+    of = lambda name: re.findall("[a-z0-9]+", (name or "").lower())
+    initials = "".join(w[0] for w in of(company))
+    return frozenset(w for w in (*of(company), *of(recruiter)) if len(w) > 2) | ({initials} if 2 <= len(initials) <= 4 else frozenset())
 
 
 def overlap(text: str, lines: list[str]) -> float:

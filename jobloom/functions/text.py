@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from jobloom import config
 from jobloom.functions.matching import FLAGS, has
 
-#: Named character references that are decoded, besides numeric ones.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&hellip;": "…", "&pound;": "£", "&amp;": "&"}
+# Named character references of adverts and what stands for them, and the tags that begin a line.
+ENTITIES = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "'", "lsquo": "'", "rdquo": '"', "ldquo": '"', "mdash": " - ", "ndash": "-", "hellip": "...", "bull": "-", "middot": "-"}
+BLOCKS = "p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|blockquote"
+LINE_ENDS = r"\r\n|[\n\x0B\x0C\r\x1C\x1D\x1E\x85\u2028\u2029]"
 
 
 def _text(c: Column) -> Column:
@@ -75,23 +77,26 @@ def page_text(html: Column) -> Column:
     return collapse_lines(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
+def decoded(t: Column) -> Column:
+    """Named and numeric character references as characters, each once; unknown ones stay."""
+    ref = r"(?i)&(?:#[0-9]+|#x[0-9a-f]+|[a-z]+);"
+    known = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def value(m: Column) -> Column:
+        body = F.lower(F.substring(m, F.lit(2), F.length(m) - 2))
+        number = F.when(body.startswith("#x"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2))).try_cast("long")
+        real = ((number >= 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.element_at(known, body), m)
+
+    found = F.transform(F.regexp_extract_all(t, F.lit(ref), F.lit(0)), value)
+    whole = F.array_join(F.transform(F.split(t, ref, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))), "")
+    return F.when(t.rlike(ref), whole).otherwise(t)
+
+
 def structured_text(html: Column) -> Column:
-    """Text with lines where blocks were, entities decoded, at most one blank line."""
-    t = F.regexp_replace(_text(html), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?i)<\s*li[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"(?i)<\s*/?\s*(?:br|p|div|h[1-6]|ul|ol|tr|table|section|article|header|footer)[^>]*>", "\n")
-    t = F.regexp_replace(t, "<[^>]+>", " ")
-    for name, value in ENTITIES.items():
-        if name != "&amp;":
-            t = F.replace(t, F.lit(name), F.lit(value))
-    # Numeric references: text between them, and each one's character.
-    ref = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    codes = F.transform(F.regexp_extract_all(t, F.lit(ref), F.lit(0)), lambda m: F.when(F.lower(m).startswith("&#x"), F.conv(F.regexp_extract(m, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(m, "([0-9]+)", 1)).cast("int"))
-    chars = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"))
-    gaps = F.split(t, ref, -1)
-    t = F.when(t.rlike(ref), F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")).otherwise(t)
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)[^\S\n]+", " ")))
+    """Text with line ends where blocks begin or end, references decoded, blank lines one at a time."""
+    t = F.regexp_replace(F.regexp_replace(_text(html), rf"(?i)</?(?:{BLOCKS})[^>]*>", "\n"), "<[^>]+>", " ")
+    lines = F.transform(F.split(decoded(t), LINE_ENDS, -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t\u00A0]+", " "), r"(?U)^\s+|\s+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
@@ -179,11 +184,28 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def slug_variants(company: Column, most: int = 5) -> Column:
-    """Up to five guesses at a board's slug for a company name, the likeliest first."""
-    full, short = plain_words(company), company_key(company)
-    forms = F.array(F.replace(full, F.lit(" "), F.lit("")), F.replace(full, F.lit(" "), F.lit("-")), F.replace(short, F.lit(" "), F.lit("")), F.replace(short, F.lit(" "), F.lit("-")), F.split(full, " ")[0])
-    return F.slice(F.array_distinct(F.filter(forms, lambda x: x != "")), 1, most)
+# Words of a company's name that its slug may lack, and endings of its domain.
+SLUG_SUFFIXES = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "group", "holdings", "uk", "plc", "the", "and", "technologies", "technology", "tech", "labs", "bank", "banking", "services", "solutions"]
+SLUG_DOMAINS = "com|io|co|ai|net|org"
+
+
+def slug_variants(company: Column, aliases: Column | None = None, most: int = 5) -> Column:
+    """Up to ``most`` guesses at a board's slug, the likeliest first: aliases, then of the name and what it has in brackets the joined, hyphenated and full forms, the first word, the first two."""
+
+    def forms(part: Column) -> Column:
+        base = F.replace(F.regexp_replace(F.lower(part), rf"\.(?:{SLUG_DOMAINS})\b", ""), F.lit("&"), F.lit(" and "))
+        words = F.filter(F.split(F.regexp_replace(base, r"(?U)[^\w\s-]", ""), r"(?U)\s+"), lambda w: w != "")
+        bare = F.filter(words, lambda w: ~w.isin(SLUG_SUFFIXES))
+        own = F.when(F.size(bare) > 0, bare).otherwise(words)
+        more = F.when(F.size(own) > 1, F.array(F.get(own, F.lit(0)), F.array_join(F.slice(own, 1, 2), "-"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.array_join(own, ""), F.array_join(own, "-"), F.array_join(words, "")), more)
+
+    parts = F.filter(F.transform(F.split(_text(company), "[()]"), lambda x: F.trim(x)), lambda x: x != "")
+    found = F.flatten(F.transform(parts, forms))
+    if aliases is not None:
+        found = F.concat(F.transform(aliases, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")), found)
+    bare = F.transform(found, lambda x: F.regexp_replace(F.trim(x), "^-+|-+$", ""))
+    return F.slice(F.array_distinct(F.filter(bare, lambda x: F.length(x) >= 3)), 1, most)
 
 
 def redact(c: Column) -> Column:
@@ -198,7 +220,19 @@ def host_category(url: Column) -> Column:
 
 
 def version_bump(title: Column) -> Column:
-    """major, minor, patch or unknown, from a title such as 'bump x from 1.2.3 to 1.3.0'."""
-    part = lambda g: F.regexp_extract(title, r"(?i)from v?(\d+)(?:\.(\d+))?(?:\.(\d+))?\S* to v?(\d+)(?:\.(\d+))?(?:\.(\d+))?", g)
-    n = lambda g: F.coalesce(F.try_to_number(F.nullif(part(g), F.lit("")), F.lit("9999999")), F.lit(0))
-    return F.when(part(1) == "", "unknown").when(n(1) != n(4), "major").when(n(2) != n(5), "minor").otherwise("patch")
+    """major, minor, patch or unknown, from a title such as 'bump x from 1.2.3 to ^1.3' or 'bump the minor-and-patch group'; what changes 0.x is major."""
+    group = F.lower(F.regexp_extract(title, r"(?i)bump the ([\w./-]+) group", 1))
+    has_ = lambda w: group.contains(w)
+    of_group = F.when(has_("major") & ~has_("minor"), "major").when(has_("minor") | has_("patch"), "minor").otherwise("unknown")
+
+    def version(k: int) -> Column:
+        """Three numbers, absent ones 0; null of what does not start with a number behind its operators."""
+        raw = F.regexp_replace(F.regexp_extract(title, r"from (\S+) to (\S+)", k), "^[=<>~^v ]+", "")
+        bare = F.get(F.split(F.get(F.split(raw, ","), F.lit(0)), "[-+]"), F.lit(0))
+        n = lambda g: F.regexp_extract(bare, r"^(\d+)[^.]*(?:\.(\d+)[^.]*(?:\.(\d+))?)?", g).try_cast("decimal(38,0)")
+        return F.when(n(1).isNotNull(), F.array(n(1), *(F.coalesce(n(g), F.lit(0).cast("decimal(38,0)")) for g in (2, 3))))
+
+    old, new = version(1), version(2)
+    differs = lambda i: F.get(old, F.lit(i)) != F.get(new, F.lit(i))
+    of_span = F.when(old.isNull() | new.isNull(), "unknown").when(differs(0) | (F.get(old, F.lit(0)) == 0) & differs(1), "major").when(differs(1), "minor").otherwise("patch")
+    return F.when(title.isNull(), "unknown").when(group != "", of_group).otherwise(of_span)

@@ -31,7 +31,8 @@ TERM = "term string, count int, in_requirements int, in_duties int, in_nice int,
 def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text", marks: dict[str, str] | None = None) -> DataFrame:
     """One row a (url, term) with counts, weight, section and priority.
 
-    ``marks``: Boolean columns to add and the text whose terms they tell (C7); they
+    Words of the company's name, and of a column ``recruiter`` if there is one, are
+    no terms. ``marks``: Boolean columns to add and the text whose terms they tell (C7); they
     are told in the same pass, each different term once a worker.
     """
     marks = marks or {}
@@ -45,8 +46,8 @@ def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 urls, cols, told = [], [[] for _ in names], [[] for _ in looks]
-                for url, title, company, body in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    found = extract.posting(body or "", title or "", t.noise_terms(company or ""))
+                for url, title, company, recruiter, body in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    found = extract.posting(body or "", title or "", t.noise_terms(company or "", recruiter or ""))
                     urls += [url] * len(found)
                     for k, v in found.items():
                         surfaces = sorted(v["surfaces"])
@@ -57,7 +58,8 @@ def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str =
                 arrays = [pa.array(urls, pa.string()), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), *(pa.array(c, pa.bool_()) for c in told)]
                 yield pa.RecordBatch.from_arrays(arrays, ["url", *names, *marks])
 
-    found = postings.select("url", "title", "company", F.col(text).alias("body")).mapInArrow(work, ", ".join([f"url string, {TERM}", *(f"{m} boolean" for m in marks)]))
+    recruiter = F.col("recruiter") if "recruiter" in postings.columns else F.lit(None).cast("string").alias("recruiter")
+    found = postings.select("url", "title", "company", recruiter, F.col(text).alias("body")).mapInArrow(work, ", ".join([f"url string, {TERM}", *(f"{m} boolean" for m in marks)]))
     weight = 3.0 * F.col("in_requirements") + 1.5 * F.col("in_duties") + F.col("count") + 0.5 * F.col("in_nice")
     section = F.when(F.col("in_requirements") > 0, "requirements").when(F.col("in_duties") > 0, "duties").when(F.col("in_nice") > 0, "nice-to-have").otherwise("mentioned")
     found = found.withColumn("weight", weight).withColumn("section", section)

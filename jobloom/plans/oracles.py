@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from jobloom import config
-from jobloom.functions import text as text_functions
 from jobloom.plans import fixtures
 
 
@@ -38,14 +37,6 @@ def _list(xs: list[str]) -> str:
     return "[" + ", ".join(map(_lit, xs)) + "]"
 
 
-def _entities(text: str) -> str:
-    """The named character references decoded, the ampersand's own left."""
-    for name, value in text_functions.ENTITIES.items():
-        if name != "&amp;":
-            text = f"replace({text}, {_lit(name)}, {_lit(value)})"
-    return text
-
-
 STRIP = r"regexp_replace({}, '<[^>]+>', ' ', 'g')"
 _FLAT = r"regexp_replace(description, '\s+', ' ', 'g')"
 _MARKER = "CASE " + " ".join(f"WHEN {_rx(_FLAT, p)} THEN {_lit(n)}" for n, p in config.LISTING_MARKERS.items()) + " END"
@@ -117,9 +108,10 @@ SQL = {
     "unknown_companies": VIEWS + " SELECT DISTINCT company FROM postings WHERE lower(company) NOT IN (SELECT lower(c_name) FROM customer)",
     "first_turns": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations) WHERE n = 1",
     "top_scores": VIEWS + " SELECT source, url, match_score FROM (SELECT source, url, match_score, row_number() OVER (PARTITION BY source ORDER BY match_score DESC, url) AS n FROM postings JOIN scores USING (url)) WHERE n <= 12",
-    "page_structure": r"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<\s*li[^>]*>', chr(10) || '- ', 'g'), '(?i)<\s*/?\s*(?:br|p|div|h[1-6]|ul|ol|tr|table|section|article|header|footer)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
-        """ + f"b AS (SELECT page_id, html, {_entities('t')} AS t FROM a)" + r""", c AS (SELECT page_id, html, regexp_extract_all(t, '&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});') AS refs, string_split_regex(t, '&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});') AS gaps FROM b),
-        d AS (SELECT page_id, html, replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(refs) THEN '' ELSE chr((CASE WHEN lower(refs[i]) LIKE '&#x%' THEN ('0x' || replace(substring(refs[i], 4), ';', ''))::INT ELSE replace(substring(refs[i], 3), ';', '')::INT END)) END), ''), '&amp;', '&') AS t FROM c),
-        e AS (SELECT page_id, html, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[\t\f\v\r ]+', ' ', 'g'))), chr(10)) AS t FROM d)
+    "page_structure": r"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|blockquote)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
+        c AS (SELECT page_id, html, list_transform(regexp_extract_all(t, '(?i)&(?:#[0-9]+|#x[0-9a-f]+|[a-z]+);'), lambda m: [m, lower(m[2:len(m) - 1])]) AS refs, string_split_regex(t, '(?i)&(?:#[0-9]+|#x[0-9a-f]+|[a-z]+);') AS gaps FROM a),
+        d AS (SELECT page_id, html, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(refs) THEN '' ELSE coalesce(CASE WHEN refs[i][2] LIKE '#x%' THEN chr(('0x' || refs[i][2][3:])::INT) WHEN refs[i][2] LIKE '#%' THEN chr(refs[i][2][2:]::INT) END,
+              MAP {'nbsp': ' ', 'amp': '&', 'lt': '<', 'gt': '>', 'quot': '"', 'apos': '''', 'rsquo': '''', 'lsquo': '''', 'rdquo': '"', 'ldquo': '"', 'mdash': ' - ', 'ndash': '-', 'hellip': '...', 'bull': '-', 'middot': '-'}[refs[i][2]], refs[i][1]) END), '') AS t FROM c),
+        e AS (SELECT page_id, html, array_to_string(list_transform(string_split_regex(t, '\r\n|[\n\r]'), lambda l: trim(regexp_replace(l, '[\t ]+', ' ', 'g'))), chr(10)) AS t FROM d)
         SELECT page_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text, CASE WHEN trim(html) = '' THEN 'empty' WHEN regexp_matches(html, '(?i)</?(?:p|div|br|ul|ol|li|h[1-6]|strong|em|span|a|b|i)\b[^>]*>') THEN 'html' ELSE 'text' END AS kind FROM e""",
 }

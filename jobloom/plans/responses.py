@@ -131,13 +131,6 @@ def _guest(s, d) -> DataFrame:
     return rows.select("url", "p.title", "p.company", "p.location", "p.description", text.criteria_employment(c("p.criteria")).alias("employment_type"))
 
 
-def _pasted(s, d) -> DataFrame:
-    c = F.col
-    advert = F.concat(F.col("title"), F.lit("\n"), "company", F.lit("\nLocation: London\n"), "url", F.lit("\n\nWe need a person who writes many tests and keeps them short, every day of the week, for several teams of ours.\n"))
-    rows = fixtures.postings(s, d).select("url", pages.parse_paste_udf(advert).alias("p"))
-    return rows.select(c("url").alias("posting"), "p.title", "p.company", "p.location", "p.url", "p.guessed")
-
-
 def _verified(s, d) -> DataFrame:
     p = fixtures.postings(s, d)
     jobs = p.select(F.concat(F.lit("b"), (F.col("ordinal") % 40).cast("string")).alias("board"), F.element_at(F.array(F.lit("Acme Testing Ltd"), F.lit("Wise"), F.lit("Brightwell")), (F.col("ordinal") % 40 % 3 + 1).cast("int")).alias("company"), "title", "location",
@@ -189,7 +182,6 @@ QUERIES = {f"board_{k}": (lambda make, k: lambda s, d: _shown(boards.PARSERS[k](
     "board_details": _detailed,
     "full_descriptions": _full,
     "guest_pages": _guest,
-    "pasted_adverts": _pasted,
     "verified_boards": _verified,
     "text_functions": _texts,
     "post_texts": _post_texts,
@@ -227,15 +219,14 @@ SQL = {
         UNION ALL SELECT u, 'London, GB', CASE WHEN asked THEN 'Duties' || chr(10) || chr(10) || 'More' ELSE '' END FROM sm""",
     "full_descriptions": f"""SELECT page_id::VARCHAR AS page_id, CASE page_id % 6 WHEN 0 THEN 'own text' WHEN 1 THEN 'lever text' ELSE {_PAGE} END AS text, CASE page_id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' END AS ats, CASE page_id % 6 WHEN 0 THEN 'acme' WHEN 1 THEN 'bee' END AS slug FROM pages""",
     "guest_pages": VIEWS + " SELECT url, title, company, location, '- one' || chr(10) || chr(10) || '- two' AS description, CASE WHEN ordinal % 2 = 0 THEN 'contract' ELSE 'permanent' END AS employment_type FROM postings",
-    "pasted_adverts": VIEWS + " SELECT url AS posting, title, company, 'London' AS location, url, 'company, title, url' AS guessed FROM postings",
     "verified_boards": VIEWS + f""", j AS (SELECT 'b' || (ordinal % 40) AS board, ordinal % 40 % 3 AS k, {_TITLE} AND {_PLACE} AS gate, {_PLACE} AS uk, regexp_matches(lower(coalesce(location, '')), '\\blondon\\b') AS london, ordinal % 9 AS r FROM postings),
         g AS (SELECT board, k, count(*) AS total, count(*) FILTER (uk) AS uk, count(*) FILTER (london) AS london, count(*) FILTER (gate) AS gate, count(*) FILTER (k = 0 AND r = 0) AS strong_hits, count(*) FILTER (k > 0 AND r = 1) AS weak_hits FROM j GROUP BY board, k)
         SELECT board, ['Acme Testing Ltd', 'Wise', 'Brightwell'][k + 1] AS company, total, uk, london, gate, strong_hits, weak_hits, strong_hits >= 1 OR (k = 2 AND weak_hits >= 2) AS identity_ok FROM g""",
     "text_functions": VIEWS + r""", v AS (SELECT *, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS f FROM postings), w AS (SELECT *, regexp_replace(f, ' (ltd|inc|group)$', '') AS b FROM v)
         SELECT url, 'https://www.linkedin.com/jobs/view/' || (1000000 + ordinal) AS canonical,
-        array_to_string(list_filter([replace(f, ' ', ''), replace(f, ' ', '-'), replace(b, ' ', ''), replace(b, ' ', '-'), split_part(f, ' ', 1)], lambda x, i: list_position([replace(f, ' ', ''), replace(f, ' ', '-'), replace(b, ' ', ''), replace(b, ' ', '-'), split_part(f, ' ', 1)], x) = i), '|') AS slugs,
+        replace(b, ' ', '') || CASE WHEN f <> b THEN '|' || replace(f, ' ', '') ELSE '' END AS slugs,
         CASE WHEN ordinal % 3 <> 1 THEN 'major' WHEN ordinal % 2 = 0 THEN 'minor' ELSE 'patch' END AS bump, 'a' || chr(10) || chr(10) || 'b ' || title AS lines, 'strong' AS agree, url || '?token=***&x=1' AS redacted FROM w""",
-    "post_texts": VIEWS + r""" SELECT url, trim(regexp_replace(replace(regexp_replace(regexp_replace(CASE WHEN marker IS NULL THEN description ELSE coalesce(body, '') END, '(?i)<\s*li[^>]*>', ' - ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM own""",
+    "post_texts": VIEWS + r""" SELECT url, trim(regexp_replace(replace(regexp_replace(regexp_replace(CASE WHEN marker IS NULL THEN description ELSE coalesce(body, '') END, '(?i)<\s*li[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM own""",
     "month_labels": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Present' ELSE strftime(o_orderdate, '%b %Y') END AS month, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS applied FROM orders",
     "cv_sources": "SELECT * FROM (VALUES (1, 1.0::DOUBLE, false, 1), (30, 30.0, true, 30)) v(hours, age_hours, stale, chars)",
     "registries": "SELECT * FROM (VALUES ('Acme', 'workday', 'acme/Careers', 'test', NULL), ('Ads', 'adzuna', NULL, NULL, '2')) v(name, ats, slug, search, max_pages)",

@@ -1,4 +1,4 @@
-"""Ordered scans of HTML pages and pasted adverts, in Arrow workers."""
+"""Ordered scans of HTML pages, in Arrow workers."""
 
 from __future__ import annotations
 
@@ -87,33 +87,6 @@ def job_page(html: str | None) -> dict:
     return {k: next((first[a] for a in xs if a in first), None) for k, xs in ANCHORS.items()} | {"criteria": criteria.get("Employment type")}
 
 
-# Labels of pasted adverts.
-LABELS = {"title": r"(?:job\s*)?title|role|position", "company": r"company|employer|organisation", "location": r"location|based in|place", "url": r"url|link|apply at", "posted_at": r"posted|date posted", "employment_type": r"type|contract type|employment"}
-
-
-def parse_paste(text: str | None) -> dict:
-    """Fields of a pasted advert and where each came from: labelled, or guessed from position."""
-    lines = [x.strip() for x in (text or "").splitlines()]
-    out: dict[str, str | None] = dict.fromkeys(LABELS)
-    origin: dict[str, str] = {}
-    rest = []
-    for line in lines:  # labels first
-        hit = next(((k, m[1]) for k, p in LABELS.items() if out[k] is None and (m := re.match(rf"(?i)(?:{p})\s*[:=]\s*(.+)$", line))), None)
-        if hit:
-            out[hit[0]], origin[hit[0]] = hit[1].strip(), "labelled"
-        else:
-            rest.append(line)
-    if out["url"] is None and (m := re.search(r"https?://\S+", text or "")):
-        out["url"], origin["url"] = m[0].rstrip(".,)"), "guessed"
-    short = [x for x in rest if x and len(x) <= 90 and not re.match("https?://", x)]
-    for key in ("title", "company", "location"):  # then the first short lines, in the order that boards print them
-        if out[key] is None and short:
-            out[key], origin[key] = short.pop(0), "guessed"
-    used = {v for v in out.values() if v}
-    body = tidy("\n".join(x for x in rest if x not in used))
-    return {**out, "description": body, "guessed": ", ".join(sorted(k for k, v in origin.items() if v == "guessed")) or None}
-
-
 @F.pandas_udf(StringType())
 def html_text_udf(html: pd.Series) -> pd.Series:
     return html.map(html_text)
@@ -122,8 +95,3 @@ def html_text_udf(html: pd.Series) -> pd.Series:
 @F.pandas_udf(struct("title string, company string, location string, posted_at string, description string, criteria string"))
 def job_page_udf(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([job_page(x) for x in html], columns=[*ANCHORS, "criteria"])
-
-
-@F.pandas_udf(struct("title string, company string, location string, url string, posted_at string, employment_type string, description string, guessed string"))
-def parse_paste_udf(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_paste(x) for x in text], columns=[*LABELS, "description", "guessed"])

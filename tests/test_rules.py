@@ -91,7 +91,7 @@ def test_dates(spark):
 
 
 def test_texts(spark):
-    assert column(spark, ["<p>a</p><ul><li>b &amp; c</li></ul>&#163;5&#x41;", None, ""], text.structured_text) == ["a\n\n- b & c\n£5A", "", ""]
+    assert column(spark, ["<p>a</p><ul><li>b &amp; c</li></ul>&#163;5&#x41;", None, ""], text.structured_text) == ["a\n\nb & c\n\n£5A", "", ""]
     assert column(spark, ["Acme Ltd", "The Acme Group", "Acme, Inc.", None], text.company_key) == ["acme", "acme", "acme", ""]
     titles = ["QA Engineer X2", "QA Engineer (Contract)", "QA Engineer - Remote - ASAP", "Engineer QA 6 month contract"]
     assert column(spark, titles, text.title_tokens) == [["engineer", "qa"]] * 4
@@ -104,3 +104,11 @@ def test_texts(spark):
 def test_month_arithmetic_is_pure(spark):
     assert column(spark, ["2021-03", "present", "soon"], dates.month_label) == ["Mar 2021", "Present", "soon"]
     assert column(spark, ["2026-09-01", "1 Sep 2026", "x"], dates.application_date) == [datetime.date(2026, 9, 1)] * 2 + [None]
+
+
+def test_noise_words_of_names():
+    from jobloom.functions.terms import noise_terms
+
+    assert noise_terms("Go Compare") == {"compare", "gc"} and noise_terms("AT&T") == {"at"}
+    assert noise_terms("", "Anson McCade") == {"anson", "mccade"} and noise_terms("One Two Three Four Five") == {"one", "two", "three", "four", "five"}
+    assert noise_terms(None, None) == frozenset()

@@ -354,8 +354,6 @@ def test_pages():
     got = pages.job_page(html)
     assert got["title"] == "QA" and got["criteria"] == "Contract" and got["company"] is None
     assert "x" not in pages.html_text(html) and "- b" in pages.html_text(html)
-    paste = pages.parse_paste("QA Engineer\nAcme\nLocation: London\nhttps://x.y/1\n\nWe need a tester who " + "writes " * 20)
-    assert (paste["title"], paste["company"], paste["location"], paste["url"], paste["guessed"]) == ("QA Engineer", "Acme", "London", "https://x.y/1", "company, title, url")
 
 
 def test_cv_documents(spark):
