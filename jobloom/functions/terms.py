@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import ahocorasick
 
 from jobloom.functions import lexicon as words
 from jobloom.functions.lexicon import Lexicon
@@ -119,6 +120,58 @@ def sections(text: str) -> dict[str, str]:
 # Terms ---------------------------------------------------------------------------------------
 
 
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+class Phrases:
+    """Phrases of a vocabulary in texts: longest first, then in alphabetical order, each occurrence masked for the phrases behind it.
+
+    One automaton finds the occurrences of all phrases and of their plurals in a
+    pass over the text; only these are looked at in order, so a text's cost does
+    not grow with the vocabulary.
+    """
+
+    def __init__(self, phrases: list[str]):
+        self.phrases = sorted(phrases, key=lambda p: (-len(p), p))
+        self.find = ahocorasick.Automaton()
+        held: dict[str, list[int]] = defaultdict(list)
+        for rank, p in enumerate(self.phrases):
+            for form in ((p, p[:-1] + "ies") if p.endswith("y") else (p, p + "s")):
+                held[form].append(rank)
+        for form, ranks in held.items():
+            self.find.add_word(form, (len(form), tuple(ranks)))
+        self.find.make_automaton()
+
+    def masked(self, text: str) -> tuple[str, list[tuple[str, int]]]:
+        """The text with a blank for each occurrence, and how often each phrase occurs."""
+        if not self.phrases or not text:
+            return text, []
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for last, (size, ranks) in self.find.iter(text):
+            for rank in ranks:
+                places[rank].append((last + 1 - size, last + 1))
+        if not places:
+            return text, []
+        gone, spans, out = bytearray(len(text) + 2), [], []  # gone[i + 1]: whether character i is masked
+        edge = lambda i: not 0 <= i < len(text) or gone[i + 1] or text[i] not in _ALNUM
+        for rank in sorted(places):
+            own, end = [], 0
+            for a, b in sorted(places[rank]):
+                if a >= end and edge(a - 1) and edge(b) and not any(gone[a + 1 : b + 1]):
+                    own.append((a, b))
+                    end = b
+            for a, b in own:
+                gone[a + 1 : b + 1] = b"\1" * (b - a)
+            if own:
+                spans += own
+                out.append((self.phrases[rank], len(own)))
+        kept, at = [], 0
+        for a, b in sorted(spans):
+            kept += [text[at:a], " "]
+            at = b
+        return "".join([*kept, text[at:]]), out
+
+
 class Extractor:
     """Term counts of texts under one vocabulary."""
 
@@ -127,11 +180,7 @@ class Extractor:
 
     def __init__(self, lexicon: Lexicon = Lexicon()):
         self.lexicon = lexicon
-        # Longest first, then alphabetical: matches are masked out, so order decides.
-        spaced = sorted((p for p in lexicon.skills if " " in p), key=lambda p: (-len(p), p))
-        body = {p: re.escape(p[:-1]) + "(?:y|ies)" if p.endswith("y") else re.escape(p) + "s?" for p in spaced}
-        self.phrases = [(p, re.compile(rf"(?<![a-z0-9]){b}(?![a-z0-9])")) for p, b in body.items()]
-        self.some_phrase = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(body.values())})(?![a-z0-9])") if body else None
+        self.phrases = Phrases([p for p in lexicon.skills if " " in p])
         self.kinds: dict[str, tuple[str, str, bool] | None] = {}
 
     def _kind(self, raw: str) -> tuple[str, str, bool] | None:
@@ -162,11 +211,9 @@ class Extractor:
             t["surfaces"][surface] += n
 
         rest = normalise(text) if flat is None else flat
-        if self.some_phrase is not None and self.some_phrase.search(rest):
-            for phrase, pattern in self.phrases:
-                rest, n = pattern.subn(" ", rest)
-                if n:
-                    add(phrase, skills[phrase], True, False, n)
+        rest, met = self.phrases.masked(rest)
+        for phrase, n in met:
+            add(phrase, skills[phrase], True, False, n)
         kinds = self.kinds
         for raw, n in Counter(rest.split()).items():  # each different word once
             kind = kinds[raw] if raw in kinds else self._kind(raw)

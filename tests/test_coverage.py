@@ -1,6 +1,7 @@
 """Terms, CV scans, gaps, suggestions and the text of pages against brute force: posting by posting, word by word, pair by pair."""
 
 import html
+import random
 import re
 from collections import defaultdict
 
@@ -61,9 +62,9 @@ def count(text, stop):
 
 def found(title, company, text):
     """One dict a term: count, weight, section, skill, priority, surfaces, req."""
-    own = [w for w in (x.strip(".'-") for x in T.normalise(company or "").split()) if w]
+    own = re.findall("[a-z0-9]+", (company or "").lower())
     first = "".join(w[0] for w in own)
-    stop = {*own, *([first] if 2 <= len(first) <= 4 else [])}
+    stop = {*(w for w in own if len(w) > 2), *([first] if 2 <= len(first) <= 4 else [])}
     parts = T.sections(text or "")
     asked = {w.strip(".'-") for k in ("requirements", "duties") for w in T.normalise(parts[k]).split()}
     stop -= {w for w in stop if w in asked and w in LEX.skills}
@@ -192,3 +193,42 @@ def test_text_of_small_pages(page):
 def test_text_of_pages_equals_brute_force(spark):
     want = {r.page_id: text_of(r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     assert {r.page_id: r.text for r in registry.QUERIES["page_html_text"](spark, DATA).collect()} == want
+
+
+def by_patterns(phrases, text):
+    """Phrases masked by one pattern after another."""
+    out = []
+    for p in sorted(phrases, key=lambda p: (-len(p), p)):
+        body = re.escape(p[:-1]) + "(?:y|ies)" if p.endswith("y") else re.escape(p) + "s?"
+        text, n = re.subn(rf"(?<![a-z0-9]){body}(?![a-z0-9])", " ", text)
+        if n:
+            out.append((p, n))
+    return text, out
+
+
+def test_phrases_are_masked_as_by_patterns():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abs.#+y") for _ in range(r.randint(1, 3)))
+    for _ in range(300):
+        phrases = list({" ".join(word() for _ in range(r.randint(2, 3))) for _ in range(30)})
+        phrases = [p for p in phrases if not re.search(r"[^a-z0-9\s] [^a-z0-9\s]", p)]
+        bits = [r.choice([word(), r.choice(phrases), r.choice(phrases) + "s", r.choice(phrases)[:-1] + "ies"]) for _ in range(40)]
+        text = "".join(b + r.choice([" ", " ", "", "."]) for b in bits)
+        assert T.Phrases(phrases).masked(text) == by_patterns(phrases, text)
+    assert T.Phrases([]).masked("a b") == ("a b", []) and T.Phrases(["a b"]).masked("") == ("", [])
+
+
+def test_many_phrases_cost_no_more_than_few():
+    import time
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    phrases = [" ".join(r.choice(words) for _ in range(2)) for _ in range(100_000)]
+    texts = [" ".join([*(r.choice(words) for _ in range(300)), phrases[k % 100], phrases[k]]) for k in range(300)]
+    took = []
+    for few in (phrases[:100], phrases):
+        found = T.Phrases(few)
+        began = time.process_time()
+        assert all(len(found.masked(t)[1]) >= 1 for t in texts)
+        took.append(time.process_time() - began)
+    assert took[1] < 5 * took[0] + 0.2
