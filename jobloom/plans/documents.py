@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import lists
-from jobloom.operators import coverage
+from jobloom.operators import coverage, drafts
 from jobloom.plans import fixtures
 
 _CV = "Wrote tests for Acme and at Brightwell, for suppliers of payments."
@@ -51,6 +51,21 @@ def _restored(s, d) -> DataFrame:
     return coverage.restore_required(drafted, required)
 
 
+def _merged(s, d) -> DataFrame:
+    """Drafts of the orders: a role for each line, in the order of its part; of its bullets none are listed, an empty list, two in reverse, or three of which one is unknown."""
+    c, line = F.col, F.col("l_linenumber").cast("string")
+    bullet = lambda x: F.struct(F.concat(F.lit("a"), line, F.lit(f".{x}")).alias("ref"), F.lit(None).cast("string").alias("text"))
+    kept = F.when(c("l_suppkey") % 4 == 1, F.array().cast(drafts.BULLETS)).when(c("l_suppkey") % 4 == 2, F.array(bullet(3), bullet(1))).when(c("l_suppkey") % 4 == 3, F.array(F.struct(F.lit("zz").alias("ref"), F.lit("own").alias("text")), bullet(2), bullet(4)))
+    lines = s.read.parquet(f"{d}/lineitem.parquet").dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("role", F.struct(c("l_partkey"), c("l_linenumber"), F.concat(F.lit("r"), line).alias("ref"), kept.alias("achievements")))
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("role")).alias("r"))
+    rows = per.select(_name("d", c("l_orderkey")).alias("doc"), F.when(c("l_orderkey") % 29 == 0, "nobody").otherwise("owner").alias("owner"), F.transform("r", lambda x: F.struct(x["ref"].alias("ref"), x["achievements"].alias("achievements"))).alias("experience"))
+    ids = s.range(1, 6).select(c("id"), F.struct(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("Company "), "id").alias("company"), F.when(c("id") == 4, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.lit("a"), c("id"), F.lit("."), k))).alias("achievements")).alias("role"))
+    masters = ids.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "role"))), lambda x: x["role"]).alias("roles")).withColumn("owner", F.lit("owner"))
+    out = drafts.merge_experience(rows, masters)
+    shown = F.transform("experience", lambda r: F.concat(r["ref"], F.lit("["), F.coalesce(F.array_join(F.transform(r["achievements"], lambda a: a["ref"]), ","), F.lit("*")), F.lit("]")))
+    return out.select("doc", F.array_join(shown, " ").alias("experience"), F.array_join("notes", "; ").alias("notes"))
+
+
 def _problems(s, d) -> DataFrame:
     o, c = s.read.parquet(f"{d}/orders.parquet"), F.col
     doc = _name("d", c("o_orderkey"))
@@ -105,6 +120,7 @@ QUERIES = {
     "cv_dangling": lambda s, d: coverage.resolve(_tailored(s, d), _master(s, d))[1],
     "draft_labels": lambda s, d: coverage.draft_labels(_tailored(s, d), _master(s, d)),
     "restored_items": _restored,
+    "merged_drafts": _merged,
     "draft_problems": _problems,
     "missing_roles": _roles,
     "unsupported_items": lambda s, d: coverage.unsupported(s.read.parquet(f"{d}/part.parquet").select("p_partkey", _pick(ITEMS, "p_partkey").alias("item")), list(FACTS)),
@@ -131,6 +147,14 @@ SQL = {
     "cv_bullets": _DOCS + " SELECT role_id, achievement_id, x AS text, position, ordinal, origin FROM good",
     "cv_dangling": _DOCS + " SELECT ref, aref AS achievement_ref FROM lost",
     "draft_labels": _DOCS + " SELECT role_id AS ref, achievement_id AS achievement_ref, origin FROM good UNION ALL SELECT ref, aref, 'not-in-master' FROM lost",
+    "merged_drafts": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey % 4 AS k FROM lineitem),
+        m AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY p, n) AS pos, o % 29 = 0 AS lone, n > 5 OR n = 4 AS other FROM l),
+        kept AS (SELECT o, pos, 0 AS back, n, 'r' || n || '[' || CASE WHEN k = 0 THEN '*' WHEN lone OR other THEN ['', 'a#.3,a#.1', 'zz,a#.2,a#.4'][k] ELSE ['a#.1,a#.2,a#.3,a#.4', 'a#.3,a#.1,a#.2,a#.4', 'a#.1,zz,a#.2,a#.3,a#.4'][k] END || ']' AS shown,
+                 CASE WHEN NOT lone AND NOT other AND k > 0 THEN ['a#.1, a#.2, a#.3, a#.4', 'a#.2, a#.4', 'a#.1, a#.3'][k] || ' (re-added to Company #)' END AS note FROM m),
+        gone AS (SELECT o, coalesce((SELECT max(pos) FROM m x WHERE x.o = d.o AND x.n < g), 0) AS pos, 1 AS back, g AS n, 'r' || g || '[*]' AS shown, 'Company ' || g || ' (role re-added, with every achievement)' AS note
+                 FROM (SELECT DISTINCT o FROM m WHERE NOT lone) d, range(1, 6) r(g) WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.o = d.o AND x.n = g)),
+        every AS (SELECT o, pos, back, n, replace(shown, '#', n::VARCHAR) AS shown, replace(note, '#', n::VARCHAR) AS note FROM kept UNION ALL SELECT * FROM gone)
+        SELECT 'd' || o AS doc, string_agg(shown, ' ' ORDER BY pos, back, n) AS experience, coalesce(string_agg(note, '; ' ORDER BY back, CASE WHEN back = 0 THEN pos END, n) FILTER (note IS NOT NULL), '') AS notes FROM every GROUP BY o""",
     "restored_items": """WITH d AS (SELECT 'd' || o_custkey AS doc, o_orderkey % 9 AS i, min(o_orderkey) AS k FROM orders GROUP BY 1, 2), docs AS (SELECT DISTINCT doc FROM d),
         gone AS (SELECT doc, r.i FROM docs, (SELECT range AS i FROM range(0, 9, 2)) r WHERE (doc, r.i) NOT IN (SELECT doc, i FROM d)),
         e AS (SELECT doc, i, k::DOUBLE AS k, false AS restored, 0 AS m FROM d UNION ALL SELECT g.doc, g.i, coalesce((SELECT max(k) FROM d WHERE d.doc = g.doc AND d.i < g.i), -1)::DOUBLE, true, g.i FROM gone g)

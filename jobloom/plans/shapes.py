@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions import dates, text
+from jobloom.functions import dates, payloads, text
+from jobloom.operators import store
 from jobloom.plans import fixtures
 from jobloom.plans.oracles import VIEWS
 from jobloom.sources import pastes
@@ -50,6 +51,13 @@ PASTES = [
 DATES = ["d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "EEE, dd MMM yyyy '04:05:06 GMT'", "M/d/yyyy", "yyyy/MM/dd", "'Posted on' d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy '4:05 PM'", "'31 Feb 2026'", "'Sometime in' MMM", "d MMM yyyy '04:05:06 +0200'"]
 
 
+#: A generated text, and the value of its key "k" (none: no object).
+OBJECTS = [
+    ('{"k": "v{n}", "x": [1]}', "v{n}"), ('```json\n{"k": "w{n}"}\n```', "w{n}"), ('```\n{"k": "x{n}"}```', "x{n}"), ('  {"k": 5}  ', "5"), ("[1, 2]", None), ('"text"', None), ("7", None), ("null", None),
+    ("```json\n[1]\n```", None), ("{broken", None), ("", None), ('{"other": 1}', None), ('{"k": {"a": 1}}', '{"a":1}'), ('Sure! {"k": 1}', None),
+]
+
+
 def _template(column: str, cases: list[str | None]) -> Column:
     """The case of each row's number, with its title and number in place."""
     case = F.element_at(F.array(*(F.lit(x) for x in cases)), (F.col("ordinal") % len(cases) + 1).cast("int"))
@@ -102,8 +110,27 @@ def _dates(s, d) -> DataFrame:
     return fixtures.postings(s, d).select("url", ts.cast("timestamp_ntz").alias("posted_ts"), dates.exact_label(raw, ts, age).alias("label"))
 
 
-QUERIES = {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
+def _objects(s, d) -> DataFrame:
+    got = payloads.loads_object(_template("x", [x for x, _ in OBJECTS]))
+    return fixtures.postings(s, d).select("url", got.isNotNull().alias("is_object"), payloads.field(got, "$.k").alias("k"))
+
+
+def _scans(s, d) -> DataFrame:
+    """Payloads written over stored ones and read back: of three postings one has a broken payload, one an old one, one a new one."""
+    c, p = F.col, fixtures.postings(s, d)
+    payload = lambda verdict, n: F.to_json(F.struct("url", F.struct(F.lit(verdict).alias("verdict"), (n / 4).alias("priority_coverage"), F.array(F.struct(c("title").alias("term"))).alias("hard_gaps")).alias("ats"), F.array().cast("array<string>").alias("suggestions")))
+    stored = p.select("url", F.lit("old").alias("cv_status"), F.when(c("ordinal") % 3 == 0, "{'ats': ").otherwise(payload("fail", c("ordinal") % 100)).alias("scan"))
+    written = p.filter("ordinal % 3 = 1").select("url", payload("pass", c("ordinal") % 60 + 40).alias("scan"))
+    rows = store.upsert(stored, written, ["scan"]).withColumn("result", payloads.stored_payload(c("scan")))
+    of = lambda path, kind="string": payloads.field(c("result"), path, kind)
+    return rows.select("url", "cv_status", c("result").isNotNull().alias("readable"), of("$.ats.verdict").alias("verdict"), of("$.ats.priority_coverage", "double").alias("coverage"), of("$.ats.hard_gaps[0].term").alias("gap"), of("$.ats.reason").alias("reason"))
+
+
+QUERIES = {"json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
 SQL = {
+    "json_objects": VIEWS + f" SELECT url, ordinal % {len(OBJECTS)} IN ({', '.join(str(k) for k, (x, y) in enumerate(OBJECTS) if y is not None or 'other' in x)}) AS is_object, {_wanted([y for _, y in OBJECTS])} AS k FROM postings",
+    "scan_payloads": VIEWS + """ SELECT url, 'old' AS cv_status, ordinal % 3 > 0 AS readable, CASE ordinal % 3 WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' END AS verdict,
+        CASE ordinal % 3 WHEN 1 THEN (ordinal % 60 + 40) / 4 WHEN 2 THEN (ordinal % 100) / 4 END::DOUBLE AS coverage, CASE WHEN ordinal % 3 > 0 THEN title END AS gap, NULL::VARCHAR AS reason FROM postings""",
     "structured_shapes": VIEWS + f" SELECT url, {_wanted([y for _, y in HTML])} AS text FROM postings",
     "version_shapes": VIEWS + f" SELECT url, {_wanted([y for _, y in VERSIONS])} AS bump FROM postings",
     "slug_shapes": VIEWS + f" SELECT url, {_wanted([y for _, _, y in SLUGS])} AS slugs FROM postings",

@@ -384,3 +384,33 @@ def test_manual_rows_and_loaders(spark):
             loaders.workday_endpoint(bad)
     pages_ = spark.createDataFrame([("Acme Ltd", "Welcome to Acme"), ("Big Blue", "blue and big"), ("Big Blue", "x")], "c string, p string")
     assert [r.x for r in pages_.select(loaders.names_agree(F.col("c"), F.col("p")).alias("x")).collect()] == ["strong", "weak", "none"]
+
+
+def test_drafts_get_back_what_they_left_out(spark):
+    from jobloom.operators import drafts
+
+    schema = f"doc string, owner string, experience {drafts.ROLES}, extra int"
+    b = lambda *refs: [(x, None) for x in refs]
+    rows = [("kept", "o", [("r2", b("b", "a")), ("r1", None)], 1), ("empty", "o", [("r1", []), ("r3", b("x"))], 2), ("unknown", "o", [("zz", b("q")), ("r2", b("b", "zz"))], 3), ("none", "o", None, 4), ("no roles", "o", [], 5), ("no master", "p", [("r1", b("a"))], 6), ("text", "o", [("r1", [("k", "reworded")]), ("r2", None), ("r3", None)], 7)]
+    roles = [("r1", "One", ["k", "l"]), ("r2", "Two", ["a", "b", "c"]), ("r3", "Three", [])]
+    masters = spark.createDataFrame([("o", roles)], "owner string, roles array<struct<id:string,company:string,achievements:array<string>>>")
+    got = {r.doc: (r.experience and [(x.ref, x.achievements and [tuple(a) for a in x.achievements]) for x in r.experience], r.notes) for r in drafts.merge_experience(spark.createDataFrame(rows, schema), masters).collect()}
+    role = "(role re-added, with every achievement)"
+    assert got["kept"] == ([("r2", b("b", "a", "c")), ("r1", None), ("r3", None)], ["c (re-added to Two)", f"Three {role}"])
+    assert got["empty"] == ([("r1", b("k", "l")), ("r2", None), ("r3", b("x"))], ["k, l (re-added to One)", f"Two {role}"])
+    assert got["unknown"] == ([("r1", None), ("zz", b("q")), ("r2", b("a", "b", "c", "zz")), ("r3", None)], ["a, c (re-added to Two)", f"One {role}", f"Three {role}"])
+    assert got["none"] == (None, []) and got["no roles"] == ([], []) and got["no master"] == ([("r1", b("a"))], [])
+    assert got["text"] == ([("r1", [("k", "reworded"), ("l", None)]), ("r2", None), ("r3", None)], ["l (re-added to One)"])
+
+
+def test_required_groups_come_back(spark):
+    from jobloom.operators import drafts
+
+    schema = "doc string, owner string, skills array<struct<group:string,items:array<string>>>"
+    rows = [("gone", "o", [("Own", ["z"]), ("Tools", ["git"])]), ("items", "o", [("Tools", []), ("Testing", ["x", "bdd"])]), ("none", "o", []), ("no master", "p", [("Tools", ["a"])])]
+    masters = spark.createDataFrame([("o", [("Testing", ["bdd", "tdd"]), ("Tools", ["git", "jira"])])], "owner string, groups array<struct<group:string,items:array<string>>>")
+    out = drafts.merge_groups(spark.createDataFrame(rows, schema), masters, ["Testing", "Tools"], {"Tools": ["git", "jira"], "Testing": ["bdd"]})
+    got = {r.doc: ([tuple(g) for g in r.skills], r.notes) for r in out.collect()}
+    assert got["gone"] == ([("Testing", ["bdd", "tdd"]), ("Tools", ["git", "jira"]), ("Own", ["z"])], ["jira (re-added to their group)", "Testing"])
+    assert got["items"] == ([("Tools", ["git", "jira"]), ("Testing", ["x", "bdd"])], ["git, jira (re-added to their group)"])
+    assert got["none"] == ([], []) and got["no master"] == ([("Tools", ["a"])], [])
