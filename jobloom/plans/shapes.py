@@ -13,7 +13,7 @@ from jobloom.functions import dates, payloads, text
 from jobloom.operators import store
 from jobloom.plans import fixtures
 from jobloom.plans.oracles import VIEWS
-from jobloom.sources import pastes
+from jobloom.sources import cv_cache, pastes
 
 HTML = [
     ("<h1>About&nbsp;{t}</h1><ul><li>One &mdash; two</li><li>A&ndash;B &hellip;</li></ul>", "About {t}\n\nOne - two\n\nA-B ..."),
@@ -126,8 +126,31 @@ def _scans(s, d) -> DataFrame:
     return rows.select("url", "cv_status", c("result").isNotNull().alias("readable"), of("$.ats.verdict").alias("verdict"), of("$.ats.priority_coverage", "double").alias("coverage"), of("$.ats.hard_gaps[0].term").alias("gap"), of("$.ats.reason").alias("reason"))
 
 
-QUERIES = {"json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
+def _cached(s, d) -> DataFrame:
+    """Each document is a CV: copies of 0 to 59 hours, some of another document or of unknown age; two attempts that succeed, fail or give nothing; some without copy, some without document."""
+    c, k, now = F.col, F.col("doc_id"), F.lit(fixtures.NOW).cast("timestamp")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    owner = k.cast("string").alias("owner")
+    requests = docs.select(owner, F.when(k % 11 != 0, F.concat(F.lit("d"), k.cast("string"))).alias("doc_id"))
+    at = F.when(k % 13 == 0, "long ago").otherwise((now - F.make_interval(hours=(k % 60).cast("int"))).cast("string"))
+    copies = docs.filter("doc_id % 7 <> 0").select(owner, F.concat(F.when(k % 5 == 0, "other").otherwise("d"), k.cast("string")).alias("doc_id"), "text", F.lit("export").alias("source"), at.alias("fetched_at"))
+    older = copies.withColumns({"text": F.lit("first version"), "fetched_at": F.lit("2020-01-01 00:00:00")})
+    tries = docs.select(owner, k.alias("n"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("position"))
+    failed = F.when((c("position") == 1) & (c("n") % 3 > 0), "no key").when((c("position") == 2) & (c("n") % 3 == 2), "403")
+    attempts = tries.select("owner", "position", F.when(c("position") == 1, "service_account").otherwise("export").alias("source"), F.when(failed.isNull(), F.when(c("n") % 6 == 0, " ").otherwise(F.concat(F.lit("new "), "text"))).alias("text"), failed.alias("error"))
+    return cv_cache.texts(requests, copies.unionByName(older), attempts, now).withColumn("text", F.md5("text"))
+
+
+QUERIES = {"cv_texts": _cached, "json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
 SQL = {
+    "cv_texts": f"""WITH x AS (SELECT doc_id AS n, doc_id::VARCHAR AS owner, doc_id % 11 <> 0 AS asked, doc_id % 7 <> 0 AS copied, doc_id % 13 = 0 AS undated, doc_id % 60 AS hours, text, TIMESTAMP '{fixtures.NOW}' - to_hours(doc_id % 60) AS stamp FROM documents),
+        y AS (SELECT *, CASE WHEN NOT asked THEN CASE WHEN copied THEN 'alone' ELSE 'nothing' END WHEN copied AND n % 5 <> 0 AND NOT undated AND hours <= 24 THEN 'hit' WHEN n % 3 <> 2 AND n % 6 <> 0 THEN 'fetched' WHEN copied THEN 'stale' ELSE 'nothing' END AS how,
+              CASE WHEN n % 6 = 0 THEN 'service_account: the document is empty#export: the document is empty' ELSE 'service_account: no key#export: 403' END AS why FROM x)
+        SELECT owner, CASE WHEN how = 'fetched' THEN md5('new ' || text) WHEN how <> 'nothing' THEN md5(text) END AS text, CASE WHEN how = 'fetched' THEN CASE WHEN n % 3 = 0 THEN 'service_account' ELSE 'export' END WHEN how <> 'nothing' THEN 'cache' END AS source,
+        CASE WHEN how IN ('alone', 'hit', 'stale') THEN 'export' END AS cached_source, CASE WHEN how = 'fetched' THEN 'd' || n WHEN how <> 'nothing' THEN CASE WHEN n % 5 = 0 THEN 'other' ELSE 'd' END || n END AS doc_id,
+        CASE WHEN how = 'fetched' THEN '{fixtures.NOW}' WHEN how <> 'nothing' THEN CASE WHEN undated THEN 'long ago' ELSE strftime(stamp, '%Y-%m-%d %H:%M:%S') END END AS fetched_at,
+        CASE how WHEN 'alone' THEN undated OR hours > 24 WHEN 'stale' THEN true WHEN 'nothing' THEN NULL ELSE false END AS stale, CASE WHEN how = 'fetched' THEN 0 WHEN how <> 'nothing' AND NOT undated THEN hours END::DOUBLE AS age_hours,
+        CASE how WHEN 'alone' THEN 'no document configured' WHEN 'stale' THEN replace(why, '#', '; ') END AS reason, CASE WHEN how = 'nothing' THEN CASE WHEN asked THEN 'could not read the document ' || replace(why, '#', ' | ') ELSE 'no document configured' END END AS error FROM y""",
     "json_objects": VIEWS + f" SELECT url, ordinal % {len(OBJECTS)} IN ({', '.join(str(k) for k, (x, y) in enumerate(OBJECTS) if y is not None or 'other' in x)}) AS is_object, {_wanted([y for _, y in OBJECTS])} AS k FROM postings",
     "scan_payloads": VIEWS + """ SELECT url, 'old' AS cv_status, ordinal % 3 > 0 AS readable, CASE ordinal % 3 WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' END AS verdict,
         CASE ordinal % 3 WHEN 1 THEN (ordinal % 60 + 40) / 4 WHEN 2 THEN (ordinal % 100) / 4 END::DOUBLE AS coverage, CASE WHEN ordinal % 3 > 0 THEN title END AS gap, NULL::VARCHAR AS reason FROM postings""",

@@ -414,3 +414,20 @@ def test_required_groups_come_back(spark):
     assert got["gone"] == ([("Testing", ["bdd", "tdd"]), ("Tools", ["git", "jira"]), ("Own", ["z"])], ["jira (re-added to their group)", "Testing"])
     assert got["items"] == ([("Tools", ["git", "jira"]), ("Testing", ["x", "bdd"])], ["git, jira (re-added to their group)"])
     assert got["none"] == ([], []) and got["no master"] == ([("Tools", ["a"])], [])
+
+
+def test_cv_texts_are_cached(spark):
+    from jobloom.sources import cv_cache
+
+    now = F.lit("2026-09-21 12:00:00").cast("timestamp")
+    requests = spark.createDataFrame([("a", "d1"), ("b", "d2"), ("c", None)], "owner string, doc_id string")
+    cache = spark.createDataFrame([("a", "d1", "old", "export", "2026-09-21 11:00:00"), ("a", "d1", "older", "export", "2026-09-01 00:00:00"), ("b", "d2", "copy", "export", "2026-09-19 12:00:00")], cv_cache.CACHE)
+    assert [tuple(r) for r in cv_cache.due(requests, cache, now).collect()] == [("b", "d2")]
+    assert cv_cache.due(requests, cache, now, force=True).count() == 2
+    attempts = lambda rows: spark.createDataFrame(rows, "owner string, position int, source string, text string, error string")
+    lost = {r.owner: (r.text, r.source, r.stale, r.age_hours, r.reason, r.error) for r in cv_cache.texts(requests, cache, attempts([("b", 1, "export", None, "timed out")]), now).collect()}
+    assert lost == {"a": ("old", "cache", False, 1.0, None, None), "b": ("copy", "cache", True, 48.0, "export: timed out", None), "c": (None, None, None, None, None, "no document configured")}
+    found = cv_cache.texts(requests, cache, attempts([("b", 2, "export", "second", None), ("b", 1, "service_account", " ", None)]), now)
+    stored = cv_cache.versions(cache, found)
+    assert stored.count() == 4 and cv_cache.due(requests, stored, now).count() == 0
+    assert {r.owner: r.text for r in cv_cache.texts(requests, stored, attempts([]), now).collect()} == {"a": "old", "b": "second", "c": None}
