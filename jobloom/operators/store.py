@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom import schemas
+from jobloom.sources import sinks
 
 
 def _one(delta: DataFrame, key: str = "url") -> DataFrame:
@@ -158,9 +159,9 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.round(c, 2).alias(c) if c in money else F.col(c) for c in CANDIDATE_COLUMNS))
 
 
-def candidates_csv(rows: DataFrame, path: str) -> None:
-    """Append candidates to a CSV folder."""
-    candidate_rows(rows).write.mode("append").option("header", True).csv(path)
+def candidates_csv(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Add candidates to a CSV table as one run (M14): all of them or none, and once for a run's name."""
+    sinks.add_run(candidate_rows(rows), path if ":" in path else f"file://{path}", run)
 
 
 def scored_columns(columns: list[str], declared: list[str]) -> list[str]:
@@ -168,7 +169,7 @@ def scored_columns(columns: list[str], declared: list[str]) -> list[str]:
     return [c for c in declared if c in columns] + sorted(c for c in columns if c not in declared)
 
 
-def scored_csv(rows: DataFrame, path: str, declared: list[str]) -> None:
-    """Scored postings as a CSV folder in the order of ``scored_columns`` (M15); arrays as texts."""
+def scored_csv(rows: DataFrame, path: str, declared: list[str], run: str | None = None) -> None:
+    """Add scored postings to a CSV table as one run, in the order of ``scored_columns`` (M15); arrays as texts."""
     flat = [F.to_json(c).alias(c) if dict(rows.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in scored_columns(rows.columns, declared)]
-    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    sinks.add_run(rows.select(*flat), path if ":" in path else f"file://{path}", run)

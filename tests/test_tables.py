@@ -431,3 +431,24 @@ def test_cv_texts_are_cached(spark):
     stored = cv_cache.versions(cache, found)
     assert stored.count() == 4 and cv_cache.due(requests, stored, now).count() == 0
     assert {r.owner: r.text for r in cv_cache.texts(requests, stored, attempts([]), now).collect()} == {"a": "old", "b": "second", "c": None}
+
+
+def test_runs_are_added_whole_and_once(spark, tmp_path):
+    at = f"file://{tmp_path}/out"
+    rows = spark.range(40).repartition(3).select(*(F.concat(F.lit('a "b", é\n'), "id").alias(c) if c == "title" else F.col("id").cast("double").alias(c) if c in ("day_rate_min", "day_rate_max", "perm_equivalent") else F.lit(None).cast("string").alias(c) if c == "source" else F.col("id").cast("string").alias(c) for c in store.CANDIDATE_COLUMNS))
+    read = lambda: spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(at)
+    broken = rows.withColumn("url", F.when(F.col("url") == "7", F.raise_error(F.lit("lost"))).otherwise(F.col("url")))
+    with pytest.raises(Exception, match="lost"):
+        store.candidates_csv(broken, at, "monday")
+    assert not list((tmp_path / "out").rglob("*.csv"))
+    store.candidates_csv(rows, at, "monday")
+    store.candidates_csv(rows, at, "monday")
+    assert sorted((r.url, r.title, r.source) for r in read().collect()) == sorted((str(k), f'a "b", é\n{k}', None) for k in range(40))
+    store.scored_csv(rows.limit(5).withColumn("tags", F.array(F.lit("x"))), at + "2", ["url", "title"], "tuesday")
+    store.candidates_csv(rows.filter("url < '2'"), at, "tuesday")
+    store.candidates_csv(rows.filter("false"), at, "empty")
+    assert read().count() == 40 + rows.filter("url < '2'").count()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["run=monday", "run=tuesday"]
+    assert next((tmp_path / "out2").rglob("*.csv")).read_text().startswith("url,title,company,")
+    with pytest.raises(Exception, match="not a name of a run"):
+        store.candidates_csv(rows, at, "../x")
