@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import dates, payloads, text
-from jobloom.operators import store
+from jobloom.operators import board, store
 from jobloom.plans import fixtures
 from jobloom.plans.oracles import VIEWS
 from jobloom.sources import cv_cache, pastes
@@ -141,8 +141,27 @@ def _cached(s, d) -> DataFrame:
     return cv_cache.texts(requests, copies.unionByName(older), attempts, now).withColumn("text", F.md5("text"))
 
 
-QUERIES = {"cv_texts": _cached, "json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
+def _lessons(s, d) -> DataFrame:
+    events = s.read.parquet(f"{d}/events.parquet").select(F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("mode"), F.col("ts").cast("string").alias("at"), F.col("event_id").cast("string").alias("evidence"))
+    return store.active_lessons(store.lessons(events)).select("mode", "hits", "active_since")
+
+
+def _joined(s, d) -> DataFrame:
+    """The board with all four tables that it joins: a third of the postings has a tailored CV, every second a scan."""
+    c, p = F.col, fixtures.postings(s, d)
+    tailored = p.filter("ordinal % 3 = 0").select("url", F.when(c("ordinal") % 2 == 0, "draft").otherwise("final").alias("cv_status"))
+    scanned = p.filter("ordinal % 2 = 0").select("url", F.when(c("ordinal") % 4 == 0, "pass").otherwise("fail").alias("scan_verdict"), (c("ordinal") % 101).cast("double").alias("scan_coverage"))
+    details = p.withColumn("passed_filters", c("ordinal") % 5 > 0)
+    rows = board.board(details, fixtures.scores(s, d), fixtures.statuses(s, d), tailored, scanned)
+    return rows.select("url", "match_score", "recommendation", "my_status", "cv_status", "scan_verdict", "scan_coverage")
+
+
+QUERIES = {"active_lessons": _lessons, "board_joined": _joined, "cv_texts": _cached, "json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
 SQL = {
+    "active_lessons": "SELECT mode, count(*)::INT AS hits, (max(ts) FILTER (n = 2))::VARCHAR AS active_since FROM (SELECT event_type || '-' || (user_id % 50) AS mode, ts, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts, event_id::VARCHAR) AS n FROM events) GROUP BY mode HAVING count(*) >= 2",
+    "board_joined": VIEWS + """ SELECT p.url, s.match_score, coalesce(s.recommendation, 'not_evaluated') AS recommendation, t.my_status, CASE WHEN ordinal % 3 = 0 THEN CASE WHEN ordinal % 2 = 0 THEN 'draft' ELSE 'final' END END AS cv_status,
+        CASE WHEN ordinal % 2 = 0 THEN CASE WHEN ordinal % 4 = 0 THEN 'pass' ELSE 'fail' END END AS scan_verdict, CASE WHEN ordinal % 2 = 0 THEN (ordinal % 101)::DOUBLE END AS scan_coverage
+        FROM postings p LEFT JOIN scores s USING (url) LEFT JOIN statuses t USING (url) WHERE ordinal % 5 > 0""",
     "cv_texts": f"""WITH x AS (SELECT doc_id AS n, doc_id::VARCHAR AS owner, doc_id % 11 <> 0 AS asked, doc_id % 7 <> 0 AS copied, doc_id % 13 = 0 AS undated, doc_id % 60 AS hours, text, TIMESTAMP '{fixtures.NOW}' - to_hours(doc_id % 60) AS stamp FROM documents),
         y AS (SELECT *, CASE WHEN NOT asked THEN CASE WHEN copied THEN 'alone' ELSE 'nothing' END WHEN copied AND n % 5 <> 0 AND NOT undated AND hours <= 24 THEN 'hit' WHEN n % 3 <> 2 AND n % 6 <> 0 THEN 'fetched' WHEN copied THEN 'stale' ELSE 'nothing' END AS how,
               CASE WHEN n % 6 = 0 THEN 'service_account: the document is empty#export: the document is empty' ELSE 'service_account: no key#export: 403' END AS why FROM x)
