@@ -19,10 +19,10 @@ EXCLUDED_TITLES = [
     "aerospace", "pharmaceutical", "medical device", "clinical", "games tester", "game tester", "playtest", "localisation",
     "localization", "linguistic", "penetration", "sales engineer", "recruiter", "talent acquisition", "field service",
 ]
-_HOME = r"\b(uk|u\.k\.|united kingdom|gb|great britain|england|scotland|wales|northern ireland)\b"
 LOCATIONS = [
     r"\blondon\b", r"\bgreater london\b", r"\bunited kingdom\b", r"\buk\b",
-    r"\bremote\b[^,;|]{0,25}" + _HOME, _HOME + r"[^,;|]{0,25}\bremote\b",
+    r"\bremote\b[^,;|]{0,25}\b(uk|u\.k\.|united kingdom|gb|great britain|england|scotland|wales|northern ireland)\b",
+    r"\b(uk|u\.k\.|united kingdom|gb|great britain|england|scotland|wales|northern ireland)\b[^,;|]{0,25}\bremote\b",
 ]
 STACK_PRIORITY = {
     "java": r"\bjava\b", "ruby": r"\bruby\b", "rails": r"\brails\b", "rspec": r"\brspec\b", "capybara": r"\bcapybara\b",

@@ -18,6 +18,7 @@ SECTIONS = ("requirements", "duties", "nice")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"})
 # Suffixes and what takes their place, the first that fits.
 _SUFFIXES = [("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("es", ""), ("s", "")]
+# Small words that carry no meaning in a phrase.
 _SMALL = frozenset("a an and of to for or the in on with as".split())
 
 
