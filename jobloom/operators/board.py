@@ -45,11 +45,21 @@ def windowed(rows: DataFrame, now: Column, window: str) -> DataFrame:
     return step.filter(dates.within_window(F.col("age"), window) | dates.listed_recently(F.col("last_listed_at"), now, window))
 
 
-def sort_board(rows: DataFrame, key: str = "score", descending: bool = True) -> DataFrame:
-    """Nulls last in both directions, texts without regard to case (O1); ties by url."""
+def _order(rows: DataFrame, key: str, descending: bool) -> list[Column]:
     c = SORT_KEYS[key]
     value = F.lower(c) if dict(rows.dtypes)[c] == "string" else F.col(c)
-    return rows.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last(), "url")
+    return [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col("url")]
+
+
+def sort_board(rows: DataFrame, key: str = "score", descending: bool = True) -> DataFrame:
+    """Nulls last in both directions, texts without regard to case (O1); ties by url."""
+    return rows.orderBy(*_order(rows, key, descending))
+
+
+def first_page(rows: DataFrame, key: str = "score", descending: bool = True, size: int = 50) -> DataFrame:
+    """The first ``size`` rows of the sorted board, with their position from 1: each task hands on as many, never its whole sort."""
+    top = sort_board(rows, key, descending).limit(size)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*_order(rows, key, descending))))
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

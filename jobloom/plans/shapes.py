@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import dates, payloads, text
 from jobloom.operators import board, store
-from jobloom.plans import fixtures
+from jobloom.plans import fixtures, oracles
 from jobloom.plans.oracles import VIEWS
 from jobloom.sources import cv_cache, pastes
 
@@ -156,8 +156,29 @@ def _joined(s, d) -> DataFrame:
     return rows.select("url", "match_score", "recommendation", "my_status", "cv_status", "scan_verdict", "scan_coverage")
 
 
-QUERIES = {"active_lessons": _lessons, "board_joined": _joined, "cv_texts": _cached, "json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
+def _pages(s, d) -> DataFrame:
+    """The first page of the board by each of its ten keys, in both directions."""
+    now = F.lit(fixtures.NOW).cast("timestamp")
+    rows = board.board(fixtures.postings(s, d).withColumn("passed_filters", F.lit(True)), fixtures.scores(s, d), fixtures.statuses(s, d))
+    rows = rows.withColumns({"posted_ts": dates.parse_posted_at(F.col("posted_at"), now), "language_rank": F.when(F.col("ordinal") % 5 > 0, F.col("ordinal") % 4).cast("int")})
+    rows = rows.select("url", *board.SORT_KEYS.values())
+    out = None
+    for key in board.SORT_KEYS:
+        for down in (True, False):
+            page = board.first_page(rows, key, down).select(F.lit(f"{key} {'down' if down else 'up'}").alias("sort"), "position", "url")
+            out = page if out is None else out.unionAll(page)
+    return out
+
+
+def _pages_sql() -> str:
+    keys = {"score": "match_score", "company": "lower(company)", "title": "lower(title)", "location": "lower(location)", "source": "lower(source)", "posted": "posted_ts", "type": "lower(employment_type)", "rate": "day_rate_max", "language": "CASE WHEN ordinal % 5 > 0 THEN ordinal % 4 END", "status": "lower(my_status)"}
+    each = [f"SELECT '{k} {way}' AS sort, row_number() OVER (ORDER BY {v} {sql} NULLS LAST, url)::INT AS position, url FROM b" for k, v in keys.items() for way, sql in (("down", "DESC"), ("up", "ASC"))]
+    return VIEWS + f", a AS ({oracles.SQL['posted_age']}), b AS (SELECT * FROM postings LEFT JOIN scores USING (url) LEFT JOIN statuses USING (url) LEFT JOIN a USING (url)), e AS ({' UNION ALL '.join(each)}) SELECT * FROM e WHERE position <= 50"
+
+
+QUERIES = {"board_pages": _pages, "active_lessons": _lessons, "board_joined": _joined, "cv_texts": _cached, "json_objects": _objects, "scan_payloads": _scans} | {"structured_shapes": _html, "version_shapes": _versions, "slug_shapes": _slugs, "pasted_adverts": _pastes, "written_dates": _dates}
 SQL = {
+    "board_pages": _pages_sql(),
     "active_lessons": "SELECT mode, count(*)::INT AS hits, (max(ts) FILTER (n = 2))::VARCHAR AS active_since FROM (SELECT event_type || '-' || (user_id % 50) AS mode, ts, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts, event_id::VARCHAR) AS n FROM events) GROUP BY mode HAVING count(*) >= 2",
     "board_joined": VIEWS + """ SELECT p.url, s.match_score, coalesce(s.recommendation, 'not_evaluated') AS recommendation, t.my_status, CASE WHEN ordinal % 3 = 0 THEN CASE WHEN ordinal % 2 = 0 THEN 'draft' ELSE 'final' END END AS cv_status,
         CASE WHEN ordinal % 2 = 0 THEN CASE WHEN ordinal % 4 = 0 THEN 'pass' ELSE 'fail' END END AS scan_verdict, CASE WHEN ordinal % 2 = 0 THEN (ordinal % 101)::DOUBLE END AS scan_coverage
