@@ -452,3 +452,80 @@ def test_runs_are_added_whole_and_once(spark, tmp_path):
     assert next((tmp_path / "out2").rglob("*.csv")).read_text().startswith("url,title,company,")
     with pytest.raises(Exception, match="not a name of a run"):
         store.candidates_csv(rows, at, "../x")
+
+
+def test_addresses_are_followed_over_the_network(spark):
+    """Two hosts of one server: each address once, at the host's rate, with patience where it is asked for, and failures as rows."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from jobloom.sources import redirects
+
+    seen, lock = [], threading.Lock()
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            with lock:
+                seen.append((self.headers["Host"].split(":")[0], self.path, time.time()))
+                before = sum(p == self.path for _, p, _ in seen)
+            other = f"http://localhost:{self.server.server_port}"
+            moved = {"/a": "/b", "/b": f"{other}/c", "/d": f"{other}/c", "/loop": "/pool", "/pool": "/loop"}.get(self.path)
+            status = 302 if moved else 404 if self.path == "/gone" else 429 if self.path == "/busy" and before == 1 else 503 if self.path == "/shut" else 200
+            self.send_response(status)
+            for k, v in {"Location": moved, "Retry-After": {"/busy": "1", "/shut": "9999"}.get(self.path)}.items():
+                if v:
+                    self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(f"<p>page of {self.path} é</p>".encode() if status == 200 else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at, to = f"http://127.0.0.1:{server.server_port}", f"http://localhost:{server.server_port}"
+        paths = ["/a", "/d", "/loop", "/gone", "/busy", "/shut", *(f"/x{i}" for i in range(6))]
+        asked = [(p, at + p) for p in paths] + [("twin", at + "/a"), ("none", None), ("file", "file:///etc/hostname"), ("bad", "http://127.0.0.1:1/")]
+        got = {r.url: r for r in redirects.landed(spark.createDataFrame(asked, "url string, address string"), redirects.http_hops(rate=10, lanes=2), most=3).collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert len(got) == len(asked)
+    assert all(got[u].final_url == f"{to}/c" and got[u].page == "<p>page of /c é</p>" and got[u].error is None for u in ("/a", "/d", "twin"))
+    assert got["/busy"].page == "<p>page of /busy é</p>" and got["/x5"].final_url == f"{at}/x5"
+    wrong = {u: got[u].error for u in ("/loop", "/gone", "/shut", "none", "file", "bad")}
+    assert wrong == {"/loop": "more than 3 redirects", "/gone": "status 404", "/shut": "status 503", "none": "no address", "file": "ValueError", "bad": "URLError"}
+    assert all(got[u].page is None for u in wrong)
+    assert {p for _, p, _ in seen} == {*paths, "/b", "/c", "/pool"}
+    assert all(sum(p == q for _, p, _ in seen) == (2 if q == "/busy" else 1) for q in {p for _, p, _ in seen})
+    busy = [t for _, p, t in seen if p == "/busy"]
+    assert busy[1] - busy[0] >= 1
+    times = [t for h, p, t in seen if h == "127.0.0.1" and p in paths]
+    assert max(times) - min(times) >= 1  # thirteen answers of a host in two queues, each at half its rate
+
+
+def test_queues_wait_for_themselves_only(monkeypatch):
+    from jobloom.sources import redirects
+
+    clock, calls = [0.0], []
+    monkeypatch.setattr(redirects.time, "time", lambda: clock[0])
+    monkeypatch.setattr(redirects.time, "sleep", lambda s: clock.__setitem__(0, clock[0] + s))
+
+    def ask(address):
+        calls.append((address, clock[0]))
+        return (429, {"retry-after": "5"}, "") if address == "a1" and len(calls) == 1 else (200, {}, address)
+
+    got = list(redirects.asked_in_turn([("a1", "a"), ("a2", "a"), ("b1", "b"), ("b2", "b")], {}, 1.0, 3, 60.0, ask))
+    assert [x[0] for x in got] == ["b1", "b2", "a1", "a2"]
+    assert calls == [("a1", 0.0), ("b1", 0.0), ("b2", 1.0), ("a1", 5.0), ("a2", 6.0)]
+    assert redirects.seconds_asked({"Retry-After": "Thu, 01 Jan 1970 00:01:00 GMT"}, 20.0) == 40.0
+    assert redirects.as_answer("http://x/a/b", 302, {"LOCATION": "../c"}, "")[2] == "http://x/c"
+
+
+def test_requests_without_rows(spark):
+    from jobloom.sources import redirects
+
+    none = spark.createDataFrame([], "url string, address string")
+    assert redirects.landed(none, redirects.stored_hops(spark.createDataFrame([], redirects.ANSWER))).count() == 0
