@@ -162,6 +162,14 @@ class RateModel:
         return choose(status == "inside", self.inside_salary(year), self.salary_for_net(self.outside(year)["net_pay"]))
 
 
+def with_thresholds(rows: DataFrame, days: str = "days", model: RateModel | None = None, salary: float | None = None) -> DataFrame:
+    """The rows with salary, inside_rate, outside_rate: the day rates that are worth ``salary`` in a year of so many working days; null for none."""
+    m = model or RateModel()
+    salary = float(salary or m.r["target_salary"])
+    a_day = lambda year: F.when(F.col(days) > 0, F.lit(year) / F.col(days))
+    return rows.withColumns({"salary": F.lit(salary), "inside_rate": a_day(m.inside_assignment(salary)), "outside_rate": a_day(m.value_for_net(m.net_salary(salary)))})
+
+
 def threshold_table(spark: SparkSession, days: list[int], model: RateModel | None = None, salaries: list[float] | None = None) -> DataFrame:
     """days, salary, inside_rate, outside_rate: the thresholds for each number of working days."""
     m = model or RateModel()

@@ -196,7 +196,7 @@ SQL = {
     "clearance": RECURSIVE + ", " + _CLEARANCE + " SELECT url, clearance_status, clearance_evidence FROM clear_",
     "tax_model": "WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice AS v FROM orders), " + _company("o", "v", "f") + ", years AS (SELECT DISTINCT v AS year FROM o), " + _halving("inverse_in", "years", "year", _assignment, "year") + f"""
         SELECT o_orderkey, {", ".join(f"round({x} + {HAIR}, 4) AS {k}" for k, x in {"income_tax": _income_tax("v"), "employee_nic": _employee("v"), "employer_nic": _employer("v"), "net_salary": _net("v"), "inside_salary": "x", "outside_net": _COMPANY_NET, "dividend_tax": "dt", "corporation_tax": "ct"}.items())} FROM f JOIN inverse_in ON y = v""",
-    "rate_thresholds": "WITH w AS (SELECT 1)" + _GRID + f" SELECT days, 60000.0::DOUBLE AS salary, round({_assignment('60000.0')} / days, 4) AS inside_rate, round((SELECT v FROM outside_year) / days, 4) AS outside_rate FROM (VALUES (200.0::DOUBLE), (220.0), (240.0), (260.0)) d(days)",
+    "rate_thresholds": "WITH w AS (SELECT 1)" + _GRID + f", d AS (SELECT c_custkey, (c_custkey % 261)::INT AS days FROM customer) SELECT c_custkey, days, 60000.0::DOUBLE AS salary, CASE WHEN days > 0 THEN round({_assignment('60000.0')} / days, 4) END AS inside_rate, CASE WHEN days > 0 THEN round((SELECT v FROM outside_year) / days, 4) END AS outside_rate FROM d",
     "contract_rates": ENRICHED + " SELECT url, ir AS ir35_status, ir35_evidence, day_rate_min, day_rate_max, day_rate_source, rate_verdict, round(rate_required, 4) AS rate_required, round(perm_equivalent + " + f"{HAIR}" + ", 4) AS perm_equivalent, rate_reason FROM enriched",
     "rejections": ENRICHED + """ SELECT url, passes, CASE WHEN NOT title_ok THEN 'title not in the QA/testing allowlist' WHEN NOT place_ok THEN 'location not in the London/UK allowlist'
         WHEN mismatch THEN 'language mismatch — names ' || coalesce(language_hits, 'None') || ' only' ELSE coalesce(no_clearance, no_rate) END AS reason,

@@ -139,6 +139,12 @@ def _tax(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *(F.round(x + oracle_contracts.HAIR, 4).alias(k) for k, x in cols.items()))
 
 
+def _thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer is a contractor with 0 to 260 working days a year."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 261).cast("int").alias("days"))
+    return rates.with_thresholds(rows).select("c_custkey", "days", "salary", F.round("inside_rate", 4).alias("inside_rate"), F.round("outside_rate", 4).alias("outside_rate"))
+
+
 #: A CV and a fact base for the coverage queries.
 CV = "Test engineer. Java, JUnit and Maven suites for payment services.\nSelenium and REST-assured checks in Jenkins pipelines."
 MASTER = CV + "\nRuby on Rails with RSpec and Capybara. Groovy and Spock for contract tests. Python scripts for stakeholder management."
@@ -202,7 +208,7 @@ QUERIES = {
     "title_keys": _keys,
     "contract_rates": _rates,
     "tax_model": _tax,
-    "rate_thresholds": lambda s, d: rates.threshold_table(s, [200, 220, 240, 260]).select("days", "salary", F.round("inside_rate", 4).alias("inside_rate"), F.round("outside_rate", 4).alias("outside_rate")),
+    "rate_thresholds": _thresholds,
     "rejections": _rejections,
     "rejected_rows": lambda s, d: audit.rejected(_enriched(s, d)).select("url", "reasons"),
     "run_totals": lambda s, d: audit.run_totals(_enriched(s, d)),

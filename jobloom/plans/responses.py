@@ -164,16 +164,26 @@ def _months(s, d) -> DataFrame:
 
 
 def _cv_sources(s, d) -> DataFrame:
-    out = None
-    for age, at in ((1, "2026-09-21 11:00:00"), (30, "2026-09-20 06:00:00")):
-        row = loaders.cv_text(s, "x" * age, at, fixtures.NOW).select(F.lit(age).alias("hours"), "age_hours", "stale", "chars")
-        out = row if out is None else out.unionAll(row)
-    return out
+    """Each document is a CV text, fetched 0 to 59 hours ago or nobody knows when."""
+    key, now = F.col("doc_id"), F.lit(fixtures.NOW).cast("timestamp")
+    at = F.when(key % 13 > 0, (now - F.make_interval(hours=(key % 60).cast("int"))).cast("string"))
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", at.alias("fetched_at"))
+    return loaders.cv_ages(rows, now).select("doc_id", "age_hours", "stale", "chars")
+
+
+#: Rows of a table of boards, {n} being the customer's number; what must be asked for is in the SQL.
+_BOARDS = [
+    ("greenhouse", None, "co{n}", None), ("workday", None, "tenant{n}/Careers", None), ("workday", "lever", "/t-{n}/Site_1/wd5/", None), ("workday", None, "tenant{n}", None), ("workday", None, "t/Careers/wd99", None),
+    (" ", "adzuna", None, '{"country": " UK ", "what": "qa {n}"}'), ("adzuna", None, None, '{"country": "gbr"}'), (None, "adzuna", None, None), ("smartrecruiters", None, "co{n}", None), ("lever", None, " ", None),
+    ("monster", None, "co{n}", None), (None, None, "co{n}", None), ("ashby", None, "co{n}", "{oops"),
+]
 
 
 def _registry(s, d) -> DataFrame:
-    rows = [{"name": "Acme", "ats": "workday", "slug": "acme/Careers", "search": "test"}, {"name": "Ads", "type": "adzuna", "params": {"what": "qa", "max_pages": 2}}]
-    return loaders.registry(s, rows).select("name", "ats", "slug", "search", F.col("params")["max_pages"].alias("max_pages"))
+    key = F.col("c_custkey")
+    pick = lambda k: F.replace(F.get(F.array(*(F.lit(r[k]).cast("string") for r in _BOARDS)), (key % len(_BOARDS)).cast("int")), F.lit("{n}"), key.cast("string"))
+    rows = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name"), *(pick(k).alias(c) for k, c in enumerate(("ats", "type", "slug", "params"))))
+    return loaders.board_requests(rows).select("name", "ats", "slug", "search", F.try_element_at("params", F.lit("what")).alias("what"), "address", "error")
 
 
 QUERIES = {f"board_{k}": (lambda make, k: lambda s, d: _shown(boards.PARSERS[k](make(s, d))))(make, k) for k, make in _RAWS.items()} | {
@@ -228,6 +238,11 @@ SQL = {
         CASE WHEN ordinal % 3 <> 1 THEN 'major' WHEN ordinal % 2 = 0 THEN 'minor' ELSE 'patch' END AS bump, 'a' || chr(10) || chr(10) || 'b ' || title AS lines, 'strong' AS agree, url || '?token=***&x=1' AS redacted FROM w""",
     "post_texts": VIEWS + r""" SELECT url, trim(regexp_replace(replace(regexp_replace(regexp_replace(CASE WHEN marker IS NULL THEN description ELSE coalesce(body, '') END, '(?i)<\s*li[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM own""",
     "month_labels": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Present' ELSE strftime(o_orderdate, '%b %Y') END AS month, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS applied FROM orders",
-    "cv_sources": "SELECT * FROM (VALUES (1, 1.0::DOUBLE, false, 1), (30, 30.0, true, 30)) v(hours, age_hours, stale, chars)",
-    "registries": "SELECT * FROM (VALUES ('Acme', 'workday', 'acme/Careers', 'test', NULL), ('Ads', 'adzuna', NULL, NULL, '2')) v(name, ats, slug, search, max_pages)",
+    "cv_sources": "SELECT doc_id, CASE WHEN doc_id % 13 > 0 THEN (doc_id % 60)::DOUBLE END AS age_hours, doc_id % 13 = 0 OR doc_id % 60 > 24 AS stale, coalesce(length(text), 0)::INT AS chars FROM documents",
+    "registries": """WITH c AS (SELECT c_name AS name, c_custkey AS n, c_custkey % 13 AS k FROM customer)
+        SELECT name, ['greenhouse', 'workday', 'workday', 'workday', 'workday', 'adzuna', 'adzuna', 'adzuna', 'smartrecruiters', 'lever', 'monster', NULL, 'ashby'][k + 1] AS ats,
+        CASE WHEN k IN (0, 8, 10, 11, 12) THEN 'co' || n WHEN k = 1 THEN 'tenant' || n || '/Careers' WHEN k = 2 THEN '/t-' || n || '/Site_1/wd5/' WHEN k = 3 THEN 'tenant' || n WHEN k = 4 THEN 't/Careers/wd99' END AS slug, NULL::VARCHAR AS search, CASE WHEN k = 5 THEN 'qa ' || n END AS what,
+        CASE k WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/co' || n || '/jobs?content=true' WHEN 1 THEN 'https://tenant' || n || '.wd3.myworkdayjobs.com/wday/cxs/tenant' || n || '/Careers/jobs' WHEN 2 THEN 'https://t-' || n || '.wd5.myworkdayjobs.com/wday/cxs/t-' || n || '/Site_1/jobs'
+          WHEN 5 THEN 'https://api.adzuna.com/v1/api/jobs/gb/search/1' WHEN 7 THEN 'https://api.adzuna.com/v1/api/jobs/ca/search/1' WHEN 8 THEN 'https://api.smartrecruiters.com/v1/companies/co' || n || '/postings?limit=100&offset=0' END AS address,
+        CASE WHEN k IN (3, 4) THEN 'not tenant/site or tenant/site/region' WHEN k = 6 THEN 'not a country code of two letters' WHEN k = 9 THEN 'no slug' WHEN k = 10 THEN 'unknown board kind' WHEN k = 11 THEN 'no board kind' WHEN k = 12 THEN 'params are no JSON object' END AS error FROM c""",
 }

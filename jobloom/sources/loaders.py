@@ -40,6 +40,12 @@ def cv_text(spark: SparkSession, text: str, fetched_at: str, now: str, kind: str
     return spark.createDataFrame([(text, kind, fetched_at, round(age, 2), age > ttl_hours, len(text))], "text string, kind string, fetched_at string, age_hours double, stale boolean, chars int")
 
 
+def cv_ages(rows: DataFrame, now: Column, ttl_hours: float = TTL_HOURS) -> DataFrame:
+    """The rows (text, fetched_at, ...) with age_hours, stale, chars (S15, D8): a time that cannot be read makes a text stale, a null text has no characters."""
+    age = F.round((now.cast("timestamp").cast("double") - F.col("fetched_at").try_cast("timestamp").cast("double")) / 3600, 2)
+    return rows.withColumns({"age_hours": age, "stale": F.coalesce(age > ttl_hours, F.lit(True)), "chars": F.coalesce(F.length("text"), F.lit(0))})
+
+
 def workday_endpoint(slug: str) -> tuple[str, str, str]:
     """(base address, tenant, site) of 'tenant/site' or 'tenant/site/region'; anything else is an error."""
     from jobloom.sources.boards import REGION, REGIONS
@@ -50,6 +56,35 @@ def workday_endpoint(slug: str) -> tuple[str, str, str]:
     return f"https://{m[1]}.{m[3] or REGION}.myworkdayjobs.com", m[1], m[2]
 
 
+def board_requests(rows: DataFrame) -> DataFrame:
+    """name, ats, slug, search, params, address, error of a table of boards: the first request of each, or why it has none.
+
+    Reads the columns name, ats, type, slug, search, params (JSON); those that the table
+    has not are null. ``ats`` comes before ``type``; a broken ``params`` is an error.
+    """
+    from jobloom.sources.boards import ADDRESSES, COUNTRIES, REGION, REGIONS
+
+    c = F.col
+    have = rows.select(*(c(k).cast("string").alias(k) if k in rows.columns else F.lit(None).cast("string").alias(k) for k in ("name", "ats", "type", "slug", "search", "params")))
+    said = lambda k: F.nullif(F.trim(k), F.lit(""))
+    have = have.select("name", F.coalesce(said("ats"), said("type")).alias("ats"), said("slug").alias("slug"), said("search").alias("search"), F.from_json(F.coalesce(said("params"), F.lit("{}")), "map<string,string>").alias("params"))
+    day = r"^/?([\w-]+)/([\w-]+)(?:/(\w+))?/?$"
+    bit = lambda k: F.regexp_extract(F.coalesce("slug", F.lit("")), day, k)
+    region = F.when(bit(3) == "", REGION).otherwise(bit(3))
+    asked = F.lower(F.trim(F.coalesce(F.try_element_at("params", F.lit("country")), F.lit("ca"))))
+    country = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair)), asked), asked)
+    known = F.create_map(*(F.lit(x) for k, (v, _) in ADDRESSES.items() for x in (k, v)))
+    plain = F.replace(F.replace(F.try_element_at(known, "ats"), F.lit("{slug}"), c("slug")), F.lit("{at}"), F.lit("0"))
+    by_day = F.concat(F.lit("https://"), bit(1), F.lit("."), region, F.lit(".myworkdayjobs.com/wday/cxs/"), bit(1), F.lit("/"), bit(2), F.lit("/jobs"))
+    by_ad = F.concat(F.lit("https://api.adzuna.com/v1/api/jobs/"), country, F.lit("/search/1"))
+    error = F.when(c("params").isNull(), "params are no JSON object").when(c("ats").isNull(), "no board kind")
+    error = error.when((c("ats") == "workday") & ~((bit(1) != "") & region.isin(*REGIONS)), "not tenant/site or tenant/site/region")
+    error = error.when((c("ats") == "adzuna") & ~country.rlike("^[a-z]{2}$"), "not a country code of two letters")
+    error = error.when(~c("ats").isin("workday", "adzuna", *ADDRESSES), "unknown board kind").when((c("ats") != "adzuna") & c("slug").isNull(), "no slug")
+    address = F.when(c("ats") == "workday", by_day).when(c("ats") == "adzuna", by_ad).otherwise(plain)
+    return have.select("*", F.when(error.isNull(), address).alias("address"), error.alias("error"))
+
+
 def names_agree(company: Column, page: Column) -> Column:
     """strong, weak or none: whether a board's page names the company: all identifying words side by side, or each of them somewhere."""
     from jobloom.functions.text import company_key, plain_words
