@@ -123,11 +123,11 @@ def scan(postings: DataFrame, cv: str, master: str, lexicon: Lexicon = Lexicon()
 
 
 def gap_report(found: DataFrame, tailored: str, master: str) -> DataFrame:
-    """url, heading, term, weight, section (C9): priority gaps (hard and other), evidenced, dropped in tailoring (U3), background."""
+    """url, heading, term, weight, section (C9): priority gaps (hard and other), evidenced, dropped in tailoring (U3), background; in no order."""
     rows = with_coverage(found, tailored, master)
     p, on = F.col("priority"), F.col("on_cv")
     heading = F.when(p & ~on & F.col("in_master"), "dropped").when(hard_gap(), "hard gap").when(p & ~on, "priority gap").when(p, "evidenced").otherwise("background")
-    return rows.select("url", heading.alias("heading"), "term", "weight", "section").orderBy("url", "heading", F.desc("weight"), "term")
+    return rows.select("url", heading.alias("heading"), "term", "weight", "section")
 
 
 def gap_figures(found: DataFrame, tailored: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.lexicon import Lexicon
-from jobloom.operators import coverage
+from jobloom.operators import briefs, coverage
 from jobloom.plans import fixtures
-from jobloom.plans.oracles import VIEWS
+from jobloom.plans.oracles import SQL as ORACLES
+from jobloom.plans.oracles import STRIP, VIEWS
 
 _SKILLS = {"java": "java", "javascript": "javascript", "js": "javascript", "spring boot": "spring boot", "spring": "spring", "aws": "aws", "amazon web services": "aws", "testing library": "testing library", "c++": "c++"}
 LEXICON = Lexicon(_SKILLS, frozenset("a about and at do for have in is of or the to us we what will with you you'll".split()), frozenset(["nice"]))
@@ -88,7 +89,18 @@ def _suggested(s, d) -> DataFrame:
     return out.select("url", "role_id", "achievement_id", "text", "kind", "overlap", F.array_join("closes", "|").alias("closes"), "weight_closed", "rank")
 
 
+def _contexts(s, d) -> DataFrame:
+    return briefs.contexts(_adverts(s, d), _found(s, d), ["Acme", "", "Bee"], {"Languages": ["Java"], "Domains": ["Banking", "Retail"], "Tools": []})
+
+
+def _briefs(s, d) -> DataFrame:
+    rows = briefs.with_brief(fixtures.postings(s, d), F.concat(F.lit("Type: "), "employment_type"))
+    return rows.select("url", "note", F.md5("brief").alias("brief"))
+
+
 QUERIES = {
+    "contexts": _contexts,
+    "briefs": _briefs,
     "term_shapes": lambda s, d: _found(s, d).select("url", "term", "count", "in_requirements", "in_duties", "in_nice", "skill", "capitalised", "in_title", "weight", "section", "priority", "on_cv", "in_master"),
     "gap_shapes": lambda s, d: coverage.gap_report(_found(s, d), CV, MASTER).select("url", "heading", "term"),
     "gap_figures": _figures,
@@ -99,6 +111,12 @@ _T = f"t(k, term, count, in_requirements, in_duties, in_nice, skill, capitalised
 _S = f"s(k, verdict, unreliable, terms_found, present, priority_total, priority_on_cv, hard_gap_count, {', '.join(_LISTS)}) AS (VALUES {SCANS})"
 _KEY = f"k = ordinal % {len(ADVERTS)}"
 SQL = {
+    "contexts": VIEWS + f""" SELECT url, concat_ws(chr(10), 'Employers so far: Acme, Bee', 'Never employed by: ' || CASE ordinal % 6 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Spring Boot Systems' WHEN 3 THEN 'Bee' WHEN 5 THEN '' ELSE '(not stated)' END, 'Domains: Banking, Retail', 'Skill groups: Languages, Tools',
+        'Not in the fact base: ' || CASE ordinal % 6 WHEN 0 THEN 'java, spring, spring boot, maintain, engineer' WHEN 1 THEN 'spring, write, tester' WHEN 2 THEN 'c++, aws' WHEN 4 THEN 'java' END) AS context FROM postings""",
+    "briefs": VIEWS + f""", cut AS ({ORACLES['truncated']}), n AS (SELECT *, CASE WHEN marker IS NOT NULL THEN CASE WHEN body IS NULL THEN 'unreadable' ELSE 'excerpt' END WHEN truncated AND description <> '' THEN 'snippet' END AS note, trim({STRIP.format('description')}, chr(9) || chr(10) || chr(13) || ' ') AS bare FROM own JOIN cut USING (url))
+        SELECT url, note, md5(concat_ws(chr(10), 'Company: ' || coalesce(company, ''), 'Title: ' || coalesce(title, ''), 'Location: ' || coalesce(location, ''), 'Address: ' || url,
+        CASE note WHEN 'snippet' THEN 'Note: the text is a snippet of the advert. What it does not say is unknown, not absent.' WHEN 'excerpt' THEN 'Note: the text was taken out of a page that also lists other adverts.' WHEN 'unreadable' THEN 'Note: the stored page lists other adverts and this one could not be found in it. Judge by company, title and place.' END,
+        '', CASE WHEN marker IS NOT NULL THEN coalesce(body, '(no text)') ELSE coalesce(nullif(bare, ''), '(no text)') END, '', 'Type: ' || employment_type)) AS brief FROM n""",
     "term_shapes": VIEWS + f", {_T} SELECT url, t.* EXCLUDE (k) REPLACE (weight::DOUBLE AS weight) FROM postings JOIN t ON {_KEY}",
     "gap_shapes": VIEWS + f", g(k, heading, term) AS (VALUES {GAPS}) SELECT url, heading, term FROM postings JOIN g ON {_KEY}",
     "gap_figures": VIEWS + f", {_S} SELECT url, terms_found AS total, present, round(100.0 * present / terms_found, 6)::DOUBLE AS percent, CASE WHEN priority_total = 0 THEN 0.0 ELSE round(100.0 * priority_on_cv / priority_total, 6) END::DOUBLE AS priority_percent FROM postings JOIN s ON {_KEY} WHERE terms_found > 0",
