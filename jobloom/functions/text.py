@@ -174,10 +174,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def criteria_employment(c: Column) -> Column:
-    """Employment type from a list such as 'Full-time, Contract'."""
-    parts = F.transform(F.split(F.lower(_text(c)), r"[,/&]|\band\b"), lambda x: F.trim(x))
-    some = lambda words: F.exists(parts, lambda x: x.isin(words))
-    return F.when(some(["contract", "temporary", "contractor"]), "contract").when(some(["full-time", "part-time", "permanent"]), "permanent").otherwise("unknown")
+    """contract if a list such as 'Full-time, Contract' names it, else null."""
+    parts = F.transform(F.split(_text(c), "[,/&]| and "), lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    return F.when(F.exists(parts, lambda x: x.isin(["contract", "temporary"])), "contract")
 
 
 def slugify(c: Column) -> Column:

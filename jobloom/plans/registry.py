@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import dates, rates, text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
-from jobloom.plans import documents, fixtures, landings, mutations, oracle_contracts, oracle_store, oracles, responses, shapes, term_shapes
+from jobloom.plans import documents, fixtures, landings, mutations, oracle_contracts, oracle_store, oracles, responses, runs, shapes, term_shapes
 from jobloom.sources import pages
 
 __all__ = ["QUERIES", "SQL"]
 
-SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL | responses.SQL | documents.SQL | shapes.SQL | landings.SQL | term_shapes.SQL
+SQL = oracles.SQL | oracle_contracts.SQL | oracle_store.SQL | responses.SQL | documents.SQL | shapes.SQL | landings.SQL | term_shapes.SQL | runs.SQL
 
 
 def _now():
@@ -245,4 +245,4 @@ QUERIES = {
     "suggestions": _suggested,
     "page_html_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", pages.html_text_udf("html").alias("text")),
     "top_scores": lambda s, d: board.top_per(fixtures.postings(s, d).join(fixtures.scores(s, d), "url"), ["source"], [F.desc("match_score"), F.col("url")], 12).select("source", "url", "match_score"),
-} | mutations.QUERIES | responses.QUERIES | documents.QUERIES | shapes.QUERIES | landings.QUERIES | term_shapes.QUERIES
+} | mutations.QUERIES | responses.QUERIES | documents.QUERIES | shapes.QUERIES | landings.QUERIES | term_shapes.QUERIES | runs.QUERIES

@@ -228,7 +228,7 @@ SQL = {
         SELECT url, CASE WHEN url LIKE '%8' THEN '2 Locations' ELSE 'London, Leeds' END AS location, CASE WHEN url LIKE '%8' THEN '' ELSE 'Text' END AS description FROM d
         UNION ALL SELECT u, 'London, GB', CASE WHEN asked THEN 'Duties' || chr(10) || chr(10) || 'More' ELSE '' END FROM sm""",
     "full_descriptions": f"""SELECT page_id::VARCHAR AS page_id, CASE page_id % 6 WHEN 0 THEN 'own text' WHEN 1 THEN 'lever text' ELSE {_PAGE} END AS text, CASE page_id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' END AS ats, CASE page_id % 6 WHEN 0 THEN 'acme' WHEN 1 THEN 'bee' END AS slug FROM pages""",
-    "guest_pages": VIEWS + " SELECT url, title, company, location, '- one' || chr(10) || chr(10) || '- two' AS description, CASE WHEN ordinal % 2 = 0 THEN 'contract' ELSE 'permanent' END AS employment_type FROM postings",
+    "guest_pages": VIEWS + " SELECT url, title, company, nullif(location, '') AS location, '- one' || chr(10) || chr(10) || '- two' AS description, CASE WHEN ordinal % 2 = 0 THEN 'contract' END AS employment_type FROM postings",
     "verified_boards": VIEWS + f""", j AS (SELECT 'b' || (ordinal % 40) AS board, ordinal % 40 % 3 AS k, {_TITLE} AND {_PLACE} AS gate, {_PLACE} AS uk, regexp_matches(lower(coalesce(location, '')), '\\blondon\\b') AS london, ordinal % 9 AS r FROM postings),
         g AS (SELECT board, k, count(*) AS total, count(*) FILTER (uk) AS uk, count(*) FILTER (london) AS london, count(*) FILTER (gate) AS gate, count(*) FILTER (k = 0 AND r = 0) AS strong_hits, count(*) FILTER (k > 0 AND r = 1) AS weak_hits FROM j GROUP BY board, k)
         SELECT board, ['Acme Testing Ltd', 'Wise', 'Brightwell'][k + 1] AS company, total, uk, london, gate, strong_hits, weak_hits, strong_hits >= 1 OR (k = 2 AND weak_hits >= 2) AS identity_ok FROM g""",

@@ -166,26 +166,29 @@ def test_queries_equal_brute_force(spark):
 
 
 def text_of(page):
-    """Text by a pattern of tags; what is in dropped elements goes, their line breaks stay."""
-    out, inside = "", 0
+    """Text by a pattern of tags; what is in dropped elements goes, its line breaks too."""
+    out, inside, bullet = "", 0, False
     page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>", "", page or "")
     page = re.sub(r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", r"\1\3", page)
     for token in re.findall(r"(?s)<[^>]*>|[^<]+", page):
         tag = re.match(r"<(/?)([a-zA-Z0-9]+)", token)
         if tag is None:
-            out += "" if inside else html.unescape(token)
+            said = html.unescape(token)
+            out += "" if inside else said.lstrip() if bullet else said
+            bullet &= bool(inside)
             continue
-        name, end = tag[2].lower(), bool(tag[1])
-        if name in ("script", "style", "noscript", "svg", "button"):
-            inside = max(0, inside - 1) if end else inside + 1
-        if name in "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer".split():
-            out += "\n- " if name == "li" and not end else "\n"
-    lines = [" ".join(x.split()) for x in out.split("\n")]
+        name, begins = tag[2].lower(), not tag[1] and not token.endswith("/>")
+        if name in ("script", "style", "noscript", "template", "svg", "head"):
+            inside = max(0, inside + 1 if begins else inside - 1)
+        elif not inside and name in "p div section article ul ol li br tr td th table h1 h2 h3 h4 h5 h6 blockquote pre".split():
+            out += "\n- " if name == "li" and begins else "\n"
+            bullet = name == "li" and begins or bullet and name != "li"
+    lines = [x.strip() for x in out.split("\n")]
     kept = [x for k, x in enumerate(lines) if x or k == 0 or lines[k - 1]]
     return "\n".join(kept).strip()
 
 
-@pytest.mark.parametrize("page", ["", "<p>a</p><script>if (a < b) {}</script><ul><li>b &amp; c</li></ul>", "<button>x<div>y</div></button>z<br/><svg><p>q</p></svg>" * 30, "<DIV>A<span> b</span></DIV><!-- <p>no</p> -->&#163;5"])
+@pytest.mark.parametrize("page", ["", "<p>a</p><script>if (a < b) {}</script><ul><li>b &amp; c</li></ul>", "<button>x<div>y</div></button>z<br/><svg><p>q</p></svg>" * 30, "<DIV>A<span> b</span></DIV><!-- <p>no</p> -->&#163;5", "<head><p>no</p></head><ul><li>  a<li><p> b</p></ul><pre>c  d</pre>"])
 def test_text_of_small_pages(page):
     assert pages.html_text(page) == text_of(page)
 

@@ -350,7 +350,7 @@ def test_fetches_stop_at_a_short_page():
 
 
 def test_pages():
-    html = '<h1 class="topcard__title">QA</h1><p>a</p><script>x</script><ul><li>b</li></ul><h3 class="description__job-criteria-subheader">Employment type</h3><span class="description__job-criteria-text">Contract</span>'
+    html = '<h1 class="topcard__title">QA</h1><div class="show-more-less-html__markup"><p>a</p><script>x</script><ul><li>b</li></ul></div><h3 class="description__job-criteria-subheader">Employment type</h3><span class="description__job-criteria-text">Contract</span>'
     got = pages.job_page(html)
     assert got["title"] == "QA" and got["criteria"] == "Contract" and got["company"] is None
     assert "x" not in pages.html_text(html) and "- b" in pages.html_text(html)
