@@ -204,14 +204,23 @@ def near_words(words: DataFrame) -> DataFrame:
     return wild.unionByName(indel).groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
 
 
+def doubled(now: DataFrame) -> DataFrame:
+    """(word, root, moved): each root's own root.
+
+    Never a broadcast, for which Spark would take the files' size: it does not see the
+    salts, and a small file of words is many times its size in the driver's memory.
+    """
+    ahead = now.select(F.col("word").alias("__at"), F.col("root").alias("__next"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+    rows = now.withColumn("__own", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
+    step = rows.join(ahead.hint("merge"), (F.col("root") == F.col("__at")) & (F.col("__own") == F.col("__salt")), "left")
+    return step.select("word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved"))
+
+
 def roots(forms: DataFrame, at: str) -> DataFrame:
     """(word, root) of every row of (word, form): where following forms ends."""
     now = shared.written(forms.select("word", F.col("form").alias("root")), f"{at}/roots0")
     for k in range(1, 64):
-        ahead = now.select(F.col("word").alias("__at"), F.col("root").alias("__next"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
-        rows = now.withColumn("__own", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
-        step = rows.join(ahead, (F.col("root") == F.col("__at")) & (F.col("__own") == F.col("__salt")), "left")
-        step = shared.written(step.select("word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")), f"{at}/roots{k}")
+        step = shared.written(doubled(now), f"{at}/roots{k}")
         now = step.select("word", "root")
         if not step.filter("moved").limit(1).count():
             break
@@ -222,12 +231,12 @@ def variants(docs: DataFrame, at: str, shortest: int = SHORTEST, fewest: int = F
     """word, form, root, n, n_near, form_n of every word of the documents. ``at``: a shared folder."""
     words = shared.written(vocabulary(docs, shortest, fewest, one_in), f"{at}/words")
     near = near_words(words)
-    found = words.join(near, "word", "left")
+    found = words.join(near.hint("merge"), "word", "left")
     strong = -F.col("best.minus") >= ratio * F.col("n")
     found = found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best.word")).alias("form"), F.when(strong, -F.col("best.minus")).alias("form_n"))
     found = shared.written(found, f"{at}/near")
     ends = roots(found.filter("form IS NOT NULL"), at)
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _sql() -> str:

@@ -274,3 +274,13 @@ def test_packing_of_messy_rows(spark):
 
 def test_digest_is_of_decimal_components():
     assert vectors.digest(np.array([[[1, -2]], [[3, 4]]])) == hashlib.sha256(b"1,-2,3,4").hexdigest()
+
+
+def test_no_vocabulary_is_sent_to_the_driver(spark):
+    """Small files of words are many times their size once salted: no join of op12 may be a broadcast under Spark's own threshold."""
+    words = shared.written(spark.createDataFrame([("abcdef", 9), ("abcdeg", 50)], "word string, n long"), f"{at(spark)}/few")
+    links = words.select("word", F.lit("abcdeg").alias("root"))
+    found = spelling.variants(spark.createDataFrame([(1, "abcdef " * 5 + "abcdeg " * 40)], "doc_id long, text string"), at(spark))
+    for df in (spelling.doubled(links), found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(x.word, x.root, x.moved) for x in spelling.doubled(links).collect()} == {("abcdef", "abcdeg", True), ("abcdeg", "abcdeg", True)}
