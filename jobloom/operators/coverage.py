@@ -7,8 +7,10 @@ aggregates and windows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,81 @@ MAX_FACTS = 20_000
 TERM = "term string, count int, in_requirements int, in_duties int, in_nice int, skill boolean, capitalised boolean, in_title boolean, surfaces array<string>"
 
 
+class _Seen:
+    """Term rows of postings; those of a text that was met before are taken again, not extracted again.
+
+    Adverts repeat, and what a company's name changes in one is the few of its words that
+    the advert or its title has: title, text and these tell the rows. Held rows are
+    bounded; when they are too many, only texts that were met again stay.
+    """
+
+    #: Rows that are held, and characters of their texts.
+    MOST, CHARS = 200_000, 20_000_000
+
+    def __init__(self, extract, told, names: list[str]):
+        self.extract, self.told, self.names = extract, told, names
+        self.places: dict[tuple, tuple[int, int]] = {}
+        self.words: dict[tuple[str, str], frozenset[str]] = {}
+        self.again: set[tuple] = set()
+        self.chars, self.held = 0, self._batch([])
+
+    def _batch(self, found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(self.told(found), self.names)
+
+    def _words(self, title: str, body: str) -> frozenset[str]:
+        """Runs of letters and digits: no other word of a text can be one of a company's name."""
+        out = self.words.get((title, body))
+        if out is None:
+            out = self.words[title, body] = frozenset(re.findall("[a-z0-9]+", t.normalise(body) + " " + t.normalise(title)))
+        return out
+
+    def rows(self, titles: pa.Array, companies: pa.Array, recruiters: pa.Array, bodies: pa.Array) -> tuple[np.ndarray, pa.RecordBatch]:
+        """How many rows each posting has, and the rows."""
+        bodies, start, size, fresh = bodies.dictionary_encode(), [], [], []
+        texts, top = bodies.dictionary.to_pylist(), self.held.num_rows
+        for title, company, recruiter, k in zip(titles.to_pylist(), companies.to_pylist(), recruiters.to_pylist(), bodies.indices.to_pylist(), strict=True):
+            title, body = title or "", (texts[k] if k is not None else None) or ""
+            stop = t.noise_terms(company or "", recruiter or "") & self._words(title, body)
+            key = (title, body, stop)
+            place = self.places.get(key)
+            if place is None:
+                fresh.append(self.extract(body, title, stop))
+                place = self.places[key] = (top, len(fresh[-1]))
+                top += place[1]
+                self.chars += self._size(key)
+            else:
+                self.again.add(key)
+            start.append(place[0])
+            size.append(place[1])
+        if fresh:
+            self.held = pa.concat_batches([self.held, self._batch(fresh)])
+        size = np.array(size, np.int64)
+        out = self.held.take(pa.array(_ranges(np.array(start, np.int64), size)))
+        if self.held.num_rows > self.MOST or self.chars > self.CHARS:
+            self._shrink()
+        return size, out
+
+    @staticmethod
+    def _size(key: tuple) -> int:
+        return len(key[0]) + len(key[1]) + 100
+
+    def _shrink(self) -> None:
+        kept = {k: self.places[k] for k in self.again}
+        if sum(n for _, n in kept.values()) > self.MOST // 2 or sum(map(self._size, kept)) > self.CHARS // 2:
+            kept = {}
+        size = np.array([n for _, n in kept.values()], np.int64)
+        self.held = self.held.take(pa.array(_ranges(np.array([a for a, _ in kept.values()], np.int64), size)))
+        self.places = dict(zip(kept, zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True), strict=True))
+        self.words = {k[:2]: self.words[k[:2]] for k in kept}
+        self.again, self.chars = set(), sum(map(self._size, kept))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one behind the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text", marks: dict[str, str] | None = None) -> DataFrame:
     """One row a (url, term) with counts, weight, section and priority.
 
@@ -43,20 +120,25 @@ def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract, looks = t.Extractor(lexicon), [t.Present(x) for x in marks.values()]
+
+        def told(found: list[dict]) -> list[pa.Array]:
+            cols, yes = [[] for _ in names], [[] for _ in looks]
+            for own in found:
+                for k, v in own.items():
+                    surfaces = sorted(v["surfaces"])
+                    for col, x in zip(cols, (k, v["count"], v["in_requirements"], v["in_duties"], v["in_nice"], v["skill"], v["capitalised"], v["in_title"], surfaces), strict=True):
+                        col.append(x)
+                    for col, look in zip(yes, looks, strict=True):
+                        col.append(look.told(k, surfaces))
+            return [*(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), *(pa.array(c, pa.bool_()) for c in yes)]
+
+        seen = _Seen(extract.posting, told, [*names, *marks])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                urls, cols, told = [], [[] for _ in names], [[] for _ in looks]
-                for url, title, company, recruiter, body in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    found = extract.posting(body or "", title or "", t.noise_terms(company or "", recruiter or ""))
-                    urls += [url] * len(found)
-                    for k, v in found.items():
-                        surfaces = sorted(v["surfaces"])
-                        for col, x in zip(cols, (k, v["count"], v["in_requirements"], v["in_duties"], v["in_nice"], v["skill"], v["capitalised"], v["in_title"], surfaces), strict=True):
-                            col.append(x)
-                        for col, look in zip(told, looks, strict=True):
-                            col.append(look.told(k, surfaces))
-                arrays = [pa.array(urls, pa.string()), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), *(pa.array(c, pa.bool_()) for c in told)]
-                yield pa.RecordBatch.from_arrays(arrays, ["url", *names, *marks])
+                part = batch.slice(at, 1000)
+                counts, rows = seen.rows(*part.columns[1:])
+                urls = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                yield pa.RecordBatch.from_arrays([urls, *rows.columns], ["url", *names, *marks])
 
     recruiter = F.col("recruiter") if "recruiter" in postings.columns else F.lit(None).cast("string").alias("recruiter")
     found = postings.select("url", "title", "company", recruiter, F.col(text).alias("body")).mapInArrow(work, ", ".join([f"url string, {TERM}", *(f"{m} boolean" for m in marks)]))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,38 @@ def test_many_phrases_cost_no_more_than_few():
         assert all(len(found.masked(t)[1]) >= 1 for t in texts)
         took.append(time.process_time() - began)
     assert took[1] < 5 * took[0] + 0.2
+
+
+def _posting_rows(extract, rows):
+    """What each posting gives by itself."""
+    return [[(k, v["count"], v["in_title"], tuple(sorted(v["surfaces"]))) for k, v in extract.posting(body, title, T.noise_terms(company)).items()] for title, company, body in rows]
+
+
+@pytest.mark.parametrize(("most", "chars"), [(200_000, 20_000_000), (12, 20_000_000), (200_000, 300)])
+def test_a_text_met_again_is_not_extracted_again(monkeypatch, most, chars):
+    """Postings of one text give the same rows as each by itself, company's words aside; whatever is held."""
+    monkeypatch.setattr(coverage._Seen, "MOST", most)
+    monkeypatch.setattr(coverage._Seen, "CHARS", chars)
+    extract, asked = T.Extractor(), []
+    bodies = ["Requirements\n\n- Java, Selenium and Docker\n- C++ in pipelines", "Java shop. Acme-built foo-machine learning-bar tools", "", None]
+    rows = [(title, f"{name} {k % 2}", bodies[k % 4]) for k in range(120) for title, name in (("Acme Test Engineer", "Acme Java Ltd"), ("QA Engineer", "Foo Bar"), ("QA Engineer", f"Nobody{k}"))]
+    want = _posting_rows(extract, [(a, b, c or "") for a, b, c in rows])
+
+    def posting(*args):
+        asked.append(args)
+        return extract.posting(*args)
+
+    def told(found):
+        flat = [(k, v["count"], v["in_title"], sorted(v["surfaces"])) for own in found for k, v in own.items()]
+        return [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string())))]
+
+    seen, got = coverage._Seen(posting, told, list("abcd")), []
+    for at in range(0, len(rows), 40):
+        title, company, body = (pa.array(x, pa.string()) for x in zip(*rows[at : at + 40], strict=True))
+        sizes, out = seen.rows(title, company, pa.nulls(len(title), pa.string()), body)
+        flat = [(x["a"], x["b"], x["c"], tuple(x["d"])) for x in out.to_pylist()]
+        ends = sizes.cumsum()
+        got += [flat[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+    assert got == want
+    assert len(asked) <= (12 if most > 12 and chars > 300 else 12 * 9)
+    assert seen.held.num_rows <= most + 40 * 12
