@@ -240,15 +240,20 @@ def suggestions(rows: DataFrame, achievements: DataFrame, cv: str, most: int = M
 
     @F.pandas_udf("array<struct<role_id:string,achievement_id:string>>")
     def closed_by(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        index = t.Facts(texts)
+        index, known = t.Facts(texts), {}
         for term, surfaces in batches:
-            yield pd.Series([[{"role_id": ids[k][0], "achievement_id": ids[k][1]} for k in index.having(a, list(b))] for a, b in zip(term, surfaces, strict=True)])
-
-    # Each term with its surfaces once, not once a posting; then postings meet what closes them by both: another posting's surfaces say nothing of this one.
-    distinct = closable.select("term", "surfaces").distinct()
-    met = distinct.select("term", "surfaces", F.explode(closed_by("term", "surfaces")).alias("f")).select("term", "surfaces", "f.*")
-    met = met.join(F.broadcast(facts.select("role_id", "achievement_id", "text", best("text").alias("overlap"))), ["role_id", "achievement_id"])
-    per = closable.join(met, ["term", "surfaces"])
+            out = []
+            for key in zip(term, map(tuple, surfaces), strict=True):
+                if key not in known:
+                    if len(known) >= t.Present.MOST:
+                        known.clear()
+                    known[key] = [{"role_id": ids[k][0], "achievement_id": ids[k][1]} for k in index.having(key[0], list(key[1]))]
+                out.append(known[key])
+            yield pd.Series(out)
+
+    # Told in the pass that finds the terms; each different term with its surfaces once a worker: another posting's surfaces say nothing of this one.
+    met = closable.select("url", "term", "weight", F.explode(closed_by("term", "surfaces")).alias("f")).select("url", "term", "weight", "f.*")
+    per = met.join(F.broadcast(facts.select("role_id", "achievement_id", "text", best("text").alias("overlap"))), ["role_id", "achievement_id"])
     out = per.groupBy("url", "role_id", "achievement_id", "text", "overlap").agg(F.array_sort(F.collect_list("term")).alias("closes"), F.round(F.sum("weight"), 2).alias("weight_closed"))
     out = out.withColumn("kind", F.when(F.col("overlap") >= ON_CV, "reword_achievement").otherwise("add_achievement"))
     order = Window.partitionBy("url").orderBy(F.desc("weight_closed"), F.col("kind") != "add_achievement", F.desc(F.size("closes")), "achievement_id")

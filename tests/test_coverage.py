@@ -271,3 +271,8 @@ def test_a_text_met_again_is_not_extracted_again(monkeypatch, most, chars):
     assert got == want
     assert len(asked) <= (12 if most > 12 and chars > 300 else 12 * 9)
     assert seen.held.num_rows <= most + 40 * 12
+
+
+def test_suggestions_extract_terms_once(spark):
+    plan = registry.QUERIES["suggestions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
