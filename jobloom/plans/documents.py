@@ -52,11 +52,12 @@ def _restored(s, d) -> DataFrame:
 
 
 def _merged(s, d) -> DataFrame:
-    """Drafts of the orders: a role for each line, in the order of its part; of its bullets none are listed, an empty list, two in reverse, or three of which one is unknown."""
+    """Drafts of the orders: a role for each line, in the order of its part (of rows of one line number that of the smallest part, then supplier); of its bullets none are listed, an empty list, two in reverse, or three of which one is unknown."""
     c, line = F.col, F.col("l_linenumber").cast("string")
     bullet = lambda x: F.struct(F.concat(F.lit("a"), line, F.lit(f".{x}")).alias("ref"), F.lit(None).cast("string").alias("text"))
     kept = F.when(c("l_suppkey") % 4 == 1, F.array().cast(drafts.BULLETS)).when(c("l_suppkey") % 4 == 2, F.array(bullet(3), bullet(1))).when(c("l_suppkey") % 4 == 3, F.array(F.struct(F.lit("zz").alias("ref"), F.lit("own").alias("text")), bullet(2), bullet(4)))
-    lines = s.read.parquet(f"{d}/lineitem.parquet").dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("role", F.struct(c("l_partkey"), c("l_linenumber"), F.concat(F.lit("r"), line).alias("ref"), kept.alias("achievements")))
+    first = F.min(F.struct("l_partkey", "l_suppkey")).alias("x")
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "x.*").withColumn("role", F.struct(c("l_partkey"), c("l_linenumber"), F.concat(F.lit("r"), line).alias("ref"), kept.alias("achievements")))
     per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("role")).alias("r"))
     rows = per.select(_name("d", c("l_orderkey")).alias("doc"), F.when(c("l_orderkey") % 29 == 0, "nobody").otherwise("owner").alias("owner"), F.transform("r", lambda x: F.struct(x["ref"].alias("ref"), x["achievements"].alias("achievements"))).alias("experience"))
     ids = s.range(1, 6).select(c("id"), F.struct(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("Company "), "id").alias("company"), F.when(c("id") == 4, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.lit("a"), c("id"), F.lit("."), k))).alias("achievements")).alias("role"))
@@ -147,7 +148,7 @@ SQL = {
     "cv_bullets": _DOCS + " SELECT role_id, achievement_id, x AS text, position, ordinal, origin FROM good",
     "cv_dangling": _DOCS + " SELECT ref, aref AS achievement_ref FROM lost",
     "draft_labels": _DOCS + " SELECT role_id AS ref, achievement_id AS achievement_ref, origin FROM good UNION ALL SELECT ref, aref, 'not-in-master' FROM lost",
-    "merged_drafts": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey % 4 AS k FROM lineitem),
+    "merged_drafts": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey % 4 AS k FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey NULLS FIRST, l_suppkey NULLS FIRST),
         m AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY p, n) AS pos, o % 29 = 0 AS lone, n > 5 OR n = 4 AS other FROM l),
         kept AS (SELECT o, pos, 0 AS back, n, 'r' || n || '[' || CASE WHEN k = 0 THEN '*' WHEN lone OR other THEN ['', 'a#.3,a#.1', 'zz,a#.2,a#.4'][k] ELSE ['a#.1,a#.2,a#.3,a#.4', 'a#.3,a#.1,a#.2,a#.4', 'a#.1,zz,a#.2,a#.3,a#.4'][k] END || ']' AS shown,
                  CASE WHEN NOT lone AND NOT other AND k > 0 THEN ['a#.1, a#.2, a#.3, a#.4', 'a#.2, a#.4', 'a#.1, a#.3'][k] || ' (re-added to Company #)' END AS note FROM m),

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from jobloom import folders, schemas
 from jobloom.functions import terms as T
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
+from jobloom.plans import registry
 from jobloom.sources import boards, pages
 from jobloom.streaming import ingest
 
@@ -529,3 +531,17 @@ def test_requests_without_rows(spark):
 
     none = spark.createDataFrame([], "url string, address string")
     assert redirects.landed(none, redirects.stored_hops(spark.createDataFrame([], redirects.ANSWER))).count() == 0
+
+
+def test_merged_drafts_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Of rows of one order and line number the smallest part and supplier count, in the query and in its SQL."""
+    rows = [(1, 1, 9, 3), (1, 1, 4, 2), (1, 1, 4, 1), (1, 2, 7, 0), (1, 2, 8, 2), (2, 3, 5, 1), (2, 3, 5, 3)]
+    for name, own in (("a", rows), ("b", rows[::-1])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        got = sorted(map(tuple, registry.QUERIES["merged_drafts"](spark, at).collect()))
+        with duckdb.connect() as con:
+            con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet/*.parquet'")
+            want = sorted(con.execute(registry.SQL["merged_drafts"]).fetchall())
+        assert got == want
+        assert "r1[a1.1,a1.2,a1.3,a1.4]" in got[0][1]  # supplier 1: an empty list, filled
