@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobloom import config
 from jobloom.functions.matching import FLAGS, before, find_all, has
-from jobloom.functions.text import staged, strip_html
+from jobloom.functions.text import one_blank, staged, strip_html
 
 
 def _column(*xs) -> bool:
@@ -213,7 +213,7 @@ _SOME_IR35 = r"ir[\s\-]*35|limited[\s\-]+company|\bltd|umbrella|paye|deemed|insi
 
 
 def one_line(text: Column) -> Column:
-    return F.regexp_replace(strip_html(text), r"(?U)\s+", " ")
+    return one_blank(strip_html(text))
 
 
 def _money(match: Column, pattern: str, group: int) -> Column:

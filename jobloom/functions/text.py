@@ -24,13 +24,18 @@ def strip_html(c: Column) -> Column:
 
 def flat(c: Column) -> Column:
     """All white space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
+    return F.trim(one_blank(_text(c)))
 
 
-def listing_marker(c: Column) -> Column:
-    """The first marker of a search-results page, or null."""
-    t = F.regexp_replace(_text(c), r"(?U)\s+", " ")
-    return F.coalesce(*(F.when(has(t, p), F.lit(n)) for n, p in config.LISTING_MARKERS.items()))
+def one_blank(c: Column) -> Column:
+    """Each run of white space as one blank; single blanks, which most runs are, are not replaced."""
+    return F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " ")
+
+
+def _marker(flat: Column) -> Column:
+    """The first marker in a text of one line, or null; all are looked for together before any alone."""
+    some = has(flat, "(?:" + "|".join(config.LISTING_MARKERS.values()) + ")")
+    return F.when(some, F.coalesce(*(F.when(has(flat, p), F.lit(n)) for n, p in config.LISTING_MARKERS.items())))
 
 
 def staged(df: DataFrame, **columns: Column) -> DataFrame:
@@ -52,7 +57,8 @@ def with_body(df: DataFrame, description: str) -> DataFrame:
     searched for it.
     """
     start, half = FLAGS + config.BODY_START, config.BODY_CHARS // 2
-    df = staged(df, __marker=listing_marker(F.col(f"`{description}`")))
+    df = staged(df, __one=one_blank(_text(F.col(f"`{description}`"))))
+    df = staged(df, __marker=_marker(F.col("__one"))).drop("__one")
     page = F.when(F.col("__marker").isNotNull(), F.regexp_replace(_text(F.col(f"`{description}`")), r"(?U)^\s+|\s+$", ""))
     df = staged(df, __page=page)
     df = staged(df, __at=F.regexp_instr("__page", F.lit(start)), __mark=F.regexp_substr("__page", F.lit(start)))

@@ -210,7 +210,7 @@ QUERIES = {
     "tax_model": _tax,
     "rate_thresholds": _thresholds,
     "rejections": _rejections,
-    "rejected_rows": lambda s, d: audit.rejected(_enriched(s, d)).select("url", "reasons"),
+    "rejected_rows": lambda s, d: audit.rejected(fixtures.postings(s, d)).select("url", "reasons"),
     "run_totals": lambda s, d: audit.run_totals(_enriched(s, d)),
     "tallies": lambda s, d: audit.tallies(_enriched(s, d)),
     "refilter": lambda s, d: audit.refilter(_enriched(s, d).withColumn("passed_filters", F.col("ordinal") % 2 == 0)),

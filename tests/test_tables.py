@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from jobloom import folders, schemas
 from jobloom.functions import terms as T
+from jobloom.functions import text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
 from jobloom.plans import registry
 from jobloom.sources import boards, pages
 from jobloom.streaming import ingest
+from tests.conftest import DATA
 
 
 def postings(spark, rows):
@@ -545,3 +547,14 @@ def test_merged_drafts_do_not_hang_on_the_order_of_rows(spark, tmp_path):
             want = sorted(con.execute(registry.SQL["merged_drafts"]).fetchall())
         assert got == want
         assert "r1[a1.1,a1.2,a1.3,a1.4]" in got[0][1]  # supplier 1: an empty list, filled
+
+
+def test_rejected_rows_are_screened_once_and_not_enriched(spark):
+    plan = registry.QUERIES["rejected_rows"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and "REPARTITION_BY_COL" in plan
+
+
+def test_single_blanks_stay_and_other_white_space_is_one_blank(spark):
+    texts = ["", " ", "  ", "\n", " \n", "\n ", "a b", "a  b", "a\nb", "a \n b", "a b", "a  b  c", "\t\t x \x85y ", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(text.one_blank(F.col("t")), F.regexp_replace("t", r"(?U)\s+", " ")).collect()
+    assert all(a == b for a, b in got)
