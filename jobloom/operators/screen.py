@@ -91,14 +91,22 @@ def clearance_reject_reason(status: Column, evidence: Column) -> Column:
     return F.when(status == "blocked", F.concat(F.lit("requires clearance you do not hold — "), F.coalesce(evidence, F.lit("clearance required"))))
 
 
+def _with_stated(df: DataFrame) -> DataFrame:
+    """__ir and __day: status and day rate that __own states."""
+    df = text.staged(df, __line=rates.one_line(F.col("__own")))
+    df = text.staged(df, __phrases=rates.ir35_phrases(F.col("__line")), __figures=rates.rate_figures(F.col("__line")))
+    return text.staged(df, __ir=rates.ir35_verdict(F.col("__phrases")), __day=rates.best_rate(F.col("__figures"))).drop("__line", "__phrases", "__figures")
+
+
 def with_contract(df: DataFrame, model: rates.RateModel) -> DataFrame:
     """The ten contract columns from __own; a stated rate comes before a given one, which must be plausible."""
+    return _with_rates(_with_stated(df), model)
+
+
+def _with_rates(df: DataFrame, model: rates.RateModel) -> DataFrame:
     for c, kind in (("employment_type", "string"), ("day_rate_min", "double"), ("day_rate_max", "double"), ("day_rate_source", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
-    df = text.staged(df, __line=rates.one_line(F.col("__own")))
-    df = text.staged(df, __phrases=rates.ir35_phrases(F.col("__line")), __figures=rates.rate_figures(F.col("__line")))
-    df = text.staged(df, __ir=rates.ir35_verdict(F.col("__phrases")), __day=rates.best_rate(F.col("__figures")))
     top = F.coalesce("day_rate_max", "day_rate_min")
     given = F.when(rates.plausible(top), F.struct(F.when(rates.plausible(F.col("day_rate_min")), F.col("day_rate_min")).alias("min"), top.alias("max"), F.col("day_rate_source").alias("source")))
     stated = F.when(F.col("__day").isNotNull(), F.struct(F.col("__day.min").alias("min"), F.col("__day.max").alias("max"), F.lit("stated").alias("source")))
@@ -111,12 +119,30 @@ def with_contract(df: DataFrame, model: rates.RateModel) -> DataFrame:
         "ir35_status": F.col("__ir.status"), "ir35_evidence": F.col("__ir.evidence"),
         "day_rate_min": F.col("__rate.min"), "day_rate_max": F.col("__rate.max"), "day_rate_source": F.col("__rate.source"),
         "rate_verdict": F.col("__verdict.verdict"), "rate_required": F.col("__verdict.required"), "perm_equivalent": F.col("__worth"), "rate_reason": F.col("__verdict.reason"),
-    }).drop("__line", "__phrases", "__figures", "__ir", "__day", "__rate", "__verdict", "__worth")
+    }).drop("__ir", "__day", "__rate", "__verdict", "__worth")
+
+
+#: Characters of title and description up to which a text counts as one that repeats.
+SHORT = 1000
+
+
+def _with_text(df: DataFrame) -> DataFrame:
+    """What title and description alone tell: __ir, __day, the language and the clearance columns."""
+    return with_clearance(with_language(_with_stated(with_advert(df)))).drop("__own", "__flat")
+
+
+def _with_text_once(df: DataFrame) -> DataFrame:
+    """``_with_text``, of short texts once for each different title and description; longer texts, which seldom repeat, where they stand."""
+    c = F.col
+    short = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("description", F.lit(""))) <= SHORT
+    found = _with_text(df.filter(short).select("title", "description").distinct()).withColumnsRenamed({"title": "__t", "description": "__d"})
+    near = df.filter(short).join(found, c("title").eqNullSafe(c("__t")) & c("description").eqNullSafe(c("__d"))).drop("__t", "__d")
+    return near.unionByName(_with_text(df.filter(~short)))
 
 
-def enrich(postings: DataFrame, model: rates.RateModel | None = None) -> DataFrame:
-    """Postings with the ten contract and five screening columns."""
-    return with_clearance(with_language(with_contract(with_advert(postings), model or rates.RateModel()))).drop("__own", "__flat")
+def enrich(postings: DataFrame, model: rates.RateModel | None = None, once: bool = False) -> DataFrame:
+    """Postings with the ten contract and five screening columns. ``once``: short texts are read once each, for which the postings are gone through three times."""
+    return _with_rates(_with_text_once(postings) if once else _with_text(postings), model or rates.RateModel())
 
 
 def rate_reject(model: rates.RateModel | None = None) -> Column:

@@ -39,7 +39,7 @@ def _passing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return screen.enrich(fixtures.postings(spark, sf))
+    return screen.enrich(fixtures.postings(spark, sf), once=True)
 
 
 def _board(spark: SparkSession, sf: str) -> DataFrame:

@@ -558,3 +558,15 @@ def test_single_blanks_stay_and_other_white_space_is_one_blank(spark):
     texts = ["", " ", "  ", "\n", " \n", "\n ", "a b", "a  b", "a\nb", "a \n b", "a b", "a  b  c", "\t\t x \x85y ", None]
     got = spark.createDataFrame([(x,) for x in texts], "t string").select(text.one_blank(F.col("t")), F.regexp_replace("t", r"(?U)\s+", " ")).collect()
     assert all(a == b for a, b in got)
+
+
+def test_texts_read_once_give_what_each_row_gives(spark, monkeypatch):
+    """Nulls, empty and repeated texts, short and long ones: ``once`` changes no row."""
+    monkeypatch.setattr(screen, "SHORT", 60)
+    texts = [None, "", "Java at £500 per day outside IR35", "Active SC clearance required. " + "calm words " * 9, "Python only"]
+    rows = [(f"u{k}", (None, "", "QA Engineer")[k % 3], texts[k % 5], 450.0 if k % 4 == 0 else None) for k in range(30)]
+    df = spark.createDataFrame(rows, "url string, title string, description string, day_rate_max double")
+    each, once = screen.enrich(df), screen.enrich(df, once=True)
+    cols = sorted(each.columns)
+    assert sorted(once.columns) == cols
+    assert sorted(map(str, once.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
