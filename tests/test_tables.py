@@ -570,3 +570,8 @@ def test_texts_read_once_give_what_each_row_gives(spark, monkeypatch):
     cols = sorted(each.columns)
     assert sorted(once.columns) == cols
     assert sorted(map(str, once.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
+
+
+def test_the_window_reads_dates_once_and_no_text(spark):
+    plan = registry.QUERIES["board_windowed"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and "REPARTITION_BY_COL" in plan and "text:string" not in plan
