@@ -75,9 +75,9 @@ def refilter(details: DataFrame) -> DataFrame:
     return rows.select("url", "passed_filters", F.when(F.col("passed_filters"), "rescued").otherwise("demoted").alias("change"))
 
 
-def backfill(details: DataFrame, demote: bool = False) -> DataFrame:
-    """All derived columns written anew; passing rows are demoted only on request, none is rescued."""
-    fresh = screen.enrich(details.drop(*[c for c in ("ir35_status", "ir35_evidence", "rate_verdict", "rate_required", "perm_equivalent", "rate_reason", "language_tier", "language_rank", "language_hits", "clearance_status", "clearance_evidence") if c in details.columns]))
+def backfill(details: DataFrame, demote: bool = False, once: bool = False) -> DataFrame:
+    """All derived columns written anew; passing rows are demoted only on request, none is rescued. ``once``: see ``screen.enrich``."""
+    fresh = screen.enrich(details.drop(*[c for c in ("ir35_status", "ir35_evidence", "rate_verdict", "rate_required", "perm_equivalent", "rate_reason", "language_tier", "language_rank", "language_hits", "clearance_status", "clearance_evidence") if c in details.columns]), once=once)
     return fresh.withColumn("passed_filters", F.col("passed_filters") & screen.passes_filters()) if demote else fresh
 
 

@@ -214,7 +214,7 @@ QUERIES = {
     "run_totals": lambda s, d: audit.run_totals(_enriched(s, d)),
     "tallies": lambda s, d: audit.tallies(_enriched(s, d)),
     "refilter": lambda s, d: audit.refilter(_enriched(s, d).withColumn("passed_filters", F.col("ordinal") % 2 == 0)),
-    "backfill": lambda s, d: audit.backfill(_plain_details(s, d), demote=True).select("url", "passed_filters", "rate_verdict", "language_tier", "clearance_status"),
+    "backfill": lambda s, d: audit.backfill(_stored(s, d), demote=True, once=True).select("url", "passed_filters", "rate_verdict", "language_tier", "clearance_status"),
     "originals": _of(lambda p: duplicates.originals(p, p)),
     "duplicate_clusters": _of(duplicates.clusters),
     "cluster_sizes": _of(lambda p: audit.cluster_sizes(duplicates.clusters(p))),

@@ -575,3 +575,13 @@ def test_texts_read_once_give_what_each_row_gives(spark, monkeypatch):
 def test_the_window_reads_dates_once_and_no_text(spark):
     plan = registry.QUERIES["board_windowed"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate ") == 1 and "REPARTITION_BY_COL" in plan and "text:string" not in plan
+
+
+def test_a_backfill_that_reads_texts_once_writes_the_same(spark):
+    texts = [None, "Java at £500 per day outside IR35", "Active SC clearance required.", "Python only " + "calm words " * 200]
+    rows = [(f"u{k}", ("QA Engineer", None)[k % 2], "London", texts[k % 4], k % 3 > 0, "none") for k in range(24)]
+    df = spark.createDataFrame(rows, "url string, title string, location string, description string, passed_filters boolean, language_tier string")
+    each, once = audit.backfill(df, demote=True), audit.backfill(df, demote=True, once=True)
+    cols = sorted(each.columns)
+    assert sorted(map(str, once.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
+    assert "keys=[title" in registry.QUERIES["backfill"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
