@@ -95,7 +95,8 @@ def decoded(t: Column) -> Column:
         return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.element_at(known, body), m)
 
     found = F.transform(F.regexp_extract_all(t, F.lit(ref), F.lit(0)), value)
-    whole = F.array_join(F.transform(F.split(t, ref, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))), "")
+    # Zipped, so the references are found once a text, not once for each gap between them.
+    whole = F.array_join(F.zip_with(F.split(t, ref, -1), found, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
     return F.when(t.rlike(ref), whole).otherwise(t)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import duckdb
 import pytest
@@ -585,3 +586,10 @@ def test_a_backfill_that_reads_texts_once_writes_the_same(spark):
     cols = sorted(each.columns)
     assert sorted(map(str, once.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
     assert "keys=[title" in registry.QUERIES["backfill"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_found_once_a_text(spark):
+    n = 20_000
+    began = time.time()
+    got = spark.createDataFrame([("x&#65; &amp;&nope; " * n,)], "t string").select(text.decoded(F.col("t")).alias("t")).first().t
+    assert got == "xA &&nope; " * n and time.time() - began < 60
