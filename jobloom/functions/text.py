@@ -122,9 +122,17 @@ def description_kind(c: Column) -> Column:
     return F.struct(F.when(F.trim(t) == "", "empty").when(html, "html").otherwise("text").alias("kind"), F.when(html, structured_text(c)).otherwise(collapse_lines(c)).alias("text"))
 
 
+def bare(description: Column) -> Column:
+    """Text without tags and without white space at its ends."""
+    return F.regexp_replace(strip_html(description), r"(?U)^\s+|\s+$", "")
+
+
+def is_cut(bare: Column, least: int = config.TRUNCATED_CHARS) -> Column:
+    return (bare == "") | bare.rlike(r"(…|\.\.)$") | (F.length(bare) < least)
+
+
 def looks_truncated(description: Column, least: int = config.TRUNCATED_CHARS) -> Column:
-    t = F.regexp_replace(strip_html(description), r"(?U)^\s+|\s+$", "")
-    return (t == "") | t.rlike(r"(…|\.\.)$") | (F.length(t) < least)
+    return is_cut(bare(description), least)
 
 
 def plain_words(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import looks_truncated, strip_html, with_body
+from jobloom.functions.text import bare, is_cut, staged, with_body
 
 #: Terms that a context names at most.
 MOST_TERMS = 40
@@ -23,17 +23,17 @@ def with_brief(rows: DataFrame, signals: Column | None = None) -> DataFrame:
     Of a listing page only the advert in it counts, and nothing where there is none;
     an empty text is said to be missing.
     """
-    rows = with_body(rows, "description")
+    rows = staged(with_body(rows, "description"), __bare=bare(F.col("description")))
     raw, listed = F.coalesce("description", F.lit("")), F.col("__marker").isNotNull()
-    note = F.when(listed & F.col("__body").isNotNull(), "excerpt").when(listed, "unreadable").when((raw != "") & looks_truncated(raw), "snippet")
-    bare = F.regexp_replace(strip_html(F.col("description")), r"(?U)^\s+|\s+$", "")
-    body = F.when(listed, F.coalesce("__body", F.lit("(no text)"))).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.lit("(no text)")))
+    note = F.when(listed & F.col("__body").isNotNull(), "excerpt").when(listed, "unreadable").when((raw != "") & is_cut(F.col("__bare")), "snippet")
+    rows, note = staged(rows, note=note), F.col("note")
+    body = F.when(listed, F.coalesce("__body", F.lit("(no text)"))).otherwise(F.coalesce(F.nullif("__bare", F.lit("")), F.lit("(no text)")))
     said = note
     for k, v in NOTES.items():
         said = F.when(note == k, v).otherwise(said)
     line = lambda label, c: F.concat(F.lit(label), F.coalesce(c, F.lit("")))
     brief = F.concat_ws("\n", line("Company: ", "company"), line("Title: ", "title"), line("Location: ", "location"), line("Address: ", "url"), said, F.lit(""), body, *([] if signals is None else [F.lit(""), signals]))
-    return rows.withColumns({"note": note, "brief": brief}).drop("__marker", "__body")
+    return rows.withColumn("brief", brief).drop("__marker", "__body", "__bare")
 
 
 def contexts(postings: DataFrame, told: DataFrame, employers: list[str], groups: dict[str, list[str]], most: int = MOST_TERMS) -> DataFrame:

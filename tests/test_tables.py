@@ -593,3 +593,8 @@ def test_references_are_found_once_a_text(spark):
     began = time.time()
     got = spark.createDataFrame([("x&#65; &amp;&nope; " * n,)], "t string").select(text.decoded(F.col("t")).alias("t")).first().t
     assert got == "xA &&nope; " * n and time.time() - began < 60
+
+
+def test_briefs_judge_a_text_once(spark):
+    plan = registry.QUERIES["briefs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(…|") == 1
