@@ -6,6 +6,8 @@ again; the SQL says what must come out without any of it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from jobloom.plans import fixtures
 from jobloom.plans.oracles import _PLACE, _TITLE, VIEWS
 from jobloom.sources import boards, loaders, pages
 
-#: Postings of one stored response.
-PER_BOARD = 100
+#: Postings of one stored response, and of one task where they are grouped or joined.
+PER_BOARD, PER_TASK = 100, 100_000
 _SHOWN = ("company", "url", "title", "location", "posted_at", "description", "employment_type", "day_rate_min", "day_rate_max", "day_rate_source", "source")
 
 
@@ -23,10 +25,16 @@ def _when(n: int, k: int, value: Column) -> Column:
     return F.when(F.col("ordinal") % n == k, value)
 
 
+def _parts(s: SparkSession, d: str) -> int:
+    """Tasks that the postings are dealt to, so that more postings are more tasks and no larger ones."""
+    n = sum(s.read.parquet(f"{d}/{t}.parquet").count() for t in ("orders", "documents"))
+    return max(int(s.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PER_TASK))
+
+
 def _raw(s: SparkSession, d: str, ats: str, job: Column, key: str | None, slug: str = "slug") -> DataFrame:
     """Responses (boards.RAW) of ``ats``, each with the jobs of PER_BOARD postings under ``key``."""
     board = F.floor(F.col("ordinal") / PER_BOARD).cast("string")
-    jobs = fixtures.postings(s, d).select(board.alias("board"), job.alias("j")).groupBy("board").agg(F.collect_list("j").alias("j"))
+    jobs = fixtures.postings(s, d).select(board.alias("board"), job.alias("j")).repartition(_parts(s, d), "board").groupBy("board").agg(F.collect_list("j").alias("j"))
     body = F.to_json("j") if key is None else F.to_json(F.struct(F.col("j").alias(key)))
     return jobs.select(F.concat(F.lit("Board "), "board").alias("company"), F.lit(ats).alias("ats"), F.lit(slug).alias("slug"), body.alias("body"), F.lit(None).cast("string").alias("error"))
 
@@ -96,7 +104,9 @@ def _all_boards(s, d) -> DataFrame:
     raw = None
     for make in _RAWS.values():
         raw = make(s, d) if raw is None else raw.unionByName(make(s, d))
-    return boards.parse(raw).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+    parts = _parts(s, d)
+    each = boards.parse(raw, parts=parts).select("source", "url").repartition(parts * len(_RAWS), "source", "url").groupBy("source", "url").agg(F.count("*").alias("n"))
+    return each.groupBy("source").agg(F.sum("n").alias("n"), F.count("url").alias("urls"))
 
 
 def _failures(s, d) -> DataFrame:
@@ -106,13 +116,14 @@ def _failures(s, d) -> DataFrame:
 
 
 def _detailed(s, d) -> DataFrame:
-    rows = boards.parse(_smart(s, d).unionByName(_workday(s, d)), ["smartrecruiters", "workday"])
-    asked = boards.detail_requests(rows)
+    parts = _parts(s, d)
+    rows = boards.parse(_smart(s, d).unionByName(_workday(s, d)), ["smartrecruiters", "workday"], parts)
+    asked = boards.detail_requests(rows, parts)
     part = lambda x: F.struct(F.lit(x).alias("text"))
     smart = F.to_json(F.struct(F.struct(F.struct(part("Duties").alias("jobDescription"), part("").alias("qualifications"), part("More").alias("additionalInformation")).alias("sections")).alias("jobAd")))
     day = F.to_json(F.struct(F.struct(F.lit("Text").alias("jobDescription"), F.lit("London").alias("location"), F.array(F.lit("Leeds"), F.lit("LONDON"), F.lit(" ")).alias("additionalLocations")).alias("jobPostingInfo")))
     stored = asked.select("url", F.when(F.col("address").endswith("8"), F.lit("oops")).when(F.col("ats") == "workday", day).otherwise(smart).alias("body"))
-    return boards.with_details(rows, stored).select("url", "location", "description")
+    return boards.with_details(rows, stored, parts).select("url", "location", "description")
 
 
 def _full(s, d) -> DataFrame:
@@ -186,7 +197,7 @@ def _registry(s, d) -> DataFrame:
     return loaders.board_requests(rows).select("name", "ats", "slug", "search", F.try_element_at("params", F.lit("what")).alias("what"), "address", "error")
 
 
-QUERIES = {f"board_{k}": (lambda make, k: lambda s, d: _shown(boards.PARSERS[k](make(s, d))))(make, k) for k, make in _RAWS.items()} | {
+QUERIES = {f"board_{k}": (lambda make, k: lambda s, d: _shown(boards.parse(make(s, d), [k], _parts(s, d))))(make, k) for k, make in _RAWS.items()} | {
     "boards_together": _all_boards,
     "board_failures": _failures,
     "board_details": _detailed,

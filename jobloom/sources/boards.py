@@ -84,13 +84,18 @@ def smartrecruiters(raw: DataFrame) -> DataFrame:
     return _postings(rows, title=F.col("j.name"), location=place, url=url, posted_at=F.col("j.releasedDate"), description=F.lit("")).filter("url is not null and url <> ''")
 
 
-def workday(raw: DataFrame) -> DataFrame:
+def by_url(rows: DataFrame, parts: int | None) -> DataFrame:
+    """Rows dealt by url to ``parts`` tasks, as many as their number needs; by default as the session has it."""
+    return rows if parts is None else rows.repartition(parts, "url")
+
+
+def workday(raw: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows without a path are left out, paths that a board lists twice count once; ``slug`` is tenant/site, or tenant/site/region."""
     rows = _jobs(raw, "workday", "jobPostings:array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>", "jobPostings")
     part = F.split("slug", "/")
     url = F.concat(F.lit("https://"), part[0], F.lit("."), F.coalesce(F.get(part, F.lit(2)), F.lit(REGION)), F.lit(".myworkdayjobs.com/en-US/"), part[1], F.col("j.externalPath"))
     rows = rows.filter(F.coalesce("j.externalPath", F.lit("")) != "")
-    return _postings(rows, title=F.col("j.title"), location=F.col("j.locationsText"), url=url, posted_at=F.col("j.postedOn"), description=F.lit("")).dropDuplicates(["url"])
+    return by_url(_postings(rows, title=F.col("j.title"), location=F.col("j.locationsText"), url=url, posted_at=F.col("j.postedOn"), description=F.lit("")), parts).dropDuplicates(["url"])
 
 
 def adzuna(raw: DataFrame) -> DataFrame:
@@ -114,14 +119,14 @@ def remotive(raw: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"greenhouse": greenhouse, "ashby": ashby, "workable": workable, "lever": lever, "smartrecruiters": smartrecruiters, "workday": workday, "adzuna": adzuna, "remotive": remotive}
 
 
-def parse(raw: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Postings of all responses, whatever their board (S7, S11); an unknown kind is an error."""
+def parse(raw: DataFrame, kinds: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Postings of all responses, whatever their board (S7, S11); an unknown kind is an error. ``parts``: tasks for what meets by url."""
     unknown = [k for k in kinds or [] if k not in PARSERS]
     if unknown:
         raise ValueError(f"unknown board kinds: {', '.join(unknown)}")
     out = None
     for k in kinds or PARSERS:
-        rows = PARSERS[k](raw)
+        rows = workday(raw, parts) if k == "workday" else PARSERS[k](raw)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -135,7 +140,7 @@ def longer_text(postings: DataFrame, full: DataFrame) -> DataFrame:
 # Details -------------------------------------------------------------------------------------
 
 
-def detail_requests(postings: DataFrame) -> DataFrame:
+def detail_requests(postings: DataFrame, parts: int | None = None) -> DataFrame:
     """url, ats, address: the detail page of each posting whose list entry has no text and whose title (and, where the list has places, location) is wanted."""
     from jobloom.operators.screen import location_is_allowed, title_is_relevant
 
@@ -146,10 +151,10 @@ def detail_requests(postings: DataFrame) -> DataFrame:
     address = F.when((F.col("source") == "smartrecruiters") & (smart != "") & location_is_allowed(F.col("location")), F.concat(F.lit("https://api.smartrecruiters.com/v1/companies/"), smart, F.lit("/postings/"), number))
     address = address.when((F.col("source") == "workday") & F.col("url").rlike(day), F.concat(F.lit("https://"), bit(1), bit(2), F.lit("/wday/cxs/"), bit(1), F.lit("/"), bit(3), bit(4)))
     wanted = postings.filter((F.coalesce("description", F.lit("")) == "") & title_is_relevant(F.col("title")))
-    return wanted.select("url", F.col("source").alias("ats"), address.alias("address")).filter("address is not null").dropDuplicates(["url"])
+    return by_url(wanted.select("url", F.col("source").alias("ats"), address.alias("address")).filter("address is not null"), parts).dropDuplicates(["url"])
 
 
-def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
+def with_details(postings: DataFrame, details: DataFrame, parts: int | None = None) -> DataFrame:
     """Postings with the text and places of their detail pages (url, body). A page that failed or has nothing changes nothing."""
     part = "struct<text:string>"
     smart = F.from_json("body", f"jobAd struct<sections:struct<jobDescription:{part},qualifications:{part},additionalInformation:{part}>>")["jobAd"]["sections"]
@@ -160,7 +165,7 @@ def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
     places = F.filter(F.transform(F.concat(F.array(day["location"]), F.coalesce(day["additionalLocations"], F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     first = F.filter(places, lambda x, i: (i == 0) | ~F.exists(F.slice(F.transform(places, F.lower), 1, F.greatest(i, F.lit(1))), lambda y: y == F.lower(x)))
     found = details.select("url", text.alias("__text"), F.nullif(F.array_join(first, ", "), F.lit("")).alias("__where"))
-    met = postings.join(found, "url", "left")
+    met = by_url(postings, parts).join(found, "url", "left")
     return met.withColumns({"description": F.coalesce("__text", "description"), "location": F.coalesce("__where", "location")}).select(postings.columns)
 
 

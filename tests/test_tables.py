@@ -14,7 +14,7 @@ from jobloom import folders, schemas
 from jobloom.functions import terms as T
 from jobloom.functions import text
 from jobloom.operators import arrivals, audit, board, coverage, duplicates, screen, store
-from jobloom.plans import registry
+from jobloom.plans import registry, responses
 from jobloom.sources import boards, pages
 from jobloom.streaming import ingest
 from tests.conftest import DATA
@@ -598,3 +598,14 @@ def test_references_are_found_once_a_text(spark):
 def test_briefs_judge_a_text_once(spark):
     plan = registry.QUERIES["briefs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(…|") == 1
+
+
+@pytest.mark.parametrize("name", ["board_details", "boards_together", "board_workday"])
+def test_more_postings_are_more_tasks(spark, monkeypatch, name):
+    """Whatever holds rows (lists of a board, rows and requests by url) is dealt to as many tasks as the postings need."""
+    monkeypatch.setattr(responses, "PER_TASK", 100)
+    n = responses._parts(spark, DATA)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert sum(f", {n}), REPARTITION_BY_NUM" in x and "board#" in x for x in dealt) >= 1 and sum("url#" in x for x in dealt) >= 1
