@@ -75,6 +75,8 @@ def new_postings(batch: DataFrame, seen: DataFrame, at: str | None = None) -> Da
     for _ in range(ROUNDS):
         first = {c: open_.groupBy(c).agg(F.min("ordinal").alias("ordinal")).select("ordinal") for c in "uk"}
         new = kept(open_.join(first["u"], "ordinal", "left_semi").join(first["k"], "ordinal", "left_semi"))
+        if chosen is None and new.count() == rows.count():
+            return rows
         chosen = new.select("ordinal") if chosen is None else chosen.unionAll(new.select("ordinal"))
         # Rows behind a new one in either are seen; the rest waits for those before it.
         open_ = kept(open_.join(new.select("u"), "u", "left_anti").join(new.select("k"), "k", "left_anti").select("ordinal", "u", "k"))

@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom import folders
 from jobloom.functions import text
 
 
 def keyed(rows: DataFrame) -> DataFrame:
     """Rows with ckey (company and title words; null where either is empty), place and at (fetched_at, url)."""
-    company, tokens = text.company_key(F.col("company")), text.title_tokens(F.col("title"))
+    rows = text.staged(rows, __company=text.company_key(F.col("company")), __tokens=text.title_tokens(F.col("title")))
+    company, tokens = F.col("__company"), F.col("__tokens")
     key = F.when((company != "") & (F.size(tokens) > 0), F.struct(company.alias("company"), tokens.alias("title")))
     at = F.struct(F.coalesce("fetched_at", F.lit("")).alias("t"), F.coalesce("url", F.lit("")).alias("url"))
-    return rows.withColumns({"ckey": key, "place": text.place(F.col("location")), "at": at})
+    return rows.withColumns({"ckey": key, "place": text.place(F.col("location")), "at": at}).drop("__company", "__tokens")
 
 
 def _places(store: DataFrame) -> DataFrame:
@@ -33,10 +35,29 @@ def originals(batch: DataFrame, store: DataFrame) -> DataFrame:
     The candidate may be a duplicate in turn. A row without fetched_at is newer
     than the whole store.
     """
-    rows = keyed(batch).filter("ckey is not null").select("url", "fetched_at", "ckey", "place", "at")
+    return _originals(keyed(batch), keyed(store))
+
+
+def originals_within(rows: DataFrame, batch: Column, at: str) -> DataFrame:
+    """``originals`` of the rows for which ``batch`` holds, among all rows.
+
+    Rows are keyed once and written below the shared folder ``at``. What has a key
+    of its own is like no other row, so places meet only within keys whose hash
+    occurs twice.
+    """
+    k = keyed(rows).filter("ckey is not null").select("url", "fetched_at", "ckey", "place", "at", F.xxhash64("ckey").alias("h"), batch.alias("own"))
+    k = folders.written(k, f"{at}/keyed")
+    twice = folders.written(k.groupBy("h").count().filter("count > 1").select("h"), f"{at}/twice")
+    met = k.join(twice, "h", "left_semi")
+    return _originals(met.filter("own"), met)
+
+
+def _originals(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """``originals`` of keyed rows."""
+    rows = batch.filter("ckey is not null").select("url", "fetched_at", "ckey", "place", "at")
     # Answered for each place of a key, not for each row: the two earliest rows in compatible places, of which one is not the row itself.
     own = rows.select("ckey", F.col("place").alias("own")).distinct()
-    met = own.join(_places(keyed(store)), "ckey").filter(text.places_compatible(F.col("place"), F.col("own")))
+    met = own.join(_places(store), "ckey").filter(text.places_compatible(F.col("place"), F.col("own")))
     two = met.groupBy("ckey", F.col("own").alias("place")).agg(F.slice(F.array_sort(F.collect_set("first")), 1, 2).alias("two"))
     unstored = F.coalesce(F.col("fetched_at"), F.lit("")) == ""
     ok = F.filter("two", lambda x: (x["url"] != F.col("url")) & (unstored | (x <= F.col("at"))))

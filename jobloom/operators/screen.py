@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom import config
+from jobloom import config, folders
 from jobloom.functions import rates, text
 from jobloom.functions.matching import find_all, has, names_that_match
 
@@ -104,16 +105,28 @@ def with_contract(df: DataFrame, model: rates.RateModel) -> DataFrame:
 
 
 def _with_rates(df: DataFrame, model: rates.RateModel) -> DataFrame:
+    return _contract_columns(_judged(_with_rate(df), model))
+
+
+def _with_rate(df: DataFrame) -> DataFrame:
+    """__rate: the stated or given day rate."""
     for c, kind in (("employment_type", "string"), ("day_rate_min", "double"), ("day_rate_max", "double"), ("day_rate_source", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
     top = F.coalesce("day_rate_max", "day_rate_min")
     given = F.when(rates.plausible(top), F.struct(F.when(rates.plausible(F.col("day_rate_min")), F.col("day_rate_min")).alias("min"), top.alias("max"), F.col("day_rate_source").alias("source")))
     stated = F.when(F.col("__day").isNotNull(), F.struct(F.col("__day.min").alias("min"), F.col("__day.max").alias("max"), F.lit("stated").alias("source")))
-    df = text.staged(df, __rate=F.coalesce(stated, given))
+    return text.staged(df, __rate=F.coalesce(stated, given))
+
+
+def _judged(df: DataFrame, model: rates.RateModel) -> DataFrame:
+    """__verdict and __worth of __rate and the status in __ir."""
     df = text.staged(df, __verdict=rates.classify_rate(F.col("__rate.min"), F.col("__rate.max"), F.col("__ir.status"), model))
     best = F.coalesce(F.nullif(F.col("__rate.max"), F.lit(0.0)), F.nullif(F.col("__rate.min"), F.lit(0.0)))
-    df = rates.with_perm_equivalent(df, best, F.col("__verdict.assumed"), "__worth", model)
+    return rates.with_perm_equivalent(df, best, F.col("__verdict.assumed"), "__worth", model)
+
+
+def _contract_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "employment_type": F.coalesce(F.nullif("employment_type", F.lit("")), F.lit("unknown")),
         "ir35_status": F.col("__ir.status"), "ir35_evidence": F.col("__ir.evidence"),
@@ -131,18 +144,43 @@ def _with_text(df: DataFrame) -> DataFrame:
     return with_clearance(with_language(_with_stated(with_advert(df)))).drop("__own", "__flat")
 
 
-def _with_text_once(df: DataFrame) -> DataFrame:
-    """``_with_text``, of short texts once for each different title and description; longer texts, which seldom repeat, where they stand."""
+def _contract_text(df: DataFrame) -> DataFrame:
+    """Of ``_with_text`` what the contract columns need: __ir and __day."""
+    return _with_stated(with_advert(df)).drop("__own", "__flat")
+
+
+def _once(df: DataFrame, read: Callable[[DataFrame], DataFrame], model: rates.RateModel, at: str | None = None) -> DataFrame:
+    """``read`` and the rates. Short texts are read once for each different title and description; longer texts, which seldom repeat, where they stand.
+
+    With a folder ``at`` rates of short texts, too, are judged once for each different one.
+    """
     c = F.col
     short = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("description", F.lit(""))) <= SHORT
-    found = _with_text(df.filter(short).select("title", "description").distinct()).withColumnsRenamed({"title": "__t", "description": "__d"})
+    found = read(df.filter(short).select("title", "description").distinct()).withColumnsRenamed({"title": "__t", "description": "__d"})
+    # Written, it has a size before the join is planned: where it is small, the postings are not shuffled.
+    found = folders.written(found, f"{at}/texts") if at else found
     near = df.filter(short).join(found, c("title").eqNullSafe(c("__t")) & c("description").eqNullSafe(c("__d"))).drop("__t", "__d")
-    return near.unionByName(_with_text(df.filter(~short)))
-
-
-def enrich(postings: DataFrame, model: rates.RateModel | None = None, once: bool = False) -> DataFrame:
-    """Postings with the ten contract and five screening columns. ``once``: short texts are read once each, for which the postings are gone through three times."""
-    return _with_rates(_with_text_once(postings) if once else _with_text(postings), model or rates.RateModel())
+    if not at:
+        return _with_rates(near.unionByName(read(df.filter(~short))), model)
+    near, same = _with_rate(near), {"__rate.min": "__low", "__rate.max": "__high", "__ir.status": "__status"}
+    each = near.select(*(c(k).alias(v) for k, v in same.items())).distinct()
+    each = each.withColumns({"__rate": F.struct(c("__low").alias("min"), c("__high").alias("max")), "__ir": F.struct(c("__status").alias("status"))})
+    each = folders.written(_judged(each, model).select(*same.values(), "__verdict", "__worth"), f"{at}/rates")
+    alike = F.lit(True)
+    for k, v in same.items():
+        alike &= c(k).eqNullSafe(c(v))
+    return _contract_columns(near.join(each, alike).drop(*same.values())).unionByName(_with_rates(read(df.filter(~short)), model))
+
+
+def enrich(postings: DataFrame, model: rates.RateModel | None = None, once: bool = False, at: str | None = None) -> DataFrame:
+    """Postings with the ten contract and five screening columns. ``once``: short texts are read once each, for which the postings are gone through three times. With a shared folder ``at``, what they tell is written below it, and rates are judged once each as well (five times)."""
+    model = model or rates.RateModel()
+    return _once(postings, _with_text, model, at) if once else _with_rates(_with_text(postings), model)
+
+
+def contracts(postings: DataFrame, model: rates.RateModel | None = None, at: str | None = None) -> DataFrame:
+    """Postings with the ten contract columns alone; texts are read as by ``enrich(once=True)``."""
+    return _once(postings, _contract_text, model or rates.RateModel(), at)
 
 
 def rate_reject(model: rates.RateModel | None = None) -> Column:

@@ -21,9 +21,9 @@ def _one(delta: DataFrame, key: str = "url") -> DataFrame:
     return delta.groupBy(key).agg(F.max_by(F.struct(*cols), "ordinal").alias("s")).select(key, "s.*")
 
 
-def replace(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
-    """Whole rows replaced by key (M2, M7); columns that ``new`` lacks become null."""
-    new = _one(new, key)
+def replace(old: DataFrame, new: DataFrame, key: str = "url", unique: bool = False) -> DataFrame:
+    """Whole rows replaced by key (M2, M7); columns that ``new`` lacks become null. ``unique``: no key occurs twice in ``new``."""
+    new = new if unique else _one(new, key)
     missing = [F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns if c not in new.columns]
     return old.join(new.select(key), key, "left_anti").unionByName(new.select("*", *missing).select(old.columns))
 

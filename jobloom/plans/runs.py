@@ -21,11 +21,12 @@ def _ingested(s, d) -> DataFrame:
     p = fixtures.postings(s, d)
     own = p.withColumns({"company": F.concat(F.lit("Co"), F.col("ordinal").cast("string")), "employment_type": F.lit("unknown"), "description": F.concat_ws(" ", "title", "employment_type")})
     rows = schemas.conform(own.select(*schemas.POSTING.names), schemas.POSTING).withColumn("ordinal", F.regexp_extract("url", r"(\d+)$", 1).cast("long"))
-    state = ingest.State(s, folders.folder(s, "ingested"), buckets=16)
+    state, rows = ingest.State(s, folders.folder(s, "ingested"), buckets=16), ingest.numbered(rows, folders.folder(s, "postings"))
     for k, now in enumerate(_TIMES):
-        batch = rows.filter(F.col("ordinal") % 2 <= k)
+        batch, at = rows.filter(F.col("ordinal") % 2 <= k), folders.folder(s, "run")
         only = state.touched(batch)
-        state.commit(ingest.run_batch(state.tables(), batch, now, own=state.tables(only)), f"query#{k}", only)
+        state.commit(ingest.run_batch(state.tables(), batch, now, at, state.tables(only)), f"query#{k}", only)
+        folders.drop(s, at)
     tables = state.tables()
     seen = tables["seen_jobs"].select("url", "first_seen_at")
     return tables["job_details"].select("url", "company", "fetched_at", "last_listed_at").join(seen, "url", "full")

@@ -609,3 +609,89 @@ def test_more_postings_are_more_tasks(spark, monkeypatch, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
     assert sum(f", {n}), REPARTITION_BY_NUM" in x and "board#" in x for x in dealt) >= 1 and sum("url#" in x for x in dealt) >= 1
+
+
+def _advert(k, text, **more):
+    return {"url": f"u{k}", "company": f"Company {k}", "title": "QA Engineer", "location": "London", "description": text, "employment_type": "contract", "ordinal": k} | more
+
+
+def _adverts(spark, rows):
+    schema = schemas.struct(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.POSTING) + ", ordinal long")
+    return spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema)
+
+
+def test_a_run_reads_each_short_text_once(spark, tmp_path, monkeypatch):
+    met, read = [], screen.with_advert
+    monkeypatch.setattr(screen, "with_advert", lambda df: met.append(df.count()) or read(df))
+    texts = ("Java at £500 per day outside IR35", "Active SC clearance required.", "Python only")
+    rows = _adverts(spark, [_advert(k, texts[k % 3]) for k in range(40)])
+    state = ingest.State(spark, f"file://{tmp_path}/state", buckets=4)
+    state.commit(ingest.run_batch(state.tables(), rows.filter("ordinal < 20"), "2026-01-01 00:00:00"), "s#0")
+    assert sum(met) == 3
+    met.clear()
+    state.commit(ingest.run_batch(state.tables(), rows, "2026-01-02 00:00:00"), "s#1")
+    assert sum(met) == 6  # new postings and known ones
+    monkeypatch.undo()
+    cols = [*schemas.CONTRACT_FIELDS, *schemas.SCREEN_FIELDS]
+    assert sorted(map(str, state.tables()["job_details"].select("url", *cols).collect())) == sorted(map(str, screen.enrich(rows).select("url", *cols).collect()))
+
+
+def test_rates_judged_once_change_no_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(screen, "SHORT", 60)
+    texts = [None, "", "Java at £500 per day outside IR35", "£640 per day. " + "calm words " * 9, "Inside IR35", "Python only"]
+    rows = _adverts(spark, [_advert(k, texts[k % 6], day_rate_min=(None, 300.0, 0.0)[k % 3], day_rate_max=(None, 450.0, 1e9, 700.0)[k % 4], day_rate_source="given") for k in range(48)])
+    each, once, alone = screen.enrich(rows), screen.enrich(rows, once=True, at=f"file://{tmp_path}/a"), screen.contracts(rows, at=f"file://{tmp_path}/b")
+    cols = sorted(each.columns)
+    assert sorted(once.columns) == cols and set(alone.columns) == set(cols) - set(schemas.SCREEN_FIELDS)
+    assert sorted(map(str, once.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
+    cols = sorted(alone.columns)
+    assert sorted(map(str, alone.select(*cols).collect())) == sorted(map(str, each.select(*cols).collect()))
+
+
+def test_a_known_posting_listed_twice_is_refreshed_by_its_last_row(spark, tmp_path):
+    state = ingest.State(spark, f"file://{tmp_path}/state", buckets=4)
+    state.commit(ingest.run_batch(state.tables(), _adverts(spark, [_advert(1, "We test Java.")]), "2026-01-01 00:00:00"), "s#0")
+    again = [_advert(1, f"We test Java. £{p} per day.", ordinal=n) for n, p in ((7, 510), (9, 530), (8, 520))]
+    state.commit(ingest.run_batch(state.tables(), _adverts(spark, again), "2026-01-02 00:00:00"), "s#1")
+    assert [r.day_rate_max for r in state.tables()["job_details"].collect()] == [530.0]
+
+
+def test_links_within_rows_are_those_of_all(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(r.choice([f"u{k}", f"u{k}", None]), r.choice(["Acme", "Bee", "", f"Co {k}"]), r.choice(["QA Engineer", "SDET", None]), r.choice(["London", "UK", "Leeds", None]), r.choice([None, "2026-01-01", "2026-01-02"]), k % 3 == 0) for k in range(90)]
+    df = spark.createDataFrame(rows, "url string, company string, title string, location string, fetched_at string, new boolean")
+    want = sorted(map(tuple, duplicates.originals(df.filter("new"), df).collect()), key=str)
+    got = sorted(map(tuple, duplicates.originals_within(df, F.col("new"), f"file://{tmp_path}/links").collect()), key=str)
+    assert got == want and len(want) > 5
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    state = ingest.State(spark, f"file://{tmp_path}/state", buckets=1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        state.commit({"seen_jobs": spark.range(0, 40_000, 1, 4).select(*(F.concat(F.lit(f.name), F.sha2(F.col("id").cast("string"), 256)).alias(f.name) for f in schemas.SEEN_JOBS))})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len([*tmp_path.rglob("bucket=0/part-*.parquet")]) > 1
+    assert state.tables()["seen_jobs"].distinct().count() == 40_000
+
+
+def test_a_batch_of_new_postings_is_settled_by_one_round(spark, tmp_path):
+    batch = [(f"u{k}", f"k{k}") for k in range(50)]
+    got = arrivals.new_postings(sized(batch, spark), spark.createDataFrame([], "url string, company_title_key string"), f"file://{tmp_path}/rounds")
+    assert got.count() == 50 and len([*tmp_path.rglob("_SUCCESS")]) == 2
+
+
+def test_the_ingest_query_reads_its_postings_once(spark, monkeypatch):
+    from jobloom.plans import fixtures
+
+    read, rows = spark.sparkContext.accumulator(0), fixtures.postings(spark, DATA).limit(60)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(fixtures, "postings", lambda s, d: rows.mapInArrow(counted, rows.schema))
+    assert registry.QUERIES["ingested"](spark, DATA).count() == 60
+    assert read.value == 60
