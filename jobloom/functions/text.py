@@ -49,6 +49,12 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(f"{name}.{k}").alias(k) for k in columns))
 
 
+def with_marker(df: DataFrame, description: str) -> DataFrame:
+    """The column __marker: of a listing page its marker, else null."""
+    df = staged(df, __one=one_blank(_text(F.col(f"`{description}`"))))
+    return staged(df, __marker=_marker(F.col("__one"))).drop("__one")
+
+
 def with_body(df: DataFrame, description: str) -> DataFrame:
     """The columns __marker and __body: of a listing page its marker, and the advert inside it.
 
@@ -57,8 +63,7 @@ def with_body(df: DataFrame, description: str) -> DataFrame:
     searched for it.
     """
     start, half = FLAGS + config.BODY_START, config.BODY_CHARS // 2
-    df = staged(df, __one=one_blank(_text(F.col(f"`{description}`"))))
-    df = staged(df, __marker=_marker(F.col("__one"))).drop("__one")
+    df = with_marker(df, description)
     page = F.when(F.col("__marker").isNotNull(), F.regexp_replace(_text(F.col(f"`{description}`")), r"(?U)^\s+|\s+$", ""))
     df = staged(df, __page=page)
     df = staged(df, __at=F.regexp_instr("__page", F.lit(start)), __mark=F.regexp_substr("__page", F.lit(start)))

@@ -137,9 +137,10 @@ def append_companies(known: DataFrame, found: DataFrame) -> DataFrame:
 
 def requeue_polluted(seen: DataFrame, details: DataFrame) -> DataFrame:
     """seen_jobs without rows whose description is a listing page (M19): they will be fetched again."""
-    from jobloom.functions.text import listing_marker
+    from jobloom.functions.text import with_marker
 
-    return seen.join(details.filter(listing_marker(F.col("description")).isNotNull()).select("url"), "url", "left_anti")
+    polluted = with_marker(details.select("url", "description"), "description").filter("__marker is not null")
+    return seen.join(polluted.select("url"), "url", "left_anti")
 
 
 def clean_descriptions(details: DataFrame) -> DataFrame:

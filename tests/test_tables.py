@@ -695,3 +695,10 @@ def test_the_ingest_query_reads_its_postings_once(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "postings", lambda s, d: rows.mapInArrow(counted, rows.schema))
     assert registry.QUERIES["ingested"](spark, DATA).count() == 60
     assert read.value == 60
+
+
+def test_listing_pages_are_fetched_again(spark):
+    page = "What? Where?  Search\n Popular Jobs Recruiters"
+    rows = _adverts(spark, [_advert(1, "We test Java."), _advert(2, page), _advert(3, None), _advert(4, "Java " + page)])
+    seen = spark.createDataFrame([("u1",), ("u2",), ("u3",), ("u4",), ("u9",), (None,)], "url string")
+    assert sorted(r.url or "" for r in store.requeue_polluted(seen, rows).collect()) == ["", "u1", "u3", "u9"]
