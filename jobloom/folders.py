@@ -16,6 +16,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: dict[str, SparkSession] = {}
+#: Rows of a table that a join may send to every worker.
+FEW = 10_000
 
 
 def root(spark: SparkSession) -> str:
@@ -78,6 +80,16 @@ def written(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def beside(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table as a side of joins: of more than FEW rows it is shuffled, never sent to every worker by way of the driver.
+
+    Spark goes by the size of a table's files, which for narrow columns of
+    compressed ones is a small part of what they take in memory. ``rows``: how many
+    there are, if that is known.
+    """
+    return df.hint("merge") if (df.count() if rows is None else rows) > FEW else df
+
+
 @atexit.register
 def _last() -> None:
     for at, spark in list(_KEPT.items()):

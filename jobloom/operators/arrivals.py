@@ -67,6 +67,8 @@ def new_postings(batch: DataFrame, seen: DataFrame, at: str | None = None) -> Da
         return folders.written(df, f"{at}/{n}")
 
     rows = kept(unseen(with_key(batch), seen))
+    size = rows.count()
+    side = lambda df: folders.beside(df, size)
     # Nulls meet nobody: a url's stand-in is the row's own number, behind a sign that tells it from urls.
     alone = F.concat(F.lit("#"), F.col("ordinal").cast("string"))
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), alone)
@@ -74,23 +76,23 @@ def new_postings(batch: DataFrame, seen: DataFrame, at: str | None = None) -> Da
     chosen = None
     for _ in range(ROUNDS):
         first = {c: open_.groupBy(c).agg(F.min("ordinal").alias("ordinal")).select("ordinal") for c in "uk"}
-        new = kept(open_.join(first["u"], "ordinal", "left_semi").join(first["k"], "ordinal", "left_semi"))
-        if chosen is None and new.count() == rows.count():
+        new = kept(open_.join(side(first["u"]), "ordinal", "left_semi").join(side(first["k"]), "ordinal", "left_semi"))
+        if chosen is None and new.count() == size:
             return rows
         chosen = new.select("ordinal") if chosen is None else chosen.unionAll(new.select("ordinal"))
         # Rows behind a new one in either are seen; the rest waits for those before it.
-        open_ = kept(open_.join(new.select("u"), "u", "left_anti").join(new.select("k"), "k", "left_anti").select("ordinal", "u", "k"))
+        open_ = kept(open_.join(side(new.select("u")), "u", "left_anti").join(side(new.select("k")), "k", "left_anti").select("ordinal", "u", "k"))
         if open_.isEmpty():
-            return rows.join(chosen, "ordinal", "left_semi")
+            return rows.join(side(chosen), "ordinal", "left_semi")
     edges = None
     for c in "uk":
         first = open_.groupBy(F.col(c).alias("__c")).agg(F.min("ordinal").alias("b"))
-        own = open_.join(first, F.col(c) == F.col("__c")).filter("ordinal <> b").select(F.col("ordinal").alias("a"), "b")
+        own = side(open_).join(side(first), F.col(c) == F.col("__c")).filter("ordinal <> b").select(F.col("ordinal").alias("a"), "b")
         edges = own if edges is None else edges.unionAll(own)
     labels = components(edges, f"{at}/components")
-    chained = open_.join(labels, open_.ordinal == labels.node, "left").select(F.coalesce("label", "ordinal").alias("label"), "ordinal", "u", "k")
+    chained = side(open_).join(side(labels), open_.ordinal == labels.node, "left").select(F.coalesce("label", "ordinal").alias("label"), "ordinal", "u", "k")
     passed = kept(chained.repartition("label").sortWithinPartitions("label", "ordinal").mapInArrow(_in_order, "ordinal long"))
-    return rows.join(chosen.unionAll(passed), "ordinal", "left_semi")
+    return rows.join(side(chosen.unionAll(passed)), "ordinal", "left_semi")
 
 
 def new_in_store(batch: DataFrame, seen: DataFrame) -> DataFrame:

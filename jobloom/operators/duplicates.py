@@ -48,7 +48,7 @@ def originals_within(rows: DataFrame, batch: Column, at: str) -> DataFrame:
     k = keyed(rows).filter("ckey is not null").select("url", "fetched_at", "ckey", "place", "at", F.xxhash64("ckey").alias("h"), batch.alias("own"))
     k = folders.written(k, f"{at}/keyed")
     twice = folders.written(k.groupBy("h").count().filter("count > 1").select("h"), f"{at}/twice")
-    met = k.join(twice, "h", "left_semi")
+    met = folders.beside(k.join(folders.beside(twice), "h", "left_semi"), k.count())
     return _originals(met.filter("own"), met)
 
 
@@ -99,13 +99,13 @@ def decision_sources(details: DataFrame, statuses: DataFrame) -> DataFrame:
     return first.select("root", F.col("m.url").alias("source"), F.col("m.my_status").alias("my_status"))
 
 
-def inheritances(details: DataFrame, statuses: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """url, my_status, inherited_from: rows without any status whose cluster carries a decision."""
+def inheritances(details: DataFrame, statuses: DataFrame, urls: DataFrame | None = None, size: int = 0) -> DataFrame:
+    """url, my_status, inherited_from: rows without any status whose cluster carries a decision. ``size``: how many these may be, if that is known."""
     rows = roots(details)
     if urls is not None:
         rows = rows.join(urls.select("url").distinct(), "url", "left_semi")
     has_own = statuses.filter(F.coalesce("my_status", F.lit("")) != "").select("url")
-    return rows.join(has_own, "url", "left_anti").join(decision_sources(details, statuses), "root").select("url", "my_status", F.col("source").alias("inherited_from"))
+    return rows.join(has_own, "url", "left_anti").join(folders.beside(decision_sources(details, statuses), size), "root").select("url", "my_status", F.col("source").alias("inherited_from"))
 
 
 def audit(details: DataFrame, statuses: DataFrame) -> tuple[DataFrame, DataFrame]:

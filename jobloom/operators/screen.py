@@ -158,14 +158,14 @@ def _once(df: DataFrame, read: Callable[[DataFrame], DataFrame], model: rates.Ra
     short = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("description", F.lit(""))) <= SHORT
     found = read(df.filter(short).select("title", "description").distinct()).withColumnsRenamed({"title": "__t", "description": "__d"})
     # Written, it has a size before the join is planned: where it is small, the postings are not shuffled.
-    found = folders.written(found, f"{at}/texts") if at else found
+    found = folders.beside(folders.written(found, f"{at}/texts")) if at else found
     near = df.filter(short).join(found, c("title").eqNullSafe(c("__t")) & c("description").eqNullSafe(c("__d"))).drop("__t", "__d")
     if not at:
         return _with_rates(near.unionByName(read(df.filter(~short))), model)
     near, same = _with_rate(near), {"__rate.min": "__low", "__rate.max": "__high", "__ir.status": "__status"}
     each = near.select(*(c(k).alias(v) for k, v in same.items())).distinct()
     each = each.withColumns({"__rate": F.struct(c("__low").alias("min"), c("__high").alias("max")), "__ir": F.struct(c("__status").alias("status"))})
-    each = folders.written(_judged(each, model).select(*same.values(), "__verdict", "__worth"), f"{at}/rates")
+    each = folders.beside(folders.written(_judged(each, model).select(*same.values(), "__verdict", "__worth"), f"{at}/rates"))
     alike = F.lit(True)
     for k, v in same.items():
         alike &= c(k).eqNullSafe(c(v))

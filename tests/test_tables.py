@@ -702,3 +702,19 @@ def test_listing_pages_are_fetched_again(spark):
     rows = _adverts(spark, [_advert(1, "We test Java."), _advert(2, page), _advert(3, None), _advert(4, "Java " + page)])
     seen = spark.createDataFrame([("u1",), ("u2",), ("u3",), ("u4",), ("u9",), (None,)], "url string")
     assert sorted(r.url or "" for r in store.requeue_polluted(seen, rows).collect()) == ["", "u1", "u3", "u9"]
+
+
+def test_a_large_batch_is_not_sent_to_every_worker(spark, tmp_path, monkeypatch):
+    """Files of these rows are small, but what is read of them again must not be broadcast."""
+    monkeypatch.setattr(folders, "FEW", 10)
+    plans, written = [], folders.written
+    monkeypatch.setattr(folders, "written", lambda df, at: plans.append(df) or written(df, at))
+    rows = written(_adverts(spark, [_advert(k, f"We test Java {k}.", company=f"Company {k // 2}", location=("London", "Leeds")[k % 2], day_rate_max=400.0 + k) for k in range(48)]), f"file://{tmp_path}/rows")
+    state = ingest.State(spark, f"file://{tmp_path}/state", buckets=4)
+    state.commit({"user_status": spark.createDataFrame([(f"u{k}", "saved", None, "t", None) for k in range(24)], schemas.USER_STATUS)})
+    state.commit(ingest.run_batch(state.tables(), rows.filter("ordinal < 24"), "2026-01-01 00:00:00", f"file://{tmp_path}/0"), "s#0")
+    plans.clear()
+    out = ingest.run_batch(state.tables(), rows, "2026-01-02 00:00:00", f"file://{tmp_path}/1")
+    found = [df._jdf.queryExecution().executedPlan().toString() for df in (*plans, *out.values())]
+    assert sum("Join" in x for x in found) > 8 and not any("Broadcast" in x for x in found)
+    assert [df.count() for df in out.values()] == [48, 48, 24]
