@@ -19,7 +19,7 @@ _TIMES = ("2026-03-01 00:00:00", "2026-03-02 00:00:00")
 def _ingested(s, d) -> DataFrame:
     """A run over every second posting and one over all; every posting is of a company of its own, so it is new once and listed later."""
     p = fixtures.postings(s, d)
-    own = p.withColumns({"company": F.concat(F.lit("Co"), F.col("ordinal").cast("string")), "employment_type": F.lit("unknown"), "description": F.concat_ws(" ", "title", "employment_type")})
+    own = p.withColumn("company", F.concat(F.lit("Co"), F.col("ordinal").cast("string")))
     rows = schemas.conform(own.select(*schemas.POSTING.names), schemas.POSTING).withColumn("ordinal", F.regexp_extract("url", r"(\d+)$", 1).cast("long"))
     state, rows = ingest.State(s, folders.folder(s, "ingested"), buckets=16), ingest.numbered(rows, folders.folder(s, "postings"))
     for k, now in enumerate(_TIMES):

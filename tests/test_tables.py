@@ -718,3 +718,14 @@ def test_a_large_batch_is_not_sent_to_every_worker(spark, tmp_path, monkeypatch)
     found = [df._jdf.queryExecution().executedPlan().toString() for df in (*plans, *out.values())]
     assert sum("Join" in x for x in found) > 8 and not any("Broadcast" in x for x in found)
     assert [df.count() for df in out.values()] == [48, 48, 24]
+
+
+def test_the_ingest_query_reads_whole_adverts(spark, monkeypatch):
+    from jobloom.plans import fixtures
+
+    rows, given = fixtures.postings(spark, DATA).limit(20), []
+    monkeypatch.setattr(fixtures, "postings", lambda s, d: rows)
+    monkeypatch.setattr(ingest, "run_batch", lambda tables, batch, *more: given.append(batch) or tables)
+    registry.QUERIES["ingested"](spark, DATA)
+    cols = [c for c in schemas.POSTING.names if c != "company"]
+    assert sorted(map(str, given[-1].select(cols).collect())) == sorted(map(str, rows.select(cols).collect()))
