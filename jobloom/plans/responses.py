@@ -31,10 +31,16 @@ def _parts(s: SparkSession, d: str) -> int:
     return max(int(s.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PER_TASK))
 
 
-def _raw(s: SparkSession, d: str, ats: str, job: Column, key: str | None, slug: str = "slug") -> DataFrame:
-    """Responses (boards.RAW) of ``ats``, each with the jobs of PER_BOARD postings under ``key``."""
+def _dealt(s: SparkSession, d: str) -> DataFrame:
+    """The postings beside their ``board`` of PER_BOARD, dealt to tasks by it."""
     board = F.floor(F.col("ordinal") / PER_BOARD).cast("string")
-    jobs = fixtures.postings(s, d).select(board.alias("board"), job.alias("j")).repartition(_parts(s, d), "board").groupBy("board").agg(F.collect_list("j").alias("j"))
+    return fixtures.postings(s, d).withColumn("board", board).repartition(_parts(s, d), "board")
+
+
+def _raw(dealt: DataFrame, ats: str) -> DataFrame:
+    """Responses (boards.RAW) of ``ats``, each with the jobs of PER_BOARD postings under a key."""
+    job, key, slug = _JOBS[ats]()
+    jobs = dealt.select("board", job.alias("j")).groupBy("board").agg(F.collect_list("j").alias("j"))
     body = F.to_json("j") if key is None else F.to_json(F.struct(F.col("j").alias(key)))
     return jobs.select(F.concat(F.lit("Board "), "board").alias("company"), F.lit(ats).alias("ats"), F.lit(slug).alias("slug"), body.alias("body"), F.lit(None).cast("string").alias("error"))
 
@@ -43,69 +49,72 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select(*_SHOWN)
 
 
-def _greenhouse(s, d):
+def _greenhouse():
     c = F.col
     job = F.struct("title", c("url").alias("absolute_url"), F.struct(c("location").alias("name")).alias("location"), _when(2, 0, F.lit("")).otherwise(c("posted_at")).alias("first_published"), c("fetched_at").alias("updated_at"), c("description").alias("content"))
-    return _raw(s, d, "greenhouse", job, "jobs")
+    return job, "jobs", "slug"
 
 
-def _ashby(s, d):
+def _ashby():
     c = F.col
     job = F.struct("title", _when(2, 0, c("location")).alias("location"), F.lit("Elsewhere").alias("locationName"), _when(3, 0, c("url")).otherwise(F.lit("")).alias("jobUrl"), c("url").alias("applyUrl"), c("posted_at").alias("publishedAt"), _when(4, 0, c("description")).alias("descriptionPlain"), F.lit("<p>x</p>").alias("descriptionHtml"))
-    return _raw(s, d, "ashby", job, "jobs")
+    return job, "jobs", "slug"
 
 
-def _workable(s, d):
+def _workable():
     c = F.col
     place = lambda city, hidden: F.struct(F.lit(city).alias("city"), F.lit("").alias("region"), F.lit("UK").alias("country"), F.lit(hidden).alias("hidden"))
     many = F.array(place("Leeds", False), place("York", True), place("Leeds", False), place("Bath", False))
     job = F.struct("title", "url", c("fetched_at").alias("created_at"), "description", (c("ordinal") % 5 == 0).alias("telecommuting"), _when(4, 0, many).alias("locations"), _when(4, 1, place("Hull", False)).alias("location"), F.lit("Crewe").alias("city"), F.lit("Crewe").alias("state"), F.lit("UK").alias("country"))
-    return _raw(s, d, "workable", job, "jobs")
+    return job, "jobs", "slug"
 
 
-def _lever(s, d):
+def _lever():
     c = F.col
     cats = F.struct(c("location").alias("location"), _when(2, 0, F.array(F.lit("A"), F.lit("B"))).alias("allLocations"))
     job = F.struct(c("title").alias("text"), c("url").alias("hostedUrl"), (F.lit(1758000000000) + c("ordinal")).alias("createdAt"), cats.alias("categories"), _when(2, 1, F.lit("")).otherwise(c("description")).alias("descriptionPlain"), F.lit("html").alias("description"))
-    return _raw(s, d, "lever", job, None)
+    return job, None, "slug"
 
 
-def _smart(s, d):
+def _smart():
     c = F.col
     where = F.struct(F.lit("London").alias("city"), F.lit("").alias("region"), F.lit("gb").alias("country"))
     job = F.struct(_when(7, 0, F.lit(None).cast("string")).otherwise(c("ordinal").cast("string")).alias("id"), c("title").alias("name"), _when(7, 1, c("url")).alias("postingUrl"), _when(7, 2, c("url")).alias("applyUrl"), _when(14, 0, c("url")).alias("ref"), c("posted_at").alias("releasedDate"), where.alias("location"))
-    return _raw(s, d, "smartrecruiters", job, "content", "acme")
+    return job, "content", "acme"
 
 
-def _workday(s, d):
+def _workday():
     c = F.col
     path = F.concat(F.lit("/job/"), (c("ordinal") - c("ordinal") % 2).cast("string"))
     job = F.struct(F.lit("Test Engineer").alias("title"), _when(10, 9, F.lit("")).otherwise(path).alias("externalPath"), F.lit("2 Locations").alias("locationsText"), F.lit("Posted Today").alias("postedOn"))
-    return _raw(s, d, "workday", job, "jobPostings", "acme/Careers")
+    return job, "jobPostings", "acme/Careers"
 
 
-def _adzuna(s, d):
+def _adzuna():
     c = F.col
     job = F.struct("title", c("url").alias("redirect_url"), c("fetched_at").alias("created"), "description", F.initcap("employment_type").alias("contract_type"), (52000 + c("ordinal") % 100 * 260).cast("double").alias("salary_min"), _when(3, 0, F.lit(130000.0)).alias("salary_max"), (c("ordinal") % 2).cast("string").alias("salary_is_predicted"), _when(2, 0, F.struct(c("company").alias("display_name"))).alias("company"), F.struct(c("location").alias("display_name")).alias("location"))
-    return _raw(s, d, "adzuna", job, "results")
+    return job, "results", "slug"
 
 
-def _remotive(s, d):
+def _remotive():
     c = F.col
     kinds = F.array(*(F.lit(x) for x in ("contract", "freelance", "full_time", "other")))
     job = F.struct("title", "url", c("company").alias("company_name"), c("fetched_at").alias("publication_date"), "description", F.get(kinds, (c("ordinal") % 4).cast("int")).alias("job_type"), _when(2, 0, F.lit("UK")).otherwise(F.lit("")).alias("candidate_required_location"))
-    return _raw(s, d, "remotive", job, "jobs")
+    return job, "jobs", "slug"
 
 
-_RAWS = {"greenhouse": _greenhouse, "ashby": _ashby, "workable": _workable, "lever": _lever, "smartrecruiters": _smart, "workday": _workday, "adzuna": _adzuna, "remotive": _remotive}
+#: By board kind: a posting's entry, the key of a response's list, the board's slug.
+_JOBS = {"greenhouse": _greenhouse, "ashby": _ashby, "workable": _workable, "lever": _lever, "smartrecruiters": _smart, "workday": _workday, "adzuna": _adzuna, "remotive": _remotive}
 
 
 def _all_boards(s, d) -> DataFrame:
-    raw = None
-    for make in _RAWS.values():
-        raw = make(s, d) if raw is None else raw.unionByName(make(s, d))
-    parts = _parts(s, d)
-    each = boards.parse(raw, parts=parts).select("source", "url").repartition(parts * len(_RAWS), "source", "url").groupBy("source", "url").agg(F.count("*").alias("n"))
+    parts, rows = _parts(s, d), _dealt(s, d)
+    # Staged, all boards ask for the same columns, so the postings are joined and dealt out once for them all.
+    rows, found = text.staged(rows, **{c: F.col(c) for c in rows.columns if c != "board"}), None
+    for ats in _JOBS:
+        own = boards.parse(_raw(rows, ats), [ats], parts).select("source", "url")
+        found = own if found is None else found.unionByName(own)
+    each = found.repartition(parts * len(_JOBS), "source", "url").groupBy("source", "url").agg(F.count("*").alias("n"))
     return each.groupBy("source").agg(F.sum("n").alias("n"), F.count("url").alias("urls"))
 
 
@@ -117,7 +126,7 @@ def _failures(s, d) -> DataFrame:
 
 def _detailed(s, d) -> DataFrame:
     parts = _parts(s, d)
-    rows = boards.parse(_smart(s, d).unionByName(_workday(s, d)), ["smartrecruiters", "workday"], parts)
+    rows = boards.parse(_raw(_dealt(s, d), "smartrecruiters").unionByName(_raw(_dealt(s, d), "workday")), ["smartrecruiters", "workday"], parts)
     asked = boards.detail_requests(rows, parts)
     part = lambda x: F.struct(F.lit(x).alias("text"))
     smart = F.to_json(F.struct(F.struct(F.struct(part("Duties").alias("jobDescription"), part("").alias("qualifications"), part("More").alias("additionalInformation")).alias("sections")).alias("jobAd")))
@@ -197,7 +206,7 @@ def _registry(s, d) -> DataFrame:
     return loaders.board_requests(rows).select("name", "ats", "slug", "search", F.try_element_at("params", F.lit("what")).alias("what"), "address", "error")
 
 
-QUERIES = {f"board_{k}": (lambda make, k: lambda s, d: _shown(boards.parse(make(s, d), [k], _parts(s, d))))(make, k) for k, make in _RAWS.items()} | {
+QUERIES = {f"board_{k}": (lambda k: lambda s, d: _shown(boards.parse(_raw(_dealt(s, d), k), [k], _parts(s, d))))(k) for k in _JOBS} | {
     "boards_together": _all_boards,
     "board_failures": _failures,
     "board_details": _detailed,

@@ -729,3 +729,18 @@ def test_the_ingest_query_reads_whole_adverts(spark, monkeypatch):
     registry.QUERIES["ingested"](spark, DATA)
     cols = [c for c in schemas.POSTING.names if c != "company"]
     assert sorted(map(str, given[-1].select(cols).collect())) == sorted(map(str, rows.select(cols).collect()))
+
+
+def test_all_boards_take_the_postings_dealt_out_once(spark, monkeypatch):
+    from jobloom.plans import fixtures
+
+    read, rows = spark.sparkContext.accumulator(0), fixtures.postings(spark, DATA).limit(60)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(fixtures, "postings", lambda s, d: rows.mapInArrow(counted, rows.schema))
+    assert {r.source: r.n for r in registry.QUERIES["boards_together"](spark, DATA).collect()}["lever"] == 60
+    assert read.value <= 120  # once whole, once the numbers alone
