@@ -276,3 +276,23 @@ def test_a_text_met_again_is_not_extracted_again(monkeypatch, most, chars):
 def test_suggestions_extract_terms_once(spark):
     plan = registry.QUERIES["suggestions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_words_are_read_as_their_plain_rules_say():
+    quotes = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"})
+    odd = ["", " ", "java", "Java", "C++", "node.js", "re-use", "x’y", "a–b—c", "“Q”", "É", "İstanbul", "ß", "ﬁn", "a\u00a0b", "a\x1cb", "tests-", "ITIES", "ab12", "ªb", "٣", "glasses", "processes", "markedly", "running", "add-ons", "the-ies", "eee"]
+    for x in odd + [a + b for a in odd for b in odd]:
+        want = " ".join(re.sub(r"[^a-z0-9+#.'\-\s]", " ", x.lower().translate(quotes)).split())
+        assert T.normalise(x) == want
+        for word in want.split():
+            forms = {word, T.stem(word), T.stem_key(word)}
+            for f in [f for f in forms if "-" in f]:
+                forms |= {f.replace("-", ""), f.replace("-", " "), *f.split("-")}
+            assert T.variants(word) == forms - {""}
+            fits = [(a, b) for a, b in T._SUFFIXES if len(word) > 3 and word.endswith(a) and len(word) - len(a) >= 3]
+            assert fits or T.stem(word) == word
+    of = lambda name: re.findall("[a-z0-9]+", (name or "").lower())
+    for a in (None, "", "Acme", "Bee Sea Dee", "A B", "Éa Ltd", "One two three four five"):
+        for b in (None, "", "Re Cruit", "HR"):
+            own = "".join(w[0] for w in of(a))
+            assert T.noise_terms(a, b) == frozenset(w for w in (*of(a), *of(b)) if len(w) > 2) | ({own} if 2 <= len(own) <= 4 else set())
