@@ -105,32 +105,44 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text", marks: dict[str, str] | None = None) -> DataFrame:
+def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str = "post_text", marks: dict[str, str] | None = None, surfaces: bool = True) -> DataFrame:
     """One row a (url, term) with counts, weight, section and priority.
 
     Words of the company's name, and of a column ``recruiter`` if there is one, are
     no terms. ``marks``: Boolean columns to add and the text whose terms they tell (C7); they
-    are told in the same pass, each different term once a worker.
+    are told in the same pass, each different term once a worker. Without ``surfaces``
+    (lists, the dearest column) rows lack these.
     """
     marks = marks or {}
     for x in marks.values():
         _sendable(x)
-    names = [x.split()[0] for x in TERM.split(", ")]
+    columns = TERM.split(", ") if surfaces else TERM.split(", ")[:-1]
+    names = [x.split()[0] for x in columns]
     kinds = [pa.string(), *[pa.int32()] * 4, *[pa.bool_()] * 3, pa.list_(pa.string())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract, looks = t.Extractor(lexicon), [t.Present(x) for x in marks.values()]
 
+        known: dict[str | tuple[str, ...], tuple[bool, ...]] = {}
+
+        def marked(term: str, forms: dict[str, int]) -> tuple[bool, ...]:
+            """Of a term and its surfaces whether each text has it."""
+            key = term if len(forms) == 1 and term in forms else (term, *sorted(forms))
+            out = known.get(key)
+            if out is None:
+                own = sorted(forms)
+                out = tuple([look.has(term, own) for look in looks])
+                if len(known) < t.Present.MOST:
+                    known[key] = out
+            return out
+
         def told(found: list[dict]) -> list[pa.Array]:
-            cols, yes = [[] for _ in names], [[] for _ in looks]
-            for own in found:
-                for k, v in own.items():
-                    surfaces = sorted(v["surfaces"])
-                    for col, x in zip(cols, (k, v["count"], v["in_requirements"], v["in_duties"], v["in_nice"], v["skill"], v["capitalised"], v["in_title"], surfaces), strict=True):
-                        col.append(x)
-                    for col, look in zip(yes, looks, strict=True):
-                        col.append(look.told(k, surfaces))
-            return [*(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), *(pa.array(c, pa.bool_()) for c in yes)]
+            rows = [v for own in found for v in own.values()]
+            cols = [[k for own in found for k in own], *([v[n] for v in rows] for n in names[1:8])]
+            if surfaces:
+                cols.append([sorted(v["surfaces"]) for v in rows])
+            yes = [marked(k, v["surfaces"]) for k, v in zip(cols[0], rows, strict=True)] if looks else []
+            return [*(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=False)), *(pa.array([y[i] for y in yes], pa.bool_()) for i in range(len(looks)))]
 
         seen = _Seen(extract.posting, told, [*names, *marks])
         for batch in batches:
@@ -141,7 +153,7 @@ def posting_terms(postings: DataFrame, lexicon: Lexicon = Lexicon(), text: str =
                 yield pa.RecordBatch.from_arrays([urls, *rows.columns], ["url", *names, *marks])
 
     recruiter = F.col("recruiter") if "recruiter" in postings.columns else F.lit(None).cast("string").alias("recruiter")
-    found = postings.select("url", "title", "company", recruiter, F.col(text).alias("body")).mapInArrow(work, ", ".join([f"url string, {TERM}", *(f"{m} boolean" for m in marks)]))
+    found = postings.select("url", "title", "company", recruiter, F.col(text).alias("body")).mapInArrow(work, ", ".join(["url string", *columns, *(f"{m} boolean" for m in marks)]))
     weight = 3.0 * F.col("in_requirements") + 1.5 * F.col("in_duties") + F.col("count") + 0.5 * F.col("in_nice")
     section = F.when(F.col("in_requirements") > 0, "requirements").when(F.col("in_duties") > 0, "duties").when(F.col("in_nice") > 0, "nice-to-have").otherwise("mentioned")
     found = found.withColumn("weight", weight).withColumn("section", section)

@@ -160,8 +160,8 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.posting_terms(_adverts(spark, sf)).select("url", "term", "count", "weight", "section", "skill", "priority")
 
 
-def _told(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.posting_terms(_adverts(spark, sf), marks={"on_cv": CV, "in_master": MASTER})
+def _told(spark: SparkSession, sf: str, surfaces: bool = False) -> DataFrame:
+    return coverage.posting_terms(_adverts(spark, sf), marks={"on_cv": CV, "in_master": MASTER}, surfaces=surfaces)
 
 
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _suggested(spark: SparkSession, sf: str) -> DataFrame:
-    rows = coverage.with_coverage(_told(spark, sf), CV, MASTER)
+    rows = coverage.with_coverage(_told(spark, sf, surfaces=True), CV, MASTER)
     facts = spark.createDataFrame([("r1", f"a{i}", x, ["tag"], []) for i, x in enumerate(MASTER.splitlines())], "role_id string, achievement_id string, text string, tags array<string>, metrics array<string>")
     return coverage.suggestions(rows, facts, CV).select("url", "achievement_id", "kind", "weight_closed", "rank")
 

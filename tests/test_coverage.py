@@ -278,6 +278,17 @@ def test_suggestions_extract_terms_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_terms_without_surfaces_are_the_same(spark):
+    """The gap report takes no lists of surfaces."""
+    rows = registry._adverts(spark, DATA).limit(40)
+    marks = {"on_cv": registry.CV, "in_master": registry.MASTER}
+    whole, bare = coverage.posting_terms(rows, marks=marks), coverage.posting_terms(rows, marks=marks, surfaces=False)
+    assert set(whole.columns) - set(bare.columns) == {"surfaces"}
+    assert sorted(map(str, whole.select(bare.columns).collect())) == sorted(map(str, bare.collect()))
+    for name in ("gap_report",):
+        assert "surfaces" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_are_read_as_their_plain_rules_say():
     quotes = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"})
     odd = ["", " ", "java", "Java", "C++", "node.js", "re-use", "x’y", "a–b—c", "“Q”", "É", "İstanbul", "ß", "ﬁn", "a\u00a0b", "a\x1cb", "tests-", "ITIES", "ab12", "ªb", "٣", "glasses", "processes", "markedly", "running", "add-ons", "the-ies", "eee"]
