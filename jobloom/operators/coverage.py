@@ -199,7 +199,7 @@ def _top(test: Column, n: int) -> Column:
 
 def scan(postings: DataFrame, cv: str, master: str, lexicon: Lexicon = Lexicon(), truncated: Column | None = None) -> DataFrame:
     """One row a posting: coverage, gaps and verdict (C14, A5). An unreliable text comes before hard gaps, these before coverage; without priority terms coverage is 100."""
-    rows = with_coverage(posting_terms(postings, lexicon, marks={"on_cv": cv, "in_master": master}), cv, master)
+    rows = with_coverage(posting_terms(postings, lexicon, marks={"on_cv": cv, "in_master": master}, surfaces=False), cv, master)
     p = F.col("priority")
     per = rows.groupBy("url").agg(
         F.count("*").alias("terms_found"), F.count_if("on_cv").alias("present"), F.count_if(p).alias("priority_total"), F.count_if(p & F.col("on_cv")).alias("priority_on_cv"),

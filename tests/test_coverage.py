@@ -279,13 +279,13 @@ def test_suggestions_extract_terms_once(spark):
 
 
 def test_terms_without_surfaces_are_the_same(spark):
-    """The gap report takes no lists of surfaces."""
+    """The scan and the gap report take no lists of surfaces."""
     rows = registry._adverts(spark, DATA).limit(40)
     marks = {"on_cv": registry.CV, "in_master": registry.MASTER}
     whole, bare = coverage.posting_terms(rows, marks=marks), coverage.posting_terms(rows, marks=marks, surfaces=False)
     assert set(whole.columns) - set(bare.columns) == {"surfaces"}
     assert sorted(map(str, whole.select(bare.columns).collect())) == sorted(map(str, bare.collect()))
-    for name in ("gap_report",):
+    for name in ("cv_scan", "gap_report"):
         assert "surfaces" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
 
 
